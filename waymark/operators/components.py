@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.session import cut
+from waymark.session import cut_and_measure
 
 
 def _star(links: DataFrame) -> DataFrame:
@@ -26,8 +26,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hooked.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def _fingerprint(edges: DataFrame):
-    return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+def _write(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, with their number and a checksum by which a round without change is seen."""
+    checksum = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    table, seen = cut_and_measure(edges, n=F.count(F.lit(1)), checksum=checksum)
+    return table, (seen["n"], seen["checksum"])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -36,13 +39,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Minima are combined before the shuffle, so a node with a third of all edges costs one row per task; the
     joins back are plain sort-merge joins, which adaptive execution splits when a node is hot.
     """
-    current = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
-    nodes = edges.select(F.col(a).alias("node")).union(edges.select(F.col(b))).distinct()
-    mark = _fingerprint(current)
+    given, mark = _write(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).distinct())
+    current = given.where("u <> v")
     while mark[0]:
-        current = cut(_small_star(_large_star(current)))
-        seen, mark = mark, _fingerprint(current)
+        seen = mark
+        current, mark = _write(_small_star(_large_star(current)))
         if seen == mark:
             break
+    nodes = given.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     label = current.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo
 from waymark.operators.components import components
+from waymark.session import cut
 
 FINE = 8  # a cell edge is cut into this many parts for the search of linked cells
 
@@ -21,16 +22,11 @@ def _gap_sq(a: str, b: str, axes: list[str]) -> Column:
     return total
 
 
-def _offsets(reach: int, dims: int, half: bool) -> list[tuple]:
-    out = [()]
-    for _ in range(dims):
-        out = [o + (s,) for o in out for s in range(-reach, reach + 1)]
-    zero = (0,) * dims
-    return [o for o in out if (o > zero if half else True)]
-
-
-def _shifted(cells: list[str], offsets: list[tuple], to: list[str]) -> Column:
-    return F.explode(F.array(*[F.struct(*[(F.col(c) + s).alias(t) for c, t, s in zip(cells, to, o)]) for o in offsets]))
+def _around(df: DataFrame, cells: list[str], to: list[str], reach: int) -> DataFrame:
+    """Copy every row to all cells at most ``reach`` steps away."""
+    for c, n in zip(cells, to):
+        df = df.withColumn(n, F.explode(F.sequence(F.col(c) - reach, F.col(c) + reach)))
+    return df
 
 
 def density_groups(
@@ -44,7 +40,7 @@ def density_groups(
     """(by..., key, group_id, is_noise): the group is named by its lowest core key; noise points stay alone.
 
     ``planar=False``: great-circle distance <= eps. ``planar=True``: straight distance in degrees < eps / 111000.
-    Equal coordinates collapse to one site first. Cells are so small that all points of one cell are neighbours,
+    Equal coordinates collapse to one site first, numbered once and written. Cells are so small that all points of one cell are neighbours,
     so a crowded cell needs no pairs: its points are core by count, and the components run over cells.
     """
     by = by or []
@@ -60,75 +56,70 @@ def density_groups(
     def close(a: str, b: str) -> Column:
         return _gap_sq(a, b, axes) < limit if planar else _gap_sq(a, b, axes) <= limit * (1 + 1e-12)
 
-    site = (
+    site = cut(
         points.groupBy(*by, "lat", "lon")
-        .agg(F.min(key).alias("site"), F.count("*").alias("copies"))
+        .agg(F.min(key).alias("first"), F.count("*").alias("copies"))
+        .withColumn("site", F.monotonically_increasing_id())
         .withColumns(dict(zip(axes, coords)))
         .withColumns({c: F.floor(F.col(a) / edge) for c, a in zip(cells, axes)})
     )
-    small = site.select(*by, "site", "copies", *axes, *cells)
-    other = small.select(*by, *[F.col(c).alias(f"n{c}") for c in cells], F.col("site").alias("o_site"), F.col("copies").alias("o_copies"), *[F.col(a).alias(f"o{a}") for a in axes])
+    small = site.select(*by, "site", "first", "copies", *axes, *cells)
     near_cells = [f"n{c}" for c in cells]
+    as_near = [F.col(c).alias(n) for c, n in zip(cells, near_cells)]
+    as_other = [F.col(a).alias(f"o{a}") for a in axes]
 
     if min_samples <= 1:
         core = small
     else:
-        crowd = small.groupBy(*by, *cells).agg(F.sum("copies").alias("crowd"))
-        weighed = small.join(crowd, [*by, *cells])
+        weighed = small.join(small.groupBy(*by, *cells).agg(F.sum("copies").alias("crowd")), [*by, *cells])
         sparse = weighed.where(F.col("crowd") < min_samples)
-        around = sparse.withColumn("n", _shifted(cells, _offsets(reach, dims, False), near_cells)).select("*", "n.*").drop("n")
+        other = small.select(*by, *as_near, F.col("copies").alias("o_copies"), *as_other)
         counted = (
-            around.join(other, [*by, *near_cells])
+            _around(sparse, cells, near_cells, reach)
+            .join(other, [*by, *near_cells])
             .where(close("", "o"))
             .groupBy("site")
             .agg(F.sum("o_copies").alias("seen"))
             .where(F.col("seen") >= min_samples)
         )
-        core = weighed.where(F.col("crowd") >= min_samples).drop("crowd").unionByName(
-            sparse.drop("crowd").join(counted.select("site"), "site", "left_semi")
-        )
+        dense = weighed.where(F.col("crowd") >= min_samples)
+        core = dense.unionByName(sparse.join(counted, "site", "left_semi")).drop("crowd")
 
-    cell = core.groupBy(*by, *cells).agg(F.min("site").alias("cell_id"))
-    tagged = core.join(cell, [*by, *cells])
-    neighbour_cell = cell.select(*by, *[F.col(c).alias(f"n{c}") for c in cells], F.col("cell_id").alias("o_cell"))
+    tagged = cut(core.join(core.groupBy(*by, *cells).agg(F.min("site").alias("cell_id")), [*by, *cells]))
+    cell = tagged.select(*by, *cells, "cell_id").distinct()
     pairs = (
-        cell.withColumn("n", _shifted(cells, _offsets(reach, dims, True), near_cells))
-        .select(*by, "cell_id", "n.*")
-        .join(neighbour_cell, [*by, *near_cells])
+        _around(cell, cells, near_cells, reach)
+        .join(cell.select(*by, *as_near, F.col("cell_id").alias("o_cell")), [*by, *near_cells])
+        .where("cell_id < o_cell")
         .select("cell_id", "o_cell")
     )
     # One real point per fine cell decides nearly all pairs; the rest compare the points of fine cells that may touch.
     fine = F.concat_ws(":", *[F.floor(F.col(a) / (edge / FINE)) for a in axes])
     placed = tagged.select("cell_id", "site", *axes, fine.alias("fine"))
     delegate = placed.groupBy("cell_id", "fine").agg(F.min_by(F.struct(*axes), "site").alias("p")).select("cell_id", "fine", "p.*")
-    from_cell = delegate.select("cell_id", "fine", *axes)
-    to_cell = delegate.select(F.col("cell_id").alias("o_cell"), F.col("fine").alias("o_fine"), *[F.col(a).alias(f"o{a}") for a in axes])
+    to_cell = delegate.select(F.col("cell_id").alias("o_cell"), F.col("fine").alias("o_fine"), *as_other)
     slack = 2 * edge / FINE * math.sqrt(dims)
-    reachable = (
-        pairs.join(from_cell, "cell_id").join(to_cell, "o_cell")
-        .withColumn("linked", close("", "o"))
+    reachable = cut(
+        pairs.join(delegate, "cell_id").join(to_cell, "o_cell")
         .where(_gap_sq("", "o", axes) <= (eps + slack) ** 2)
+        .select("cell_id", "fine", "o_cell", "o_fine", close("", "o").alias("linked"))
     )
     sure = reachable.where("linked").select("cell_id", "o_cell").distinct()
-    unsure = reachable.select("cell_id", "fine", "o_cell", "o_fine").join(sure, ["cell_id", "o_cell"], "left_anti")
-    p_from = placed.select("cell_id", "fine", *axes)
-    p_to = placed.select(F.col("cell_id").alias("o_cell"), F.col("fine").alias("o_fine"), *[F.col(a).alias(f"o{a}") for a in axes])
-    checked = unsure.join(p_from, ["cell_id", "fine"]).join(p_to, ["o_cell", "o_fine"]).where(close("", "o"))
+    unsure = reachable.join(sure, ["cell_id", "o_cell"], "left_anti")
+    placed_to = placed.select(F.col("cell_id").alias("o_cell"), F.col("fine").alias("o_fine"), *as_other)
+    checked = unsure.join(placed, ["cell_id", "fine"]).join(placed_to, ["o_cell", "o_fine"]).where(close("", "o"))
     links = sure.unionByName(checked.select("cell_id", "o_cell").distinct())
 
-    label = components(links, "cell_id", "o_cell")
-    named = cell.join(label.withColumnRenamed("node", "cell_id"), "cell_id", "left").select(
-        "cell_id", F.coalesce("label", "cell_id").alias("group_id")
-    )
-    core_group = tagged.select("site", "cell_id").join(named, "cell_id").select("site", "group_id")
+    label = components(links, "cell_id", "o_cell").withColumnRenamed("node", "cell_id")
+    labelled = tagged.join(label, "cell_id", "left").select("site", "first", F.coalesce("label", "cell_id").alias("label"))
+    names = labelled.groupBy("label").agg(F.min("first").alias("group_id"))
+    core_group = labelled.join(names, "label").select("site", "group_id")
     if min_samples <= 1:
         grouped = core_group
     else:
-        edge_sites = small.join(core_group.select("site"), "site", "left_anti")
-        core_other = other.join(core_group.withColumnRenamed("site", "o_site"), "o_site")
+        core_other = tagged.join(core_group, "site").select(*by, *as_near, *as_other, "group_id")
         border = (
-            edge_sites.withColumn("n", _shifted(cells, _offsets(reach, dims, False), near_cells))
-            .select("*", "n.*").drop("n")
+            _around(small.join(tagged, "site", "left_anti"), cells, near_cells, reach)
             .join(core_other, [*by, *near_cells])
             .where(close("", "o"))
             .groupBy("site")

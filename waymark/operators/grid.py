@@ -57,7 +57,7 @@ def first_within(points: DataFrame, targets: DataFrame, target_key: str, tol: fl
 
 
 def _around(df: DataFrame, cells: list[str]) -> DataFrame:
-    """Copy every row to the 27 cells around its own."""
+    """Copy every row to its own cell and those that touch it."""
     for c in cells:
         df = df.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
     return df
@@ -67,57 +67,64 @@ def _at_level(cells: list[str], level: str, names: list[str]) -> list[Column]:
     return [F.call_function("shiftright", F.col(c), F.col(level)).alias(n) for c, n in zip(cells, names)]
 
 
-def _spacing_km(targets: DataFrame) -> float:
+def _spacing_degrees(targets: DataFrame) -> float:
     """Typical distance between neighbouring targets, from one small aggregate."""
     row = targets.agg(
-        F.count("*").alias("n"), F.min("lat").alias("a"), F.max("lat").alias("b"), F.min("lon").alias("c"), F.max("lon").alias("d")
+        F.count("*").alias("n"), F.min("_tlat").alias("a"), F.max("_tlat").alias("b"), F.min("_tlon").alias("c"), F.max("_tlon").alias("d")
     ).first()
     if not row["n"] or row["n"] < 2:
-        return 1.0
-    km = math.radians(1) * geo.EARTH_KM
-    area = max((row["b"] - row["a"]) * km, 0.01) * max((row["d"] - row["c"]) * km, 0.01)
-    return max(math.sqrt(area / row["n"]), 0.001)
+        return 0.01
+    area = max(row["b"] - row["a"], 1e-4) * max(row["d"] - row["c"], 1e-4)
+    return max(math.sqrt(area / row["n"]), 1e-5)
 
 
-def nearest(points: DataFrame, point_key: str, targets: DataFrame, target_key: str) -> DataFrame:
-    """The nearest target of every point by great-circle distance: (point_key, target_key, km), ties by lowest key.
+def nearest(
+    points: DataFrame, point_key: str, targets: DataFrame, target_key: str, by: list[str] | None = None, planar: bool = False
+) -> DataFrame:
+    """The nearest target of every point: (by..., point_key, target_key, km), ties by lowest target key.
 
-    Works on cells of a sphere, so neither poles nor the date line need care. The cell size doubles per level.
-    For every occupied point cell the lowest level is found at which the 27 cells around it hold any target; the
-    nearest target then lies within the 27 cells two levels higher, because 2 * sqrt(3) cell edges are less than four.
+    Distance is great-circle ``km``, or with ``planar`` straight ``degrees``; ``by`` restricts the search to targets
+    of the same group. Cells lie on a sphere, so neither poles nor the date line need care, and double per level.
+    For every occupied point cell the lowest level is found at which the cells around it hold any target; the nearest
+    target then lies in the cells around it two levels higher, because 2 * sqrt(3) cell edges are less than four.
     Only those candidates are compared. No side is broadcast by hand and no row meets all targets.
     The targets and the level per point cell are written once, because both are read several times.
     """
-    t0 = cut(targets.select(F.col(target_key).alias("_t"), F.col("lat").alias("_tlat"), F.col("lon").alias("_tlon")))
-    size = _spacing_km(t0.select(F.col("_tlat").alias("lat"), F.col("_tlon").alias("lon"))) / 4
-    top = max(math.ceil(math.log2(2 * geo.EARTH_KM / size)) + 1, 1)
-    cells, home, block = ["_x", "_y", "_z"], ["_hx", "_hy", "_hz"], ["_bx", "_by", "_bz"]
+    by = by or []
+    t0 = cut(targets.select(*by, F.col(target_key).alias("_t"), F.col("lat").alias("_tlat"), F.col("lon").alias("_tlon")))
+    degrees = _spacing_degrees(t0) / 4
+    size = degrees if planar else math.radians(degrees) * geo.EARTH_KM
+    top = max(math.ceil(math.log2((720 if planar else 2 * geo.EARTH_KM) / size)) + 1, 1)
+    dims = "xy" if planar else "xyz"
+    cells, home, block = ([f"_{kind}{d}" for d in dims] for kind in "chb")
 
     def home_cells(df: DataFrame, lat: str, lon: str) -> DataFrame:
-        return df.withColumns({n: F.floor(c / size) for n, c in zip(home, geo.unit_xyz(lat, lon))})
+        axes = [F.col(lat), F.col(lon)] if planar else geo.unit_xyz(lat, lon)
+        return df.withColumns({n: F.floor(c / size) for n, c in zip(home, axes)})
 
     def on_levels(df: DataFrame, *keep: str) -> DataFrame:
         leveled = df.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(top + 2))))
-        return leveled.select(*keep, "_level", *_at_level(home, "_level", cells))
+        return leveled.select(*by, *keep, "_level", *_at_level(home, "_level", cells))
 
-    p = home_cells(points.select(point_key, "lat", "lon"), "lat", "lon")
+    p = home_cells(points.select(*by, point_key, "lat", "lon"), "lat", "lon")
     t = on_levels(home_cells(t0, "_tlat", "_tlon"), "_t", "_tlat", "_tlon")
-    occupied = _around(t.select("_level", *cells).distinct(), cells)
+    occupied = _around(t.select(*by, "_level", *cells).distinct(), cells)
     found = cut(
-        on_levels(p.select(*home).distinct(), *home)
+        on_levels(p.select(*by, *home).distinct(), *home)
         .where(F.col("_level") <= top)
-        .join(occupied, ["_level", *cells], "left_semi")
-        .groupBy(*home)
+        .join(occupied, [*by, "_level", *cells], "left_semi")
+        .groupBy(*by, *home)
         .agg((F.min("_level") + 2).alias("_level"))
     )
-    blocks = found.select("_level", *_at_level(home, "_level", block)).distinct()
+    blocks = found.select(*by, "_level", *_at_level(home, "_level", block)).distinct()
     wanted = _around(blocks.select("*", *[F.col(b).alias(c) for b, c in zip(block, cells)]), cells)
-    candidates = t.join(wanted, ["_level", *cells]).select("_level", *block, "_t", "_tlat", "_tlon")
-    placed = p.join(found, home).select(point_key, "lat", "lon", "_level", *_at_level(home, "_level", block))
-    km = geo.arc_km("lat", "lon", "_tlat", "_tlon")
+    candidates = t.join(wanted, [*by, "_level", *cells]).select(*by, "_level", *block, "_t", "_tlat", "_tlon")
+    placed = p.join(found, [*by, *home]).select(*by, point_key, "lat", "lon", "_level", *_at_level(home, "_level", block))
+    gap = geo.degree_distance if planar else geo.arc_km
+    name = "degrees" if planar else "km"
     best = (
-        placed.join(candidates, ["_level", *block])
-        .groupBy(point_key)
-        .agg(F.min(F.struct(km.alias("km"), F.col("_t").alias("t"))).alias("best"))
+        placed.join(candidates, [*by, "_level", *block])
+        .groupBy(*by, point_key)
+        .agg(F.min(F.struct(gap("lat", "lon", "_tlat", "_tlon").alias("gap"), F.col("_t").alias("t"))).alias("best"))
     )
-    return best.select(point_key, F.col("best.t").alias(target_key), F.col("best.km").alias("km"))
+    return best.select(*by, point_key, F.col("best.t").alias(target_key), F.col("best.gap").alias(name))

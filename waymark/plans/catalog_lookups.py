@@ -166,13 +166,12 @@ def _(t):
 
 @register(
     "j16_missing_clusters",
-    """select distinct preset_id, cluster_id from preset_locations join location_clusters using (location_id) where not is_warehouse
- and cluster_id not in (select cluster_id from security_checkpoints)""",
-    "preset_locations location_clusters security_checkpoints",
+    "select location_id as run_id, cluster_id from location_clusters l where not exists (select 1 from route_stops r where r.run_id = l.location_id and r.cluster_id = l.cluster_id)",
+    "location_clusters route_stops",
 )
 def _(t):
-    required = lookups.required_clusters(t.preset_locations, t.location_clusters)
-    return lookups.missing(required, t.security_checkpoints, ["cluster_id"]).select("preset_id", "cluster_id")
+    required = t.location_clusters.withColumnRenamed("location_id", "run_id")
+    return lookups.missing(required, t.route_stops, ["run_id", "cluster_id"]).select("run_id", "cluster_id")
 
 
 @register(

@@ -81,24 +81,20 @@ def _(t):
 _BOX = "on l.lat between p.pickup_lat - 3e-3 and p.pickup_lat + 3e-3 and l.lon between p.pickup_lon - 3e-3 and p.pickup_lon + 3e-3"
 
 
-@register(
-    "a7_common_section",
-    f"""select pair_id, section, subsection from (select *, row_number() over (partition by pair_id order by total desc, section, (subsection is null), n desc, subsection) as r from (
+SECTIONS = f"""select pair_id, section, subsection from (select *, row_number() over (partition by pair_id order by total desc, section, (subsection is null), n desc, subsection) as r from (
  select pair_id, section, subsection, count(*) as n, sum(count(*)) over (partition by pair_id, section) as total from dynamic_pairs p join (
   select lat, lon, coalesce(nullif(upper(regexp_extract(street, '(?i)([A-Z]+[0-9]+)[/\\\\]([0-9]+)[A-Z]?', 1)), ''), nullif(upper(regexp_extract(street, '(?i)([A-Z]+[0-9]+)[^0-9]*$', 1)), '')) as section,
-   nullif(regexp_extract(street, '(?i)([A-Z]+[0-9]+)[/\\\\]([0-9]+)[A-Z]?', 2), '') as subsection from locations where street <> '') l {_BOX} where section is not null group by 1, 2, 3)) where r = 1""",
-    "locations dynamic_pairs",
-)
+   nullif(regexp_extract(street, '(?i)([A-Z]+[0-9]+)[/\\\\]([0-9]+)[A-Z]?', 2), '') as subsection from locations where street <> '') l {_BOX} where section is not null group by 1, 2, 3)) where r = 1"""
+AREAS = f"""select pair_id, neighborhood from (select *, row_number() over (partition by pair_id order by n desc, neighborhood) as r from (
+ select pair_id, neighborhood, count(*) as n from dynamic_pairs p join locations l {_BOX} where street <> '' and neighborhood <> '' group by 1, 2)) where r = 1"""
+
+
+@register("a7_common_section", SECTIONS, "locations dynamic_pairs")
 def _(t):
     return reports.common_section_nearby(pickups(t), "pair_id", t.locations)
 
 
-@register(
-    "a8_common_neighborhood",
-    f"""select pair_id, neighborhood from (select *, row_number() over (partition by pair_id order by n desc, neighborhood) as r from (
- select pair_id, neighborhood, count(*) as n from dynamic_pairs p join locations l {_BOX} where street <> '' and neighborhood <> '' group by 1, 2)) where r = 1""",
-    "locations dynamic_pairs",
-)
+@register("a8_common_neighborhood", AREAS, "locations dynamic_pairs")
 def _(t):
     return reports.common_neighborhood_nearby(pickups(t), "pair_id", t.locations)
 
@@ -393,9 +389,14 @@ def _(t):
     return t.location_clusters.select("cluster_id").distinct()
 
 
-@register("u2_required_minus_covered", "select cluster_id from clusters except select cluster_id from security_checkpoints", "clusters security_checkpoints")
+@register(
+    "u2_required_minus_covered",
+    "select location_id as run_id, cluster_id from location_clusters except select run_id, cluster_id from route_stops",
+    "location_clusters route_stops",
+)
 def _(t):
-    return t.clusters.select("cluster_id").subtract(t.security_checkpoints.select("cluster_id"))
+    required = t.location_clusters.select(F.col("location_id").alias("run_id"), "cluster_id")
+    return required.subtract(t.route_stops.select("run_id", "cluster_id"))
 
 
 @register(
