@@ -173,8 +173,9 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> Da
     while seen["fresh"]:
         active = state.where("fresh").select("source_id", "block").distinct()
         known = state.join(active, ["source_id", "block"], "left_semi").select("source_id", "block", "node_id", "metres", "next_node")
-        used = roads.join(active, "block").select("source_id", "block", "src", "dst", "length_m", "src_block")
-        settled = known.groupBy("source_id", "block").cogroup(used.groupBy("source_id", "block")).applyInPandas(
+        to = active.select(F.col("source_id").alias("to_source"), F.col("block").alias("to_block"))
+        used = roads.withColumnRenamed("block", "to_block").join(to, "to_block").select("to_source", "to_block", "src", "dst", "length_m", "src_block")
+        settled = known.groupBy("source_id", "block").cogroup(used.groupBy("to_source", "to_block")).applyInPandas(
             _relax, "source_id bigint, node_id bigint, metres double, next_node bigint, offered boolean"
         )
         old = state.select("source_id", "node_id", "metres", "next_node", F.lit(False).alias("offered"), F.col("metres").alias("before"))
