@@ -35,6 +35,16 @@ def running_sum(df: DataFrame, by: list[str], seq: str, value: Column, out: str,
     return summed.drop("_block", "_offset", "_value")
 
 
+def running_min(df: DataFrame, by: list[str], seq: str, value: Column, out: str, block: int = 1_000) -> DataFrame:
+    """Smallest ``value`` of the rows before each row of a group (null for the first), in the order of ``seq``."""
+    cut = df.withColumn("_value", value).withColumn("_block", F.floor(F.col(seq) / block))
+    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy(*by, "_block").agg(F.min("_value").alias("_least")).withColumn("_earlier", F.min("_least").over(before)).drop("_least")
+    inside = Window.partitionBy(*by, "_block").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    joined = cut.join(totals, [*by, "_block"]).withColumn("_here", F.min("_value").over(inside))
+    return joined.withColumn(out, F.least("_earlier", "_here")).drop("_block", "_value", "_earlier", "_here")
+
+
 def consecutive(stops: DataFrame, by: list[str], seq: str, *columns: str) -> DataFrame:
     """Each stop with the next one of its route, as an equi join on (route, seq): no task holds a whole route.
 
