@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from waymark.functions import geo
 from waymark.operators import ranks
-from waymark.session import cut, cut_and_measure
+from waymark.session import cut, cut_and_measure, spread
 
 BLOCK = 200  # nearest stops that one step of a tour looks at; results do not depend on it
 EXACT_NODES = 15  # fixed limit of the exact tour
@@ -103,7 +103,7 @@ def nearest_tours(depots: DataFrame, stops: DataFrame, vehicles: str | None = No
         return taken.select("instance_id", vehicle.alias("vehicle"), (F.col("pos") - vehicle * F.col("share") + 1).alias("seq"), "stop_id", "km")
 
     if largest <= block:
-        grouped = points.groupBy("instance_id").agg(F.collect_list(entry).alias("left")).join(plan, "instance_id")
+        grouped = spread(points, "instance_id").groupBy("instance_id").agg(F.collect_list(entry).alias("left")).join(plan, "instance_id")
         end = _walk(F.col("left"), depot, depot, F.lit(None).cast("double"), F.lit(0).cast("bigint"), F.col("share"))
         out = grouped.select("instance_id", "share", F.explode(end["out"]).alias("o")).select("instance_id", "share", "o.*")
         vehicle = F.floor(F.col("pos") / F.col("share"))
@@ -232,7 +232,7 @@ def covering_tours(depots: DataFrame, served: DataFrame, vehicles: str | None =
         team = cars.groupBy("instance_id").agg(F.sort_array(F.collect_list(F.struct(
             "vehicle", F.col("a_lat").alias("lat"), F.col("a_lon").alias("lon"), "a_lat", "a_lon", "reach"
         ))).alias("cars"))
-        grouped = near.groupBy("instance_id").agg(F.collect_list(F.struct("stop_id", "lat", "lon", "clusters")).alias("left")).join(team, "instance_id")
+        grouped = spread(near, "instance_id").groupBy("instance_id").agg(F.collect_list(F.struct("stop_id", "lat", "lon", "clusters")).alias("left")).join(team, "instance_id")
         end = grouped.select("instance_id", _cover(F.col("left"), F.col("cars")).alias("e"))
         if whole:
             rows = end.select("instance_id", F.posexplode("e.out").alias("step", "o")).select("instance_id", "step", "o.*")
@@ -291,52 +291,68 @@ def two_opt(paths: DataFrame, block: int = TWO_OPT_BLOCK) -> DataFrame:
         slot = F.floor((F.col("seq") + shift) / block)
         ends = F.array_distinct(F.array(slot, F.floor((F.col("seq") + shift - 1) / block)))
         keyed = rows.withColumn("slot", F.explode(F.when(F.col("seq") > 0, ends).otherwise(F.array(slot))))
-        packed = keyed.groupBy("route_id", "slot").agg(F.sort_array(F.collect_list(F.struct("seq", "node_id", "lat", "lon"))).alias("p"))
+        packed = spread(keyed, "route_id", "slot").groupBy("route_id", "slot").agg(F.sort_array(F.collect_list(F.struct("seq", "node_id", "lat", "lon"))).alias("p"))
         ordered = packed.withColumn("order", _untangled("p.lat", "p.lon"))
         moved = ordered.select("route_id", "p", F.posexplode("order").alias("k", "was"))
         return moved.select(
             "route_id", (F.get("p", F.lit(0))["seq"] + F.col("k")).alias("seq"), *[F.get("p", F.col("was"))[c].alias(c) for c in ("node_id", "lat", "lon")]
         ).distinct()
 
+    paths = cut(paths.select("route_id", F.col("seq").cast("bigint").alias("seq"), "node_id", "lat", "lon"))
     longest = paths.agg(F.max("seq")).first()[0] or 0
-    rows = improve(paths.select("route_id", F.col("seq").cast("bigint").alias("seq"), "node_id", "lat", "lon"), 0)
+    rows = improve(paths, 0)
     return rows if longest <= block else improve(cut(rows), block // 2)
 
 
+def _best_orders(km: np.ndarray, early: np.ndarray, late: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order and length of the shortest way from the first to the last node over all others, for a stack of matrices.
+
+    Dynamic programming over subsets, one subset size at a time for the whole stack. ``early`` and ``late`` are
+    positions of which the first must come before the second (-1: no condition).
+    """
+    b, n = len(km), km.shape[1] - 2
+    inner, stack = km[:, 1:-1, 1:-1], np.arange(b)
+    best = np.full((b, 1 << n, n), np.inf)
+    via = np.zeros((b, 1 << n, n), dtype=np.int8)
+    for j in range(n):
+        best[:, 1 << j, j] = np.where((late == j) & (early >= 0), np.inf, km[:, 0, j + 1])
+    masks = np.arange(1 << n)
+    sizes = sum((masks >> j) & 1 for j in range(n))
+    for size in range(1, n):
+        level = masks[sizes == size]
+        here = best[:, level, :]
+        cost, source = np.full(here.shape, np.inf), np.zeros(here.shape, dtype=np.int8)
+        for k in range(n):
+            offer = here[:, :, k, None] + inner[:, k][:, None, :]
+            source[offer < cost] = k
+            np.minimum(cost, offer, out=cost)
+        for j in range(n):
+            free = (level >> j) & 1 == 0
+            value = cost[:, free, j]
+            barred = ((late == j) & (early >= 0))[:, None] & ((level[free][None, :] >> np.maximum(early, 0)[:, None]) & 1 == 0)
+            best[:, level[free] | 1 << j, j] = np.where(barred, np.inf, value)
+            via[:, level[free] | 1 << j, j] = source[:, free, j]
+    total = best[:, -1, :] + km[:, 1:-1, -1]
+    last, length = total.argmin(axis=1), total.min(axis=1)
+    order, mask = [last], np.full(b, (1 << n) - 1)
+    for _ in range(n - 1):
+        mask, last = mask ^ (1 << last), via[stack, mask, last].astype(int)
+        order.append(last)
+    return np.array(order)[::-1].T, length
+
+
 def _subset_tours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Shortest orders by dynamic programming over subsets, for all rows of one size together."""
+    """Shortest orders of the rows of each batch, rows of one size together."""
     for batch in batches:
         for n, same in batch.groupby(batch["ids"].map(len)):
-            for first in range(0, len(same), 32):
-                part = same.iloc[first : first + 32]
+            height = max(1, min(256, 2_000_000 // ((1 << n) * n)))
+            for first in range(0, len(same), height):
+                part = same.iloc[first : first + height]
                 lat = np.array([[a, *m, b] for a, m, b in zip(part["s_lat"], part["lat"], part["e_lat"])])
                 lon = np.array([[a, *m, b] for a, m, b in zip(part["s_lon"], part["lon"], part["e_lon"])])
-                km, b = _km_matrix(lat, lon), np.arange(len(part))
-                best, via = np.full((len(part), 1 << n, n), np.inf), np.zeros((len(part), 1 << n, n), dtype=np.int8)
-                for j in range(n):
-                    best[:, 1 << j, j] = km[:, 0, j + 1]
-                late, early = part["dropoff"].to_numpy(), part["pickup"].to_numpy()
-                for j in range(n):
-                    best[late == j, 1 << j, j] = np.inf
-                inner = km[:, 1 : n + 1, 1 : n + 1]
-                for mask in range(1, (1 << n) - 1):
-                    step = best[:, mask, :, None] + inner
-                    source, cost = step.argmin(axis=1), step.min(axis=1)
-                    for j in range(n):
-                        if not mask >> j & 1:
-                            barred = (late == j) & (early >= 0) & ((mask >> np.maximum(early, 0)) & 1 == 0)
-                            best[:, mask | 1 << j, j] = np.where(barred, np.inf, cost[:, j])
-                            via[:, mask | 1 << j, j] = source[:, j]
-                total = best[:, (1 << n) - 1, :] + km[:, 1 : n + 1, n + 1]
-                last, length = total.argmin(axis=1), total.min(axis=1)
-                order, mask = [last], np.full(len(part), (1 << n) - 1)
-                for _ in range(n - 1):
-                    previous = via[b, mask, last].astype(int)
-                    mask, last = mask ^ (1 << last), previous
-                    order.append(last)
-                picks = np.array(order)[::-1].T
-                ids = [np.asarray(i)[p].tolist() for i, p in zip(part["ids"], picks)]
-                yield pd.DataFrame({"instance_id": part["instance_id"].to_numpy(), "ids": ids, "km": length})
+                order, km = _best_orders(_km_matrix(lat, lon), part["pickup"].to_numpy(), part["dropoff"].to_numpy())
+                ids = [np.asarray(i)[o].tolist() for i, o in zip(part["ids"], order)]
+                yield pd.DataFrame({"instance_id": part["instance_id"].to_numpy(), "ids": ids, "km": km})
 
 
 def exact_orders(instances: DataFrame) -> DataFrame:
@@ -353,7 +369,7 @@ def exact_tours(depots: DataFrame, stops: DataFrame) -> tuple[DataFrame, DataFra
     """(shortest closed tours as rows instance_id, ids, km; error rows of instances with more than 15 stops)."""
     sizes = stops.groupBy("instance_id").agg(F.count("*").alias("n"))
     small = stops.join(sizes.where(F.col("n") <= EXACT_NODES), "instance_id", "left_semi")
-    packed = small.groupBy("instance_id").agg(F.sort_array(F.collect_list(F.struct("stop_id", "lat", "lon"))).alias("p"))
+    packed = spread(small, "instance_id").groupBy("instance_id").agg(F.sort_array(F.collect_list(F.struct("stop_id", "lat", "lon"))).alias("p"))
     instances = packed.join(depots.select("instance_id", F.col("lat").alias("d_lat"), F.col("lon").alias("d_lon")), "instance_id").select(
         "instance_id", F.col("d_lat").alias("s_lat"), F.col("d_lon").alias("s_lon"), F.col("d_lat").alias("e_lat"), F.col("d_lon").alias("e_lon"),
         F.col("p.stop_id").alias("ids"), F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"), F.lit(-1).alias("pickup"), F.lit(-1).alias("dropoff"),
@@ -370,6 +386,7 @@ def exact_tours(depots: DataFrame, stops: DataFrame) -> tuple[DataFrame, DataFra
 def closed_paths(depots: DataFrame, stops: DataFrame, tours: DataFrame) -> DataFrame:
     """Tours as paths with the depot at both ends: route_id (instance:vehicle), seq from 0, node_id (null: depot)."""
     route = F.concat_ws(":", F.col("instance_id").cast("string"), F.col("vehicle").cast("string"))
+    tours = cut(tours)
     middle = tours.join(stops.select("instance_id", "stop_id", "lat", "lon"), ["instance_id", "stop_id"]).select(
         "instance_id", route.alias("route_id"), "seq", F.col("stop_id").alias("node_id"), "lat", "lon"
     )

@@ -41,6 +41,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return fallback
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitions by key in the number that the session sets for shuffles.
+
+    For steps that cost much time per row: the rows are few bytes, so adaptive execution would merge them into few
+    tasks. A following grouping by the same keys uses these partitions without another shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back: ends the lineage, and survives the loss of an executor."""
     path = f"{scratch_dir(df.sparkSession)}/waymark-{uuid.uuid4().hex}"
