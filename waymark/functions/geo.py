@@ -62,7 +62,8 @@ def arc_km(lat1, lon1, lat2, lon2) -> Column:
 def _arc_km(p1: Column, l1: Column, p2: Column, l2: Column) -> Column:
     half_lat, half_lon = F.sin((p2 - p1) / 2), F.sin((l2 - l1) / 2)
     h = half_lat * half_lat + F.cos(p1) * F.cos(p2) * (half_lon * half_lon)
-    return F.asin(F.sqrt(F.least(h, F.lit(1.0)))) * (2 * EARTH_KM)
+    within = F.when(h > 1, 1.0).otherwise(h)  # least() would turn a null into 1
+    return F.asin(F.sqrt(within)) * (2 * EARTH_KM)
 
 
 def degree_distance_sq(lat1, lon1, lat2, lon2) -> Column:
