@@ -20,7 +20,7 @@ def hull(points):
 
 
 def test_hulls_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(hulls, "BLOCKS", (7, 50))
+    monkeypatch.setattr(hulls, "BLOCK", 4)
     rows = [(i % 3, i, a, b) for i, a, b in scatter(120, 11)] + [(9, 500, 1.0, 2.0), (9, 501, 1.0, 2.0), (8, 600, 1.0, 1.0), (8, 601, 2.0, 2.0), (8, 602, 3.0, 3.0)]
     df = spark.createDataFrame(rows, "c bigint, id bigint, lat double, lon double")
     got = {r["c"]: [(p["x"], p["y"]) for p in r["ring"]] for r in hulls.convex_hulls(df, "c", "id").collect()}
@@ -71,9 +71,10 @@ def grid_roads(spark, n=14, seed=5):
     )
 
 
-@pytest.mark.parametrize("block", [0.05, 0.01])
-def test_shortest_paths(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, hub", [(0.02, 1000), (0.02, 3)])
+def test_shortest_paths(spark, monkeypatch, block, hub):
     monkeypatch.setattr(roads, "BLOCK_DEGREES", block)
+    monkeypatch.setattr(roads, "HUB_EDGES", hub)
     nodes, edges, n, e = grid_roads(spark)
     goals = spark.createDataFrame([(1, 0), (2, 100)], "source_id bigint, node_id bigint")
     paths = roads.shortest_paths(n, e, goals)

@@ -92,7 +92,7 @@ def nearest(
     """
     by = by or []
     t0 = cut(targets.select(*by, F.col(target_key).alias("_t"), F.col("lat").alias("_tlat"), F.col("lon").alias("_tlon")))
-    degrees = _spacing_degrees(t0) / 4
+    degrees = _spacing_degrees(t0) / 2
     size = degrees if planar else math.radians(degrees) * geo.EARTH_KM
     top = max(math.ceil(math.log2((720 if planar else 2 * geo.EARTH_KM) / size)) + 1, 1)
     dims = "xy" if planar else "xyz"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCKS = (1_000, 1_000_000)  # keys per block of the first and second reduction
+BLOCK = 1_000  # points, or blocks of the step before, that one reduction takes together
 
 
 def _turn(a: Column, b: Column, c: Column) -> Column:
@@ -41,17 +41,20 @@ def hull_ring(points: Column) -> Column:
 def convex_hulls(points: DataFrame, by: str, key: str) -> DataFrame:
     """(by, ring): hull of the points of every group.
 
-    Each block of keys is reduced to its own hull first, then blocks of blocks, so the last step sees only corner
-    points, however many points a group has.
+    The points of a group are spread over blocks of about 1,000 by hash; each block is reduced to its own hull, then
+    blocks of blocks, so the last step sees only corner points, however many points a group has.
     """
-    corner = points.select(by, F.struct(F.col("lon").alias("x"), F.col("lat").alias("y")).alias("p"), F.col(key).alias("k"))
+    parts = points.groupBy(by).agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    corner = points.select(by, F.struct(F.col("lon").alias("x"), F.col("lat").alias("y")).alias("p"), F.xxhash64(key).alias("block"))
+    corner = corner.join(parts, by)
 
-    def hulls(df: DataFrame, *keys) -> DataFrame:
+    def hulls(df: DataFrame, *keys: str) -> DataFrame:
         return df.groupBy(by, *keys).agg(hull_ring(F.sort_array(F.collect_set("p"))).alias("ring"))
 
-    for width in BLOCKS:
-        block = F.floor(F.col("k") / width).alias("block")
-        corner = hulls(corner, block).select(by, F.explode("ring").alias("p"), (F.col("block") * width).alias("k"))
+    for _ in range(2):
+        spread = corner.withColumn("block", F.pmod("block", F.col("parts")))
+        reduced = hulls(spread, "parts", "block").select(by, "parts", "block", F.explode("ring").alias("p"))
+        corner = reduced.withColumn("parts", F.ceil(F.col("parts") / BLOCK))
     return hulls(corner)
 
 

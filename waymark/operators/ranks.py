@@ -14,12 +14,17 @@ def _block_offsets(blocks: DataFrame, by: list[str], value: str) -> DataFrame:
 def position(df: DataFrame, by: list[str], key: str, out: str, block: int = 10_000) -> DataFrame:
     """1-based position of every row in its group by a unique integer key.
 
-    The rows of a group are cut into blocks of key values, so no task sorts more than one block of a group.
+    The key range of a group is cut into blocks of about ``block`` keys, dense or hashed keys alike, so no task sorts
+    more than a block of a group.
     """
     group = by or ["_all"]
     if not by:
         df = df.withColumn("_all", F.lit(0))
-    cut = df.withColumn("_block", F.floor(F.col(key) / block))
+    number = F.col(key).cast("double")
+    span = df.groupBy(*group).agg(
+        F.min(number).alias("_low"), (F.max(number) - F.min(number) + 1).alias("_span"), F.ceil(F.count("*") / block).alias("_parts")
+    )
+    cut = df.join(span, group).withColumn("_block", F.floor((number - F.col("_low")) / F.col("_span") * F.col("_parts"))).drop("_low", "_span", "_parts")
     totals = _block_offsets(cut.groupBy(*group, "_block").agg(F.count("*").alias("_n")), group, "_n").drop("_n")
     inside = Window.partitionBy(*group, "_block").orderBy(key)
     ranked = cut.join(totals, [*group, "_block"]).withColumn(out, F.row_number().over(inside) + F.col("_offset"))

@@ -21,7 +21,7 @@ from waymark.session import cut, cut_and_measure
 AREA_DEGREES, NETWORK_METRES, CENTER_METRES, MERGE_METRES = 0.002, 300, 450, 50
 DETECTED, BARRIER, NEAREST_ROAD, FALLBACK = 0.7, 1.0, 0.5, 0.3
 METHODS = ["articulation_point", "highway_transition", "barrier"]
-BLOCK_DEGREES, BLOCK_NODES = 0.05, 2_000
+BLOCK_DEGREES, BLOCK_NODES, HUB_EDGES = 0.05, 2_000, 1_000
 
 
 def _scope(df: DataFrame) -> list[str]:
@@ -156,35 +156,48 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> Da
 
     The graph is cut into blocks of neighbouring nodes, at most about 2,000 each. A round settles all blocks that
     received a better offer, each in one task, and sends offers over the block borders; it takes as many rounds as a
-    path crosses borders, not one per edge. Every round is written, so a lost executor costs one round.
+    path crosses borders, not one per edge. Nodes with very many edges take no part in a block's task: their offers
+    are a join. Every round is written, so a lost executor costs one round.
     """
     cell = F.struct(*[F.floor(F.col(c) / BLOCK_DEGREES).alias(c) for c in ("lat", "lon")])
     celled = nodes.select("node_id", cell.alias("cell"))
     crowd = celled.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_NODES).alias("parts"))
     part = F.pmod(F.xxhash64("node_id"), F.col("parts"))
-    blocks = cut(celled.join(crowd, "cell").select("node_id", F.xxhash64("cell", part).alias("block")))
-    roads = cut(
+    degree = edges.groupBy(F.col("dst").alias("node_id")).agg((F.count("*") > HUB_EDGES).alias("hub"))
+    blocks = cut(
+        celled.join(crowd, "cell").join(degree, "node_id", "left")
+        .select("node_id", F.xxhash64("cell", part).alias("block"), F.coalesce("hub", F.lit(False)).alias("hub"))
+    )
+    roads, seen = cut_and_measure(
         edges.select("src", "dst", "length_m")
-        .join(blocks.select(F.col("node_id").alias("dst"), "block"), "dst")
-        .join(blocks.select(F.col("node_id").alias("src"), F.col("block").alias("src_block")), "src")
+        .join(blocks.select(F.col("node_id").alias("dst"), F.col("block").alias("to_block"), "hub"), "dst")
+        .join(blocks.select(F.col("node_id").alias("src"), F.col("block").alias("src_block")), "src"),
+        hubs=F.count_if(F.col("hub")),
     )
-    start = sources.select("source_id", "node_id", F.lit(0.0).alias("metres"), F.lit(None).cast("bigint").alias("next_node"), F.lit(True).alias("fresh"))
-    state, seen = cut_and_measure(start.join(blocks, "node_id").select(*start.columns, "block"), fresh=F.count_if(F.col("fresh")))
-    while seen["fresh"]:
+    has_hubs = seen["hubs"] > 0
+    start = sources.select("source_id", "node_id", F.lit(0.0).alias("metres"), F.lit(None).cast("bigint").alias("next_node"), F.lit(True).alias("fresh"), F.lit(True).alias("moved"))
+    columns = [*start.columns, "block", "hub"]
+    state, seen = cut_and_measure(start.join(blocks, "node_id").select(columns), open=F.count_if(F.col("fresh")))
+    while seen["open"]:
         active = state.where("fresh").select("source_id", "block").distinct()
         known = state.join(active, ["source_id", "block"], "left_semi").select("source_id", "block", "node_id", "metres", "next_node")
         to = active.select(F.col("source_id").alias("to_source"), F.col("block").alias("to_block"))
-        used = roads.withColumnRenamed("block", "to_block").join(to, "to_block").select("to_source", "to_block", "src", "dst", "length_m", "src_block")
-        settled = known.groupBy("source_id", "block").cogroup(used.groupBy("to_source", "to_block")).applyInPandas(
+        used = roads.where("not hub").join(to, "to_block").select("to_source", "to_block", "src", "dst", "length_m", "src_block")
+        offers = known.groupBy("source_id", "block").cogroup(used.groupBy("to_source", "to_block")).applyInPandas(
             _relax, "source_id bigint, node_id bigint, metres double, next_node bigint, offered boolean"
         )
+        if has_hubs:
+            hubs = state.where("hub and moved").select("source_id", F.col("node_id").alias("dst"), "metres")
+            offers = offers.unionByName(hubs.join(roads.where("hub"), "dst").select(
+                "source_id", F.col("src").alias("node_id"), (F.col("metres") + F.col("length_m")).alias("metres"), F.col("dst").alias("next_node"), F.lit(True).alias("offered")
+            ))
         old = state.select("source_id", "node_id", "metres", "next_node", F.lit(False).alias("offered"), F.col("metres").alias("before"))
-        merged = old.unionByName(settled.withColumn("before", F.lit(None).cast("double"))).groupBy("source_id", "node_id").agg(
+        merged = old.unionByName(offers.withColumn("before", F.lit(None).cast("double"))).groupBy("source_id", "node_id").agg(
             F.min(F.struct("metres", "offered", "next_node")).alias("b"), F.min("before").alias("before")
         )
-        better = F.col("b.offered") & (F.col("before").isNull() | (F.col("b.metres") < F.col("before")))
-        rows = merged.select("source_id", "node_id", "b.metres", "b.next_node", better.alias("fresh"))
-        state, seen = cut_and_measure(rows.join(blocks, "node_id").select(*start.columns, "block"), fresh=F.count_if(F.col("fresh")))
+        moved = F.col("before").isNull() | (F.col("b.metres") < F.col("before"))
+        rows = merged.select("source_id", "node_id", "b.metres", "b.next_node", (moved & F.col("b.offered")).alias("fresh"), moved.alias("moved"))
+        state, seen = cut_and_measure(rows.join(blocks, "node_id").select(columns), open=F.count_if(F.col("fresh") | (F.col("hub") & F.col("moved"))))
     return state.select("source_id", "node_id", "metres", "next_node")
 
 

@@ -50,10 +50,24 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this process wrote; call it once their results are stored."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    count = len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return count
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back: ends the lineage, and survives the loss of an executor."""
     path = f"{scratch_dir(df.sparkSession)}/waymark-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
