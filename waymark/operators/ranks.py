@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+MOST_BLOCKS = 100_000  # the block totals of a group fit one task
+
+
 def _block_offsets(blocks: DataFrame, by: list[str], value: str) -> DataFrame:
     before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     return blocks.withColumn("_offset", F.coalesce(F.sum(value).over(before), F.lit(0)))
@@ -17,18 +20,20 @@ def position(df: DataFrame, by: list[str], key: str, out: str, block: int = 10_0
     The key range of a group is cut into blocks of about ``block`` keys, dense or hashed keys alike, so no task sorts
     more than a block of a group.
     """
-    group = by or ["_all"]
-    if not by:
-        df = df.withColumn("_all", F.lit(0))
     number = F.col(key).cast("double")
-    span = df.groupBy(*group).agg(
-        F.min(number).alias("_low"), (F.max(number) - F.min(number) + 1).alias("_span"), F.ceil(F.count("*") / block).alias("_parts")
-    )
-    cut = df.join(span, group).withColumn("_block", F.floor((number - F.col("_low")) / F.col("_span") * F.col("_parts"))).drop("_low", "_span", "_parts")
-    totals = _block_offsets(cut.groupBy(*group, "_block").agg(F.count("*").alias("_n")), group, "_n").drop("_n")
-    inside = Window.partitionBy(*group, "_block").orderBy(key)
-    ranked = cut.join(totals, [*group, "_block"]).withColumn(out, F.row_number().over(inside) + F.col("_offset"))
-    return ranked.drop("_block", "_offset", "_all")
+    low, high, n = F.min(number).alias("_low"), F.max(number).alias("_high"), F.count("*").alias("_n")
+    if by:
+        ranged = df.join(df.groupBy(*by).agg(low, high, n), by)
+        low, high, n = F.col("_low"), F.col("_high"), F.col("_n")
+    else:
+        whole = df.agg(low, high, n).first()
+        ranged, low, high, n = df, F.lit(whole["_low"] or 0.0), F.lit(whole["_high"] or 0.0), F.lit(whole["_n"])
+    parts = F.least(F.ceil(n / block), F.lit(MOST_BLOCKS))
+    cut = ranged.withColumn("_block", F.floor((number - low) / (high - low + 1) * parts)).drop("_low", "_high", "_n")
+    totals = _block_offsets(cut.groupBy(*by, "_block").agg(F.count("*").alias("_n")), by, "_n").drop("_n")
+    inside = Window.partitionBy(*by, "_block").orderBy(key)
+    ranked = cut.join(totals, [*by, "_block"]).withColumn(out, F.row_number().over(inside) + F.col("_offset"))
+    return ranked.drop("_block", "_offset")
 
 
 def running_sum(df: DataFrame, by: list[str], seq: str, value: Column, out: str, block: int = 1_000) -> DataFrame:
