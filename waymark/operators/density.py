@@ -11,7 +11,7 @@ from waymark.functions import geo
 from waymark.operators.components import components
 from waymark.session import cut
 
-FINE = 8  # a cell edge is cut into this many parts for the search of linked cells
+FINE = 4  # a cell edge is cut into this many parts for the search of linked cells
 
 
 def _gap_sq(a: str, b: str, axes: list[str]) -> Column:

@@ -91,8 +91,8 @@ def nearest_tours(depots: DataFrame, stops: DataFrame, vehicles: str | None = No
     Instances of up to ``block`` stops take one pass. For larger ones each round reads the ``block`` stops nearest to
     the current position and walks on while they surely hold the next stop; the result is the same tour.
     """
-    plan = _instances(depots, stops, vehicles)
-    points = stops.select("instance_id", "stop_id", "lat", "lon")
+    points = cut(stops.select("instance_id", "stop_id", "lat", "lon"))
+    plan = _instances(depots, points, vehicles)
     largest = points.groupBy("instance_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     entry = F.struct("stop_id", "lat", "lon")
     depot = _at("d_lat", "d_lon")
@@ -109,7 +109,7 @@ def nearest_tours(depots: DataFrame, stops: DataFrame, vehicles: str | None = No
         vehicle = F.floor(F.col("pos") / F.col("share"))
         return out.select("instance_id", vehicle.alias("vehicle"), (F.col("pos") - vehicle * F.col("share") + 1).alias("seq"), "stop_id", "km")
 
-    rest = cut(points)
+    rest = points
     state = cut(plan.select("*", F.col("d_lat").alias("lat"), F.col("d_lon").alias("lon"), F.lit(0).cast("bigint").alias("taken")))
     placed = None
     while True:
@@ -207,11 +207,11 @@ def covering_tours(depots: DataFrame, served: DataFrame, vehicles: str | None =
     state = depots.select("instance_id", F.col("lat").alias("d_lat"), F.col("lon").alias("d_lon"), car).select(
         "*", F.col("d_lat").alias("lat"), F.col("d_lon").alias("lon")
     )
-    need = served.select("instance_id", "stop_id", "lat", "lon", "cluster_id").distinct()
+    need = cut(served.select("instance_id", "stop_id", "lat", "lon", "cluster_id").distinct())
     largest = need.groupBy("instance_id").agg(F.count_distinct("stop_id").alias("n")).agg(F.max("n")).first()[0] or 0
     whole = largest <= block
     if not whole:
-        need, state = cut(need), cut(state)
+        state = cut(state)
     placed, turn = None, 0
     while True:
         checkpoint = need.groupBy("instance_id", "stop_id", "lat", "lon").agg(F.collect_set("cluster_id").alias("clusters"))

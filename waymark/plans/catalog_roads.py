@@ -101,14 +101,15 @@ def _(t):
 
 @register(
     "g7_components",
-    "select node_id as node, min(other) as label from reach group by 1",
+    "select node_id as node, min(label) as label from spread group by 1",
     "road_edges",
-    """links as (select src as a, dst as b from road_edges where highway in ('service', 'living_street') union select dst, src from road_edges where highway in ('service', 'living_street')),
- reach(node_id, other) as (select a, a from links union select r.node_id, l.b from reach r join links l on l.a = r.other)""",
+    """links as (select src as a, dst as b from road_edges union select dst, src from road_edges),
+ spread(node_id, label, hop) as (select distinct a, a, 0 from links union all select node_id, min(label), hop from (
+  select node_id, label, hop + 1 as hop from spread where hop < 130 union all select l.b, s.label, hop + 1 from spread s join links l on l.a = s.node_id where hop < 130) group by node_id, hop)""",
     recursive=True,
 )
 def _(t):
-    return components.components(t.road_edges.where("highway in ('service', 'living_street')"), "src", "dst")
+    return components.components(t.road_edges, "src", "dst")
 
 
 _FLAGS = "flags as (select node_id, bool_or(highway in ('primary', 'secondary')) as main, bool_or(highway in ('residential', 'living_street')) as res, bool_or(coalesce(access = 'private', false)) as restricted from ends group by 1)"
