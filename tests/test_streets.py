@@ -77,3 +77,17 @@ def test_roads_and_distances(spark):
     rows = df.select(geo.road_level("h"), geo.is_main_road("h"), geo.haversine_km("lat", F.lit("101.0"), F.lit(3.0), F.lit(101.0))).collect()
     assert [(r[0], r[1]) for r in rows] == [(3, True), (10, False), (6, False), (9, False)]
     assert [round(r[2], 3) for r in rows] == [0.0, 0.0, 0.0, 11.119]
+
+
+def test_sql_functions_agree_with_columns(spark):
+    from waymark.functions.sql import register_functions
+
+    assert "haversine_km" in register_functions(spark)
+    df = spark.createDataFrame([(3.0, 101.0, 3.1, 101.2, "u13/29b"), (None, 101.0, 3.1, 101.2, "besar")], "a double, b double, c double, d double, s string")
+    df.createOrReplaceTempView("pairs_for_functions")
+    sql = "select round(haversine_km(a, b, c, d), 9), near_equal(a, b, c, d, 0.5D), round(degree_distance(a, b, c, d), 9), coord_key(c, d), leg_key(c, d, c, d), street_stem(s) from pairs_for_functions"
+    columns = df.select(
+        F.round(geo.haversine_km("a", "b", "c", "d"), 9), geo.near_equal("a", "b", "c", "d", 0.5), F.round(geo.degree_distance("a", "b", "c", "d"), 9),
+        geo.coord_key("c", "d"), geo.leg_key("c", "d", "c", "d"), streets.street_stem("s"),
+    )
+    assert [tuple(r) for r in spark.sql(sql).collect()] == [tuple(r) for r in columns.collect()]

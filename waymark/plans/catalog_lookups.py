@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waymark.functions import geo
-from waymark.functions.streets import street_stem, normalize_street
-from waymark.operators import lookups
+from waymark.operators import grid, lookups
 from waymark.plans import duck
 from waymark.plans.catalog_functions import _SHIFTED, shifted
 from waymark.plans.registry import register
@@ -200,9 +198,7 @@ def _(t):
     "locations road_nodes",
 )
 def _(t):
-    from waymark.operators.grid import nearest
-
-    return nearest(t.locations, "location_id", t.road_nodes, "node_id").select("location_id", "node_id", F.round("km", 6).alias("km"))
+    return grid.nearest(t.locations, "location_id", t.road_nodes, "node_id").select("location_id", "node_id", F.round("km", 6).alias("km"))
 
 
 @register(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
-from waymark.operators import lookups, ranks, reports
+from waymark.operators import lookups, ranks, reports, roads
 from waymark.plans import duck
 from waymark.plans.catalog_lookups import pickups
 from waymark.plans.registry import register
@@ -426,9 +426,7 @@ def _(t):
 
 @register("u5_neighbours", "select src as node_id, dst as neighbour_id from road_edges union select dst, src from road_edges", "road_edges")
 def _(t):
-    from waymark.operators.roads import neighbours
-
-    return neighbours(t.road_edges)
+    return roads.neighbours(t.road_edges)
 
 
 @register(

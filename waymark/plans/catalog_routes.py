@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
-from waymark.operators import lookups, reports, tours
+from waymark.operators import ranks, reports, tours
 from waymark.plans import duck, scenario
 from waymark.plans.catalog_reports import _LEGS
 from waymark.plans.registry import register
@@ -48,9 +48,7 @@ _SV = "preset_locations locations"
 )
 def _(t):
     depots, stops = static(t)
-    from waymark.operators.ranks import position
-
-    indexed = position(stops, ["instance_id"], "stop_id", "idx").select("instance_id", "idx", "lat", "lon")
+    indexed = ranks.position(stops, ["instance_id"], "stop_id", "idx").select("instance_id", "idx", "lat", "lon")
     nodes = depots.select("instance_id", F.lit(0).cast("bigint").alias("idx"), "lat", "lon").unionByName(indexed)
     metres = F.array_join(F.transform("km", lambda k: F.round(k * 1000).cast("bigint").cast("string")), ",")
     return tours.distance_matrix(nodes).select("instance_id", "i", "part", metres.alias("metres"))
