@@ -166,7 +166,7 @@ def _(t):
     return rows.withColumns({c: F.round(c, 6) for c in ("lat", "lon")})
 
 
-def _dbscan(source, key, km, k):
+def _density_sql(source, key, km, k):
     return f"""pts as (select {key} as id, lat, lon from {source}),
  near as (select a.id as a, b.id as b from pts a join pts b on abs(a.lat - b.lat) < {km} / 100 and abs(a.lon - b.lon) < {km} / 100 and {duck.hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= {km}),
  core as (select a as id from near group by 1 having count(*) >= {k}),
@@ -179,7 +179,7 @@ def _dbscan(source, key, km, k):
     "g12_density_groups",
     "select id as location_id, coalesce(grp.g, border.g, id) as group_id, coalesce(grp.g, border.g) is null as is_noise from pts left join grp using (id) left join border using (id)",
     "locations",
-    _dbscan("locations", "location_id", 0.35, 5),
+    _density_sql("locations", "location_id", 0.35, 5),
     recursive=True,
 )
 def _(t):
