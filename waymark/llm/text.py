@@ -5,7 +5,9 @@ from __future__ import annotations
 import string
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ _WORD_TABLE = bytes(
     b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)
 )
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # of a text whose A-Z are lower-cased
-ROWS = 128  # documents handled at a time inside a task
+ROWS, BYTES = 256, 1 << 21  # documents, and bytes of them, handled at a time inside a task
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -44,16 +46,27 @@ def documents(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.col("text").cast("binary").alias("body"))
 
 
-def map_slices(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], rows: int = ROWS) -> DataFrame:
+def slices(batch: pa.RecordBatch, rows: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ``rows`` rows and about ``most_bytes`` bytes of text; a longer text is a part of its own."""
+    name = next((c for c in ("body", "text") if c in batch.schema.names), None)
+    size = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False) if name else np.zeros(batch.num_rows)
+    total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    start = 0
+    while start < batch.num_rows:
+        end = int(np.searchsorted(total, total[start] + most_bytes, "right")) - 1
+        end = min(max(end, start + 1), start + rows, batch.num_rows)
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def map_slices(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], rows: int = ROWS, most_bytes: int = BYTES) -> DataFrame:
     """Row-wise Arrow job: ``make()`` runs once per task and gives the function of a slice of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = None
         for batch in batches:
             function = function or make()
-            for start in range(0, batch.num_rows, rows):
-                out = function(batch.slice(start, rows))
-                if out is not None:
-                    yield out
+            for part in slices(batch, rows, most_bytes):
+                yield function(part)
 
     return df.mapInArrow(run, schema)
