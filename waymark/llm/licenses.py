@@ -41,8 +41,8 @@ def index() -> list[tuple[str, list[tuple[str, int]], bool]]:
     return [(k, _postings(v, True), True) for k, v in BASE.items()] + [(k, _postings(v, False), False) for k, v in TEMPLATES.items()]
 
 
-def _places(hits: Column, word: str, at: int) -> Column:
-    return F.transform(F.filter(hits, lambda x: x["word"] == word), lambda x: x["pos"] - at)
+def _places(hits: Column, word: str, at: int, name: str = "word") -> Column:
+    return F.transform(F.filter(hits, lambda x: x[name] == word), lambda x: x["pos"] - at)
 
 
 def find_licenses(docs: DataFrame) -> DataFrame:
@@ -60,7 +60,8 @@ def find_licenses(docs: DataFrame) -> DataFrame:
     found = docs.select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_WORDS), F.lit(0)).alias("words"))
     placed = F.transform("words", lambda w, i: F.struct(i.cast("long").alias("pos"), w.alias("word")))
     near = F.filter(placed, lambda x: F.lower(x["word"]).isin(vocabulary))
-    exact = F.transform(near, lambda x: F.struct(x["pos"].alias("pos"), ascii_lower(x["word"]).alias("word")))
+    following = lambda x: ascii_lower(F.get("words", (x["pos"] + 1).cast("int")))
+    exact = F.transform(near, lambda x: F.struct(x["pos"].alias("pos"), ascii_lower(x["word"]).alias("word"), following(x).alias("next")))
     files = cut(found.select("doc_id", F.size("words").cast("long").alias("n_words"), exact.alias("hits")))
 
     # one row per indexed word, of a fixed list
@@ -89,6 +90,8 @@ def find_licenses(docs: DataFrame) -> DataFrame:
         for i, word in enumerate(phrase.split()):
             if word not in COMMON:
                 place[label] = F.array_intersect(place[label], _places(hits, word, first + i))
+            else:  # not indexed, but known as what follows the word before it
+                place[label] = F.array_intersect(place[label], _places(hits, word, first + i - 1, "next"))
     base = F.flatten(F.array(*[place[k] for k in BASE]))
     label = lambda names: F.array_join(F.sort_array(F.filter(F.array(*[F.when(F.size(place[k]) > 0, F.lit(k)) for k in names]), lambda x: x.isNotNull())), ",")
     labels = label([*BASE, *TEMPLATES])
