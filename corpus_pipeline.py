@@ -1,15 +1,66 @@
-"""A cleaning pipeline over ``documents``: each stage reads what the one before it kept."""
+"""A cleaning pipeline over ``documents``: each stage reads what the one before it kept.
+
+Language ID, line dedup, near duplicates, benchmark decontamination, packing. All stages but the last return the
+columns of their input; ``n_chars`` follows the text where a stage changes it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from waymark.llm import decontaminate, jaccard, language, lines, packing
+from waymark.llm.catalog import tokenizer_path
+from waymark.session import cut
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told; those without a letter, or that no language claims, go."""
+    return language.keep_known(docs, language.fit(language.training_rows(docs)))
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that three documents or more hold stay in one of them only. No document goes."""
+    found = lines.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        found = found.withColumn("n_chars", F.when(F.col("n_dropped") > 0, size).otherwise(F.col("n_chars")))
+    return found.select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose sets of five-word shingles are linked by a Jaccard similarity of 0.8 or more."""
+    return jaccard.keep_one(docs, words=5, percent=80)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of the benchmark are cut out; a document that consists of them by more than half goes."""
+    return decontaminate.remove_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The tokens' pieces with their sequences of at most 2048 tokens."""
+    packed = packing.pack(packing.tokenize(docs, tokenizer_path()))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("line_dedup", repeated_lines),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", benchmark_passages),
+    ("packing", sequences),
+]
 
-STAGES: list = []
+#: The tokenizer and the trained language model have no SQL; tests/llm/test_pipeline.py holds the rows against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that stay. What a stage kept is written before the next one reads it more than once."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut(docs)
     return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import decontaminate, language, licenses, lines, ngrams, packing, secrets
+from waymark.llm import decontaminate, jaccard, language, licenses, lines, neighbours, ngrams, packing, secrets, toxicity
 from waymark.llm.text import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,13 @@ from d left join words_hit using (doc_id) left join named using (doc_id)
 """
 
 
+@_query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @_query
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
@@ -59,12 +66,35 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@_query
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+SQL["op4_jaccard_join"] = r"""
+with recursive d as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from documents),
+s as materialized (select distinct doc_id, array_to_string(w[p:p + 2], ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as p from d where len(w) > 0)),
+n as materialized (select doc_id, count(*) as n from s group by doc_id),
+both_ as materialized (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+links as materialized (select a, b from both_ join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 90 * (x.n + y.n - i)),
+edges as materialized (select a, b from links union all select b, a from links),
+reach as (select doc_id as a, doc_id as b from d union select r.a, e.b from reach r join edges e on r.b = e.a)
+select doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, component_id
+from (select a as doc_id, min(b) as component_id from reach group by a) left join n using (doc_id)
+"""
+
+
 @_query
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenize(_table(spark, sf_dir, "documents"), tokenizer_path())
     return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@_query
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_rows(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 

@@ -24,7 +24,7 @@ HELD = 5_000_000  # keys held in a task before they are counted and passed on
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_ODD), -1, 2**64))
 _HALF = np.uint64(32)
-_STATS = ("n1", "n2", "n3", "cont")  # of a word: words seen once, twice, more often after it; words before it
+STATS = ("n1", "n2", "n3", "cont")  # of a word: words seen once, twice, more often after it; words before it
 
 
 def mix(pairs: np.ndarray) -> np.ndarray:
@@ -106,6 +106,8 @@ class Model:
         return out
 
     def _buckets(self, keys: np.ndarray):
+        if not len(keys):
+            return
         order = slice(None) if (keys[:-1] <= keys[1:]).all() else np.argsort(keys)
         ranked = keys[order]
         buckets = bucket_of(ranked, self.bits)
@@ -115,7 +117,7 @@ class Model:
             yield int(buckets[start]), rows[start:end], ranked[start:end]
 
 
-def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
+def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """Modified Kneser-Ney discounts from counts of counts; plain halves where a count of counts is missing."""
     if not (n1 and n2 and n3 and n4):
         return (0.5, 0.5, 0.5)
@@ -123,7 +125,7 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]
     return tuple(min(max(c - (c + 1) * y * b / a, 0.05), c - 0.05) for c, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
 
 
-def _with_ends(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def with_ends(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts, each text followed by its end, and where the texts start."""
     found, counts = token_hashes(bodies)
     ends = np.cumsum(counts + 1) - 1
@@ -159,7 +161,7 @@ def _counted(hold: int, name: str, keys_of):
     return run
 
 
-def _pairs(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def pairs(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """(id before, id) of every token as one number."""
     low = ids.astype(np.uint64) & np.uint64(START)
     before = np.roll(low, 1)
@@ -168,9 +170,9 @@ def _pairs(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _pair_keys(model: Model, bodies: pa.Array) -> np.ndarray:
-    hashes, starts = _with_ends(bodies)
+    hashes, starts = with_ends(bodies)
     distinct, at = np.unique(hashes, return_inverse=True)
-    return mix(_pairs(model.word_ids(distinct)[at], starts))
+    return mix(pairs(model.word_ids(distinct)[at], starts))
 
 
 def fit(train: DataFrame) -> Model:
@@ -199,7 +201,7 @@ def fit(train: DataFrame) -> Model:
         write_array(folder, f"c{bucket}", counts)
         return {"bucket": [bucket], "n": [len(keys)], "total": [int(counts.sum())]}
 
-    words = docs.mapInArrow(_counted(HELD, "h", lambda bodies: _with_ends(bodies)[0]), "h long, n long")
+    words = docs.mapInArrow(_counted(HELD, "h", lambda bodies: with_ends(bodies)[0]), "h long, n long")
     made = by_bucket(dealt(words, "h"), "bucket long, n long, total long", lambda c: bucket_of(c["h"], bits), write_words).collect()
     sizes = {r["bucket"]: r["n"] for r in made}  # one row per bucket
     model.filled = frozenset(sizes)
@@ -214,25 +216,25 @@ def fit(train: DataFrame) -> Model:
         write_array(folder, f"once{bucket}", keys[once])
         write_array(folder, f"more{bucket}", keys[~once])
         write_array(folder, f"count{bucket}", counts[~once].astype(np.uint32))
-        pairs = unmix(keys)
-        before, after = (pairs >> _HALF).astype(np.int64), (pairs & np.uint64(START)).astype(np.int64)
+        both = unmix(keys)
+        before, after = (both >> _HALF).astype(np.int64), (both & np.uint64(START)).astype(np.int64)
         seen = [before[counts == 1], before[counts == 2], before[counts >= 3], after]
         ids, at = np.unique(np.concatenate(seen), return_inverse=True)
         stats = np.split(at, np.cumsum([len(x) for x in seen])[:-1])
         n1, n2, n3, cont = (np.bincount(x, minlength=len(ids)) for x in stats)
         # besides, under negative ids: counts of counts, and that this bucket has files
         sums = [np.array([(counts == k).sum(), 0]) for k in (1, 2, 3, 4)]
-        return {"id": np.concatenate([ids, [-1, -2 - bucket]])} | {name: np.concatenate([v, s]) for name, v, s in zip(_STATS, (n1, n2, n3, cont), sums, strict=True)}
+        return {"id": np.concatenate([ids, [-1, -2 - bucket]])} | {name: np.concatenate([v, s]) for name, v, s in zip(STATS, (n1, n2, n3, cont), sums, strict=True)}
 
-    pairs = docs.mapInArrow(_counted(HELD, "m", lambda bodies: _pair_keys(model, bodies)), "m long, n long")
-    stats = by_bucket(dealt(pairs, "m"), "id long, n1 long, n2 long, n3 long, cont long", lambda c: bucket_of(c["m"], bits), write_pairs)
-    per_word = stats.groupBy("id").agg(*[F.sum(c).alias(c) for c in _STATS])
+    bigrams = docs.mapInArrow(_counted(HELD, "m", lambda bodies: _pair_keys(model, bodies)), "m long, n long")
+    stats = by_bucket(dealt(bigrams, "m"), "id long, n1 long, n2 long, n3 long, cont long", lambda c: bucket_of(c["m"], bits), write_pairs)
+    per_word = stats.groupBy("id").agg(*[F.sum(c).alias(c) for c in STATS])
     low = (1 << (32 - bits)) - 1
 
     def write_stats(bucket: int, c: dict) -> dict:
         if bucket not in sizes:
-            return {"bucket": c["id"], "what": np.column_stack([c[k] for k in _STATS]).tolist()}
-        for k in _STATS:
+            return {"bucket": c["id"], "what": np.column_stack([c[k] for k in STATS]).tolist()}
+        for k in STATS:
             dense = np.zeros(sizes[bucket], np.uint32)
             dense[c["id"] & low] = c[k]
             write_array(folder, f"{k}_{bucket}", dense)
@@ -244,10 +246,10 @@ def fit(train: DataFrame) -> Model:
     placed = per_word.select(slot, "*").repartition(parts, "slot").sortWithinPartitions("slot", "id")
     told = {r["bucket"]: r["what"] for r in by_bucket(placed, "bucket long, what array<long>", lambda c: c["slot"], write_stats).collect()}  # a row per bucket
     model.filled_pairs = frozenset(-2 - b for b in told if b < -1)
-    model.discounts = _discounts(*told[-1])
+    model.discounts = discounts(*told[-1])
     model.start = tuple(told[START][:3])
     c1, c2, c3, c4, more, model.continuations = (sum(told[b][i] for b in sizes) for i in range(6))
-    model.low_discounts = _discounts(c1, c2, c3, c4)
+    model.low_discounts = discounts(c1, c2, c3, c4)
     model.low_backoff = sum(d * n for d, n in zip(model.low_discounts, (c1, c2, more), strict=True)) / model.continuations
     end = model.word_ids(np.array([END]))
     model.documents = int(model.word_values(end, "c", np.int64)[0])
@@ -256,21 +258,21 @@ def fit(train: DataFrame) -> Model:
 
 def score_texts(model: Model, bodies: pa.Array) -> dict[str, np.ndarray]:
     """Values of each text. Single words are looked up once per slice, bigrams in the order of their keys."""
-    hashes, starts = _with_ends(bodies)
+    hashes, starts = with_ends(bodies)
     distinct, at = np.unique(hashes, return_inverse=True)
     ids = model.word_ids(distinct)
     count = model.word_values(ids, "c", np.int64)
-    n1, n2, n3, cont = (model.word_values(ids, f"{k}_", np.uint32).astype(np.float64) for k in _STATS)
-    low = np.maximum(cont - _discount(cont, model.low_discounts), 0) / max(model.continuations, 1) + model.low_backoff / (model.distinct + 1)
+    n1, n2, n3, cont = (model.word_values(ids, f"{k}_", np.uint32).astype(np.float64) for k in STATS)
+    low = np.maximum(cont - discount(cont, model.low_discounts), 0) / max(model.continuations, 1) + model.low_backoff / (model.distinct + 1)
     backoff = (model.discounts[0] * n1 + model.discounts[1] * n2 + model.discounts[2] * n3) / np.maximum(count, 1)
     base = np.log10((count + 1) / (model.tokens + model.distinct + 1))
 
     total, weight = np.roll(count[at], 1).astype(np.float64), np.roll(backoff[at], 1)
     total[starts] = model.documents
     weight[starts] = sum(d * n for d, n in zip(model.discounts, model.start, strict=True)) / max(model.documents, 1)
-    keys, back = np.unique(mix(_pairs(ids[at], starts)), return_inverse=True)
-    pairs = model.pair_counts(keys)[back].astype(np.float64)
-    high = np.maximum(pairs - _discount(pairs, model.discounts), 0) / np.maximum(total, 1) + weight * low[at]
+    keys, back = np.unique(mix(pairs(ids[at], starts)), return_inverse=True)
+    seen = model.pair_counts(keys)[back].astype(np.float64)
+    high = np.maximum(seen - discount(seen, model.discounts), 0) / np.maximum(total, 1) + weight * low[at]
     logs = np.log10(np.where(total > 0, high, low[at]))
     return {
         "n_tokens": np.diff([*starts, len(at)]), "n_known": np.add.reduceat((count > 0).astype(np.int64)[at], starts),
@@ -278,17 +280,18 @@ def score_texts(model: Model, bodies: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
-def _discount(counts: np.ndarray, discounts: tuple) -> np.ndarray:
-    return np.array([0.0, *discounts])[np.minimum(counts, 3).astype(np.int64)]
+def discount(counts: np.ndarray, by_count: tuple) -> np.ndarray:
+    return np.array([0.0, *by_count])[np.minimum(counts, 3).astype(np.int64)]
 
 
 _models: dict[str, Model] = {}
 
 
-def _opened(model: Model) -> Model:
-    """The model whose maps this worker keeps; those of an earlier model go."""
+def opened(model: Model) -> Model:
+    """The model whose maps this worker keeps, for the last few models."""
     if model.folder not in _models:
-        _models.clear()
+        while len(_models) >= 4:
+            del _models[next(iter(_models))]
         _models[model.folder] = model
     return _models[model.folder]
 
@@ -302,10 +305,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def make():
-        opened = _opened(model)
+        mapped = opened(model)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = score_texts(opened, batch.column(1))
+            found = score_texts(mapped, batch.column(1))
             n = pa.array(np.full(batch.num_rows, model.tokens, np.int64))
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found["n_tokens"]), pa.array(found["n_known"]), n, pa.array(found["base_score"]), pa.array(found["score"])], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
