@@ -1,5 +1,6 @@
 import pathlib
 import sys
+import tempfile
 
 import pytest
 
@@ -11,7 +12,7 @@ from waymark.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("4", "waymark-tests")
+    session = local_session("4", "waymark-tests", tempfile.mkdtemp(prefix="waymark-tests-"))
     session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()

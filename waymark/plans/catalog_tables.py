@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from waymark.functions import geo
 from waymark.plans.registry import register
-from waymark.session import scratch_dir
+from waymark.session import scratch_folder
 from waymark.sources import tables
 
 def now():
@@ -17,7 +17,7 @@ def now():
 
 
 def _fresh(t, name):
-    return f"{scratch_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+    return scratch_folder(t.spark, name)
 
 
 @register("s1_read_table", "select o_orderkey, o_custkey, o_totalprice, o_orderdate from orders")

@@ -1,17 +1,22 @@
-"""Session settings and the written tables that cut the lineage of iterative jobs."""
+"""Session settings, the written tables that cut the lineage of iterative jobs, and the package's way to the executors."""
 
 from __future__ import annotations
 
-import tempfile
+import io
+import pathlib
 import uuid
+import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
-def local_session(cpus: str = "*", app: str = "waymark") -> SparkSession:
-    """A single-machine session for tests and benchmarks. On a cluster pass the cluster's own session."""
+def local_session(cpus: str = "*", app: str = "waymark", shared: str | None = None) -> SparkSession:
+    """A single-machine session for tests and benchmarks, with ``shared`` as the folder of intermediate tables. On a
+    cluster pass the cluster's own session."""
     partitions = "8" if cpus == "*" else str(max(int(cpus), 2))
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", partitions)
@@ -19,26 +24,20 @@ def local_session(cpus: str = "*", app: str = "waymark") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: the one the session names in ``spark.checkpoint.dir``.
-
-    Only a local-mode session may fall back to a folder of this machine; on a cluster a missing setting
-    is an error, because other executors could not read such a folder.
-    """
+    """Shared folder for intermediate tables: the one the session names in ``spark.checkpoint.dir``."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    fallback = tempfile.mkdtemp(prefix="waymark-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    if not configured:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors can reach")
+    return configured.rstrip("/")
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -50,24 +49,43 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+# ---- written tables --------------------------------------------------------------------------------------------------
+
 _written: list[str] = []
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the intermediate tables that this process wrote; call it once their results are stored."""
+def scratch_folder(spark: SparkSession, kind: str = "waymark") -> str:
+    """A new folder of the shared one, which ``release`` deletes."""
+    path = f"{scratch_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Delete the intermediate tables that this process wrote, from the ``since``-th on; call it once their results are stored."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    count = len(_written)
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    gone = _written[since:]
+    del _written[since:]
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
-    return count
+    return len(gone)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """A step that stores its result itself: the intermediate tables it wrote go when it ends, as for a batch of a stream."""
+    since = len(_written)
+    try:
+        yield
+    finally:
+        release(spark, since)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back: ends the lineage, and survives the loss of an executor."""
-    path = f"{scratch_dir(df.sparkSession)}/waymark-{uuid.uuid4().hex}"
+    path = scratch_folder(df.sparkSession)
     df.write.parquet(path)
-    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -75,3 +93,29 @@ def cut_and_measure(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]
     """As ``cut``, with aggregates taken while the rows are written, so that they cost no second pass."""
     seen = Observation()
     return cut(df.observe(seen, *[c.alias(name) for name, c in measures.items()])), seen.get
+
+
+# ---- executors ---------------------------------------------------------------------------------------------------------
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of all executors, once per application.
+
+    Needed where the workers have not installed it; the archive goes through the shared folder.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    archive = io.BytesIO()
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent).as_posix())
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/{root.name}-{uuid.uuid4().hex}.zip")
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    stream.write(bytearray(archive.getvalue()))
+    stream.close()
+    context.addPyFile(path.toString())
+    _shipped.add(context.applicationId)
