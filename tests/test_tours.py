@@ -1,12 +1,14 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from helpers import km, scatter, tuples
 from pyspark.sql import functions as F
 
 from waymark.operators import tours
 from waymark.plans import scenario
+from waymark.session import cut
 
 
 def data(spark, sizes, seed=1):
@@ -69,6 +71,26 @@ def length(points):
     return sum(km(a, b) for a, b in zip(points, points[1:]))
 
 
+@pytest.mark.parametrize("block", [1000, 100])
+def test_two_opt_leaves_no_improving_pair_on_long_paths(spark, block):
+    pts = [(a, b) for _, a, b in scatter(400, 77, span=0.5)]
+    path, left = [pts[0]], set(pts[1:])
+    while left:
+        path.append(min(left, key=lambda p: km(path[-1], p)))
+        left.remove(path[-1])
+    path += [(a, b) for _, a, b in scatter(12, 5)]
+    rows = [("long", i, i, a, b) for i, (a, b) in enumerate(path)] + [("short", i, 1000 + i, a, b) for i, a, b in scatter(30, 8)]
+    df = spark.createDataFrame(rows, "route_id string, seq bigint, node_id bigint, lat double, lon double")
+    out = cut(tours.two_opt(df, block))
+    assert tours.improving_moves(out).count() == 0
+    got = sorted(tuple(x) for x in out.where("route_id = 'long'").select("seq", "node_id", "lat", "lon").collect())
+    assert [x[0] for x in got] == list(range(len(path))) and sorted(x[1] for x in got) == list(range(len(path)))
+    d = tours._km_matrix(np.array([x[2] for x in got]), np.array([x[3] for x in got]))
+    leg = np.diagonal(d, 1)
+    gain = leg[:-1, None] + leg[None, 1:] - d[:-2, 1:-1] - d[1:-1, 2:]
+    assert np.triu(gain, 1).max() <= 1e-9 and leg.sum() < length(path)
+
+
 @pytest.mark.parametrize("block", [300, 6])
 def test_two_opt_keeps_ends_and_stops(spark, block):
     rows = [(f"r{k}", i, i, a, b) for k in range(3) for i, a, b in scatter(20, 30 + k)]
@@ -81,10 +103,9 @@ def test_two_opt_keeps_ends_and_stops(spark, block):
         assert path[0][2] == 0 and path[-1][2] == 19
         pts = [x[3:] for x in path]
         assert length(pts) < length([x[3:] for x in old])
-        if block == 300:
-            for i in range(1, 18):
-                for j in range(i + 1, 19):
-                    assert length(pts[:i] + pts[i : j + 1][::-1] + pts[j + 1 :]) >= length(pts) - 1e-9
+        for i in range(1, 18):
+            for j in range(i + 1, 19):
+                assert length(pts[:i] + pts[i : j + 1][::-1] + pts[j + 1 :]) >= length(pts) - 1e-9
 
 
 def test_exact_tours_and_limit(spark):

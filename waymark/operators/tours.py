@@ -19,8 +19,8 @@ from waymark.operators import ranks
 from waymark.session import cut, cut_and_measure, spread
 
 BLOCK = 200  # nearest stops that one step of a tour looks at; results do not depend on it
-EXACT_NODES = 15  # fixed limit of the exact tour
-TWO_OPT_BLOCK = 300
+EXACT_NODES = 15  # fixed limit of the exact tour, unless another one is asked for
+TWO_OPT_BLOCK = 300  # legs of a path that one task improves; longer paths take several rounds
 
 
 def _let(value: Column, body) -> Column:
@@ -35,6 +35,12 @@ def _at(lat: str, lon: str) -> Column:
     return F.struct(F.col(lat).alias("lat"), F.col(lon).alias("lon"))
 
 
+def _arc_km(lat_a: np.ndarray, lon_a: np.ndarray, lat_b: np.ndarray, lon_b: np.ndarray) -> np.ndarray:
+    a, b = np.radians(lat_a), np.radians(lat_b)
+    h = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin((np.radians(lon_b) - np.radians(lon_a)) / 2) ** 2
+    return 2 * geo.EARTH_KM * np.arcsin(np.sqrt(np.minimum(h, 1.0)))
+
+
 # ---- nearest neighbour ----------------------------------------------------------------------------------------------
 
 
@@ -74,6 +80,26 @@ def _walk(block: Column, depot: Column, anchor: Column, reach: Column, taken: Co
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(block), F.lit(1))), start, step)
 
 
+def _walk_short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole nearest-neighbour tours of packed instances, all instances of one size and share in step with each other."""
+    for batch in batches:
+        for (n, share), same in batch.groupby([batch["left"].map(len), "share"]):
+            ids, lat, lon = (np.array([[x[c] for x in row] for row in same["left"]]) for c in ("stop_id", "lat", "lon"))
+            depot_lat, depot_lon = same["d_lat"].to_numpy(), same["d_lon"].to_numpy()
+            row, open_ = np.arange(len(same)), np.ones((len(same), n), bool)
+            order, legs = np.empty((len(same), n), np.int64), np.empty((len(same), n))
+            for step in range(n):
+                if step % share == 0:
+                    at_lat, at_lon = depot_lat, depot_lon
+                gap = np.where(open_, _arc_km(at_lat[:, None], at_lon[:, None], lat, lon), np.inf)
+                best = gap.argmin(axis=1)  # stops come by id, so a tie goes to the lowest
+                order[:, step], legs[:, step], open_[row, best] = ids[row, best], gap[row, best], False
+                at_lat, at_lon = lat[row, best], lon[row, best]
+            yield pd.DataFrame({
+                "instance_id": np.repeat(same["instance_id"].to_numpy(), n), "share": share, "pos": np.tile(np.arange(n), len(same)), "stop_id": order.ravel(), "km": legs.ravel(),
+            })
+
+
 def _instances(depots: DataFrame, stops: DataFrame, vehicles: str | None) -> DataFrame:
     """Depots with the number of stops and the stops per vehicle."""
     wanted = F.col(vehicles).cast("bigint") if vehicles else F.lit(1).cast("bigint")
@@ -92,25 +118,26 @@ def nearest_tours(depots: DataFrame, stops: DataFrame, vehicles: str | None = No
     the current position and walks on while they surely hold the next stop; the result is the same tour.
     """
     points = cut(stops.select("instance_id", "stop_id", "lat", "lon"))
-    plan = _instances(depots, points, vehicles)
-    largest = points.groupBy("instance_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    plan = cut(_instances(depots, points, vehicles))
     entry = F.struct("stop_id", "lat", "lon")
     depot = _at("d_lat", "d_lon")
 
     def finish(rows: DataFrame) -> DataFrame:
-        taken = rows.join(plan.select("instance_id", "share"), "instance_id")
         vehicle = F.floor(F.col("pos") / F.col("share"))
-        return taken.select("instance_id", vehicle.alias("vehicle"), (F.col("pos") - vehicle * F.col("share") + 1).alias("seq"), "stop_id", "km")
-
-    if largest <= block:
-        grouped = spread(points, "instance_id").groupBy("instance_id").agg(F.collect_list(entry).alias("left")).join(plan, "instance_id")
-        end = _walk(F.col("left"), depot, depot, F.lit(None).cast("double"), F.lit(0).cast("bigint"), F.col("share"))
-        out = grouped.select("instance_id", "share", F.explode(end["out"]).alias("o")).select("instance_id", "share", "o.*")
-        vehicle = F.floor(F.col("pos") / F.col("share"))
-        return out.select("instance_id", vehicle.alias("vehicle"), (F.col("pos") - vehicle * F.col("share") + 1).alias("seq"), "stop_id", "km")
+        return rows.select("instance_id", vehicle.alias("vehicle"), (F.col("pos") - vehicle * F.col("share") + 1).alias("seq"), "stop_id", "km")
+
+    short = plan.where(F.col("n") <= block)
+    packed = spread(points.join(short.select("instance_id"), "instance_id", "left_semi"), "instance_id").groupBy("instance_id").agg(F.sort_array(F.collect_list(entry)).alias("left"))
+    kind = short.schema["instance_id"].dataType.simpleString()
+    walked = packed.join(short, "instance_id").mapInPandas(_walk_short, f"instance_id {kind}, share bigint, pos bigint, stop_id bigint, km double")
+    done = finish(walked)
+    state, seen = cut_and_measure(
+        plan.where(F.col("n") > block).select("*", F.col("d_lat").alias("lat"), F.col("d_lon").alias("lon"), F.lit(0).cast("bigint").alias("taken")), open=F.count(F.lit(1))
+    )
+    if not seen["open"]:
+        return done
 
-    rest = points
-    state = cut(plan.select("*", F.col("d_lat").alias("lat"), F.col("d_lon").alias("lon"), F.lit(0).cast("bigint").alias("taken")))
+    rest = cut(points.join(state, "instance_id", "left_semi"))
     placed = None
     while True:
         anchor_lat = F.when(F.col("taken") % F.col("share") == 0, F.col("d_lat")).otherwise(F.col("lat"))
@@ -127,13 +154,13 @@ def nearest_tours(depots: DataFrame, stops: DataFrame, vehicles: str | None = No
         reach = F.when(F.col("n") - F.col("taken") > block, F.col("reach"))
         end = _walk(F.col("left"), depot, _at("a_lat", "a_lon"), reach, F.col("taken"), F.col("share"))
         moved = cut(grouped.select("instance_id", "d_lat", "d_lon", "n", "share", end.alias("e")))
-        out = moved.select("instance_id", F.explode("e.out").alias("o")).select("instance_id", "o.*")
+        out = moved.select("instance_id", "share", F.explode("e.out").alias("o")).select("instance_id", "share", "o.*")
         placed = out if placed is None else placed.unionByName(out)
         state, seen = cut_and_measure(
             moved.select("instance_id", "d_lat", "d_lon", "n", "share", "e.at.lat", "e.at.lon", "e.taken"), open=F.count_if(F.col("taken") < F.col("n"))
         )
         if not seen["open"]:
-            return finish(placed)
+            return done.unionByName(finish(placed))
         rest = cut(rest.join(state.where("taken < n"), "instance_id", "left_semi").join(out, ["instance_id", "stop_id"], "left_anti"))
 
 
@@ -254,9 +281,7 @@ def covering_tours(depots: DataFrame, served: DataFrame, vehicles: str | None =
 
 
 def _km_matrix(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
-    p, l = np.radians(lat), np.radians(lon)
-    h = np.sin((p[..., :, None] - p[..., None, :]) / 2) ** 2 + np.cos(p[..., :, None]) * np.cos(p[..., None, :]) * np.sin((l[..., :, None] - l[..., None, :]) / 2) ** 2
-    return 2 * geo.EARTH_KM * np.arcsin(np.sqrt(np.minimum(h, 1.0)))
+    return _arc_km(lat[..., :, None], lon[..., :, None], lat[..., None, :], lon[..., None, :])
 
 
 def _untangle(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
@@ -280,28 +305,88 @@ def _untangled(lat: pd.Series, lon: pd.Series) -> pd.Series:
     return pd.Series([_untangle(np.asarray(a), np.asarray(b)).tolist() for a, b in zip(lat, lon)])
 
 
-def two_opt(paths: DataFrame, block: int = TWO_OPT_BLOCK) -> DataFrame:
-    """Paths (route_id, seq from 0, node_id, lat, lon) after 2-opt; the first and last row of a route stay.
+def _untangle_blocks(rows: DataFrame, block: int, shift: int) -> DataFrame:
+    """Local optima of blocks of ``block`` consecutive legs, whose end points stay."""
+    slot = F.floor((F.col("seq") + shift) / block)
+    ends = F.array_distinct(F.array(slot, F.floor((F.col("seq") + shift - 1) / block)))
+    keyed = rows.withColumn("slot", F.explode(F.when(F.col("seq") > 0, ends).otherwise(F.array(slot))))
+    packed = spread(keyed, "route_id", "slot").groupBy("route_id", "slot").agg(F.sort_array(F.collect_list(F.struct("seq", "node_id", "lat", "lon"))).alias("p"))
+    ordered = packed.withColumn("order", _untangled("p.lat", "p.lon"))
+    moved = ordered.select("route_id", "p", F.posexplode("order").alias("k", "was"))
+    return moved.select(
+        "route_id", (F.get("p", F.lit(0))["seq"] + F.col("k")).alias("seq"), *[F.get("p", F.col("was"))[c].alias(c) for c in ("node_id", "lat", "lon")]
+    ).distinct()
 
-    A path of up to ``block`` legs ends in a local optimum. A longer one is improved in blocks of consecutive legs
-    whose end points stay, then once more with blocks moved by half, so no task holds a whole long path.
+
+def improving_moves(rows: DataFrame, finest_km: float = 0.01) -> DataFrame:
+    """For each leg ``a`` of a path the leg ``b`` behind it whose exchange shortens the path most: (route_id, a, b, gain).
+
+    Exchanging legs a < b for the legs between their starts and between their ends gains only if the starts are closer
+    than leg a is long, or the ends closer than leg b is long. So each leg looks into the grid cells around its start,
+    and around its end, whose size is the leg's length: no other pair can gain.
+    """
+    legs = ranks.consecutive(rows, ["route_id"], "seq", "lat", "lon").withColumn("leg", geo.arc_km("lat", "lon", "next_lat", "next_lon"))
+    legs = cut(legs.withColumn("level", F.greatest(F.ceil(F.log2(F.greatest("leg", F.lit(1e-12)) / finest_km)), F.lit(0)).cast("int")))
+    levels = legs.select("route_id", "level").distinct()
+    own = ["seq", "leg", "lat", "lon", "next_lat", "next_lon"]
+
+    def cells(lat: str, lon: str) -> list[Column]:
+        return [F.floor(c / (F.lit(finest_km) * F.pow(F.lit(2.0), F.col("level")))).alias(f"c{i}") for i, c in enumerate(geo.unit_xyz(lat, lon))]
+
+    def pairs(lat: str, lon: str) -> DataFrame:
+        centres = legs.where("leg > 0").select("route_id", "level", *[F.col(c).alias(f"x_{c}") for c in own], *cells(lat, lon))
+        for c in ("c0", "c1", "c2"):
+            centres = centres.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
+        targets = legs.drop("level").join(levels, "route_id").select("route_id", "level", *[F.col(c).alias(f"y_{c}") for c in own], *cells(lat, lon))
+        return centres.join(targets, ["route_id", "level", "c0", "c1", "c2"])
+
+    gain = F.col("x_leg") + F.col("y_leg") - geo.arc_km("x_lat", "x_lon", "y_lat", "y_lon") - geo.arc_km("x_next_lat", "x_next_lon", "y_next_lat", "y_next_lon")
+    at_starts = pairs("lat", "lon").where("x_seq < y_seq").select("route_id", F.col("x_seq").alias("a"), F.col("y_seq").alias("b"), gain.alias("gain"))
+    at_ends = pairs("next_lat", "next_lon").where("y_seq < x_seq").select("route_id", F.col("y_seq").alias("a"), F.col("x_seq").alias("b"), gain.alias("gain"))
+    found = at_starts.unionByName(at_ends).where("gain > 1e-9")
+    best = found.groupBy("route_id", "a").agg(F.max(F.struct("gain", (-F.col("b")).alias("b"))).alias("m"))
+    return best.select("route_id", "a", (-F.col("m.b")).alias("b"), F.col("m.gain").alias("gain"))
+
+
+def _apart(moves: DataFrame, top: int) -> DataFrame:
+    """Moves that do not overlap, among them the best of each route.
+
+    A move belongs to the smallest aligned interval of 2^level legs that holds both its legs. It is taken if it is the best in
+    its interval and better than what belongs to the intervals around that.
     """
+    size = F.length(F.ltrim(F.conv(F.col("a").bitwiseXOR(F.col("b")).cast("string"), 10, 2), F.lit("0")))
+    placed = cut(moves.withColumn("level", size.cast("int")).withColumn("move", F.struct("gain", "a", "b")))
+    at = lambda level: F.call_function("shiftright", F.col("a"), level)
+    around = placed.withColumn("up", F.explode(F.sequence(F.col("level"), F.lit(top)))).withColumn("node", at(F.col("up")))
+    inside = around.groupBy("route_id", "up", "node").agg(F.max("move").alias("inside"), F.max(F.when(F.col("up") == F.col("level"), F.col("move"))).alias("own"))
+    seen = around.join(inside, ["route_id", "up", "node"])
+    beaten = F.when(F.col("up") == F.col("level"), F.col("inside") > F.col("move")).otherwise(F.coalesce(F.col("own") > F.col("move"), F.lit(False)))
+    return seen.groupBy("route_id", "a", "b").agg(F.bool_or(beaten).alias("beaten")).where("not beaten").select("route_id", "a", "b")
 
-    def improve(rows: DataFrame, shift: int) -> DataFrame:
-        slot = F.floor((F.col("seq") + shift) / block)
-        ends = F.array_distinct(F.array(slot, F.floor((F.col("seq") + shift - 1) / block)))
-        keyed = rows.withColumn("slot", F.explode(F.when(F.col("seq") > 0, ends).otherwise(F.array(slot))))
-        packed = spread(keyed, "route_id", "slot").groupBy("route_id", "slot").agg(F.sort_array(F.collect_list(F.struct("seq", "node_id", "lat", "lon"))).alias("p"))
-        ordered = packed.withColumn("order", _untangled("p.lat", "p.lon"))
-        moved = ordered.select("route_id", "p", F.posexplode("order").alias("k", "was"))
-        return moved.select(
-            "route_id", (F.get("p", F.lit(0))["seq"] + F.col("k")).alias("seq"), *[F.get("p", F.col("was"))[c].alias(c) for c in ("node_id", "lat", "lon")]
-        ).distinct()
 
+def two_opt(paths: DataFrame, block: int = TWO_OPT_BLOCK) -> DataFrame:
+    """Paths (route_id, seq from 0, node_id, lat, lon) after 2-opt; the first and last row of a route stay.
+
+    Every path ends in a local optimum: no exchange of two legs shortens it. A path of up to ``block`` legs gets there in
+    one task. A longer one is improved in blocks of consecutive legs; then the exchanges left between blocks are found
+    by a grid join, those that do not overlap are made, and both repeat until none is left. No task holds a whole long path.
+    """
     paths = cut(paths.select("route_id", F.col("seq").cast("bigint").alias("seq"), "node_id", "lat", "lon"))
-    longest = paths.agg(F.max("seq")).first()[0] or 0
-    rows = improve(paths, 0)
-    return rows if longest <= block else improve(cut(rows), block // 2)
+    sizes = paths.groupBy("route_id").agg(F.max("seq").alias("legs"))
+    longest = sizes.agg(F.max("legs")).first()[0] or 0
+    if longest <= block:
+        return _untangle_blocks(paths, block, 0)
+    short = paths.join(sizes.where(F.col("legs") <= block), "route_id", "left_semi")
+    rows = cut(paths.join(sizes.where(F.col("legs") > block), "route_id", "left_semi"))
+    turn, top = 0, int(longest).bit_length()
+    while True:
+        rows = cut(_untangle_blocks(rows, block, (block // 2) * (turn % 2)))
+        turn += 1
+        moves, seen = cut_and_measure(improving_moves(rows), n=F.count(F.lit(1)))
+        if not seen["n"]:
+            return _untangle_blocks(short, block, 0).unionByName(rows)
+        turned = _apart(moves, top).select("route_id", F.explode(F.sequence(F.col("a") + 1, F.col("b"))).alias("seq"), (F.col("a") + 1 + F.col("b")).alias("both"))
+        rows = cut(rows.join(turned, ["route_id", "seq"], "left").withColumn("seq", F.coalesce(F.col("both") - F.col("seq"), F.col("seq"))).drop("both"))
 
 
 def _best_orders(km: np.ndarray, early: np.ndarray, late: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -365,17 +450,20 @@ def exact_orders(instances: DataFrame) -> DataFrame:
     return instances.mapInPandas(_subset_tours, f"instance_id {kind}, ids array<bigint>, km double")
 
 
-def exact_tours(depots: DataFrame, stops: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(shortest closed tours as rows instance_id, ids, km; error rows of instances with more than 15 stops)."""
+def exact_tours(depots: DataFrame, stops: DataFrame, max_nodes: int = EXACT_NODES) -> tuple[DataFrame, DataFrame]:
+    """(shortest closed tours as rows instance_id, ids, km; error rows of instances with more than ``max_nodes`` stops).
+
+    Time and memory per instance grow with 2^n: ``max_nodes`` is the limit that the caller wants to pay for.
+    """
     sizes = stops.groupBy("instance_id").agg(F.count("*").alias("n"))
-    small = stops.join(sizes.where(F.col("n") <= EXACT_NODES), "instance_id", "left_semi")
+    small = stops.join(sizes.where(F.col("n") <= max_nodes), "instance_id", "left_semi")
     packed = spread(small, "instance_id").groupBy("instance_id").agg(F.sort_array(F.collect_list(F.struct("stop_id", "lat", "lon"))).alias("p"))
     instances = packed.join(depots.select("instance_id", F.col("lat").alias("d_lat"), F.col("lon").alias("d_lon")), "instance_id").select(
         "instance_id", F.col("d_lat").alias("s_lat"), F.col("d_lon").alias("s_lon"), F.col("d_lat").alias("e_lat"), F.col("d_lon").alias("e_lon"),
         F.col("p.stop_id").alias("ids"), F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"), F.lit(-1).alias("pickup"), F.lit(-1).alias("dropoff"),
     )
-    errors = sizes.where(F.col("n") > EXACT_NODES).select(
-        "instance_id", F.format_string("%d stops; the exact tour takes at most " + str(EXACT_NODES), "n").alias("error")
+    errors = sizes.where(F.col("n") > max_nodes).select(
+        "instance_id", F.format_string("%d stops; the exact tour takes at most " + str(max_nodes), "n").alias("error")
     )
     return exact_orders(instances), errors
 
