@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,17 +17,69 @@ from waymark.session import cut_and_measure
 
 CAPACITY, END_ID = 2048, 0
 BLOCK_PIECES = 8_192  # pieces that one task packs together
-CACHE = 300_000  # distinct words whose ids a worker remembers: about 80 MB
+CACHE = 300_000  # parts of texts in each of two generations whose ids a worker remembers: about 160 MB
 
 PIECES = "piece int, start long, length long, ids_crc32 long, task int, row long"
 
 
-@cache
-def _encoder(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+_MARKS = {ord(c): c.encode() for c in ".,;:!?"}
+
+
+class _Encoder:
+    """Token ids of blank-separated parts, remembered for a bounded number of parts: the last used ones outlive the others."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def fetch(self, parts: set[bytes]) -> None:
+        """Make all these parts known."""
+        known, older = self.known, self.older
+        if len(known) > CACHE:
+            self.older = older = known
+            self.known = known = {}
+        wanted, fresh = [], {}
+        for part in parts:
+            if part in known:
+                continue
+            if part in older:
+                known[part] = older[part]
+                continue
+            word, mark = _plain(part)
+            wanted.append((part, word, mark))
+            for x in (word, mark):
+                if x and x not in known and x not in older:
+                    fresh[x] = None
+        if fresh:
+            found = self.tokenizer.encode_batch_fast([x.decode() for x in fresh], add_special_tokens=False)
+            fresh = {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(fresh, found, strict=True)}
+        ids = lambda x: fresh.get(x) or known.get(x) or older.get(x, b"")
+        made = [(part, ids(word) + ids(mark)) for part, word, mark in wanted]
+        known.update(fresh)
+        known.update(made)
+
+
+def _plain(part: bytes) -> tuple[bytes, bytes]:
+    """A part as a word and a mark behind it, where their ids are surely those of the part: ASCII letters, in lower case as the tokenizer
+    takes them, and one mark after a letter. Any other part is its own word."""
+    if part.isalpha():
+        return part.lower(), b""
+    mark = _MARKS.get(part[-1])
+    if mark is None:
+        return part, b""
+    word = part[:-1]
+    if word.isalpha():
+        return word.lower(), mark
+    return (word, mark) if word and word.decode()[-1].isalpha() else (part, b"")
+
 
-    return Tokenizer.from_file(path), {}
+@cache
+def _encoder(path: str) -> _Encoder:
+    return _Encoder(path)
 
 
 def encode(path: str, bodies: list[bytes | None]) -> list[bytes]:
@@ -35,13 +88,10 @@ def encode(path: str, bodies: list[bytes | None]) -> list[bytes]:
     The tokenizer drops white space and joins nothing across it, so a text's ids are those of its blank-separated
     parts in turn; frequent parts are encoded once.
     """
-    tokenizer, known = _encoder(path)
-    if len(known) > CACHE:
-        known.clear()
+    encoder = _encoder(path)
     parts = [(body or b"").split() for body in bodies]
-    fresh = list({p for text in parts for p in text if p not in known})
-    for part, found in zip(fresh, tokenizer.encode_batch_fast([p.decode() for p in fresh], add_special_tokens=False), strict=True):
-        known[part] = np.array(found.ids, "<u4").tobytes()
+    encoder.fetch(set(chain.from_iterable(parts)))
+    known = encoder.known
     return [b"".join([known[p] for p in text]) for text in parts]
 
 
