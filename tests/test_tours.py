@@ -146,7 +146,11 @@ def test_insertion_equals_brute_force(spark):
     paths = {}
     for x in rebuilt.orderBy("seq").collect():
         paths.setdefault(x["route_id"], []).append(x)
+    reordered = {x["instance_id"]: x for x in scenario.best_reorder(r, d, bad, 4).collect()}
+    assert set(reordered) == {f"{x[0]}:{x[1]}" for x in [*requests, (0, 600)]}
     exact = {x["instance_id"]: x["km"] for x in scenario.best_reorder(r, d, q).collect()}
+    for k, pair in ((99, 599), (0, 600)):
+        assert reordered[f"{k}:{pair}"]["km"] is None and "out of bounds" in reordered[f"{k}:{pair}"]["error"]
     for k, lat, lon in depots:
         home, own = (lat, lon), [x[3:] for x in routes if x[0] == k]
         _, pair, at, *ends = next(x for x in requests if x[0] == k)
@@ -156,13 +160,14 @@ def test_insertion_equals_brute_force(spark):
             for j in range(i, len(own) + 1):
                 options.append(length([home, *own[:i], p, *own[i:j], e, *own[j:], home]))
         assert abs(got[k]["km"] - min(options)) < 1e-9 and abs(got[k]["strategy_b_km"] - options[-1]) < 1e-9
-        assert got[k]["strategy"] == "A"
         assert [x["seq"] for x in paths[k]] == list(range(1, len(own) + 3))
         assert abs(length([home, *[(x["lat"], x["lon"]) for x in paths[k]], home]) - min(options)) < 1e-9
         kinds = [x["type"] for x in paths[k]]
         assert kinds.index("pickup") < kinds.index("dropoff")
         start = own[at - 1] if at else home
-        if at < len(own):
+        left_over = len(own) - at
+        assert ("takes at most 4" in (reordered[f"{k}:{pair}"]["error"] or "")) == (left_over > 4)
+        if left_over <= 5:
             left = own[at:] + [p, e]
             best = min(
                 length([start, *[left[i] for i in o], home]) for o in itertools.permutations(range(len(left))) if o.index(len(left) - 2) < o.index(len(left) - 1)
@@ -172,6 +177,51 @@ def test_insertion_equals_brute_force(spark):
     assert tuples(errors, "route_id", "pair_id") == [(0, 600), (99, 599)]
 
 
+def test_several_pairs_in_one_route(spark):
+    routes, depots, requests, r, d, q, _ = routes_and_requests(spark)
+    rng = random.Random(12)
+    more = [(k, 200 + 100 * m + k, rng.randint(0, 1), *[v for _ in range(2) for v in (3 + rng.random() * 0.1, 101 + rng.random() * 0.1)]) for k in range(6) for m in range(3)]
+    rebuilt, report = scenario.insert_pairs(r, d, q.unionByName(spark.createDataFrame(more, q.schema)))
+    paths = {}
+    for x in rebuilt.orderBy("seq").collect():
+        paths.setdefault(x["route_id"], []).append(x)
+    told = {(x["route_id"], x["pair_id"]): x for x in report.collect()}
+    assert len(told) == 8 + 18
+    for k, lat, lon in depots:
+        home, path = (lat, lon), [(x[3:], x[1]) for x in routes if x[0] == k]
+        for _, pair, at, *ends in sorted(x for x in requests + more if x[0] == k):
+            p, e = (tuple(ends[:2]), None), (tuple(ends[2:]), None)
+            place = next(i for i, x in enumerate(path) if x[1] == at) + 1 if at else 0
+            whole = lambda stops: length([home, *[x[0] for x in stops], home])
+            options = [path[:i] + [p] + path[i:j] + [e] + path[j:] for i in range(place, len(path) + 1) for j in range(i, len(path) + 1)]
+            assert abs(told[k, pair]["before_km"] - whole(path)) < 1e-9
+            path = min(options, key=whole)
+            assert abs(told[k, pair]["km"] - whole(path)) < 1e-9
+        assert [x["seq"] for x in paths[k]] == list(range(1, len(path) + 1))
+        assert [(x["lat"], x["lon"]) for x in paths[k]] == [x[0] for x in path]
+
+
+def test_audit_keeps_runs_apart(spark):
+    rows = [(run, 10 * run, seq, seq, 7, kind, 3.0 + 0.1 * seq, 101.0) for run in (1, 2) for seq, kind in ((1, "pickup"), (2, "dropoff"))] + [(3, 30, 1, 1, 7, "pickup", 3.0, 101.0)]
+    routes = spark.createDataFrame(rows, "run_id bigint, route_id bigint, seq bigint, node_id bigint, pair_id bigint, type string, lat double, lon double")
+    must = spark.createDataFrame([(1, 1)], "run_id bigint, node_id bigint")
+    depots = spark.createDataFrame([(10, 3.1, 101.0), (20, 4.1, 101.0), (30, 3.0, 101.0)], "route_id bigint, lat double, lon double")
+    found = {(x["route_id"], x["rule"]) for x in scenario.audit_routes(routes, must, 100, depots).collect()}
+    assert found == {(30, "unfinished"), (20, "too long")}
+
+
+def test_checkpoint_solver(spark):
+    r = random.Random(4)
+    depots, stops, d, _ = data(spark, [4, 9, 12], 9)
+    rows = [(s[0], s[1], s[2], s[3], k) for k, s in enumerate(stops)]
+    served = spark.createDataFrame(rows, "instance_id string, stop_id bigint, lat double, lon double, cluster_id bigint")
+    plain, better = (scenario.solve_checkpoints(d.withColumn("algorithm", F.lit(a)), served) for a in ("anything", "two_opt"))
+    a, b = ({x["route_id"]: x["km"] for x in tours.path_lengths(p).collect()} for p in (plain, better))
+    assert set(a) == set(b) and all(b[k] <= a[k] + 1e-9 for k in a) and sum(b.values()) < sum(a.values())
+    assert {x["algorithm_used"] for x in plain.collect()} == {"heuristic"}
+    assert tours.improving_moves(better.select("route_id", "seq", "node_id", "lat", "lon")).count() == 0
+
+
 def test_audit_finds_all_kinds(spark):
     rows = [
         (1, 1, 1, 11, 7, "pickup", 3.0, 101.0), (1, 1, 2, 12, 7, "dropoff", 3.1, 101.0), (1, 2, 1, 13, 8, "dropoff", 3.0, 101.0), (1, 2, 2, 14, 8, "pickup", 3.0, 101.0),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
-from waymark.session import cut
+from waymark.session import cut, cut_and_measure
 
 
 def prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -67,15 +67,21 @@ def _at_level(cells: list[str], level: str, names: list[str]) -> list[Column]:
     return [F.call_function("shiftright", F.col(c), F.col(level)).alias(n) for c, n in zip(cells, names)]
 
 
-def _spacing_degrees(targets: DataFrame) -> float:
-    """Typical distance between neighbouring targets, from one small aggregate."""
+CROWDED = 8  # targets of a cell from which it is divided
+FINEST = {True: 1e-6, False: 1e-4}  # edge of the finest cells: degrees on a plane, km on the sphere
+STEP = 3  # levels that a crowded cell is divided at a time
+
+
+def _start_level(targets: DataFrame, planar: bool) -> int:
+    """Level whose cells are about as wide as the mean distance between neighbouring targets, from one small aggregate."""
     row = targets.agg(
         F.count("*").alias("n"), F.min("_tlat").alias("a"), F.max("_tlat").alias("b"), F.min("_tlon").alias("c"), F.max("_tlon").alias("d")
     ).first()
-    if not row["n"] or row["n"] < 2:
-        return 0.01
-    area = max(row["b"] - row["a"], 1e-4) * max(row["d"] - row["c"], 1e-4)
-    return max(math.sqrt(area / row["n"]), 1e-5)
+    degrees = 0.01
+    if row["n"] and row["n"] > 1:
+        degrees = max(math.sqrt(max(row["b"] - row["a"], 1e-4) * max(row["d"] - row["c"], 1e-4) / row["n"]), 1e-5)
+    size = degrees if planar else math.radians(degrees) * geo.EARTH_KM
+    return max(math.ceil(math.log2(size / FINEST[planar])), 0)
 
 
 def nearest(
@@ -85,46 +91,71 @@ def nearest(
 
     Distance is great-circle ``km``, or with ``planar`` straight ``degrees``; ``by`` restricts the search to targets
     of the same group. Cells lie on a sphere, so neither poles nor the date line need care, and double per level.
-    For every occupied point cell the lowest level is found at which the cells around it hold any target; the nearest
-    target then lies in the cells around it two levels higher, because 2 * sqrt(3) cell edges are less than four.
-    Only those candidates are compared. No side is broadcast by hand and no row meets all targets.
-    The targets and the level per point cell are written once, because both are read several times.
+
+    Copies at one coordinate, of points and of targets, are one place. Each occupied cell names one of its targets. Cells start at the
+    mean spacing of the targets; crowded ones are divided until they hold few, wherever they lie. The named targets of the
+    cells around a point bound its distance; only points without any are looked up on coarser levels. Then all targets in
+    the cells around the point that are just as wide as this bound are compared: about as many as neighbours at the local
+    density. No side is broadcast by hand, and a target is copied only to the levels that some point asks for.
     """
     by = by or []
-    t0 = cut(targets.select(*by, F.col(target_key).alias("_t"), F.col("lat").alias("_tlat"), F.col("lon").alias("_tlon")))
-    degrees = _spacing_degrees(t0) / 2
-    size = degrees if planar else math.radians(degrees) * geo.EARTH_KM
-    top = max(math.ceil(math.log2((720 if planar else 2 * geo.EARTH_KM) / size)) + 1, 1)
+    t0 = cut(targets.groupBy(*by, F.col("lat").alias("_tlat"), F.col("lon").alias("_tlon")).agg(F.min(target_key).alias("_t")))
+    p0 = cut(points.where("lat is not null and lon is not null").select(*by, "lat", "lon").distinct())
+    base = FINEST[planar]
+    top = max(math.ceil(math.log2((720 if planar else 2 * geo.EARTH_KM) / base)) + 1, 1)
+    start = min(_start_level(t0, planar), top)
     dims = "xy" if planar else "xyz"
     cells, home, block = ([f"_{kind}{d}" for d in dims] for kind in "chb")
+    gap = geo.degree_distance if planar else geo.arc_km
+    name = "degrees" if planar else "km"
 
     def home_cells(df: DataFrame, lat: str, lon: str) -> DataFrame:
         axes = [F.col(lat), F.col(lon)] if planar else geo.unit_xyz(lat, lon)
-        return df.withColumns({n: F.floor(c / size) for n, c in zip(home, axes)})
+        return df.withColumns({n: F.floor(c / base) for n, c in zip(home, axes)})
 
-    def on_levels(df: DataFrame, *keep: str) -> DataFrame:
-        leveled = df.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(top + 2))))
+    def on_levels(df: DataFrame, levels: list[int], *keep: str) -> DataFrame:
+        leveled = df.withColumn("_level", F.explode(F.array(*map(F.lit, levels))))
         return leveled.select(*by, *keep, "_level", *_at_level(home, "_level", cells))
 
-    p = home_cells(points.select(*by, point_key, "lat", "lon"), "lat", "lon")
-    t = on_levels(home_cells(t0, "_tlat", "_tlon"), "_t", "_tlat", "_tlon")
-    occupied = _around(t.select(*by, "_level", *cells).distinct(), cells)
-    found = cut(
-        on_levels(p.select(*by, *home).distinct(), *home)
-        .where(F.col("_level") <= top)
-        .join(occupied, [*by, "_level", *cells], "left_semi")
-        .groupBy(*by, *home)
-        .agg((F.min("_level") + 2).alias("_level"))
-    )
-    blocks = found.select(*by, "_level", *_at_level(home, "_level", block)).distinct()
-    wanted = _around(blocks.select("*", *[F.col(b).alias(c) for b, c in zip(block, cells)]), cells)
-    candidates = t.join(wanted, [*by, "_level", *cells]).select(*by, "_level", *block, "_t", "_tlat", "_tlon")
-    placed = p.join(found, [*by, *home]).select(*by, point_key, "lat", "lon", "_level", *_at_level(home, "_level", block))
-    gap = geo.degree_distance if planar else geo.arc_km
-    name = "degrees" if planar else "km"
+    def occupied(df: DataFrame, levels: list[int]) -> DataFrame:
+        return on_levels(df, levels, "_t", "_tlat", "_tlon").groupBy(*by, "_level", *cells).agg(F.count("*").alias("_n"), F.min(F.struct("_t", "_tlat", "_tlon")).alias("_named"))
+
+    t, p = home_cells(t0, "_tlat", "_tlon"), home_cells(p0, "lat", "lon")
+    levels = list(range(start, min(start + 2, top) + 1))
+    cover, seen = cut_and_measure(occupied(t, levels), crowded=F.count_if((F.col("_n") > CROWDED) & (F.col("_level") == start)))
+    last, low = cover, start
+    while seen["crowded"] and low > 0:
+        crowded = last.where((F.col("_n") > CROWDED) & (F.col("_level") == low)).select(*by, *cells)
+        finer = list(range(max(low - STEP, 0), low))
+        inside = t.withColumns({c: F.call_function("shiftright", F.col(h), F.lit(low)) for c, h in zip(cells, home)}).join(crowded, [*by, *cells], "left_semi").drop(*cells)
+        low = finer[0]
+        last, seen = cut_and_measure(occupied(inside, finer), crowded=F.count_if((F.col("_n") > CROWDED) & (F.col("_level") == low)))
+        cover, levels = cover.unionByName(last), finer + levels
+
+    def bounded(asked: DataFrame, named: DataFrame, on: list[int]) -> DataFrame:
+        """Points with the distance to the nearest named target in the cells around them, on any of the levels."""
+        around = _around(named.select(*by, "_level", *cells, "_named"), cells)
+        met = on_levels(asked, on, "lat", "lon").join(around, [*by, "_level", *cells])
+        return met.groupBy(*by, "lat", "lon").agg(F.min(gap("lat", "lon", "_named._tlat", "_named._tlon")).alias("_bound"))
+
+    bound, seen = cut_and_measure(p.join(bounded(p, cover, levels), [*by, "lat", "lon"], "left"), open=F.count_if(F.col("_bound").isNull()))
+    if seen["open"] and levels[-1] < top:
+        coarser = list(range(levels[-1] + 1, top + 1))
+        open_ = bound.where("_bound is null").drop("_bound")
+        bound = cut(bound.where("_bound is not null").unionByName(open_.join(bounded(open_, occupied(t, coarser), coarser), [*by, "lat", "lon"])))
+    wide = F.greatest(F.ceil(F.log2(F.greatest("_bound", F.lit(base)) * (1 + 1e-9) / base)), F.lit(0))
+    level = F.least(wide, F.lit(top)).cast("int").alias("_level")
+    placed = bound.where("_bound is not null").select(*by, "lat", "lon", *home, level).select(*by, "lat", "lon", "_level", *_at_level(home, "_level", block))
+    wanted = placed.select(*by, "_level", *block).distinct()
+    asked = sorted(r["_level"] for r in wanted.select("_level").distinct().collect())  # a row per level
+    if not asked:
+        asked = [0]
+    near = _around(wanted.select("*", *[F.col(b).alias(c) for b, c in zip(block, cells)]), cells)
+    candidates = on_levels(t, asked, "_t", "_tlat", "_tlon").join(near, [*by, "_level", *cells]).select(*by, "_level", *block, "_t", "_tlat", "_tlon")
     best = (
         placed.join(candidates, [*by, "_level", *block])
-        .groupBy(*by, point_key)
+        .groupBy(*by, "lat", "lon")
         .agg(F.min(F.struct(gap("lat", "lon", "_tlat", "_tlon").alias("gap"), F.col("_t").alias("t"))).alias("best"))
     )
-    return best.select(*by, point_key, F.col("best.t").alias(target_key), F.col("best.gap").alias(name))
+    found = points.select(*by, point_key, "lat", "lon").join(best, [*by, "lat", "lon"])
+    return found.select(*by, point_key, F.col("best.t").alias(target_key), F.col("best.gap").alias(name))

@@ -83,8 +83,8 @@ def _walk(block: Column, depot: Column, anchor: Column, reach: Column, taken: Co
 def _walk_short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Whole nearest-neighbour tours of packed instances, all instances of one size and share in step with each other."""
     for batch in batches:
-        for (n, share), same in batch.groupby([batch["left"].map(len), "share"]):
-            ids, lat, lon = (np.array([[x[c] for x in row] for row in same["left"]]) for c in ("stop_id", "lat", "lon"))
+        for (n, share), same in batch.groupby(["n", "share"]):
+            ids, lat, lon = (np.stack(same[c]) for c in ("ids", "lat", "lon"))
             depot_lat, depot_lon = same["d_lat"].to_numpy(), same["d_lon"].to_numpy()
             row, open_ = np.arange(len(same)), np.ones((len(same), n), bool)
             order, legs = np.empty((len(same), n), np.int64), np.empty((len(same), n))
@@ -129,7 +129,8 @@ def nearest_tours(depots: DataFrame, stops: DataFrame, vehicles: str | None = No
     short = plan.where(F.col("n") <= block)
     packed = spread(points.join(short.select("instance_id"), "instance_id", "left_semi"), "instance_id").groupBy("instance_id").agg(F.sort_array(F.collect_list(entry)).alias("left"))
     kind = short.schema["instance_id"].dataType.simpleString()
-    walked = packed.join(short, "instance_id").mapInPandas(_walk_short, f"instance_id {kind}, share bigint, pos bigint, stop_id bigint, km double")
+    arrays = packed.select("instance_id", *[F.col(f"left.{c}").alias(n) for c, n in (("stop_id", "ids"), ("lat", "lat"), ("lon", "lon"))])
+    walked = arrays.join(short, "instance_id").mapInPandas(_walk_short, f"instance_id {kind}, share bigint, pos bigint, stop_id bigint, km double")
     done = finish(walked)
     state, seen = cut_and_measure(
         plan.where(F.col("n") > block).select("*", F.col("d_lat").alias("lat"), F.col("d_lon").alias("lon"), F.lit(0).cast("bigint").alias("taken")), open=F.count(F.lit(1))
@@ -182,9 +183,10 @@ def closed_lengths(depots: DataFrame, stops: DataFrame, tours: DataFrame) -> Dat
 def _cover(block: Column, cars: Column) -> Column:
     """Greedy covering steps: the cheapest (vehicle, checkpoint) that serves a cluster still needed, while it is sure.
 
-    ``cars``: array of struct(vehicle, lat, lon, a_lat, a_lon, reach), the last three as in the nearest-neighbour walk.
+    ``cars``: array of struct(vehicle, lat, lon, seq, a_lat, a_lon, reach): where a vehicle is and how many stops it has; the
+    last three as in the nearest-neighbour walk.
     """
-    empty = F.array().cast("array<struct<vehicle:int,stop_id:bigint,km:double>>")
+    empty = F.array().cast("array<struct<vehicle:int,seq:bigint,stop_id:bigint,km:double>>")
     none = F.array().cast("array<bigint>")
     start = F.struct(cars.alias("cars"), none.alias("done"), empty.alias("out"), F.lit(False).alias("halt"))
 
@@ -193,7 +195,7 @@ def _cover(block: Column, cars: Column) -> Column:
 
         def options(v: Column, left: Column) -> Column:
             return F.transform(left, lambda c: F.struct(
-                _between(v, c).alias("km"), v["vehicle"].alias("vehicle"), c["stop_id"].alias("stop_id"),
+                _between(v, c).alias("km"), v["vehicle"].alias("vehicle"), c["stop_id"].alias("stop_id"), v["seq"].alias("seq"),
                 c["lat"].alias("lat"), c["lon"].alias("lon"), c["clusters"].alias("clusters"),
             ))
 
@@ -203,12 +205,11 @@ def _cover(block: Column, cars: Column) -> Column:
                 return v["reach"].isNull() | (best["km"] + _between(anchor, v) <= v["reach"])
 
             cars = F.transform(s["cars"], lambda v: F.when(
-                v["vehicle"] == best["vehicle"], v.withField("lat", best["lat"]).withField("lon", best["lon"])
+                v["vehicle"] == best["vehicle"], v.withField("lat", best["lat"]).withField("lon", best["lon"]).withField("seq", v["seq"] + 1)
             ).otherwise(v))
+            stop = F.struct(best["vehicle"].alias("vehicle"), (best["seq"] + 1).alias("seq"), best["stop_id"].alias("stop_id"), best["km"].alias("km"))
             moved = F.struct(
-                cars.alias("cars"), F.array_union(s["done"], best["clusters"]).alias("done"),
-                F.concat(s["out"], F.array(F.struct(best["vehicle"].alias("vehicle"), best["stop_id"].alias("stop_id"), best["km"].alias("km")))).alias("out"),
-                F.lit(False).alias("halt"),
+                cars.alias("cars"), F.array_union(s["done"], best["clusters"]).alias("done"), F.concat(s["out"], F.array(stop)).alias("out"), F.lit(False).alias("halt"),
             )
             return F.when(F.forall(s["cars"], sure), moved).otherwise(s.withField("halt", F.lit(True)))
 
@@ -221,60 +222,77 @@ def _cover(block: Column, cars: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.size(block)), start, step)
 
 
+def _cover_short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole covering tours of packed instances, stops by id; clusters are bits of a number."""
+    for batch in batches:
+        out: dict[str, list] = {"instance_id": [], "vehicle": [], "seq": [], "stop_id": [], "km": []}
+        for instance, cars, d_lat, d_lon, ids, lat, lon, clusters in zip(*(batch[c] for c in ("instance_id", "cars", "d_lat", "d_lon", "ids", "lat", "lon", "clusters"))):
+            bits: dict[int, int] = {}
+            serves = [sum(1 << bits.setdefault(c, len(bits)) for c in own) for own in clusters]
+            gaps = np.repeat(_arc_km(np.array([d_lat]), np.array([d_lon]), lat, lon)[None, :], max(cars, 1), axis=0)
+            need, seq = (1 << len(bits)) - 1, [0] * len(gaps)
+            while need:
+                gaps[:, [not s & need for s in serves]] = np.inf
+                v, k = divmod(int(gaps.argmin()), len(ids))  # ties: lower vehicle, then lower checkpoint
+                seq[v] += 1
+                for name, value in zip(out, (instance, v, seq[v], ids[k], gaps[v, k])):
+                    out[name].append(value)
+                need &= ~serves[k]
+                gaps[v] = _arc_km(lat[k], lon[k], lat, lon)
+        yield pd.DataFrame(out)
+
+
 def covering_tours(depots: DataFrame, served: DataFrame, vehicles: str | None = None, block: int = BLOCK) -> DataFrame:
     """Covering tours: rows (instance_id, vehicle, seq, stop_id, km).
 
     ``served``: instance_id, stop_id, lat, lon, cluster_id, one row per required cluster that a checkpoint serves.
     Each step takes the cheapest (vehicle, checkpoint) among checkpoints that serve a cluster not yet covered, until
-    nothing is left to cover; the depot is no checkpoint. Ties: lower vehicle, then lower checkpoint. Larger
-    instances are worked in rounds on the checkpoints nearest to each vehicle, with the same result.
+    nothing is left to cover; the depot is no checkpoint. Ties: lower vehicle, then lower checkpoint. Instances of up to ``block``
+    checkpoints take one pass. Larger ones are worked in rounds on the checkpoints nearest to each vehicle, with the same result.
     """
     wanted = F.col(vehicles).cast("int") if vehicles else F.lit(1)
-    car = F.explode(F.sequence(F.lit(0), wanted - 1)).alias("vehicle")
-    state = depots.select("instance_id", F.col("lat").alias("d_lat"), F.col("lon").alias("d_lon"), car).select(
-        "*", F.col("d_lat").alias("lat"), F.col("d_lon").alias("lon")
-    )
+    columns = ["instance_id", "vehicle", "seq", "stop_id", "km"]
     need = cut(served.select("instance_id", "stop_id", "lat", "lon", "cluster_id").distinct())
-    largest = need.groupBy("instance_id").agg(F.count_distinct("stop_id").alias("n")).agg(F.max("n")).first()[0] or 0
-    whole = largest <= block
-    if not whole:
-        state = cut(state)
-    placed, turn = None, 0
+    sizes = cut(need.groupBy("instance_id").agg(F.count_distinct("stop_id").alias("n")))
+    home = depots.select("instance_id", F.col("lat").alias("d_lat"), F.col("lon").alias("d_lon"), F.greatest(wanted, F.lit(1)).alias("cars"))
+
+    def checkpoints(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("instance_id", "stop_id", "lat", "lon").agg(F.collect_set("cluster_id").alias("clusters"))
+
+    short = checkpoints(need.join(sizes.where(F.col("n") <= block), "instance_id", "left_semi"))
+    stop = F.struct("stop_id", "lat", "lon", "clusters")
+    packed = spread(short, "instance_id").groupBy("instance_id").agg(F.sort_array(F.collect_list(stop)).alias("left"))
+    arrays = packed.select("instance_id", *[F.col(f"left.{c}").alias(n) for c, n in (("stop_id", "ids"), ("lat", "lat"), ("lon", "lon"), ("clusters", "clusters"))])
+    kind = depots.schema["instance_id"].dataType.simpleString()
+    done = arrays.join(home, "instance_id").mapInPandas(_cover_short, f"instance_id {kind}, vehicle int, seq bigint, stop_id bigint, km double")
+
+    need, seen = cut_and_measure(need.join(sizes.where(F.col("n") > block), "instance_id", "left_semi"), n=F.count(F.lit(1)))
+    if not seen["n"]:
+        return done
+    car = home.join(sizes.where(F.col("n") > block), "instance_id").withColumn("vehicle", F.explode(F.sequence(F.lit(0), F.col("cars") - 1)))
+    state = cut(car.select("instance_id", "vehicle", F.col("d_lat").alias("lat"), F.col("d_lon").alias("lon"), F.lit(0).cast("bigint").alias("seq")))
     while True:
-        checkpoint = need.groupBy("instance_id", "stop_id", "lat", "lon").agg(F.collect_set("cluster_id").alias("clusters"))
-        anchored = state.select("instance_id", "vehicle", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
-        if whole:
-            near = checkpoint
-            cars = anchored.withColumn("reach", F.lit(None).cast("double"))
-        else:
-            order = Window.partitionBy("instance_id", "vehicle").orderBy("gap", "stop_id")
-            gaps = checkpoint.join(anchored, "instance_id").withColumn("gap", geo.arc_km("a_lat", "a_lon", "lat", "lon"))
-            ranked = cut(gaps.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= block))
-            near = ranked.select("instance_id", "stop_id", "lat", "lon", "clusters").dropDuplicates(["instance_id", "stop_id"])
-            sizes = need.groupBy("instance_id").agg(F.count_distinct("stop_id").alias("n"))
-            reach = ranked.groupBy("instance_id", "vehicle").agg(F.max("gap").alias("reach")).join(sizes, "instance_id").select(
-                "instance_id", "vehicle", F.when(F.col("n") > block, F.col("reach")).alias("reach")
-            )
-            cars = anchored.join(reach, ["instance_id", "vehicle"])
-        team = cars.groupBy("instance_id").agg(F.sort_array(F.collect_list(F.struct(
-            "vehicle", F.col("a_lat").alias("lat"), F.col("a_lon").alias("lon"), "a_lat", "a_lon", "reach"
+        checkpoint = checkpoints(need)
+        anchored = state.select("instance_id", "vehicle", "seq", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
+        order = Window.partitionBy("instance_id", "vehicle").orderBy("gap", "stop_id")
+        gaps = checkpoint.join(anchored, "instance_id").withColumn("gap", geo.arc_km("a_lat", "a_lon", "lat", "lon"))
+        ranked = cut(gaps.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= block))
+        near = ranked.select("instance_id", "stop_id", "lat", "lon", "clusters").dropDuplicates(["instance_id", "stop_id"])
+        left = need.groupBy("instance_id").agg(F.count_distinct("stop_id").alias("n"))
+        reach = ranked.groupBy("instance_id", "vehicle").agg(F.max("gap").alias("reach")).join(left, "instance_id").select(
+            "instance_id", "vehicle", F.when(F.col("n") > block, F.col("reach")).alias("reach")
+        )
+        team = anchored.join(reach, ["instance_id", "vehicle"]).groupBy("instance_id").agg(F.sort_array(F.collect_list(F.struct(
+            "vehicle", F.col("a_lat").alias("lat"), F.col("a_lon").alias("lon"), "seq", "a_lat", "a_lon", "reach"
         ))).alias("cars"))
-        grouped = spread(near, "instance_id").groupBy("instance_id").agg(F.collect_list(F.struct("stop_id", "lat", "lon", "clusters")).alias("left")).join(team, "instance_id")
-        end = grouped.select("instance_id", _cover(F.col("left"), F.col("cars")).alias("e"))
-        if whole:
-            rows = end.select("instance_id", F.posexplode("e.out").alias("step", "o")).select("instance_id", "step", "o.*")
-            return ranks.position(rows, ["instance_id", "vehicle"], "step", "seq").drop("step")
-        end = cut(end)
-        rows = end.select("instance_id", F.posexplode("e.out").alias("step", "o")).select("instance_id", "step", "o.*")
-        rows = rows.withColumn("step", F.col("step") + F.lit(turn << 32))
-        turn += 1
-        placed = rows if placed is None else placed.unionByName(rows)
-        done = end.select("instance_id", F.explode("e.done").alias("cluster_id"))
-        need, seen = cut_and_measure(need.join(done, ["instance_id", "cluster_id"], "left_anti").select(need.columns), n=F.count(F.lit(1)))
+        grouped = spread(near, "instance_id").groupBy("instance_id").agg(F.collect_list(stop).alias("left")).join(team, "instance_id")
+        end = cut(grouped.select("instance_id", _cover(F.col("left"), F.col("cars")).alias("e")))
+        done = done.unionByName(end.select("instance_id", F.explode("e.out").alias("o")).select("instance_id", "o.*").select(columns))
+        covered = end.select("instance_id", F.explode("e.done").alias("cluster_id"))
+        need, seen = cut_and_measure(need.join(covered, ["instance_id", "cluster_id"], "left_anti").select(need.columns), n=F.count(F.lit(1)))
         if not seen["n"]:
-            return ranks.position(placed, ["instance_id", "vehicle"], "step", "seq").drop("step")
-        moved = end.select("instance_id", F.explode("e.cars").alias("c")).select("instance_id", "c.vehicle", "c.lat", "c.lon")
-        state = cut(moved)
+            return done
+        state = cut(end.select("instance_id", F.explode("e.cars").alias("c")).select("instance_id", "c.vehicle", "c.lat", "c.lon", "c.seq"))
 
 
 # ---- improvement and exact tours --------------------------------------------------------------------------------------

@@ -61,7 +61,7 @@ def _(t):
  union all select preset_id, row_number() over (partition by preset_id order by stop_id), stop_id, n from (select preset_id, stop_id, count(distinct cluster_id) as n from served group by 1, 2))""",
     "preset_locations locations location_clusters security_checkpoints",
     """required as (select distinct preset_id, cluster_id from preset_locations join location_clusters using (location_id) where not is_warehouse),
- keyed as (select preset_id, cluster_id, checkpoint_id, lat, lon, printf('%.6f,%.6f', lat, lon) as k from required join security_checkpoints using (cluster_id) where confidence > 0.5),
+ keyed as (select preset_id, cluster_id, checkpoint_id, lat, lon, printf('%.6f,%.6f', lat, lon) as k from required join security_checkpoints using (cluster_id)),
  served as (select preset_id, min(checkpoint_id) over (partition by preset_id, k) as stop_id, arg_min(lat, checkpoint_id) over (partition by preset_id, k) as lat, arg_min(lon, checkpoint_id) over (partition by preset_id, k) as lon, cluster_id from keyed)""",
 )
 def _(t):
@@ -72,8 +72,7 @@ def _(t):
 
 
 def prepared(t):
-    confirmed = t.security_checkpoints.where("confidence > 0.5")
-    return scenario.prepare_instances(t.presets, t.preset_locations, t.locations, t.location_clusters, confirmed)
+    return scenario.prepare_instances(t.presets, t.preset_locations, t.locations, t.location_clusters, t.security_checkpoints)
 
 
 @register("r2_nearest_neighbor_tours", "select preset_id as instance_id, step as seq, stop_id, round(km, 6) as km from walk where step > 0", _SV, _ONE, recursive=True)
@@ -141,7 +140,7 @@ def _(t):
 
 
 _REQUIRED = """required as (select distinct preset_id, cluster_id from preset_locations join location_clusters using (location_id) where not is_warehouse),
- keyed as (select preset_id, cluster_id, checkpoint_id, lat, lon, printf('%.6f,%.6f', lat, lon) as k from required join security_checkpoints using (cluster_id) where confidence > 0.5),
+ keyed as (select preset_id, cluster_id, checkpoint_id, lat, lon, printf('%.6f,%.6f', lat, lon) as k from required join security_checkpoints using (cluster_id)),
  served as (select preset_id, min(checkpoint_id) as stop_id, arg_min(lat, checkpoint_id) as lat, arg_min(lon, checkpoint_id) as lon, list(distinct cluster_id) as clusters from keyed group by preset_id, k),
  depots as (select preset_id, lat, lon from preset_locations join locations using (location_id) where is_warehouse)"""
 _GAP = duck.hav("w.cars[v].lat", "w.cars[v].lon", "s.lat", "s.lon")
@@ -174,7 +173,7 @@ def _(t):
 
 @register(
     "r9_algorithm_choice",
-    f"""select preset_id as instance_id, case when cast(right(preset_id, 1) as int) % 3 = 0 then 'nearest_neighbor' else 'two_opt' end as algorithm_used, count(*) + 1 as n_nodes,
+    f"""select preset_id as instance_id, case when cast(right(preset_id, 1) as int) % 3 = 0 then 'nearest_neighbor' else 'two_opt' end as algorithm_used, count(*) + 1 as n_nodes, true as not_longer,
  case when cast(right(preset_id, 1) as int) % 3 = 0 then round(sum(w.km) + max(case when step = n then {duck.hav('w.lat', 'w.lon', 'd_lat', 'd_lon')} end), 6) end as km
  from walk w join shares using (preset_id) join (select preset_id, max(step) as n from walk group by 1) using (preset_id) group by 1""",
     _SV,
@@ -186,9 +185,35 @@ def _(t):
     digit = F.substring("instance_id", -1, 1).cast("int") % 3
     named = depots.withColumn("algorithm", F.when(digit == 0, "nearest_neighbor").when(digit == 1, "two_opt").otherwise("mystery"))
     paths = scenario.solve_static(named, stops)
-    sizes = paths.groupBy("instance_id", "algorithm_used", "route_id").agg(F.count("*").alias("n_nodes"))
     km = F.when(F.col("algorithm_used") == "nearest_neighbor", F.round("km", 6))
-    return sizes.join(tours.path_lengths(paths), "route_id").select("instance_id", "algorithm_used", "n_nodes", km.alias("km"))
+    return _not_longer(paths, tours.closed_paths(depots, stops, tours.nearest_tours(depots, stops))).withColumn("km", km)
+
+
+def _not_longer(paths, first):
+    """Solved paths with their length, and whether it is at most that of the tours they started from."""
+    sizes = paths.groupBy("instance_id", "algorithm_used", "route_id").agg(F.count("*").alias("n_nodes"))
+    start = tours.path_lengths(first).withColumnRenamed("km", "first_km")
+    joined = sizes.join(tours.path_lengths(paths), "route_id").join(start, "route_id")
+    return joined.select("instance_id", "algorithm_used", "n_nodes", (F.col("km") <= F.col("first_km") + 1e-9).alias("not_longer"), "km")
+
+
+@register(
+    "r9_checkpoint_solver",
+    f"""select preset_id as instance_id, case when cast(right(preset_id, 1) as int) % 2 = 0 then 'heuristic' else 'two_opt' end as algorithm_used, count(*) + 1 as n_nodes, true as not_longer,
+ case when cast(right(preset_id, 1) as int) % 2 = 0 or count(*) <= 3 then round(sum(c.km) + max(case when step = n then {duck.hav('s.lat', 's.lon', 'd.lat', 'd.lon')} end), 6) end as km
+ from cover c join (select preset_id, max(step) as n from cover group by 1 having max(step) > 0) using (preset_id) join depots d using (preset_id) left join served s on s.preset_id = c.preset_id and s.stop_id = c.stop_id group by 1""",
+    _CV,
+    _cover(1),
+    recursive=True,
+)
+def _(t):
+    p = prepared(t)
+    named = p["depots"].withColumn("algorithm", F.when(F.substring("instance_id", -1, 1).cast("int") % 2 == 0, "heuristic").otherwise("two_opt"))
+    stops = p["served"].select("instance_id", "stop_id", "lat", "lon").distinct()
+    first = tours.closed_paths(p["depots"], stops, tours.covering_tours(p["depots"], p["served"]))
+    # with one or two stops there is nothing to exchange; longer improved tours have no SQL
+    km = F.when((F.col("algorithm_used") == "heuristic") | (F.col("n_nodes") <= 4), F.round("km", 6))
+    return _not_longer(scenario.solve_checkpoints(named, p["served"]), first).withColumn("km", km)
 
 
 @register(
@@ -206,9 +231,18 @@ def _(t):
     return rows.select("instance_id", "vehicle", "seq", "idx", "kind", "clusters_served")
 
 
-@register("r11_missing_clusters", "select preset_id as instance_id, cluster_id from required where (preset_id, cluster_id) not in (select preset_id, cluster_id from keyed)", _CV, _REQUIRED)
+@register(
+    "r11_missing_clusters",
+    "select preset_id as instance_id, cluster_id from required where (preset_id, cluster_id) not in (select preset_id, cluster_id from keyed)",
+    _CV,
+    _REQUIRED.replace("join location_clusters using", "join grown using").replace("required as", """grown as (select location_id, cluster_id from location_clusters
+ union all select location_id, 1000 + location_id % 7 from locations where location_id % 10 = 9), required as""", 1),
+)
 def _(t):
-    p = prepared(t)
+    # unclustered locations get new clusters, which have no checkpoint yet
+    fresh = t.locations.where("location_id % 10 = 9").selectExpr("location_id", "cast(1000 + location_id % 7 as int) as cluster_id")
+    grown = t.location_clusters.select("location_id", F.col("cluster_id").cast("int").alias("cluster_id")).unionByName(fresh)
+    p = scenario.prepare_instances(t.presets, t.preset_locations, t.locations, grown, t.security_checkpoints)
     tour = tours.covering_tours(p["depots"], p["served"])
     return scenario.missing_clusters(p["required"], tour, p["served"])
 
@@ -268,17 +302,17 @@ def _h(a, b):
     return duck.hav(f"{a}_lat", f"{a}_lon", f"{b}_lat", f"{b}_lon")
 
 
-_SLOTS = f"""homes as (select o_orderkey as route_id, lat as h_lat, lon as h_lon from orders join locations on location_id = o_custkey),
- chain as (select route_id, seq, lat, lon from route_stops union all select route_id, 0, h_lat, h_lon from homes where route_id in (select route_id from route_stops)),
+_SLOTS = f"""homes as materialized (select o_orderkey as route_id, lat as h_lat, lon as h_lon from orders join locations on location_id = o_custkey),
+ chain as materialized (select route_id, seq, lat, lon from route_stops union all select route_id, 0, h_lat, h_lon from homes where route_id in (select route_id from route_stops)),
  sizes as (select route_id, max(seq) as n from route_stops group by 1),
- gaps as (select c.route_id, pair_id, c.seq - vehicle_key % 7 as slot, c.lat as a_lat, c.lon as a_lon, coalesce(x.lat, h_lat) as b_lat, coalesce(x.lon, h_lon) as b_lon, x.lat is null as last,
+ gaps as materialized (select c.route_id, pair_id, c.seq - vehicle_key % 7 as slot, c.lat as a_lat, c.lon as a_lon, coalesce(x.lat, h_lat) as b_lat, coalesce(x.lon, h_lon) as b_lon, x.lat is null as last,
   pickup_lat as p_lat, pickup_lon as p_lon, dropoff_lat as q_lat, dropoff_lon as q_lon from chain c join dynamic_pairs on pair_id = c.route_id join sizes s on s.route_id = c.route_id join homes h on h.route_id = c.route_id
   left join route_stops x on x.route_id = c.route_id and x.seq = c.seq + 1 where c.seq >= vehicle_key % 7 and vehicle_key % 7 <= n),
- slots as (select *, {_h('a', 'p')} + {_h('p', 'b')} - {_h('a', 'b')} as add_p, {_h('a', 'q')} + {_h('q', 'b')} - {_h('a', 'b')} as add_q, {_h('a', 'p')} + {_h('p', 'q')} + {_h('q', 'b')} - {_h('a', 'b')} as add_pq from gaps),
+ slots as materialized (select *, {_h('a', 'p')} + {_h('p', 'b')} - {_h('a', 'b')} as add_p, {_h('a', 'q')} + {_h('q', 'b')} - {_h('a', 'b')} as add_q, {_h('a', 'p')} + {_h('p', 'q')} + {_h('q', 'b')} - {_h('a', 'b')} as add_pq from gaps),
  options as (select route_id, pair_id, slot as p, slot as q, add_pq as km from slots union all select a.route_id, a.pair_id, a.slot, b.slot, a.add_p + b.add_q from slots a join slots b on a.route_id = b.route_id and a.slot < b.slot),
  best as (select route_id, pair_id, min(km) as added from options group by 1, 2),
  tail as (select route_id, add_pq as appended from slots where last),
- whole as (select route_id, sum(km) as km from (select a.route_id, {duck.hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} as km from chain a join chain b on a.route_id = b.route_id and b.seq = a.seq + 1
+ whole as materialized (select route_id, sum(km) as km from (select a.route_id, {duck.hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} as km from chain a join chain b on a.route_id = b.route_id and b.seq = a.seq + 1
   union all select r.route_id, {duck.hav('lat', 'lon', 'h_lat', 'h_lon')} from route_stops r join sizes s on s.route_id = r.route_id and n = seq join homes h on h.route_id = r.route_id) group by 1)"""
 _IV = "dynamic_pairs route_stops locations"
 
@@ -291,7 +325,7 @@ def _(t):
 
 @register("r14_exact_reorder")
 def _(t):
-    return _r(scenario.best_reorder(routes(t), route_depots(t), requests(t), 8).select("instance_id", "km"), "km")
+    return _r(scenario.best_reorder(routes(t), route_depots(t), requests(t), 8).select("instance_id", "km", "error"), "km")
 
 
 @register("r15_append_pair", "select route_id, round(km + appended, 6) as km from tail join whole using (route_id)", _IV, _SLOTS)
@@ -303,17 +337,51 @@ def _(t):
 
 @register(
     "r16_insert_pairs",
-    "select route_id, round(km + least(added, appended), 6) as km, 'A' as strategy, round(km + added, 6) as strategy_a_km, round(km + appended, 6) as strategy_b_km, n + 2 as n_stops from best join tail using (route_id) join whole using (route_id) join sizes using (route_id)",
+    "select route_id, round(km + least(added, appended), 6) as km, round(km + added, 6) as strategy_a_km, round(km + appended, 6) as strategy_b_km, n + 2 as n_stops from best join tail using (route_id) join whole using (route_id) join sizes using (route_id)",
     _IV,
     _SLOTS,
 )
 def _(t):
     rebuilt, report = scenario.insert_pairs(routes(t), route_depots(t), requests(t))
     lengths = scenario.closed_route_lengths(rebuilt, route_depots(t)).join(rebuilt.groupBy("route_id").agg(F.max("seq").alias("n_stops")), "route_id")
-    rows = report.drop("km").join(lengths, "route_id").select("route_id", "km", "strategy", "strategy_a_km", "strategy_b_km", "n_stops")
+    rows = report.drop("km").join(lengths, "route_id").select("route_id", "km", "strategy_a_km", "strategy_b_km", "n_stops")
     return _r(rows, "km", "strategy_a_km", "strategy_b_km")
 
 
+def _turn(n: int, pairs: str) -> str:
+    """``WITH`` parts that place one pair per route into the chain of stops ``chain{n}`` and make ``chain{n + 1}``."""
+    return f"""point{n} as materialized (select p.route_id, c.seq as point, pickup_lat as p_lat, pickup_lon as p_lon, dropoff_lat as q_lat, dropoff_lon as q_lon from {pairs} p join chain{n} c on c.route_id = p.route_id and c.was = p.at),
+ gaps{n} as materialized (select c.route_id, c.seq - point as slot, c.lat as a_lat, c.lon as a_lon, coalesce(x.lat, h_lat) as b_lat, coalesce(x.lon, h_lon) as b_lon, p_lat, p_lon, q_lat, q_lon
+  from chain{n} c join point{n} p on p.route_id = c.route_id join homes h on h.route_id = c.route_id left join chain{n} x on x.route_id = c.route_id and x.seq = c.seq + 1 where c.seq >= point),
+ slots{n} as materialized (select route_id, slot, {_h('a', 'p')} + {_h('p', 'b')} - {_h('a', 'b')} as add_p, {_h('a', 'q')} + {_h('q', 'b')} - {_h('a', 'b')} as add_q, {_h('a', 'p')} + {_h('p', 'q')} + {_h('q', 'b')} - {_h('a', 'b')} as add_pq from gaps{n}),
+ best{n} as materialized (select route_id, arg_min(struct_pack(p := p, q := q), (km, p, q)) as m from (select route_id, slot as p, slot as q, add_pq as km from slots{n}
+  union all select a.route_id, a.slot, b.slot, a.add_p + b.add_q from slots{n} a join slots{n} b on a.route_id = b.route_id and a.slot < b.slot) group by 1),
+ chain{n + 1} as materialized (select c.route_id, c.seq + coalesce(cast(c.seq > point + m.p as int), 0) + coalesce(cast(c.seq > point + m.q as int), 0) as seq, lat, lon, was from chain{n} c left join point{n} p on p.route_id = c.route_id left join best{n} b on b.route_id = c.route_id
+  union all select route_id, point + m.p + 1, p_lat, p_lon, null from point{n} join best{n} using (route_id) union all select route_id, point + m.q + 2, q_lat, q_lon, null from point{n} join best{n} using (route_id))"""
+
+
+_TWO = f"""homes as materialized (select o_orderkey as route_id, lat as h_lat, lon as h_lon from orders join locations on location_id = o_custkey),
+ chain1 as materialized (select route_id, seq, lat, lon, seq as was from route_stops union all select route_id, 0, h_lat, h_lon, 0 from homes where route_id in (select route_id from route_stops)),
+ first_pairs as (select pair_id as route_id, vehicle_key % 7 as at, pickup_lat, pickup_lon, dropoff_lat, dropoff_lon from dynamic_pairs),
+ second_pairs as (select pair_id as route_id, vehicle_key % 3 as at, dropoff_lat as pickup_lat, dropoff_lon as pickup_lon, pickup_lat as dropoff_lat, pickup_lon as dropoff_lon from dynamic_pairs),
+ {_turn(1, 'first_pairs')}, {_turn(2, 'second_pairs')}"""
+
+
+@register(
+    "r16_insert_several_pairs",
+    f"""select a.route_id, round(sum({duck.hav('a.lat', 'a.lon', 'coalesce(b.lat, h_lat)', 'coalesce(b.lon, h_lon)')}), 5) as km, max(a.seq) as n_stops, count(distinct a.seq) as n_places
+ from chain3 a join homes h on h.route_id = a.route_id left join chain3 b on b.route_id = a.route_id and b.seq = a.seq + 1 group by 1""",
+    _IV,
+    _TWO,
+)
+def _(t):
+    back = {f"{a}_{c}": F.col(f"{b}_{c}") for a, b in (("pickup", "dropoff"), ("dropoff", "pickup")) for c in ("lat", "lon")}
+    second = t.dynamic_pairs.select(F.col("pair_id").alias("route_id"), (F.col("pair_id") + 10**9).alias("pair_id"), (F.col("vehicle_key") % 3).alias("insertion_point"), *[v.alias(k) for k, v in back.items()])
+    rebuilt, _ = scenario.insert_pairs(routes(t), route_depots(t), requests(t).unionByName(second))
+    sizes = rebuilt.groupBy("route_id").agg(F.max("seq").alias("n_stops"), (F.count_distinct("seq") + 1).alias("n_places"))
+    return sizes.join(scenario.closed_route_lengths(rebuilt, route_depots(t)), "route_id").withColumn("km", F.round("km", 5))
+
+
 @register(
     "r17_needed_legs",
     "select distinct printf('route:%.5f,%.5f:%.5f,%.5f', a.lat, a.lon, b.lat, b.lon) as leg_key from route_stops a join route_stops b on a.route_id = b.route_id and b.seq = a.seq + 1",
@@ -348,11 +416,11 @@ _TYPED = """typed as (select r.*, n, case when seq = 1 then case when o_ordersta
 
 @register(
     "r18_audit_routes",
-    """select route_id, null as node_id, 'precedence' as rule from typed where type = 'dropoff' and (o_status_f or n = 1) union all
+    """select route_id, null as node_id, 'precedence' as rule from typed where type = 'dropoff' and (o_status_f or n = 1) union all select route_id, null, 'unfinished' from typed where type = 'pickup' and n = 1 union all
  select null, f.first, 'missing' from location_clusters l join (select cluster_id, min(checkpoint_id) as first from security_checkpoints group by 1) f using (cluster_id) where not exists (select 1 from route_stops r where r.run_id = l.location_id and r.checkpoint_id = f.first)
- union all select route_id, null, 'too long' from legs group by 1 having sum(km) > 60""".replace("o_status_f", "seq = 1"),
-    "route_stops location_clusters security_checkpoints",
-    f"{_LEGS}, {_TYPED}",
+ union all select route_id, null, 'too long' from whole where km > 120""".replace("o_status_f", "seq = 1"),
+    "route_stops location_clusters security_checkpoints dynamic_pairs locations",
+    f"{_SLOTS}, {_TYPED}",
 )
 def _(t):
     size = t.route_stops.groupBy("route_id").agg(F.max("seq").alias("n"))
@@ -362,7 +430,7 @@ def _(t):
     planned = base.select("run_id", "route_id", "seq", F.col("checkpoint_id").alias("node_id"), F.col("route_id").alias("pair_id"), kind.alias("type"), "lat", "lon")
     first = reports.first_checkpoint(t.security_checkpoints).select("cluster_id", F.col("checkpoint_id").alias("node_id"))
     mandatory = t.location_clusters.join(first, "cluster_id").select(F.col("location_id").alias("run_id"), "node_id")
-    return scenario.audit_routes(planned, mandatory, 60).select("route_id", "node_id", "rule")
+    return scenario.audit_routes(planned, mandatory, 120, route_depots(t)).select("route_id", "node_id", "rule")
 
 
 @register(

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
 from waymark.operators import lookups, ranks, tours
-from waymark.session import cut
+from waymark.session import cut, cut_and_measure
 
 PAGE = 1000
 # Fixed value: the longest route that a solver accepts.
@@ -69,6 +69,19 @@ def solve_static(depots: DataFrame, stops: DataFrame, vehicles: str | None = Non
     return tagged.where("algorithm_used <> 'two_opt'").unionByName(improved.join(owner, "route_id"))
 
 
+def solve_checkpoints(depots: DataFrame, served: DataFrame, vehicles: str | None = None) -> DataFrame:
+    """Covering tours by each instance's ``algorithm``: the covering heuristic, improved by 2-opt for two_opt.
+
+    Returns paths with the depot at both ends: instance_id, route_id, seq, node_id, lat, lon, algorithm_used.
+    """
+    chosen = F.when(F.col("algorithm") == "two_opt", F.col("algorithm")).otherwise("heuristic")
+    stops = served.select("instance_id", "stop_id", "lat", "lon").distinct()
+    first = cut(tours.closed_paths(depots, stops, tours.covering_tours(depots, served, vehicles)).join(depots.select("instance_id", chosen.alias("algorithm_used")), "instance_id"))
+    improved = tours.two_opt(first.where("algorithm_used = 'two_opt'"))
+    owner = first.select("route_id", "instance_id", "algorithm_used").distinct()
+    return first.where("algorithm_used <> 'two_opt'").unionByName(improved.join(owner, "route_id"))
+
+
 def solution_rows(tour: DataFrame, nodes: DataFrame, served: DataFrame) -> DataFrame:
     """Path rows of solved instances: the depot at both ends, and the number of required clusters each stop serves."""
     clusters = served.groupBy("instance_id", "stop_id").agg(F.count_distinct("cluster_id").alias("clusters_served"))
@@ -190,51 +203,74 @@ def closed_route_lengths(routes: DataFrame, depots: DataFrame) -> DataFrame:
 
 
 def insert_pairs(routes: DataFrame, depots: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rebuilt routes, report): each request's pair placed by the shorter of insertion (A) and appending (B).
+    """(rebuilt routes, report): the pairs of each route placed one after the other by pair_id, each at its cheapest place.
 
-    The report has both distances over the full path, the choice, and the length before. At most one request per
-    route and call.
+    An insertion point counts stops of the route as given: what was inserted before does not shift it. Every stop stays, in its
+    order. The report has the length before a pair, with it (``km``, the inserted route A) and with the pair appended at the end (B).
+    Appending is one of the places that are compared, so A is never longer than B and is always taken. Requests with a
+    point outside of their route are left out; ``split_routes`` reports them. One round per pair of the route that has most.
     """
-    slots = cut(insertion_slots(routes, depots, requests))
-    plan = best_insertion(slots).join(appended(slots), ["route_id", "pair_id"]).join(closed_route_lengths(routes, depots), "route_id")
-    a, b = F.col("km") + F.col("added_km"), F.col("km") + F.col("appended_km")
-    lengths = slots.groupBy("route_id", "pair_id").agg(F.max("slot").alias("end"))
-    report = cut(plan.join(lengths, ["route_id", "pair_id"]).select(
-        "route_id", "pair_id", "insertion_point", F.col("km").alias("before_km"), a.alias("strategy_a_km"), b.alias("strategy_b_km"),
-        F.when(a <= b, "A").otherwise("B").alias("strategy"), F.least(a, b).alias("km"),
-        F.when(a <= b, F.col("pickup_slot")).otherwise(F.col("end")).alias("p"), F.when(a <= b, F.col("dropoff_slot")).otherwise(F.col("end")).alias("q"),
-    ))
-    moved = routes.join(report.select("route_id", "insertion_point", "p", "q"), "route_id", "left")
-    after = [F.coalesce((F.col("seq") > F.col("insertion_point") + F.col(c)).cast("bigint"), F.lit(0)) for c in ("p", "q")]
-    old = moved.select("route_id", (F.col("seq") + after[0] + after[1]).alias("seq"), "lat", "lon", F.lit("stop").alias("type"), F.lit(False).alias("is_dynamic"))
-    ends = report.join(requests, ["route_id", "pair_id", "insertion_point"])
-    new = [
-        ends.select("route_id", (F.col("insertion_point") + F.col(slot) + offset).alias("seq"), F.col(f"{name}_lat").alias("lat"), F.col(f"{name}_lon").alias("lon"), F.lit(name).alias("type"), F.lit(True).alias("is_dynamic"))
-        for name, slot, offset in (("pickup", "p", 1), ("dropoff", "q", 2))
-    ]
-    return old.unionByName(new[0]).unionByName(new[1]), report.drop("p", "q")
+    order = Window.partitionBy("route_id").orderBy("pair_id")
+    _, wrong = split_routes(routes, requests)
+    turns, seen = cut_and_measure(requests.join(wrong, ["route_id", "pair_id"], "left_anti").withColumn("turn", F.row_number().over(order)), n=F.max("turn"))
+    current = routes.select("route_id", "seq", "lat", "lon", F.lit("stop").alias("type"), F.lit(False).alias("is_dynamic"), F.col("seq").alias("was"))
+    report = None
+    for turn in range(1, (seen["n"] or 0) + 1):
+        here = turns.where(F.col("turn") == turn).withColumn("was", F.col("insertion_point"))
+        at = current.where("was is not null").select("route_id", "was", F.col("seq").alias("place"))
+        placed = here.join(at, ["route_id", "was"], "left").withColumn("insertion_point", F.coalesce("place", F.lit(0).cast("bigint"))).drop("place", "turn")
+        slots = cut(insertion_slots(current, depots, placed.drop("was")))
+        plan = best_insertion(slots).join(appended(slots), ["route_id", "pair_id"]).join(closed_route_lengths(current, depots), "route_id")
+        best = cut(plan.join(placed.drop("insertion_point"), ["route_id", "pair_id"]))
+        moved = current.join(best.select("route_id", "insertion_point", F.col("pickup_slot").alias("p"), F.col("dropoff_slot").alias("q")), "route_id", "left")
+        after = [F.coalesce((F.col("seq") > F.col("insertion_point") + F.col(c)).cast("bigint"), F.lit(0)) for c in ("p", "q")]
+        old = moved.withColumn("seq", F.col("seq") + after[0] + after[1]).select(current.columns)
+        new = [
+            best.select(
+                "route_id", (F.col("insertion_point") + F.col(f"{name}_slot") + offset).alias("seq"), F.col(f"{name}_lat").alias("lat"), F.col(f"{name}_lon").alias("lon"),
+                F.lit(name).alias("type"), F.lit(True).alias("is_dynamic"), F.lit(None).cast("bigint").alias("was"),
+            )
+            for name, offset in (("pickup", 1), ("dropoff", 2))
+        ]
+        current = cut(old.unionByName(new[0]).unionByName(new[1]))
+        told = best.select(
+            "route_id", "pair_id", F.col("was").alias("insertion_point"), F.col("km").alias("before_km"),
+            (F.col("km") + F.col("added_km")).alias("strategy_a_km"), (F.col("km") + F.col("appended_km")).alias("strategy_b_km"), (F.col("km") + F.col("added_km")).alias("km"),
+        )
+        report = told if report is None else report.unionByName(told)
+    if report is None:
+        empty = "insertion_point bigint, before_km double, strategy_a_km double, strategy_b_km double, km double"
+        report = requests.select("route_id", "pair_id", *[F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in empty.split(", ")]).where("false")
+    return current.drop("was"), report
 
 
 def best_reorder(routes: DataFrame, depots: DataFrame, requests: DataFrame, limit: int = 10) -> DataFrame:
-    """Exact order of the remaining stops and the pair, pickup first, for requests with at most ``limit`` stops left.
+    """Exact order of the remaining stops and the pair, pickup first: a row (instance_id, ids, km, error) for every request.
 
-    (route_id, pair_id, ids, km): ids are node ids, -1 the pickup and -2 the drop-off; km from the current place to the depot.
+    ids are node ids, -1 the pickup and -2 the drop-off; km from the current place to the depot. Time and memory grow with 2^n:
+    requests with more than ``limit`` stops left get an error that names the limit, those outside of their route an error too.
     """
-    split, _ = split_routes(routes, requests)
-    left = split.where("not done").groupBy("route_id", "pair_id").agg(
-        F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("seq", "node_id", "lat", "lon"))).alias("r")
-    ).where(F.col("n") <= limit)
+    split, wrong = split_routes(routes, requests)
+    instance = F.concat_ws(":", F.col("route_id").cast("string"), F.col("pair_id").cast("string")).alias("instance_id")
+    sizes = split.groupBy("route_id", "pair_id").agg(F.count_if(~F.col("done")).alias("n"))
+    packed = split.where("not done").join(sizes.where(F.col("n") <= limit), ["route_id", "pair_id"], "left_semi").groupBy("route_id", "pair_id").agg(
+        F.sort_array(F.collect_list(F.struct("seq", "node_id", "lat", "lon"))).alias("r")
+    )
+    left = sizes.where(F.col("n") <= limit).join(packed, ["route_id", "pair_id"], "left")
     at = split.where("seq = insertion_point").select("route_id", "pair_id", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
     home = depots.select("route_id", F.col("lat").alias("e_lat"), F.col("lon").alias("e_lon"))
     joined = left.join(requests, ["route_id", "pair_id"]).join(home, "route_id").join(at, ["route_id", "pair_id"], "left")
+    stops = lambda c, kind: F.coalesce(F.col(f"r.{c}"), F.array().cast(f"array<{kind}>"))
     instances = joined.select(
-        F.concat_ws(":", F.col("route_id").cast("string"), F.col("pair_id").cast("string")).alias("instance_id"),
-        F.coalesce("c_lat", "e_lat").alias("s_lat"), F.coalesce("c_lon", "e_lon").alias("s_lon"), "e_lat", "e_lon",
-        F.concat("r.node_id", F.array(F.lit(-1).cast("bigint"), F.lit(-2).cast("bigint"))).alias("ids"),
-        F.concat("r.lat", F.array("pickup_lat", "dropoff_lat")).alias("lat"), F.concat("r.lon", F.array("pickup_lon", "dropoff_lon")).alias("lon"),
+        instance, F.coalesce("c_lat", "e_lat").alias("s_lat"), F.coalesce("c_lon", "e_lon").alias("s_lon"), "e_lat", "e_lon",
+        F.concat(stops("node_id", "bigint"), F.array(F.lit(-1).cast("bigint"), F.lit(-2).cast("bigint"))).alias("ids"),
+        F.concat(stops("lat", "double"), F.array("pickup_lat", "dropoff_lat")).alias("lat"), F.concat(stops("lon", "double"), F.array("pickup_lon", "dropoff_lon")).alias("lon"),
         F.col("n").cast("int").alias("pickup"), (F.col("n") + 1).cast("int").alias("dropoff"),
     )
-    return tours.exact_orders(instances)
+    solved = tours.exact_orders(instances).withColumn("error", F.lit(None).cast("string"))
+    none = [F.lit(None).cast("array<bigint>").alias("ids"), F.lit(None).cast("double").alias("km")]
+    large = sizes.where(F.col("n") > limit).select(instance, *none, F.format_string(f"%d stops left; the exact order takes at most {limit}", "n").alias("error"))
+    return solved.unionByName(large).unionByName(wrong.select(instance, *none, "error"))
 
 
 # ---- legs, audit, comparison -------------------------------------------------------------------------------------------
@@ -262,22 +298,23 @@ def route_geometry(routes: DataFrame, legs: DataFrame) -> tuple[DataFrame, DataF
     return points.select("route_id", "leg", "pos", F.col("p")[0].alias("lat"), F.col("p")[1].alias("lon")), lengths
 
 
-def audit_routes(routes: DataFrame, mandatory: DataFrame, cap_km: float = ROUTE_CAP_KM) -> DataFrame:
+def audit_routes(routes: DataFrame, mandatory: DataFrame, cap_km: float = ROUTE_CAP_KM, depots: DataFrame | None = None) -> DataFrame:
     """Violations (route_id, pair_id, node_id, rule) of planned routes.
 
-    ``routes``: run_id, route_id, seq, node_id, pair_id, type, lat, lon; ``mandatory``: run_id, node_id. Rules: the
-    pickup of a pair precedes its drop-off on the same route, every mandatory node is visited, no route is too long.
+    ``routes``: run_id, route_id, seq, node_id, pair_id, type, lat, lon; ``mandatory``: run_id, node_id; ``depots``: route_id, lat, lon.
+    Rules: within a run the pickup of a pair precedes its drop-off on the same route (precedence), every pickup has a
+    drop-off (unfinished), every mandatory node is visited (missing), no route is too long, with the legs from and to its depot where depots are given.
     """
-    pick = routes.where("type = 'pickup'").select("pair_id", F.col("route_id").alias("p_route"), F.col("seq").alias("p_seq"))
-    drop = routes.where("type = 'dropoff'").join(pick, "pair_id", "left")
-    wrong = drop.where("p_route is null or p_route <> route_id or p_seq >= seq").select("route_id", "pair_id", F.lit(None).cast("bigint").alias("node_id"), F.lit("precedence").alias("rule"))
-    lost = mandatory.join(routes, ["run_id", "node_id"], "left_anti").select(
-        F.lit(None).cast("bigint").alias("route_id"), F.lit(None).cast("bigint").alias("pair_id"), "node_id", F.lit("missing").alias("rule")
-    )
-    long = tours.path_lengths(routes).where(F.col("km") > cap_km).select(
-        "route_id", F.lit(None).cast("bigint").alias("pair_id"), F.lit(None).cast("bigint").alias("node_id"), F.lit("too long").alias("rule")
-    )
-    return wrong.unionByName(lost).unionByName(long)
+    pick = routes.where("type = 'pickup'").select("run_id", "pair_id", F.col("route_id").alias("p_route"), F.col("seq").alias("p_seq"))
+    dropped = routes.where("type = 'dropoff'")
+    pair = F.col("pair_id").cast("bigint")
+    none = F.lit(None).cast("bigint")
+    wrong = dropped.join(pick, ["run_id", "pair_id"], "left").where("p_route is null or p_route <> route_id or p_seq >= seq").select("route_id", pair.alias("pair_id"), none.alias("node_id"), F.lit("precedence").alias("rule"))
+    open_ = pick.join(dropped, ["run_id", "pair_id"], "left_anti").select(F.col("p_route").alias("route_id"), pair.alias("pair_id"), none.alias("node_id"), F.lit("unfinished").alias("rule"))
+    lost = mandatory.join(routes, ["run_id", "node_id"], "left_anti").select(none.alias("route_id"), none.alias("pair_id"), "node_id", F.lit("missing").alias("rule"))
+    lengths = tours.path_lengths(routes) if depots is None else closed_route_lengths(routes, depots)
+    long = lengths.where(F.col("km") > cap_km).select("route_id", none.alias("pair_id"), none.alias("node_id"), F.lit("too long").alias("rule"))
+    return wrong.unionByName(open_).unionByName(lost).unionByName(long)
 
 
 def compare_algorithms(lengths: DataFrame, algorithms: list[str]) -> DataFrame:
