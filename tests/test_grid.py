@@ -30,6 +30,16 @@ def test_nearest_equals_brute_force(spark, world):
     assert len(got) == len(points)
 
 
+def test_nearest_in_a_crowded_town(spark):
+    r = random.Random(1)
+    town = lambda: (3 + r.random() * 0.02, 101 + r.random() * 0.02)
+    targets = [(i, *town()) for i in range(1500)] + [(5000 + i, 1 + r.random() * 6, 100 + r.random() * 5) for i in range(100)] + [(9000 + i, 3.01, 101.01) for i in range(200)]
+    points = [(i, *town()) for i in range(400)] + [(1000 + i, 3.011, 101.011) for i in range(200)]
+    df = grid.nearest(frame(spark, points, "p"), "p", frame(spark, targets, "t"), "t")
+    got = {p: (t, round(d, 9)) for p, t, d in tuples(df)}
+    assert got == {p: (lambda d, t: (t, round(d, 9)))(*min((km(at, b), t) for t, *b in targets)) for p, *at in points}
+
+
 def test_nearest_planar_within_groups(spark):
     points = frame(spark, scatter(80, 3), "p").withColumn("g", F.col("p") % 3)
     targets = frame(spark, scatter(30, 4), "t").withColumn("g", F.col("t") % 3)
@@ -64,6 +74,12 @@ def test_peers_leave_out_the_location_itself(spark):
     assert tuples(lookups.street_peers(loc, links)) == [(1, 2, 3, 30), (2, 2, 1, 10), (3, 2, 1, 10), (4, 0, None, None)]
 
 
+def test_positions_of_keys_with_wide_gaps(spark):
+    keys = [*range(300), 4 * 10**18, -(2**62), 2**62 + 1, 2**62 + 2]
+    df = spark.createDataFrame([(k,) for k in keys], "k bigint")
+    assert tuples(ranks.position(df, [], "k", "n", 16), "k", "n") == [(k, i + 1) for i, k in enumerate(sorted(keys))]
+
+
 def test_positions_and_running_values(spark):
     r = random.Random(3)
     rows = [(g, k, r.randint(-50, 50)) for g in range(3) for k in r.sample(range(500), 120)]

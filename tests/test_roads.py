@@ -38,6 +38,9 @@ def segment_gap(p, a, b):
 
 def test_points_in_areas(spark):
     square = [(101.0, 3.0), (101.1, 3.0), (101.1, 3.1), (101.0, 3.1)]
+    far = spark.createDataFrame([(5, [(100.0, 3.0), (150.0, 40.0)], 0.01)], "cluster_id bigint, ring array<struct<x:double,y:double>>, radius double")
+    one = spark.createDataFrame([(1, 40.0, 150.001), (2, 39.0, 150.0)], "id bigint, lat double, lon double")
+    assert tuples(hulls.points_in_areas(one, "id", far), "cluster_id", "id") == [(5, 1)]
     rings = spark.createDataFrame(
         [(1, square, 0.01), (2, [(101.2, 3.2)], 0.02), (3, [(101.0, 3.2), (101.1, 3.2)], 0.005)], "cluster_id bigint, ring array<struct<x:double,y:double>>, radius double"
     )
@@ -90,6 +93,10 @@ def test_shortest_paths(spark, monkeypatch, block, hub):
                 if b == v and a not in dist:
                     heapq.heappush(heap, (d + length, a))
         assert {v: d for v, d in dist.items()} == {v: m for (s, v), (m, _) in got.items() if s == source}
+    asked = spark.createDataFrame([(1, 20), (1, 3), (2, 101)], "source_id bigint, node_id bigint")
+    part = {(s, v): m for s, v, m, _ in (tuple(r) for r in roads.shortest_paths(n, e, goals, asked).collect())}
+    assert all(part[k] == got[k][0] for k in ((1, 20), (1, 3), (2, 101)))
+    assert all(part[k] >= got[k][0] for k in part)
     starts = spark.createDataFrame([(7, 1, 150), (8, 2, 3), (9, 1, 0)], "route_id bigint, source_id bigint, node_id bigint")
     walked = tuples(roads.walk_paths(paths, starts), "route_id", "seq", "node_id")
     for route, source, node in ((7, 1, 150), (8, 2, 3), (9, 1, 0)):

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 import uuid
 
 from helpers import tuples
@@ -31,7 +32,50 @@ def test_find_or_insert(spark):
         [(10, 3.00005, 101.0, "New", "N"), (11, 4.0, 101.0, "Same", "N"), (12, 5.0, 101.0, "A", None), (13, 5.0, 101.0, "B", None)], LOC.replace("location_id", "request_id")
     )
     got = sorted((r["lat"], r["street"], r["change"]) for r in tables.upsert_locations(loc, new).collect())
-    assert got == [(3.0, "New", "updated"), (4.0, "Same", "kept"), (5.0, "A", "inserted")]
+    assert got == [(3.0, "New", "updated"), (4.0, "Same", "kept"), (5.0, "B", "inserted")]
+
+
+def one_by_one(stored, requests, tol=1e-4):
+    """(id, lat, lon, street, change) after the requests in turn; new ids are the coordinates."""
+    places = [[i, a, b, s, "kept"] for i, a, b, s, _ in sorted(stored)]
+    for _, a, b, s, _ in sorted(requests):
+        hit = next((p for p in places if abs(p[1] - a) < tol and abs(p[2] - b) < tol), None)
+        if hit is None:
+            places.append([None, a, b, s, "inserted"])
+        else:
+            hit[3] = s
+            if hit[4] != "inserted":
+                hit[4] = "updated"
+    return sorted((round(a, 7), round(b, 7), s, c) for _, a, b, s, c in places)
+
+
+def test_upsert_equals_one_request_after_the_other(spark):
+    r = random.Random(8)
+    spot = lambda: (3 + r.randint(0, 40) * 3e-5, 101 + r.randint(0, 40) * 3e-5)
+    stored = [(i, *spot(), f"old{i}", "N") for i in range(6)]
+    requests = [(100 + i, *spot(), f"new{i}", "N") for i in range(150)]
+    r.shuffle(requests)
+    loc, new = spark.createDataFrame(stored, LOC), spark.createDataFrame(requests, LOC.replace("location_id", "request_id"))
+    got = sorted((round(x["lat"], 7), round(x["lon"], 7), x["street"], x["change"]) for x in tables.upsert_locations(loc, new).collect())
+    assert got == one_by_one(stored, requests)
+
+
+def test_presets_use_stored_locations_and_cluster_new_ones(spark):
+    stored = spark.createDataFrame([(1, 3.0, 101.0, "Jalan U1/2", "N"), (2, 3.5, 101.0, "", "N")], LOC)
+    day = dt.datetime(2024, 1, 1)
+    rows = [("a", day, True, 3.00005, 101.0, "Jalan U1/2", "N"), ("a", day, False, 3.5, 101.0, "Street", "N"), ("a", day, False, 3.00002, 101.0, "skip", "N"), ("a", day, False, 4.0, 101.0, "Jalan U1/2a", "N"), ("b", day, True, 3.50001, 101.0, "Other", "N"), ("b", day, False, 4.00003, 101.0, "Jalan U9/9", "N")]
+    requests = spark.createDataFrame(rows, "name string, created_at timestamp_ntz, is_warehouse boolean, lat double, lon double, street string, neighborhood string")
+    patterns = spark.createDataFrame([("u1/2", 7)], "stem_pattern string, cluster_id bigint")
+    cl = spark.createDataFrame([(7, 3.0, 101.0), (8, 4.0, 101.0)], "cluster_id bigint, centroid_lat double, centroid_lon double")
+    out = tables.ingest_presets(requests, stored, patterns, cl)
+    name = {x["preset_id"]: x["name"] for x in out["presets"].collect()}
+    fresh = [x["location_id"] for x in out["locations"].where("change = 'inserted'").collect()]
+    assert len(fresh) == 1
+    links = {(name[x["preset_id"]], x["location_id"], x["is_warehouse"]) for x in out["preset_locations"].collect()}
+    assert links == {("a", 1, True), ("a", 2, False), ("a", fresh[0], False), ("b", 2, True), ("b", fresh[0], False)}
+    assert tuples(out["location_clusters"], "location_id", "cluster_id") == [(fresh[0], 7)]
+    streets = {x["location_id"]: x["street"] for x in out["locations"].collect()}
+    assert streets == {1: "Jalan U1/2", 2: "Other", fresh[0]: "Jalan U9/9"}
 
 
 def test_patch_keeps_old_value_for_null_and_empty(spark):

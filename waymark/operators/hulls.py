@@ -107,14 +107,22 @@ def widened(areas: DataFrame, degrees: float) -> DataFrame:
 
 
 def points_in_areas(points: DataFrame, key: str, areas: DataFrame, cell: float = 0.02) -> DataFrame:
-    """(cluster_id, key, lat, lon) of the points inside each area: cells of the area's box, then the exact test."""
+    """(cluster_id, key, lat, lon) of the points inside each area: cells of the area's box, then the exact test.
 
-    def span(axis: str) -> Column:
-        values = F.transform("ring", lambda p: p[axis])
-        low, high = F.array_min(values) - F.col("radius"), F.array_max(values) + F.col("radius")
-        return F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell)))
-
-    boxes = areas.withColumn("_x", span("x")).withColumn("_y", span("y"))
-    placed = points.select(key, "lat", "lon", F.floor(F.col("lon") / cell).alias("_x"), F.floor(F.col("lat") / cell).alias("_y"))
-    near = placed.join(boxes, ["_x", "_y"])
+    Cells double in size until an area's box has at most about eight of them per side, so a wide area costs no more cells than a
+    small one; a point is looked up once per size in use.
+    """
+    values = lambda axis: F.transform("ring", lambda p: p[axis])
+    low = {a: F.array_min(values(a)) - F.col("radius") for a in "xy"}
+    high = {a: F.array_max(values(a)) + F.col("radius") for a in "xy"}
+    side = F.greatest(*[high[a] - low[a] for a in "xy"])
+    sized = areas.withColumn("_level", F.greatest(F.ceil(F.log2(side / (8 * cell))), F.lit(0)).cast("int"))
+    width = F.lit(cell) * F.pow(F.lit(2.0), F.col("_level"))
+    boxes = sized
+    for a in "xy":
+        boxes = boxes.withColumn(f"_{a}", F.explode(F.sequence(F.floor(low[a] / width), F.floor(high[a] / width))))
+    levels = sorted(r["_level"] for r in sized.select("_level").distinct().collect()) or [0]  # a row per size
+    placed = points.select(key, "lat", "lon", F.explode(F.array(*map(F.lit, levels))).alias("_level"))
+    placed = placed.withColumns({"_x": F.floor(F.col("lon") / width), "_y": F.floor(F.col("lat") / width)})
+    near = placed.join(boxes, ["_level", "_x", "_y"])
     return near.where(ring_distance(F.col("ring"), F.col("lon"), F.col("lat")) < F.col("radius")).select("cluster_id", key, "lat", "lon")

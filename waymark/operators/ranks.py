@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-MOST_BLOCKS = 100_000  # the block totals of a group fit one task
-
+from waymark.session import cut, cut_and_measure
 
 def _block_offsets(blocks: DataFrame, by: list[str], value: str) -> DataFrame:
     before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -17,22 +15,22 @@ def _block_offsets(blocks: DataFrame, by: list[str], value: str) -> DataFrame:
 def position(df: DataFrame, by: list[str], key: str, out: str, block: int = 10_000) -> DataFrame:
     """1-based position of every row in its group by a unique integer key.
 
-    The key range of a group is cut into blocks of about ``block`` keys, dense or hashed keys alike, so no task sorts
-    more than a block of a group.
+    The key range of a group is cut into as many equal parts as it has blocks of ``block`` rows; a part that holds more than two
+    blocks is cut again, whatever gaps the keys have. So no task sorts more than that of a group.
     """
-    number = F.col(key).cast("double")
-    low, high, n = F.min(number).alias("_low"), F.max(number).alias("_high"), F.count("*").alias("_n")
-    if by:
-        ranged = df.join(df.groupBy(*by).agg(low, high, n), by)
-        low, high, n = F.col("_low"), F.col("_high"), F.col("_n")
-    else:
-        whole = df.agg(low, high, n).first()
-        ranged, low, high, n = df, F.lit(whole["_low"] or 0.0), F.lit(whole["_high"] or 0.0), F.lit(whole["_n"])
-    parts = F.least(F.ceil(n / block), F.lit(MOST_BLOCKS))
-    cut = ranged.withColumn("_block", F.floor((number - low) / (high - low + 1) * parts)).drop("_low", "_high", "_n")
-    totals = _block_offsets(cut.groupBy(*by, "_block").agg(F.count("*").alias("_n")), by, "_n").drop("_n")
-    inside = Window.partitionBy(*by, "_block").orderBy(key)
-    ranked = cut.join(totals, [*by, "_block"]).withColumn(out, F.row_number().over(inside) + F.col("_offset"))
+    rows = cut(df.withColumn("_block", F.array().cast("array<bigint>")))
+    group = [*by, "_block"]
+    while True:
+        sizes = rows.groupBy(*group).agg(F.min(key).cast("decimal(38,0)").alias("_low"), F.max(key).cast("decimal(38,0)").alias("_high"), F.count("*").alias("_n"))
+        sizes, seen = cut_and_measure(sizes, most=F.max("_n"))
+        if (seen["most"] or 0) <= 2 * block:
+            break
+        part = ((F.col(key).cast("decimal(38,0)") - F.col("_low")) * F.ceil(F.col("_n") / block).cast("decimal(10,0)") / (F.col("_high") - F.col("_low") + 1)).cast("bigint")
+        finer = F.when(F.col("_n") > 2 * block, F.concat("_block", F.array(part))).otherwise(F.col("_block"))
+        rows = cut(rows.join(sizes, group).withColumn("_block", finer).drop("_low", "_high", "_n"))
+    totals = _block_offsets(sizes.drop("_low", "_high"), by, "_n").drop("_n")
+    inside = Window.partitionBy(*group).orderBy(key)
+    ranked = rows.join(totals, group).withColumn(out, F.row_number().over(inside) + F.col("_offset"))
     return ranked.drop("_block", "_offset")
 
 

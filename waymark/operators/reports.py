@@ -49,10 +49,15 @@ def clustering_stats(loc: DataFrame, lc: DataFrame) -> DataFrame:
     )
 
 
+def _paged(rows: DataFrame, group: str, key: str) -> DataFrame:
+    """Rows with the page of 1,000 that their position in the group falls into."""
+    return ranks.position(rows, [group], key, "_pos").withColumn("page", F.floor((F.col("_pos") - 1) / PAGE)).drop("_pos")
+
+
 def nested_by_cluster(loc: DataFrame, lc: DataFrame, cl: DataFrame) -> DataFrame:
-    """Locations nested under their cluster or 'noise', in pages of at most 1,000 location keys."""
+    """Locations nested under their cluster or 'noise', in pages of 1,000 locations."""
     bucket = F.coalesce(F.col("cluster_id").cast("string"), F.lit("noise"))
-    rows = loc.join(lc, "location_id", "left").withColumn("bucket", bucket).withColumn("page", F.floor(F.col("location_id") / PAGE))
+    rows = _paged(loc.select("location_id", "lat", "lon", "street").join(lc, "location_id", "left").withColumn("bucket", bucket), "bucket", "location_id")
     pages = rows.groupBy("bucket", "cluster_id", "page").agg(
         F.sort_array(F.collect_list(F.struct("location_id", "lat", "lon", "street"))).alias("locations")
     )
@@ -88,7 +93,7 @@ def preset_records(presets: DataFrame, pl: DataFrame, loc: DataFrame) -> DataFra
         F.min_by(F.struct("lat", "lon"), "location_id").alias("warehouse")
     )
     pages = (
-        lookups.destinations(pl).join(place, "location_id").withColumn("page", F.floor(F.col("location_id") / PAGE))
+        _paged(lookups.destinations(pl).join(place, "location_id"), "preset_id", "location_id")
         .groupBy("preset_id", "page").agg(F.sort_array(F.collect_list(F.struct("location_id", "lat", "lon"))).alias("destinations"))
     )
     return presets.join(depot, "preset_id", "left").join(pages, "preset_id", "left")
@@ -96,7 +101,7 @@ def preset_records(presets: DataFrame, pl: DataFrame, loc: DataFrame) -> DataFra
 
 def cluster_records(cl: DataFrame, cp: DataFrame) -> DataFrame:
     """Cluster with pages of its checkpoints; a cluster without checkpoints has one row with a null page."""
-    pages = cp.withColumn("page", F.floor(F.col("checkpoint_id") / PAGE)).groupBy("cluster_id", "page").agg(
+    pages = _paged(cp, "cluster_id", "checkpoint_id").groupBy("cluster_id", "page").agg(
         F.sort_array(F.collect_list(F.struct("checkpoint_id", "lat", "lon", "from_road_type", "to_road_type", "confidence"))).alias("checkpoints")
     )
     return cl.join(pages, "cluster_id", "left")

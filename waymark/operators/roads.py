@@ -6,8 +6,7 @@ operator works on every cluster's part at once.
 
 from __future__ import annotations
 
-import heapq
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,39 +128,56 @@ def merge_access_points(points: DataFrame, metres: float = MERGE_METRES) -> Data
 
 
 def _relax(key, state: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-    """Shortest distances inside one block of nodes, and offers to the nodes of other blocks."""
-    into: dict = {}
-    for src, dst, length, src_block in zip(edges["src"], edges["dst"], edges["length_m"], edges["src_block"]):
-        into.setdefault(dst, []).append((src, length, src_block == key[1]))
-    best = dict(zip(state["node_id"], zip(state["metres"], state["next_node"])))
-    heap = [(metres, node) for node, (metres, _) in best.items()]
-    heapq.heapify(heap)
-    offers: dict = {}
-    while heap:
-        metres, node = heapq.heappop(heap)
-        if metres > best[node][0]:
-            continue
-        for src, length, here in into.get(node, ()):
-            known, total = best if here else offers, metres + length
-            if src not in known or (total, node) < known[src]:
-                known[src] = (total, node)
-                if here:
-                    heapq.heappush(heap, (total, src))
-    rows = [(key[0], n, m, x, False) for n, (m, x) in best.items()] + [(key[0], n, m, x, True) for n, (m, x) in offers.items()]
-    return pd.DataFrame(rows, columns=["source_id", "node_id", "metres", "next_node", "offered"])
-
-
-def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """Shortest distances inside one block of nodes, and offers to the nodes of other blocks.
+
+    All edges of the block relax at once until no distance falls; as often as a shortest way in the block has edges.
+    """
+    src, dst, length = (edges[c].to_numpy() for c in ("src", "dst", "length_m"))
+    here = edges["src_block"].to_numpy() == key[1]
+    ids = np.unique(np.concatenate([state["node_id"].to_numpy(), dst, src[here]])).astype(np.int64)
+    metres, following = np.full(len(ids), np.inf), pd.array([pd.NA] * len(ids), dtype="Int64")
+    known = np.searchsorted(ids, state["node_id"].to_numpy())
+    metres[known], following[known] = state["metres"].to_numpy(), state["next_node"].astype("Int64")
+    before = metres.copy()
+    order = np.argsort(src[here], kind="stable")
+    s, t, w = np.searchsorted(ids, src[here][order]), np.searchsorted(ids, dst[here][order]), length[here][order]
+    if len(s):
+        first = np.flatnonzero(np.diff(s, prepend=-1))
+        while True:
+            best = np.minimum.reduceat(metres[t] + w, first)
+            lower = best < metres[s[first]]
+            if not lower.any():
+                break
+            metres[s[first][lower]] = best[lower]
+        via = np.minimum.reduceat(np.where(metres[t] + w == metres[s], ids[t], np.iinfo(np.int64).max), first)
+        fell = metres[s[first]] < before[s[first]]
+        following[s[first][fell]] = via[fell]
+    reached = np.isfinite(metres)
+    inner = pd.DataFrame({"node_id": ids[reached], "metres": metres[reached], "next_node": following[reached], "offered": False})
+    out = pd.DataFrame({"node_id": src[~here], "metres": metres[np.searchsorted(ids, dst[~here])] + length[~here], "next_node": pd.array(dst[~here], dtype="Int64"), "offered": True})
+    out = out[np.isfinite(out["metres"])].sort_values(["metres", "next_node"]).drop_duplicates("node_id")
+    rows = pd.concat([inner, out]) if len(out) else inner
+    return rows.assign(source_id=key[0])[["source_id", "node_id", "metres", "next_node", "offered"]]
+
+
+def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(source_id, node_id, metres, next_node): shortest way from every node to every source along directed edges.
 
-    The graph is cut into blocks of neighbouring nodes, at most about 2,000 each. A round settles all blocks that
+    With ``wanted`` (source_id, node_id) only those nodes, and the nodes on their ways, are sure to be right: a source goes on
+    only with offers shorter than its furthest wanted node, once all of them are reached.
+
+    The graph is cut into blocks of neighbouring nodes, at most about 2,000 each: crowded cells are cut by a finer grid. A round settles all blocks that
     received a better offer, each in one task, and sends offers over the block borders; it takes as many rounds as a
     path crosses borders, not one per edge. Nodes with very many edges take no part in a block's task: their offers
     are a join. Every round is written, so a lost executor costs one round.
     """
     cell = F.struct(*[F.floor(F.col(c) / BLOCK_DEGREES).alias(c) for c in ("lat", "lon")])
-    celled = nodes.select("node_id", cell.alias("cell"))
-    crowd = celled.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_NODES).alias("parts"))
+    coarse = nodes.select("node_id", "lat", "lon", cell.alias("whole"))
+    across = F.ceil(F.sqrt(F.count("*") / BLOCK_NODES)).alias("across")
+    fine = F.struct("whole", *[F.floor(F.col(c) / BLOCK_DEGREES * F.col("across")).alias(c) for c in ("lat", "lon")])
+    celled = coarse.join(coarse.groupBy("whole").agg(across), "whole").select("node_id", fine.alias("cell"))
+    # nodes that lie even closer are dealt by hash
+    crowd = celled.groupBy("cell").agg(F.ceil(F.count("*") / (4 * BLOCK_NODES)).alias("parts"))
     part = F.pmod(F.xxhash64("node_id"), F.col("parts"))
     degree = edges.groupBy(F.col("dst").alias("node_id")).agg((F.count("*") > HUB_EDGES).alias("hub"))
     blocks = cut(
@@ -196,6 +212,11 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> Da
             F.min(F.struct("metres", "offered", "next_node")).alias("b"), F.min("before").alias("before")
         )
         moved = F.col("before").isNull() | (F.col("b.metres") < F.col("before"))
+        if wanted is not None:
+            asked = wanted.select("source_id", "node_id").distinct().join(merged.select("source_id", "node_id", "b.metres"), ["source_id", "node_id"], "left")
+            reach = asked.groupBy("source_id").agg(F.when(F.count("*") == F.count("metres"), F.max("metres")).alias("reach"))
+            merged = merged.join(reach, "source_id", "left")
+            moved = moved & (F.col("reach").isNull() | (F.col("b.metres") < F.col("reach")))
         rows = merged.select("source_id", "node_id", "b.metres", "b.next_node", (moved & F.col("b.offered")).alias("fresh"), moved.alias("moved"))
         state, seen = cut_and_measure(rows.join(blocks, "node_id").select(columns), open=F.count_if(F.col("fresh") | (F.col("hub") & F.col("moved"))))
     return state.select("source_id", "node_id", "metres", "next_node")

@@ -63,7 +63,7 @@ def route_access_points(members: DataFrame, depots: DataFrame, nodes: DataFrame,
     goal = grid.nearest(source, "source_id", nodes, "node_id").select("source_id", "node_id")
     at = grid.nearest(served, "location_id", nodes, "node_id").select("location_id", "node_id")
     starts = served.join(at, "location_id").select("cluster_id", "location_id", "source_id", "node_id")
-    paths = roads.shortest_paths(nodes, edges, goal)
+    paths = roads.shortest_paths(nodes, edges, goal, starts.select("source_id", "node_id"))
     reachable = cut(starts.join(paths.select("source_id", "node_id"), ["source_id", "node_id"], "left_semi"))
     walked = roads.walk_paths(paths, reachable.select(F.col("location_id").alias("route_id"), "source_id", "node_id"))
     steps = walked.join(reachable.select(F.col("location_id").alias("route_id"), "cluster_id"), "route_id")

@@ -357,9 +357,10 @@ def _(t):
 
 @register(
     "f9_at_warehouse",
-    """select p.preset_id, p.location_id, abs(l.lat - w.lat) < 0.0001 and abs(l.lon - w.lon) < 0.0001 as at_warehouse from preset_locations p join locations l using (location_id)
- join (select preset_id, lat, lon from preset_locations join locations using (location_id) where is_warehouse) w on w.preset_id = p.preset_id where not p.is_warehouse""",
+    "select preset_id, location_id, abs(p.lat - w.lat) < 0.0001 and abs(p.lon - w.lon) < 0.0001 as at_warehouse from placed p join (select preset_id, lat, lon from placed where is_warehouse) w using (preset_id) where not is_warehouse",
     "locations preset_locations",
+    """links as materialized (select * from preset_locations), spots as materialized (select location_id, lat, lon from locations),
+ placed as materialized (select preset_id, location_id, is_warehouse, lat, lon from links join spots using (location_id))""",
 )
 def _(t):
     return lookups.at_warehouse(t.preset_locations, t.locations)

@@ -235,10 +235,11 @@ def _(t):
 @register(
     "a19_preset_records",
     """select p.preset_id, round(w.lat, 6) as w_lat, round(w.lon, 6) as w_lon, page, ids from presets p
- left join (select preset_id, lat, lon from preset_locations join locations using (location_id) where is_warehouse) w using (preset_id)
- left join (select preset_id, cast(floor(location_id / 1000) as bigint) as page, string_agg(cast(location_id as varchar), ',' order by location_id) as ids from preset_locations join locations using (location_id)
-  where not is_warehouse group by 1, 2) d using (preset_id)""",
+ left join (select preset_id, lat, lon from links join spots using (location_id) where is_warehouse) w using (preset_id)
+ left join (select preset_id, page, string_agg(cast(location_id as varchar), ',' order by location_id) as ids from (select preset_id, location_id, cast(floor((row_number() over (partition by preset_id order by location_id) - 1) / 1000) as bigint) as page from links
+  where not is_warehouse) group by 1, 2) d using (preset_id)""",
     "presets preset_locations locations",
+    "links as materialized (select * from preset_locations), spots as materialized (select location_id, lat, lon from locations)",
 )
 def _(t):
     rows = reports.preset_records(t.presets, t.preset_locations, t.locations)
@@ -248,8 +249,8 @@ def _(t):
 
 @register(
     "a20_cluster_records",
-    """select cluster_id, name, page, ids from clusters left join (select cluster_id, cast(floor(checkpoint_id / 1000) as bigint) as page, string_agg(cast(checkpoint_id as varchar), ',' order by checkpoint_id) as ids
- from security_checkpoints group by 1, 2) using (cluster_id)""",
+    """select cluster_id, name, page, ids from clusters left join (select cluster_id, page, string_agg(cast(checkpoint_id as varchar), ',' order by checkpoint_id) as ids
+ from (select cluster_id, checkpoint_id, cast(floor((row_number() over (partition by cluster_id order by checkpoint_id) - 1) / 1000) as bigint) as page from security_checkpoints) group by 1, 2) using (cluster_id)""",
     "clusters security_checkpoints",
 )
 def _(t):

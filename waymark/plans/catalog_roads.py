@@ -38,12 +38,35 @@ def areas(t):
     return cut(hulls.cluster_areas(members(t), centers(t), roads.AREA_DEGREES, roads.AREA_DEGREES))
 
 
-@register("g1_cluster_areas")
+# A pair of members is a side of the hull if no member lies to its right, nor on its line beyond it.
+_CROSS = "(b.lon - a.lon) * (c.lat - a.lat) - (b.lat - a.lat) * (c.lon - a.lon)"
+_HULLS = f"""mem as materialized (select location_id, lat, lon, cluster_id from locations join location_clusters using (location_id)),
+ spots as materialized (select distinct cluster_id, lat, lon from mem),
+ sizes as materialized (select cluster_id, count(*) as n_members from mem group by 1),
+ sides as materialized (select a.cluster_id, a.lat as a_lat, a.lon as a_lon, b.lat as b_lat, b.lon as b_lon from spots a join spots b on a.cluster_id = b.cluster_id and (a.lat <> b.lat or a.lon <> b.lon)
+  join spots c on c.cluster_id = a.cluster_id join sizes s on s.cluster_id = a.cluster_id where n_members >= 3 group by all
+  having bool_and({_CROSS} > 1e-13 or ({_CROSS} >= -1e-13 and (c.lat - a.lat) * (c.lat - b.lat) + (c.lon - a.lon) * (c.lon - b.lon) <= 0)))"""
+
+
+@register(
+    "g1_cluster_areas",
+    "select cluster_id, n_members, round(coalesce(area, 0), 9) as area from sizes join clusters using (cluster_id) left join (select cluster_id, abs(sum(a_lon * b_lat - b_lon * a_lat)) / 2 as area from sides group by 1) using (cluster_id)",
+    "locations location_clusters clusters",
+    _HULLS,
+)
 def _(t):
-    return areas(t).select("cluster_id", "n_members", F.size("ring").alias("corners"), F.round(hulls.ring_area(F.col("ring")), 9).alias("area"))
+    return areas(t).select("cluster_id", "n_members", F.round(hulls.ring_area(F.col("ring")), 9).alias("area"))
 
 
-@register("g2_points_in_areas")
+@register(
+    "g2_points_in_areas",
+    f"""select cluster_id, location_id from (select cluster_id, location_id, bool_and((b_lon - a_lon) * (lat - a_lat) - (b_lat - a_lat) * (lon - a_lon) >= 0) as inside,
+  min(sqrt(pow(lon - a_lon - part * (b_lon - a_lon), 2) + pow(lat - a_lat - part * (b_lat - a_lat), 2))) as gap from (select s.*, l.location_id, l.lat, l.lon,
+   least(greatest(((l.lon - a_lon) * (b_lon - a_lon) + (l.lat - a_lat) * (b_lat - a_lat)) / (pow(b_lon - a_lon, 2) + pow(b_lat - a_lat, 2)), 0), 1) as part from sides s cross join locations l) group by 1, 2)
+ where inside or gap < {roads.AREA_DEGREES} union all select cluster_id, location_id from sizes join clusters using (cluster_id) cross join locations where n_members < 3 and sqrt(pow(lon - centroid_lon, 2) + pow(lat - centroid_lat, 2)) < {roads.AREA_DEGREES}""",
+    "locations location_clusters clusters",
+    _HULLS,
+)
 def _(t):
     return hulls.points_in_areas(t.locations, "location_id", areas(t)).select("cluster_id", "location_id")
 

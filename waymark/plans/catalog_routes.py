@@ -119,8 +119,9 @@ def _(t):
 @register("r5_exact_tours")
 def _(t):
     exact, errors = tours.exact_tours(*static(t))
-    solved = exact.select("instance_id", F.round("km", 6).alias("km"), F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("path"), F.lit(None).cast("string").alias("error"))
-    return solved.unionByName(errors.select("instance_id", F.lit(None).cast("double").alias("km"), F.lit(None).cast("string").alias("path"), "error"))
+    solved = exact.select("instance_id", F.round("km", 6).alias("km"), F.size(F.array_distinct("ids")).cast("bigint").alias("n_stops"), F.lit(None).cast("string").alias("error"))
+    n = F.split("error", " ")[0].cast("bigint").alias("n_stops")
+    return solved.unionByName(errors.select("instance_id", F.lit(None).cast("double").alias("km"), n, "error"))
 
 
 def with_vehicles(depots):

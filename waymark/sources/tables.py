@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymark.functions import geo, payload
-from waymark.operators import grid
+from waymark.operators import grid, matching
 from waymark.operators.lookups import ADDRESS
+from waymark.session import cut, cut_and_measure
 
 _S, _L, _D, _B, _TS = T.StringType(), T.LongType(), T.DoubleType(), T.BooleanType(), T.TimestampNTZType()
 
@@ -127,43 +128,96 @@ def location_key(lat, lon) -> Column:
     return F.xxhash64(geo.coord_key(lat, lon))
 
 
-def ingest_presets(requests: DataFrame) -> dict[str, DataFrame]:
+def ingest_presets(requests: DataFrame, stored: DataFrame | None = None, patterns: DataFrame | None = None, cl: DataFrame | None = None) -> dict[str, DataFrame]:
     """Presets, links, warehouses and locations of many save requests at once.
 
     ``requests``: name, created_at, is_warehouse, lat, lon and address columns, one row per point. A destination
-    that coincides with its warehouse is skipped.
+    that coincides with its warehouse is skipped. With ``stored`` locations the points are found or inserted among them,
+    in the order of the presets, warehouse first; ``locations`` is then the whole table after it, with ``change``. With
+    ``patterns`` and clusters ``location_clusters`` has the cluster of each inserted destination.
     """
-    keyed = requests.withColumn("preset_id", preset_key("name", "created_at")).withColumn("location_id", location_key("lat", "lon"))
+    order = F.struct("created_at", "name", ~F.col("is_warehouse"), "lat", "lon")
+    keyed = requests.withColumn("preset_id", preset_key("name", "created_at")).withColumn("request_id", order)
     depot = keyed.where("is_warehouse").groupBy("preset_id").agg(F.min(F.struct("lat", "lon")).alias("w"))
     joined = keyed.join(depot, "preset_id", "left")
     on_depot = F.coalesce(geo.near_equal("lat", "lon", F.col("w.lat"), F.col("w.lon")), F.lit(False))
     kept = joined.where(F.col("is_warehouse") | ~on_depot).drop("w")
-    links = kept.groupBy("preset_id", "location_id").agg(F.max("is_warehouse").alias("is_warehouse"))
     address = [c for c in ADDRESS if c in requests.columns]
-    return {
+    if stored is None:
+        placed = kept.withColumn("location_id", location_key("lat", "lon"))
+        locations = placed.groupBy("location_id").agg(*[F.min(c).alias(c) for c in ("lat", "lon", *address)])
+    else:
+        kept = cut(kept)
+        placed = kept.join(place_points(stored, kept).select("lat", "lon", "location_id", "is_new"), ["lat", "lon"])
+        locations = upsert_locations(stored, kept)
+    links = placed.groupBy("preset_id", "location_id").agg(F.max("is_warehouse").alias("is_warehouse"))
+    out = {
         "presets": keyed.select("preset_id", "name", "created_at").distinct(),
         "preset_locations": links,
         "warehouses": links.where("is_warehouse").select("preset_id", "location_id"),
-        "locations": kept.groupBy("location_id").agg(*[F.min(c).alias(c) for c in ("lat", "lon", *address)]),
+        "locations": locations,
     }
+    if stored is not None and patterns is not None and cl is not None:
+        fresh = placed.where("is_new and not is_warehouse").groupBy("location_id").agg(F.min_by(F.struct("lat", "lon", "street"), "request_id").alias("p")).select("location_id", "p.*")
+        out["location_clusters"] = matching.assign_dynamic(fresh, "location_id", patterns, cl).where("cluster_id is not null").select("location_id", "cluster_id")
+    return out
 
 
-def upsert_locations(loc: DataFrame, incoming: DataFrame, tol: float | None = geo.COORDINATE_TOLERANCE) -> DataFrame:
-    """All locations after find-or-insert of the incoming points; ``change`` is kept, updated or inserted.
+def _leaders(points: DataFrame, tol: float) -> DataFrame:
+    """The points (lat, lon, first) that open a new place when they come one after the other in the order of ``first``.
 
-    A point inside the tolerance of a stored location updates its address if street or neighborhood differ
-    (``tol=None``: equal coordinates only). Other points are inserted once per six-digit coordinate.
+    Rounds: of each cell as wide as the tolerance the earliest open point counts; one that is earlier than those of the cells around
+    opens a place; all points within its tolerance are then settled. No pair within a cell is ever made.
     """
-    address = [c for c in ADDRESS if c in incoming.columns]
-    points = incoming.withColumn("location_key", location_key("lat", "lon")).groupBy("location_key").agg(
-        F.min_by(F.struct("lat", "lon", *address), "request_id").alias("p")
-    ).select("location_key", "p.*")
+    cells = {"_x": F.floor(F.col("lat") / tol), "_y": F.floor(F.col("lon") / tol)}
+    open_, found, left = cut(points.withColumns(cells)), None, 1
+    while left:
+        earliest = open_.groupBy("_x", "_y").agg(F.min(F.struct("first", "lat", "lon")).alias("e"))
+        around = earliest.withColumn("_x", F.explode(F.sequence(F.col("_x") - 1, F.col("_x") + 1))).withColumn("_y", F.explode(F.sequence(F.col("_y") - 1, F.col("_y") + 1)))
+        least = around.groupBy("_x", "_y").agg(F.min("e").alias("least"))
+        opened = cut(earliest.join(least, ["_x", "_y"]).where(F.col("e") == F.col("least")).select("e.*"))
+        found = opened if found is None else found.unionByName(opened)
+        near = grid.box_pairs(open_.select("lat", "lon"), opened, tol, strict=True).select("lat", "lon").distinct()
+        open_, seen = cut_and_measure(open_.join(near, ["lat", "lon"], "left_anti").select(open_.columns), n=F.count(F.lit(1)))
+        left = seen["n"]
+    return found
+
+
+def place_points(loc: DataFrame, incoming: DataFrame, tol: float | None = geo.COORDINATE_TOLERANCE) -> DataFrame:
+    """(lat, lon, location_id, is_new, p_lat, p_lon): the location of each incoming coordinate, as if the points came one after the other by request_id.
+
+    A stored location within the tolerance comes first (the lowest id), then the earliest point that was inserted before; else the point is
+    inserted. ``tol=None``: equal coordinates only, six digits for new ones. Rows without a coordinate have no place.
+    """
+    points = cut(incoming.where("lat is not null and lon is not null").groupBy("lat", "lon").agg(F.min("request_id").alias("first")))
     if tol is None:
         found = loc.groupBy("lat", "lon").agg(F.min("location_id").alias("location_id"))
     else:
         found = grid.first_within(points, loc, "location_id", tol)
-    placed = points.join(found, ["lat", "lon"], "left")
-    patch = placed.where("location_id is not null").groupBy("location_id").agg(F.min(F.struct(*address)).alias("new"))
+    placed = cut(points.join(found, ["lat", "lon"], "left"))
+    free = placed.where("location_id is null").select("lat", "lon", "first")
+    if tol is None:
+        leader = free.withColumn("_key", geo.coord_key("lat", "lon")).groupBy("_key").agg(F.min(F.struct("first", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))).alias("l"))
+        new = free.withColumn("_key", geo.coord_key("lat", "lon")).join(leader, "_key").select("lat", "lon", "l.p_lat", "l.p_lon")
+    else:
+        pairs = grid.box_pairs(free, _leaders(free, tol), tol, strict=True).where("t_first <= first")
+        leader = pairs.groupBy("lat", "lon").agg(F.min(F.struct("t_first", F.col("t_lat").alias("p_lat"), F.col("t_lon").alias("p_lon"))).alias("l"))
+        new = leader.select("lat", "lon", "l.p_lat", "l.p_lon")
+    fresh = new.select("lat", "lon", location_key("p_lat", "p_lon").alias("location_id"), F.lit(True).alias("is_new"), "p_lat", "p_lon")
+    old = placed.where("location_id is not null").select("lat", "lon", "location_id", F.lit(False).alias("is_new"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+    return cut(old.unionByName(fresh))
+
+
+def upsert_locations(loc: DataFrame, incoming: DataFrame, tol: float | None = geo.COORDINATE_TOLERANCE) -> DataFrame:
+    """All locations after find-or-insert of the incoming points; ``change`` is kept, updated or inserted.
+
+    Points are placed by ``place_points``. The address of the highest request_id of a place wins: it updates a stored location if street or
+    neighborhood differ, where parts it lacks stay, and is that of an inserted one.
+    """
+    address = [c for c in ADDRESS if c in incoming.columns]
+    last = F.max_by(F.struct(*address), "request_id").alias("new")
+    placed = incoming.join(place_points(loc, incoming, tol), ["lat", "lon"])
+    patch = placed.where("not is_new").groupBy("location_id").agg(last)
     joined = loc.join(patch, "location_id", "left")
     differs = F.col("new").isNotNull() & (~F.col("street").eqNullSafe(F.col("new.street")) | ~F.col("neighborhood").eqNullSafe(F.col("new.neighborhood")))
     stored = joined.select(
@@ -171,8 +225,17 @@ def upsert_locations(loc: DataFrame, incoming: DataFrame, tol: float | None = ge
         *[F.when(differs, F.coalesce(F.col(f"new.{c}"), F.col(c))).otherwise(F.col(c)).alias(c) for c in address],
         F.when(differs, "updated").otherwise("kept").alias("change"),
     )
-    fresh = placed.where("location_id is null").select(F.col("location_key").alias("location_id"), "lat", "lon", *address, F.lit("inserted").alias("change"))
-    return stored.unionByName(fresh)
+    fresh = placed.where("is_new").groupBy("location_id", F.col("p_lat").alias("lat"), F.col("p_lon").alias("lon")).agg(last)
+    return stored.unionByName(fresh.select("location_id", "lat", "lon", *[F.col(f"new.{c}").alias(c) for c in address], F.lit("inserted").alias("change")))
+
+
+def store_dynamic(points: DataFrame, loc: DataFrame, patterns: DataFrame, cl: DataFrame, tol: float = geo.COORDINATE_TOLERANCE) -> tuple[DataFrame, DataFrame]:
+    """(new locations, their cluster links) of dynamic points (request_id, lat, lon, street, ...) that no stored location serves."""
+    address = [c for c in ADDRESS if c in points.columns]
+    placed = points.join(place_points(loc, points, tol).where("is_new"), ["lat", "lon"])
+    fresh = cut(placed.groupBy("location_id", F.col("p_lat").alias("lat"), F.col("p_lon").alias("lon")).agg(F.max_by(F.struct(*address), "request_id").alias("a")).select("location_id", "lat", "lon", "a.*"))
+    found = matching.assign_dynamic(fresh, "location_id", patterns, cl)
+    return fresh, found.where("cluster_id is not null").select("location_id", "cluster_id")
 
 
 def patch_addresses(loc: DataFrame, patch: DataFrame, overwrite: bool = False) -> DataFrame:
