@@ -20,13 +20,13 @@ ROAD_LEVELS = {
     "tertiary": 5,
     "unclassified": 6,
     "residential": 7,
-    "living_street": 7,
     "service": 8,
     "track": 9,
     "path": 10,
     "footway": 11,
-    "pedestrian": 11,
     "cycleway": 12,
+    "living_street": 7,
+    "pedestrian": 11,
 }
 UNKNOWN_ROAD_LEVEL = 9
 RESTRICTED_VALUES = ["private", "residents", "no", "destination"]

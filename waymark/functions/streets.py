@@ -14,6 +14,10 @@ SECTION = r"([a-z]\d+)/(\d+[a-z]?)"
 SECTION_NAME = r"(?i)([A-Z]+\d+)[/\\](\d+)[A-Z]?"
 SECTION_NAME_AT_END = r"(?i)([A-Z]+\d+)[^0-9]*$"
 BLOCK = r"block\s+([a-z0-9]+)"
+LONE_LETTER_INSIDE, LONE_LETTER_AT_END, LONE_LETTER_AT_START = r"\s+[a-z]\s+", r"\s+[a-z]$", r"^[a-z]\s+"
+ANY_LETTER_INSIDE, ANY_LETTER_AT_END, ANY_LETTER_AT_START = r"(?i)\s+[A-Z]\s+", r"(?i)\s+[A-Z]$", r"(?i)^\s*[A-Z]\s+"
+ANY_LETTER_BEFORE_SPACE = r"(?i)\s+[A-Z](?=\s|$)"
+SECTION_IN_STREET = r"(?i)^(.*?)([A-Z]+\d+)/(\d+[A-Z]?)(.*)$"
 LETTER_SUFFIX = r"^(.+/\d+)[a-zA-Z]$"
 DISPLAY_TAIL = r"(?:\s+(?:U\d+|\d+)/\S*|\s+\d+[A-Z]?\s*|\s+/\s*\S+)$"
 DEVELOPMENT_WORDS = [
@@ -35,9 +39,9 @@ def normalize_street(street) -> Column:
     s = _trim(F.lower(_text(street)))
     s = _trim(F.regexp_replace(s, ROAD_WORDS, ""))
     s = F.regexp_replace(s, SECTION_WITH_SEPARATOR, "$1/$2")
-    s = F.regexp_replace(s, r"\s+[a-z]\s+", " ")
-    s = F.regexp_replace(s, r"\s+[a-z]$", "")
-    s = F.regexp_replace(s, r"^[a-z]\s+", "")
+    s = F.regexp_replace(s, LONE_LETTER_INSIDE, " ")
+    s = F.regexp_replace(s, LONE_LETTER_AT_END, "")
+    s = F.regexp_replace(s, LONE_LETTER_AT_START, "")
     return _trim(F.regexp_replace(s, r"\s+", " "))
 
 
@@ -114,17 +118,15 @@ def development_name(street, neighborhood) -> Column:
 
 def clean_street(street) -> Column:
     """Drop stray single letters but keep those of a section such as ``U13/52P``."""
-    whole = r"(?i)^(.*?)([A-Z]+\d+)/(\d+[A-Z]?)(.*)$"
-
     def rebuild(s: Column) -> Column:
-        prefix = F.regexp_replace(_trim(F.regexp_extract(s, whole, 1)), r"(?i)\s+[A-Z](?=\s|$)", "")
-        suffix = F.regexp_replace(_trim(F.regexp_extract(s, whole, 4)), r"(?i)^\s*[A-Z]\s+", "")
-        section = F.concat_ws("/", F.regexp_extract(s, whole, 2), F.regexp_extract(s, whole, 3))
-        return F.when(s.rlike(whole), F.concat_ws(" ", prefix, section, suffix)).otherwise(s)
-
-    s = F.regexp_replace(_text(street), r"(?i)\s+[A-Z]\s+", " ")
-    s = F.regexp_replace(s, r"(?i)\s+[A-Z]$", "")
-    s = F.regexp_replace(s, r"(?i)^\s*[A-Z]\s+", "")
+        prefix = F.regexp_replace(_trim(F.regexp_extract(s, SECTION_IN_STREET, 1)), ANY_LETTER_BEFORE_SPACE, "")
+        suffix = F.regexp_replace(_trim(F.regexp_extract(s, SECTION_IN_STREET, 4)), ANY_LETTER_AT_START, "")
+        section = F.concat_ws("/", F.regexp_extract(s, SECTION_IN_STREET, 2), F.regexp_extract(s, SECTION_IN_STREET, 3))
+        return F.when(s.rlike(SECTION_IN_STREET), F.concat_ws(" ", prefix, section, suffix)).otherwise(s)
+
+    s = F.regexp_replace(_text(street), ANY_LETTER_INSIDE, " ")
+    s = F.regexp_replace(s, ANY_LETTER_AT_END, "")
+    s = F.regexp_replace(s, ANY_LETTER_AT_START, "")
     return _trim(F.regexp_replace(_let(s, rebuild), r"\s+", " "))
 
 
