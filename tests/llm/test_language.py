@@ -53,7 +53,7 @@ def test_many_unseen_words_pass_a_small_memory(spark, monkeypatch):
 def test_sample_is_bounded(spark):
     docs = two(spark, 400)
     model = language.fit(docs, sample_rows=40)
-    assert 0 < sum(model["totals"][0].values()) < 400 * 20 / 2
+    assert 0 < model["counts"][0][2].sum() < 400 * 20 / 2
 
 
 def test_keeps_rows_and_columns(spark):

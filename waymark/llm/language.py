@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS, max_words: int = MAX_W
     per_lang = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_words).collect()}
     langs = sorted(per_lang)
     if not langs:
-        return {"langs": [], "words": {}, "grams": {}, "totals": {}}
+        return {"langs": [], "counts": []}
     share = -(-sample_rows // len(langs))
     if all(n <= share for n in per_lang.values()):
         chosen = labelled
@@ -80,16 +81,23 @@ def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS, max_words: int = MAX_W
 
     parts = map_slices(counted, "lang string, size int, key string, n long", lambda: cut, rows=50_000).groupBy("lang", "size", "key").agg(F.sum("n").alias("n"))
     tops = _top(parts, max_grams // len(langs), "size")
-    model: dict = {"langs": langs, "words": {}, "grams": {n: {} for n in range(1, GRAM + 1)}, "totals": {}}
-    place = {lang: i for i, lang in enumerate(langs)}
-    for r in words.collect():
-        model["words"].setdefault(r["key"].encode(), {})[place[r["lang"]]] = r["n"]
-        model["totals"].setdefault(0, {})[place[r["lang"]]] = r["total"]
-    for r in tops.collect():
-        model["grams"][r["size"]].setdefault(r["key"], {})[place[r["lang"]]] = r["n"]
-        model["totals"].setdefault(r["size"], {})[place[r["lang"]]] = r["total"]
+    # bounded by max_words and max_grams
+    found = [_counts(words.toArrow(), langs)]
+    by_size = tops.toArrow()
+    found += [_counts(by_size.filter(pc.equal(by_size["size"], n)), langs) for n in range(1, GRAM + 1)]
     counted.unpersist()
-    return model
+    return {"langs": langs, "counts": found}
+
+
+def _counts(rows: pa.Table, langs: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(keys in one string, their counts per language, the languages' totals) of (lang, key, n, total) rows."""
+    keys = pc.unique(rows["key"])
+    at = pc.index_in(rows["key"], keys).to_numpy().astype(np.int64)
+    lang = pc.index_in(rows["lang"], pa.array(langs)).to_numpy().astype(np.int64)
+    counts, totals = np.zeros((len(keys), len(langs)), np.int64), np.zeros(len(langs), np.int64)
+    counts[at, lang] = rows["n"].to_numpy()
+    totals[lang] = rows["total"].to_numpy()
+    return "\n".join(keys.to_pylist()).encode(), counts, totals
 
 
 def _top(counts: DataFrame, most: int, *by: str) -> DataFrame:
@@ -105,24 +113,23 @@ class Scorer:
     def __init__(self, model: dict):
         self.langs = model["langs"]
         self.size = len(self.langs)
-        self.grams = {n: {k: self._row(v, model["totals"].get(n, {})) for k, v in found.items()} for n, found in model["grams"].items()}
-        self.rows = np.zeros((len(model["words"]) + CACHE + 1, self.size), np.float32)
-        self.known = {}
-        for i, (word, counts) in enumerate(model["words"].items()):
-            self.known[word] = i
-            self.rows[i] = self._row(counts, model["totals"].get(0, {}))
+        logs = [np.log10((counts + 0.1) / (totals + 1.0)).astype(np.float32) for _, counts, totals in model["counts"]]
+        keys = [joined.split(b"\n") if joined else [] for joined, *_ in model["counts"]]
+        self.gram_rows = dict(enumerate(logs))
+        self.grams = {n: dict(zip(map(bytes.decode, found), range(len(found)), strict=True)) for n, found in enumerate(keys) if n}
+        self.known = dict(zip(keys[0], range(len(keys[0])), strict=True)) if keys else {}
         self.base = len(self.known)
+        self.rows = np.zeros((self.base + CACHE + 1, self.size), np.float32)
+        if keys:
+            self.rows[: self.base] = logs[0]
         self.fresh: dict[bytes, int] = {}
 
-    def _row(self, counts: dict[int, int], totals: dict[int, int]) -> np.ndarray:
-        return np.array([np.log10((counts.get(i, 0) + 0.1) / (totals.get(i, 0) + 1.0)) for i in range(self.size)], np.float32)
-
     def back_off(self, word: bytes) -> np.ndarray:
         text = word.decode()
         for n in range(GRAM, 0, -1):
-            found = [row for g in grams(text, n) if (row := self.grams[n].get(g)) is not None]
+            found = [at for g in grams(text, n) if (at := self.grams[n].get(g)) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return self.gram_rows[n][found].mean(axis=0)
         return np.zeros(self.size, np.float32)
 
     def score(self, text: list[bytes]) -> np.ndarray:
@@ -155,23 +162,10 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     the best language, with the evidence of at most ``EVIDENCE`` words; ties go to the first language by name.
     """
     given = docs.sparkSession.sparkContext.broadcast(model)
-    return map_slices(documents(docs), f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double", lambda: _predictor(given.value))
-
+    return map_slices(documents(docs), f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double", lambda: _predictor(Scorer(given.value)))
 
-_scorers: dict[int, Scorer] = {}
 
-
-def _scorer(model: dict) -> Scorer:
-    """One scorer per worker and model."""
-    if id(model) not in _scorers:
-        _scorers.clear()
-        _scorers[id(model)] = Scorer(model)
-        _scorers[id(model)].model = model  # keeps the id taken
-    return _scorers[id(model)]
-
-
-def classify(model: dict, bodies: list[bytes | None]) -> tuple[list[str], list[float]]:
-    scorer = _scorer(model)
+def classify(scorer: Scorer, bodies: list[bytes | None]) -> tuple[list[str], list[float]]:
     langs, scores = [], []
     for body in bodies:
         if not scorer.langs or not _has_letter(body) or not (text := _words(body)):
@@ -186,9 +180,9 @@ def classify(model: dict, bodies: list[bytes | None]) -> tuple[list[str], list[f
     return langs, scores
 
 
-def _predictor(model: dict):
+def _predictor(scorer: Scorer):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs, scores = classify(model, batch.column(1).to_pylist())
+        langs, scores = classify(scorer, batch.column(1).to_pylist())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return run
@@ -204,8 +198,10 @@ def keep_known(docs: DataFrame, model: dict, min_score: float = 0.3) -> DataFram
     at = docs.columns.index("text")
 
     def make():
+        scorer = Scorer(given.value)
+
         def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
-            langs, scores = classify(given.value, batch.column(at).cast(pa.binary()).to_pylist())
+            langs, scores = classify(scorer, batch.column(at).cast(pa.binary()).to_pylist())
             return batch.filter(pa.array([x != UNKNOWN and s >= min_score for x, s in zip(langs, scores, strict=True)], pa.bool_()))
 
         return keep
