@@ -77,7 +77,7 @@ def test_links_lose_no_pair(spark):
 @pytest.mark.parametrize("percent", [60, 80, 90])
 def test_linked_sets_share_a_signature(histogram, percent):
     """For any allocation, also with one-deletion segments, small sets and idle segments."""
-    layouts = jaccard.Layouts(percent, histogram)
+    layouts = jaccard.Layouts(percent, histogram, overlap=0.2)
     r = np.random.default_rng(percent)
     for _ in range(400):
         n = int(r.integers(1, 80))
@@ -90,7 +90,7 @@ def test_linked_sets_share_a_signature(histogram, percent):
 
 
 def test_one_deletion_segments_are_chosen_where_they_pay():
-    few, many = jaccard.Layouts(90, dict.fromkeys(range(60), 1)), jaccard.Layouts(90, dict.fromkeys(range(60), 10**8))
+    few, many = jaccard.Layouts(90, dict.fromkeys(range(60), 1)), jaccard.Layouts(90, dict.fromkeys(range(60), 10**12))
     b = few.band(20)
     assert many.band(20) == b and few.allocation(b)[1] == 0 and many.allocation(b)[1] > 0
 

@@ -25,8 +25,9 @@ from waymark.llm.text import documents, slices
 from waymark.operators.components import components
 from waymark.session import cut, cut_and_measure
 
-RATIO = 1.3  # of the sizes at the ends of a band
-OVERLAP = 0.2  # assumed share of a segment's shingles that two unrelated documents have in common, for costs only
+RATIO = 1.5  # of the sizes at the ends of a band
+OVERLAP = 0.02  # share of the shingles that two unrelated documents have in common, for costs only: stock phrases of running text
+HELD = 2_000_000  # signatures held in a task before equal ones are combined and passed on
 SEEDS = 6  # layouts to fall back on when segments of a document are empty
 SEEN = 500_000  # sets that a task remembers, to pass the signatures of copies once
 HELD_BYTES = 1 << 26
@@ -91,11 +92,13 @@ class Layouts:
     def _cost(self, b: int, differ: int, ones: int) -> tuple[float, tuple[int, int, int]]:
         segments = differ + 1 - ones
         n, size = self.histogram.get(b, 0), (self.low[b] + self.high[b]) / 2
-        each, fewest = size / segments, self.low[b] / segments
+        each, slack = size / segments, 0
         signatures = n * (segments - ones + ones * (each + 1))
         chance = (segments - ones) * self.overlap**each + ones * (each + 1) * self.overlap ** max(each - 1, 0)
-        idle = math.exp(-fewest) * (segments - ones + 2 * ones * (1 + fewest))
-        slack = math.ceil(idle + 3 * math.sqrt(idle)) if idle > 0.05 else 0
+        for _ in range(3):  # more segments are emptier; the smallest partners from the band below have the most idle ones
+            fewest = self.low[b] * self.percent / 100 / (segments + slack)
+            idle = math.exp(-fewest) * (segments + slack - ones + 2 * ones * (1 + fewest))
+            slack = math.ceil(idle + math.sqrt(idle)) if idle > 0.05 else 0
         return signatures + n * n / 2 * chance + n * slack, (segments + slack, ones, slack)
 
     def keys(self, b: int, seed: int, segments: int) -> np.ndarray:
@@ -210,21 +213,33 @@ def _candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, s
     layouts = Layouts(percent)
     layouts.histogram = _histogram(given, layouts)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = min(max((2 * parts - 1).bit_length(), 4), 13)
+    bits = min(max((4 * parts - 1).bit_length(), 5), 14)
     folder = new_folder(spark)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signed = _Signed(words, layouts)
+        signed, held, size = _Signed(words, layouts), [], 0
+
+        def passed() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([found, found[n > 1]]))], ["sig"])  # twice is enough
+
         for batch in batches:
             for part in slices(batch, 1024, 1 << 21):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s for *_, s in signed(part.column(1))]))], ["sig"])
+                held.append(np.concatenate([s for *_, s in signed(part.column(1))]))
+                size += len(held[-1])
+                if size > HELD:
+                    size = 0
+                    yield passed()
+        if held:
+            yield passed()
 
-    repeated = given.mapInArrow(sign, "sig long").groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
-    dealt = repeated.repartition(parts, F.shiftright("sig", 64 - bits)).sortWithinPartitions("sig")
+    dealt = given.mapInArrow(sign, "sig long").repartition(parts, F.shiftright("sig", 64 - bits)).sortWithinPartitions("sig")
 
     def write(bucket: int, c: dict) -> dict:
-        write_array(folder, f"sig{bucket}", c["sig"])
-        return {"bucket": [bucket]}
+        found, n = np.unique(c["sig"], return_counts=True)
+        write_array(folder, f"sig{bucket}", found[n > 1])
+        return {"bucket": np.array([bucket] * bool((n > 1).any()), np.int64)}
 
     made = by_bucket(dealt, "bucket long", lambda c: (c["sig"] >> (64 - bits)) + (1 << (bits - 1)), write).collect()  # a row per bucket
     filled = frozenset(r["bucket"] for r in made)
