@@ -13,11 +13,11 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.session import scratch_dir
+from waymark.session import scratch_folder
 
 
 def new_folder(spark: SparkSession) -> str:
-    return f"{scratch_dir(spark)}/arrays-{uuid.uuid4().hex}"
+    return scratch_folder(spark, "arrays")
 
 
 def _local(uri: str) -> str | None:
