@@ -17,7 +17,7 @@ from waymark.session import cut_and_measure
 
 CAPACITY, END_ID = 2048, 0
 BLOCK_PIECES = 8_192  # pieces that one task packs together
-CACHE = 300_000  # parts of texts in each of two generations whose ids a worker remembers: about 160 MB
+CACHE = 400_000  # parts of texts in each of two generations whose ids a worker remembers: about 200 MB
 
 PIECES = "piece int, start long, length long, ids_crc32 long, task int, row long"
 
@@ -43,9 +43,7 @@ class _Encoder:
             self.older = older = known
             self.known = known = {}
         wanted, fresh = [], {}
-        for part in parts:
-            if part in known:
-                continue
+        for part in parts.difference(known):
             if part in older:
                 known[part] = older[part]
                 continue
@@ -129,7 +127,7 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
 
         return pieces
 
-    return map_slices(documents(docs), f"doc_id {kind}, {PIECES}" + ", ids array<int>" * with_ids, make)
+    return map_slices(documents(docs), f"doc_id {kind}, {PIECES}" + ", ids array<int>" * with_ids, make, rows=1024, most_bytes=1 << 22)
 
 
 def best_fit(needs: np.ndarray, capacities: np.ndarray, weights: np.ndarray, by: str = "norm") -> tuple[np.ndarray, np.ndarray]:
