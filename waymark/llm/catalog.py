@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import decontaminate, jaccard, language, licenses, lines, neighbours, ngrams, packing, secrets, toxicity
+from waymark.llm import decontaminate, jaccard, language, licenses, lines, neighbours, ngrams, packing, secrets, spelling, toxicity
 from waymark.llm.text import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,35 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = language.predict(docs, language.fit(language.training_rows(docs)))
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+_DUCK_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: CTE with the 256 remainders of crc32 as a list, and the checksum of a list of bytes by it.
+_DUCK_CRC_TABLE = """crc_table as materialized (select list_transform(range(256), lambda i: list_reduce(range(8), lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, i)) as rest)"""
+_DUCK_CRC = "xor(list_reduce({}, lambda a, b: xor(a >> 8, rest[(xor(a, b) & 255) + 1]), cast(4294967295 as bigint)), 4294967295)"
+
+
+@_query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(_table(spark, sf_dir, "documents"), damage=spelling.DAMAGE))
+
+
+SQL["op12_spelling_variants"] = f"""
+with recursive {_DUCK_CRC_TABLE},
+runs as (select coalesce(cast(doc_id as varchar), '') as id, r, count(*) as n
+  from (select doc_id, unnest(regexp_extract_all({_DUCK_LOWER.format('text')}, '[A-Za-z\u00C0-\u00FF]+')) as r from documents) group by all),
+checked as (select r, n, {_DUCK_CRC.format("flatten(list_transform(string_split(id || ':' || r, ''), lambda c: case when unicode(c) < 128 then [cast(unicode(c) as bigint)] else [cast(195 as bigint), unicode(c) - 64] end))")} as h
+  from runs, crc_table),
+words as materialized (select word, cast(sum(n) as bigint) as n
+  from (select case when h % 31 = 0 then left(r, h % length(r)) || substr(r, h % length(r) + 2) else r end as word, n from checked)
+  where length(word) >= 7 group by word having sum(n) >= 2),
+skipped as materialized (select distinct word, n, left(word, i) as a, substr(word, i + 2) as b from (select word, n, unnest(range(length(word))) as i from words)),
+shorter as materialized (select distinct s.word, s.n, w.word as less, w.n as less_n from skipped s join words w on w.word = s.a || s.b),
+near as (select x.word, y.word as other, y.n as other_n from skipped x join skipped y on x.a = y.a and x.b = y.b and x.word <> y.word and length(x.word) = length(y.word)
+  union all select word, less, less_n from shorter union all select less, word, n from shorter),
+told as (select word, count(*) as n_near, first(other order by other_n desc, other) as best, max(other_n) as best_n from near group by word),
+forms as materialized (select w.word, w.n, coalesce(n_near, 0) as n_near, case when best_n >= 10 * w.n then best end as form, case when best_n >= 10 * w.n then best_n end as form_n
+  from words w left join told t on t.word = w.word),
+walk as (select word, word as root, form as following from forms union all select w.word, f.word, f.form from walk w join forms f on f.word = w.following)
+select f.word, f.form, w.root, f.n, cast(f.n_near as bigint) as n_near, f.form_n from forms f join walk w on w.word = f.word and w.following is null
+"""
