@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import decontaminate, jaccard, language, licenses, lines, neighbours, ngrams, packing, secrets, spelling, toxicity
+from waymark.llm import decontaminate, jaccard, language, licenses, lines, neighbours, ngrams, packing, repair, secrets, spelling, toxicity
 from waymark.llm.text import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,45 @@ forms as materialized (select w.word, w.n, coalesce(n_near, 0) as n_near, case w
 walk as (select word, word as root, form as following from forms union all select w.word, f.word, f.form from walk w join forms f on f.word = w.following)
 select f.word, f.form, w.root, f.n, cast(f.n_near as bigint) as n_near, f.form_n from forms f join walk w on w.word = f.word and w.following is null
 """
+
+
+@_query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _table(spark, sf_dir, "conversations")
+    fixed = repair.repair(repair.damage(given)).withColumnRenamed("conv_id", "_id")
+    joined = given.select("conv_id").distinct().join(fixed, F.col("conv_id").eqNullSafe(F.col("_id")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+SQL["op13_conversation_repair"] = rf"""
+with recursive {_DUCK_CRC_TABLE},
+given as (select *, {_DUCK_CRC.format("list_transform(string_split(coalesce(cast(conv_id as varchar), '') || ':' || coalesce(cast(turn as varchar), ''), ''), lambda c: cast(unicode(c) as bigint))")} % 20 as k
+  from (select coalesce(cast(conv_id as varchar), '') as conv, conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text from conversations), crc_table),
+spoilt as (select conv, conv_id, turn, case when k = 4 then 'user' else role end as role, case when k = 1 then '' when k = 2 then translate(text, '.!?', '') else text end as text,
+  unnest(case when k = 3 then [1, 2] else [1] end) as copy from given where k <> 0),
+placed as materialized (select *, left(role, 1) as initial, regexp_extract(text, '([^ 	-
+])[ 	-
+]*\z', 1) as last,
+  row_number() over (partition by conv order by turn nulls first, role, text, copy) as i, row_number() over (partition by conv, role, text order by turn nulls first, copy) as copies from spoilt),
+checked as materialized (select *, case when last = '' then 'blank' when copies > 1 then 'duplicate' when last not in ('.', '!', '?') then 'truncated' else '' end as fault,
+  lag(initial) over (partition by conv order by i) as before from placed),
+inserts(s0, s1, more, letters, roles) as (values ('E', 'E', 0, '', []), ('E', 'U', 2, 'I', ['user:']), ('E', 'A', 4, 'II', ['user:', 'assistant:']), ('S', 'S', 0, '', []), ('S', 'U', 2, 'I', ['user:']),
+  ('S', 'A', 4, 'II', ['user:', 'assistant:']), ('U', 'U', 0, '', []), ('U', 'A', 2, 'I', ['assistant:']), ('A', 'A', 0, '', []), ('A', 'U', 2, 'I', ['user:'])),
+legal(s1, r, s2) as (values ('E', 's', 'S'), ('E', 'u', 'U'), ('S', 'u', 'U'), ('A', 'u', 'U'), ('U', 'a', 'A')),
+edits as materialized (
+  select conv, i, s1, s1 as s2, 3 as price, 'D' as letter, cast([] as varchar[]) as line from checked, (select distinct s1 from inserts)
+  union all select conv, i, s1, s2, case when fault = 'truncated' then 1 else 0 end, 'K', [role || ':' || text] from checked join legal on r = initial where fault not in ('blank', 'duplicate')
+  union all select conv, i, s1, s2, case when fault = 'truncated' then 3 else 2 end, 'R', [case r when 'u' then 'user' else 'assistant' end || ':' || text] from checked join legal on r <> 's' where fault not in ('blank', 'duplicate')),
+steps as materialized (select conv, i, s0, s2, more + price as price, rpad(letters || letter, 3, ' ') as slot, list_concat(roles, line) as line from edits join inserts using (s1)),
+path as (select distinct conv, cast(0 as bigint) as i, 'E' as s, {{'cost': 0, 'slots': '', 'lines': cast([] as varchar[])}} as w from checked
+  union all select p.conv, p.i + 1, s2, min({{'cost': w.cost + price, 'slots': w.slots || slot, 'lines': list_concat(w.lines, line)}})
+  from path p join steps t on t.conv = p.conv and t.i = p.i + 1 and t.s0 = p.s group by p.conv, p.i, s2),
+ends as (select p.conv, min({{'cost': w.cost + more, 'slots': w.slots || letters, 'lines': list_concat(w.lines, roles)}}) as w
+  from path p join (select conv, max(i) as i from checked group by conv) m on m.conv = p.conv and m.i = p.i join inserts on s0 = s where s1 in ('E', 'A') group by p.conv),
+counts as (select conv, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+  count(*) filter (fault = 'truncated') as truncated, count(*) filter (before is not null and before || initial not in ('su', 'ua', 'au')) as illegal from checked group by conv)
+select conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  cast(coalesce(w.cost, 0) as bigint) as cost, coalesce(replace(w.slots, ' ', ''), '') as audit, sha256(coalesce(array_to_string(w.lines, chr(10)), '')) as repaired_sha256
+from (select distinct conv, conv_id from given) left join ends using (conv) left join counts using (conv)
+"""
