@@ -9,6 +9,7 @@ OUTPUT = {
     "op1": "doc_id n_words n_hit n_items items_sha256 contaminated", "op2": "doc_id held_out score predicted", "op3": "doc_id held_out n_tokens n_known train_tokens base_score score",
     "op4": "doc_id n_shingles component_id", "op5": "doc_id piece start length ids_crc32 sequence_id offset", "op6": "query_id rank vec_id score", "op7": "doc_id n_lines n_dropped kept_sha256",
     "op8": "doc_id n_assign n_access n_hex base_sha256 spans", "op9": "doc_id n_words n_base first_word last_word base_labels labels score", "op10": "doc_id held_out lang_pred score",
+    "op11": "page_id payload_bytes payload_digest record_type refers_to", "op12": "word form root n n_near form_n", "op13": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
 }
 
 
@@ -23,7 +24,7 @@ def test_rows_equal_sql(spark, name):
     assert state == "ok", note
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n.split("_")[0] not in ("op4", "op6")])
+@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n.split("_")[0] not in ("op4", "op6", "op11", "op12", "op13")])
 def test_a_row_per_document(spark, name):
     df = entry.queries()[name](spark, SF)
     assert df.columns == OUTPUT[name.split("_")[0]].split()
@@ -33,6 +34,11 @@ def test_a_row_per_document(spark, name):
         assert df.count() == docs.count()
 
 
+@pytest.mark.parametrize("name", ["op11_warc", "op12_spelling_variants", "op13_conversation_repair"])
+def test_columns(spark, name):
+    assert entry.queries()[name](spark, SF).columns == OUTPUT[name.split("_")[0]].split()
+
+
 def test_neighbour_recall(spark):
     import numpy as np
 

@@ -20,7 +20,7 @@ def new_folder(spark: SparkSession) -> str:
     return scratch_folder(spark, "arrays")
 
 
-def _local(uri: str) -> str | None:
+def local_path(uri: str) -> str | None:
     """The path, if tasks can open it as a file of a shared mount."""
     parsed = urlparse(uri)
     return unquote(parsed.path) if parsed.scheme in ("", "file") else None
@@ -28,7 +28,7 @@ def _local(uri: str) -> str | None:
 
 def write_array(folder: str, name: str, values: np.ndarray) -> None:
     """Write at once under the final name, so a task that runs twice leaves one whole file."""
-    path = _local(folder)
+    path = local_path(folder)
     if path is None:
         system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
@@ -44,7 +44,7 @@ def write_array(folder: str, name: str, values: np.ndarray) -> None:
 
 def map_array(folder: str, name: str, kind) -> np.ndarray:
     """The array as a memory map. From a remote store it is fetched into a file that goes with the mapping."""
-    path = _local(folder)
+    path = local_path(folder)
     if path is not None:
         return np.memmap(f"{path}/{name}", kind, "r") if os.path.getsize(f"{path}/{name}") else np.empty(0, kind)
     system, root = fs.FileSystem.from_uri(folder)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import decontaminate, jaccard, language, licenses, lines, neighbours, ngrams, packing, repair, secrets, spelling, toxicity
+from waymark.llm import decontaminate, jaccard, language, licenses, lines, neighbours, ngrams, packing, repair, secrets, spelling, toxicity, warc
 from waymark.llm.text import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,6 +139,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+
+@_query
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.resolved(warc.read(warc.write(_table(spark, sf_dir, "pages"))))
+
+
+SQL["op11_warc"] = """
+with p as (select page_id, coalesce(html, '') as html, list_transform(string_split(sha1(coalesce(html, '')), ''), lambda c: strpos('0123456789abcdef', c) - 1) as d from pages),
+ranked as (select *, row_number() over (partition by html order by page_id desc nulls last) as k, max(page_id) over (partition by html) as winner from p)
+select page_id, cast(strlen(html) as bigint) as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast(((d[5 * i // 4 + 1] * 16 + d[5 * i // 4 + 2]) >> (3 - 5 * i % 4)) & 31 as int), 1)), '') as payload_digest,
+  case when k = 1 then 'response' else 'revisit' end as record_type, case when k > 1 then winner end as refers_to
+from ranked
+"""
+
 _DUCK_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: CTE with the 256 remainders of crc32 as a list, and the checksum of a list of bytes by it.
 _DUCK_CRC_TABLE = """crc_table as materialized (select list_transform(range(256), lambda i: list_reduce(range(8), lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, i)) as rest)"""
