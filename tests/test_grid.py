@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -94,3 +95,24 @@ def test_positions_and_running_values(spark):
         for i, (k, _) in enumerate(items):
             assert summed[g, k] == sum(v for _, v in items[: i + 1])
             assert least[g, k] == (min(v + 1000 for _, v in items[:i]) if i else 0)
+
+
+@pytest.mark.parametrize("planar", [False, True])
+def test_nearest_of_a_town_seen_from_far_and_near(spark, planar, monkeypatch):
+    r = random.Random(5)
+    town = lambda: (3 + r.random() * 0.05, 101 + r.random() * 0.05)
+    targets = [(i, *town()) for i in range(3000)]
+    points = [(i, 3.5 + r.random() * 2, 102 + r.random()) for i in range(300)] + [(1000 + i, *town()) for i in range(100)]
+    rows, measure = [], grid.cut_and_measure
+
+    def watched(df, **measures):  # cells that points open, with the targets in them
+        out, seen = measure(df, **measures)
+        if {"_n", "_bound"} <= set(out.columns):
+            rows.append(out.where("_n <= 8").agg(F.sum("_n")).first()[0] or 0)
+        return out, seen
+
+    monkeypatch.setattr(grid, "cut_and_measure", watched)
+    df = grid.nearest(frame(spark, points, "p"), "p", frame(spark, targets, "t"), "t", planar=planar)
+    far = (lambda a, b: math.dist(a, b)) if planar else km
+    assert {p: t for p, t, _ in tuples(df)} == {p: min((far(at, b), t) for t, *b in targets)[1] for p, *at in points}
+    assert sum(rows) <= 60 * len(points)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
@@ -70,6 +70,7 @@ def _at_level(cells: list[str], level: str, names: list[str]) -> list[Column]:
 CROWDED = 8  # targets of a cell from which it is divided
 FINEST = {True: 1e-6, False: 1e-4}  # edge of the finest cells: degrees on a plane, km on the sphere
 STEP = 3  # levels that a crowded cell is divided at a time
+DESCENT = 2  # levels between a cell that a search opens and the cells it meets there
 
 
 def _start_level(targets: DataFrame, planar: bool) -> int:
@@ -94,9 +95,11 @@ def nearest(
 
     Copies at one coordinate, of points and of targets, are one place. Each occupied cell names one of its targets. Cells start at the
     mean spacing of the targets; crowded ones are divided until they hold few, wherever they lie. The named targets of the
-    cells around a point bound its distance; only points without any are looked up on coarser levels. Then all targets in
-    the cells around the point that are just as wide as this bound are compared: about as many as neighbours at the local
-    density. No side is broadcast by hand, and a target is copied only to the levels that some point asks for.
+    cells around a point bound its distance; only points without any are looked up on coarser levels. Then the point meets
+    the cells around it that are just as wide as this bound. Cells carry the bounds of their targets: one that is farther than the nearest
+    target named so far is closed, one with few targets is read, and a crowded one is replaced by its cells ``DESCENT`` levels
+    below, which again are closed or opened. So a point far from a town opens only the cells on its near side, and a
+    target is copied only to the levels that some point asks for.
     """
     by = by or []
     t0 = cut(targets.groupBy(*by, F.col("lat").alias("_tlat"), F.col("lon").alias("_tlon")).agg(F.min(target_key).alias("_t")))
@@ -145,15 +148,48 @@ def nearest(
         bound = cut(bound.where("_bound is not null").unionByName(open_.join(bounded(open_, occupied(t, coarser), coarser), [*by, "lat", "lon"])))
     wide = F.greatest(F.ceil(F.log2(F.greatest("_bound", F.lit(base)) * (1 + 1e-9) / base)), F.lit(0))
     level = F.least(wide, F.lit(top)).cast("int").alias("_level")
-    placed = bound.where("_bound is not null").select(*by, "lat", "lon", *home, level).select(*by, "lat", "lon", "_level", *_at_level(home, "_level", block))
+    placed = cut(bound.where("_bound is not null").select(*by, "lat", "lon", "_bound", *home, level).select(*by, "lat", "lon", "_bound", "_level", *_at_level(home, "_level", block)))
+    ends = [(f"_low{d}", f"_high{d}") for d in dims]
+
+    def boxes(on: list[int]) -> DataFrame:
+        """Occupied cells with the bounds of their targets, their number and a named one."""
+        axes = [F.col("_tlat"), F.col("_tlon")] if planar else geo.unit_xyz("_tlat", "_tlon")
+        spans = [c for a, (lo, hi) in zip(axes, ends) for c in (F.min(a).alias(lo), F.max(a).alias(hi))]
+        return on_levels(t, on, "_t", "_tlat", "_tlon").groupBy(*by, "_level", *cells).agg(F.count("*").alias("_n"), F.min(F.struct("_t", "_tlat", "_tlon")).alias("_named"), *spans)
+
+    def open_only_near(met: DataFrame) -> DataFrame:
+        """Of the cells that a point has met those whose bounds are no farther than the nearest target named so far."""
+        axes = [F.col("lat"), F.col("lon")] if planar else geo.unit_xyz("lat", "lon")
+        apart = [F.greatest(F.col(lo) - a, a - F.col(hi), F.lit(0.0)) for a, (lo, hi) in zip(axes, ends)]
+        told = F.min(gap("lat", "lon", "_named._tlat", "_named._tlon")).over(Window.partitionBy(*by, "lat", "lon"))
+        reach = F.col("_bound") if planar else F.sin(F.least(F.col("_bound") / (2 * geo.EARTH_KM), F.lit(math.pi / 2))) * (2 * geo.EARTH_KM)
+        bounded = met.withColumn("_bound", F.least("_bound", told))
+        return bounded.where(F.sqrt(sum(x * x for x in apart)) <= reach * (1 + 1e-9) + 1e-9).select(*by, "lat", "lon", "_bound", "_level", *cells, "_n")
+
+    def levels_of(df: DataFrame) -> list[int]:
+        return sorted(r["_level"] for r in df.select("_level").distinct().collect())  # a row per level
+
     wanted = placed.select(*by, "_level", *block).distinct()
-    asked = sorted(r["_level"] for r in wanted.select("_level").distinct().collect())  # a row per level
-    if not asked:
-        asked = [0]
-    near = _around(wanted.select("*", *[F.col(b).alias(c) for b, c in zip(block, cells)]), cells)
-    candidates = on_levels(t, asked, "_t", "_tlat", "_tlon").join(near, [*by, "_level", *cells]).select(*by, "_level", *block, "_t", "_tlat", "_tlon")
+    asked = levels_of(wanted) or [0]
+    around = _around(wanted.select("*", *[F.col(b).alias(c) for b, c in zip(block, cells)]), cells).join(boxes(asked), [*by, "_level", *cells])
+    opened = open_only_near(placed.join(around, [*by, "_level", *block]))
+    crowd = (F.col("_n") > CROWDED) & (F.col("_level") > 0)
+    small = None
+    while True:
+        opened, seen = cut_and_measure(opened, crowded=F.count_if(crowd))
+        done = opened.where(~crowd)
+        small = done if small is None else small.unionByName(done)
+        if not seen["crowded"]:
+            break
+        parents = opened.where(crowd).select(*by, "lat", "lon", "_bound", F.greatest(F.col("_level") - DESCENT, F.lit(0)).cast("int").alias("_level"), (F.col("_level") - F.greatest(F.col("_level") - DESCENT, F.lit(0))).cast("int").alias("_up"), *[F.col(c).alias(b) for b, c in zip(block, cells)])
+        asked = levels_of(parents)
+        inner = boxes(asked)  # each cell below its parent, which lies DESCENT levels up or, of the finest cells, less
+        steps = parents.select("_level", "_up").distinct()
+        inner = inner.join(F.broadcast(steps), "_level").withColumns({b: F.call_function("shiftright", F.col(c), F.col("_up")) for b, c in zip(block, cells)})
+        opened = open_only_near(parents.join(inner, [*by, "_level", "_up", *block]))
+    targets_of = on_levels(t, levels_of(small) or [0], "_t", "_tlat", "_tlon")
     best = (
-        placed.join(candidates, [*by, "_level", *block])
+        small.join(targets_of, [*by, "_level", *cells])
         .groupBy(*by, "lat", "lon")
         .agg(F.min(F.struct(gap("lat", "lon", "_tlat", "_tlon").alias("gap"), F.col("_t").alias("t"))).alias("best"))
     )
