@@ -78,7 +78,17 @@ def test_peers_leave_out_the_location_itself(spark):
 def test_positions_of_keys_with_wide_gaps(spark):
     keys = [*range(300), 4 * 10**18, -(2**62), 2**62 + 1, 2**62 + 2]
     df = spark.createDataFrame([(k,) for k in keys], "k bigint")
-    assert tuples(ranks.position(df, [], "k", "n", 16), "k", "n") == [(k, i + 1) for i, k in enumerate(sorted(keys))]
+    assert tuples(ranks.position(df, [], "k", "n"), "k", "n") == [(k, i + 1) for i, k in enumerate(sorted(keys))]
+
+
+def test_positions_of_repeated_keys_and_null_groups(spark):
+    df = spark.range(100_000).selectExpr("id", "cast(null as int) as g", "7 as k").unionByName(spark.range(10).selectExpr("id", "1 as g", "cast(id as int) as k"))
+    for by in ([], ["g"]):
+        got = ranks.position(df, by, "k", "n")
+        seen = got.groupBy(*by).agg(F.count("*").alias("rows"), F.countDistinct("n").alias("places"), F.min("n").alias("low"), F.max("n").alias("high"))
+        sizes = [100_010] if not by else [10, 100_000]
+        assert sorted(tuple(r)[-4:] for r in seen.collect()) == [(s, s, 1, s) for s in sizes]
+    assert tuples(got.where("g = 1"), "k", "n") == [(i, i + 1) for i in range(10)]
 
 
 def test_positions_and_running_values(spark):
@@ -86,9 +96,9 @@ def test_positions_and_running_values(spark):
     rows = [(g, k, r.randint(-50, 50)) for g in range(3) for k in r.sample(range(500), 120)]
     df = spark.createDataFrame(rows, "g int, k bigint, v bigint")
     by_group = {g: sorted((k, v) for a, k, v in rows if a == g) for g in range(3)}
-    assert tuples(ranks.position(df, ["g"], "k", "n", 16), "g", "k", "n") == [(g, k, i + 1) for g in range(3) for i, (k, _) in enumerate(by_group[g])]
+    assert tuples(ranks.position(df, ["g"], "k", "n"), "g", "k", "n") == [(g, k, i + 1) for g in range(3) for i, (k, _) in enumerate(by_group[g])]
     keys = sorted({k for _, k, _ in rows})
-    assert tuples(ranks.position(df.select("k").distinct(), [], "k", "n", 16), "k", "n") == [(k, i + 1) for i, k in enumerate(keys)]
+    assert tuples(ranks.position(df.select("k").distinct(), [], "k", "n"), "k", "n") == [(k, i + 1) for i, k in enumerate(keys)]
     summed = {(g, k): s for g, k, s in tuples(ranks.running_sum(df, ["g"], "k", F.col("v"), "s", 16), "g", "k", "s")}
     least = {(g, k): s for g, k, s in tuples(ranks.running_min(df.withColumn("w", F.col("v") + 1000), ["g"], "k", F.col("w"), "s", 16).fillna(0), "g", "k", "s")}
     for g, items in by_group.items():

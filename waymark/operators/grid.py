@@ -184,7 +184,7 @@ def nearest(
         parents = opened.where(crowd).select(*by, "lat", "lon", "_bound", F.greatest(F.col("_level") - DESCENT, F.lit(0)).cast("int").alias("_level"), (F.col("_level") - F.greatest(F.col("_level") - DESCENT, F.lit(0))).cast("int").alias("_up"), *[F.col(c).alias(b) for b, c in zip(block, cells)])
         asked = levels_of(parents)
         inner = boxes(asked)  # each cell below its parent, which lies DESCENT levels up or, of the finest cells, less
-        steps = parents.select("_level", "_up").distinct()
+        steps = parents.select("_level", "_up").distinct()  # a row per level
         inner = inner.join(F.broadcast(steps), "_level").withColumns({b: F.call_function("shiftright", F.col(c), F.col("_up")) for b, c in zip(block, cells)})
         opened = open_only_near(parents.join(inner, [*by, "_level", "_up", *block]))
     targets_of = on_levels(t, levels_of(small) or [0], "_t", "_tlat", "_tlon")

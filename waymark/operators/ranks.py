@@ -5,51 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.session import cut, cut_and_measure
+from waymark.session import cut
+
 
 def _block_offsets(blocks: DataFrame, by: list[str], value: str) -> DataFrame:
     before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     return blocks.withColumn("_offset", F.coalesce(F.sum(value).over(before), F.lit(0)))
 
 
-def position(df: DataFrame, by: list[str], key: str, out: str, block: int = 10_000) -> DataFrame:
-    """1-based position of every row in its group by a unique integer key.
+def position(df: DataFrame, by: list[str], key: str, out: str) -> DataFrame:
+    """1-based position of every row in its group in the order of ``key``, nulls first; rows of one key follow each other in any order.
 
-    The key range of a group is cut into as many equal parts as it has blocks of ``block`` rows; a part that holds more than two
-    blocks is cut again, whatever gaps the keys have. So no task sorts more than that of a group.
+    Rows are range-partitioned by group and key, with a number per row that lets a border fall between equal keys too, and
+    sorted; so a task gets an equal part of all rows whatever group or key they belong to. What lies before each part of a group is
+    added from the parts' sizes, a row per group and part. A null group is a group.
     """
-    rows = cut(df.withColumn("_block", F.array().cast("array<bigint>")))
-    group = [*by, "_block"]
-    while True:
-        sizes = rows.groupBy(*group).agg(F.min(key).cast("decimal(38,0)").alias("_low"), F.max(key).cast("decimal(38,0)").alias("_high"), F.count("*").alias("_n"))
-        sizes, seen = cut_and_measure(sizes, most=F.max("_n"))
-        if (seen["most"] or 0) <= 2 * block:
-            break
-        part = ((F.col(key).cast("decimal(38,0)") - F.col("_low")) * F.ceil(F.col("_n") / block).cast("decimal(10,0)") / (F.col("_high") - F.col("_low") + 1)).cast("bigint")
-        finer = F.when(F.col("_n") > 2 * block, F.concat("_block", F.array(part))).otherwise(F.col("_block"))
-        rows = cut(rows.join(sizes, group).withColumn("_block", finer).drop("_low", "_high", "_n"))
-    totals = _block_offsets(sizes.drop("_low", "_high"), by, "_n").drop("_n")
-    inside = Window.partitionBy(*group).orderBy(key)
-    ranked = rows.join(totals, group).withColumn(out, F.row_number().over(inside) + F.col("_offset"))
-    return ranked.drop("_block", "_offset")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(parts, *by, key, "_tie").sortWithinPartitions(*by, key, "_tie")
+    rows = cut(ranged.withColumns({"_block": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}).drop("_tie"))
+    sizes = rows.groupBy(*by, "_block").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    totals = _block_offsets(sizes, by, "_n").select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col("_block").alias("_b"), (F.col("_offset") - F.col("_first") + 1).alias("_shift"))
+    same = [F.col("_block") == F.col("_b"), *[F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]]
+    ranked = rows.join(totals, same).withColumn(out, F.col("_row") + F.col("_shift"))
+    return ranked.select(*df.columns, out)
 
 
 def running_sum(df: DataFrame, by: list[str], seq: str, value: Column, out: str, block: int = 1_000) -> DataFrame:
     """Sum of ``value`` up to each row of a group in the order of an integer sequence column."""
-    cut = df.withColumn("_value", value).withColumn("_block", F.floor(F.col(seq) / block))
-    totals = _block_offsets(cut.groupBy(*by, "_block").agg(F.sum("_value").alias("_total")), by, "_total").drop("_total")
+    blocked = df.withColumn("_value", value).withColumn("_block", F.floor(F.col(seq) / block))
+    totals = _block_offsets(blocked.groupBy(*by, "_block").agg(F.sum("_value").alias("_total")), by, "_total").drop("_total")
     inside = Window.partitionBy(*by, "_block").orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = cut.join(totals, [*by, "_block"]).withColumn(out, F.sum("_value").over(inside) + F.col("_offset"))
+    summed = blocked.join(totals, [*by, "_block"]).withColumn(out, F.sum("_value").over(inside) + F.col("_offset"))
     return summed.drop("_block", "_offset", "_value")
 
 
 def running_min(df: DataFrame, by: list[str], seq: str, value: Column, out: str, block: int = 1_000) -> DataFrame:
     """Smallest ``value`` of the rows before each row of a group (null for the first), in the order of ``seq``."""
-    cut = df.withColumn("_value", value).withColumn("_block", F.floor(F.col(seq) / block))
+    blocked = df.withColumn("_value", value).withColumn("_block", F.floor(F.col(seq) / block))
     before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy(*by, "_block").agg(F.min("_value").alias("_least")).withColumn("_earlier", F.min("_least").over(before)).drop("_least")
+    totals = blocked.groupBy(*by, "_block").agg(F.min("_value").alias("_least")).withColumn("_earlier", F.min("_least").over(before)).drop("_least")
     inside = Window.partitionBy(*by, "_block").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    joined = cut.join(totals, [*by, "_block"]).withColumn("_here", F.min("_value").over(inside))
+    joined = blocked.join(totals, [*by, "_block"]).withColumn("_here", F.min("_value").over(inside))
     return joined.withColumn(out, F.least("_earlier", "_here")).drop("_block", "_value", "_earlier", "_here")
 
 

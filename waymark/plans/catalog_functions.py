@@ -357,10 +357,10 @@ def _(t):
 
 @register(
     "f9_at_warehouse",
-    "select preset_id, location_id, abs(p.lat - w.lat) < 0.0001 and abs(p.lon - w.lon) < 0.0001 as at_warehouse from placed p join (select preset_id, lat, lon from placed where is_warehouse) w using (preset_id) where not is_warehouse",
+    """select preset_id, location_id, coalesce(abs(lat - w_lat) < 0.0001 and abs(lon - w_lon) < 0.0001, false) as at_warehouse from (
+ select *, max(case when is_warehouse then lat end) over (partition by preset_id) as w_lat, max(case when is_warehouse then lon end) over (partition by preset_id) as w_lon
+ from preset_locations join locations using (location_id)) where not is_warehouse""",
     "locations preset_locations",
-    """links as materialized (select * from preset_locations), spots as materialized (select location_id, lat, lon from locations),
- placed as materialized (select preset_id, location_id, is_warehouse, lat, lon from links join spots using (location_id))""",
 )
 def _(t):
     return lookups.at_warehouse(t.preset_locations, t.locations)

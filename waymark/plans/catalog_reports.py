@@ -68,8 +68,9 @@ def _(t):
 
 @register(
     "a6_nested_by_cluster",
-    """select coalesce(cast(cluster_id as varchar), 'noise') as bucket, name as cluster_name, cast(floor(location_id / 1000) as bigint) as page, count(*) as n,
- string_agg(cast(location_id as varchar), ',' order by location_id) as ids from locations left join location_clusters using (location_id) left join clusters using (cluster_id) group by 1, 2, 3""",
+    """select bucket, name as cluster_name, page, count(*) as n, string_agg(cast(location_id as varchar), ',' order by location_id) as ids from (
+ select location_id, cluster_id, coalesce(cast(cluster_id as varchar), 'noise') as bucket, (row_number() over (partition by cluster_id order by location_id) - 1) // 1000 as page
+ from locations left join location_clusters using (location_id)) left join clusters using (cluster_id) group by 1, 2, 3""",
     "locations location_clusters clusters",
 )
 def _(t):

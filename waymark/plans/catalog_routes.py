@@ -417,9 +417,9 @@ _TYPED = """typed as (select r.*, n, case when seq = 1 then case when o_ordersta
 
 @register(
     "r18_audit_routes",
-    """select route_id, null as node_id, 'precedence' as rule from typed where type = 'dropoff' and (o_status_f or n = 1) union all select route_id, null, 'unfinished' from typed where type = 'pickup' and n = 1 union all
- select null, f.first, 'missing' from location_clusters l join (select cluster_id, min(checkpoint_id) as first from security_checkpoints group by 1) f using (cluster_id) where not exists (select 1 from route_stops r where r.run_id = l.location_id and r.checkpoint_id = f.first)
- union all select route_id, null, 'too long' from whole where km > 120""".replace("o_status_f", "seq = 1"),
+    """select run_id, route_id, null as node_id, 'precedence' as rule from typed where type = 'dropoff' and (o_status_f or n = 1) union all select run_id, route_id, null, 'unfinished' from typed where type = 'pickup' and n = 1 union all
+ select l.location_id, null, f.first, 'missing' from location_clusters l join (select cluster_id, min(checkpoint_id) as first from security_checkpoints group by 1) f using (cluster_id) where not exists (select 1 from route_stops r where r.run_id = l.location_id and r.checkpoint_id = f.first)
+ union all select run_id, route_id, null, 'too long' from whole join (select route_id, min(run_id) as run_id from route_stops group by 1) using (route_id) where km > 120""".replace("o_status_f", "seq = 1"),
     "route_stops location_clusters security_checkpoints dynamic_pairs locations",
     f"{_SLOTS}, {_TYPED}",
 )
@@ -431,7 +431,7 @@ def _(t):
     planned = base.select("run_id", "route_id", "seq", F.col("checkpoint_id").alias("node_id"), F.col("route_id").alias("pair_id"), kind.alias("type"), "lat", "lon")
     first = reports.first_checkpoint(t.security_checkpoints).select("cluster_id", F.col("checkpoint_id").alias("node_id"))
     mandatory = t.location_clusters.join(first, "cluster_id").select(F.col("location_id").alias("run_id"), "node_id")
-    return scenario.audit_routes(planned, mandatory, 120, route_depots(t)).select("route_id", "node_id", "rule")
+    return scenario.audit_routes(planned, mandatory, 120, route_depots(t)).select("run_id", "route_id", "node_id", "rule")
 
 
 @register(

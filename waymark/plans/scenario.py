@@ -299,7 +299,7 @@ def route_geometry(routes: DataFrame, legs: DataFrame) -> tuple[DataFrame, DataF
 
 
 def audit_routes(routes: DataFrame, mandatory: DataFrame, cap_km: float = ROUTE_CAP_KM, depots: DataFrame | None = None) -> DataFrame:
-    """Violations (route_id, pair_id, node_id, rule) of planned routes.
+    """Violations (run_id, route_id, pair_id, node_id, rule) of planned routes.
 
     ``routes``: run_id, route_id, seq, node_id, pair_id, type, lat, lon; ``mandatory``: run_id, node_id; ``depots``: route_id, lat, lon.
     Rules: within a run the pickup of a pair precedes its drop-off on the same route (precedence), every pickup has a
@@ -309,11 +309,12 @@ def audit_routes(routes: DataFrame, mandatory: DataFrame, cap_km: float = ROUTE_
     dropped = routes.where("type = 'dropoff'")
     pair = F.col("pair_id").cast("bigint")
     none = F.lit(None).cast("bigint")
-    wrong = dropped.join(pick, ["run_id", "pair_id"], "left").where("p_route is null or p_route <> route_id or p_seq >= seq").select("route_id", pair.alias("pair_id"), none.alias("node_id"), F.lit("precedence").alias("rule"))
-    open_ = pick.join(dropped, ["run_id", "pair_id"], "left_anti").select(F.col("p_route").alias("route_id"), pair.alias("pair_id"), none.alias("node_id"), F.lit("unfinished").alias("rule"))
-    lost = mandatory.join(routes, ["run_id", "node_id"], "left_anti").select(none.alias("route_id"), none.alias("pair_id"), "node_id", F.lit("missing").alias("rule"))
+    wrong = dropped.join(pick, ["run_id", "pair_id"], "left").where("p_route is null or p_route <> route_id or p_seq >= seq").select("run_id", "route_id", pair.alias("pair_id"), none.alias("node_id"), F.lit("precedence").alias("rule"))
+    open_ = pick.join(dropped, ["run_id", "pair_id"], "left_anti").select("run_id", F.col("p_route").alias("route_id"), pair.alias("pair_id"), none.alias("node_id"), F.lit("unfinished").alias("rule"))
+    lost = mandatory.join(routes, ["run_id", "node_id"], "left_anti").select("run_id", none.alias("route_id"), none.alias("pair_id"), "node_id", F.lit("missing").alias("rule"))
     lengths = tours.path_lengths(routes) if depots is None else closed_route_lengths(routes, depots)
-    long = lengths.where(F.col("km") > cap_km).select("route_id", none.alias("pair_id"), none.alias("node_id"), F.lit("too long").alias("rule"))
+    owner = routes.groupBy("route_id").agg(F.min("run_id").alias("run_id"))
+    long = lengths.where(F.col("km") > cap_km).join(owner, "route_id").select("run_id", "route_id", none.alias("pair_id"), none.alias("node_id"), F.lit("too long").alias("rule"))
     return wrong.unionByName(open_).unionByName(lost).unionByName(long)
 
 
