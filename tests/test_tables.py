@@ -2,6 +2,7 @@ import datetime as dt
 import random
 import uuid
 
+import pytest
 from helpers import tuples
 from pyspark.sql import functions as F
 
@@ -60,6 +61,39 @@ def test_upsert_equals_one_request_after_the_other(spark):
     assert got == one_by_one(stored, requests)
 
 
+def opened_in_turn(points, tol=1e-4):
+    cells = {}
+    for i, a, b in sorted(points):
+        x, y = int(a // tol), int(b // tol)
+        if not any(abs(p - a) < tol and abs(q - b) < tol for dx in (-1, 0, 1) for dy in (-1, 0, 1) for p, q in cells.get((x + dx, y + dy), ())):
+            cells.setdefault((x, y), []).append((a, b))
+    return sorted(p for c in cells.values() for p in c)
+
+
+def places(spark, points, monkeypatch):
+    """Opened places, and the rounds that they took."""
+    rounds, measure = [], tables.cut_and_measure
+    monkeypatch.setattr(tables, "cut_and_measure", lambda df, **m: (rounds.append(1), measure(df, **m))[1])
+    found = tables._leaders(spark.createDataFrame(points, "first bigint, lat double, lon double"), 1e-4)
+    return tuples(found, "lat", "lon"), len(rounds) // 2
+
+
+def test_a_recorded_drive_opens_places_in_few_rounds(spark, monkeypatch):
+    drive = [(i, 3 + 9e-5 * i, 101 + 1e-5 * (i % 7)) for i in range(10_000)]
+    got, rounds = places(spark, drive, monkeypatch)
+    assert got == opened_in_turn(drive) and rounds <= 6
+
+
+@pytest.mark.parametrize("most", [7, 50_000])
+def test_crowded_tiles_open_places_in_turn(spark, monkeypatch, most):
+    monkeypatch.setattr(tables, "TILE_POINTS", most)
+    monkeypatch.setattr(tables, "TILE_CELLS", 4)
+    r = random.Random(most)
+    points = [(r.randint(0, 10**6), 3 + r.random() * 4e-3, 101 + r.random() * 4e-3) for _ in range(250)] + [(i, 3.002 + i * 1e-9, 101.002) for i in range(100)]
+    got, _ = places(spark, points, monkeypatch)
+    assert got == opened_in_turn(points)
+
+
 def test_presets_use_stored_locations_and_cluster_new_ones(spark):
     stored = spark.createDataFrame([(1, 3.0, 101.0, "Jalan U1/2", "N"), (2, 3.5, 101.0, "", "N")], LOC)
     day = dt.datetime(2024, 1, 1)

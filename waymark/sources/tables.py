@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymark.functions import geo, payload
-from waymark.operators import grid, matching
+from waymark.operators import grid, matching, ranks
 from waymark.operators.lookups import ADDRESS
 from waymark.session import cut, cut_and_measure
 
@@ -163,26 +165,70 @@ def ingest_presets(requests: DataFrame, stored: DataFrame | None = None, pattern
     return out
 
 
+TILE_CELLS, TILE_GROWTH, TILE_POINTS = 64, 8, 50_000  # edge of the first tiles in cells, growth of it per round, points that a tile settles at a time
+
+
 def _leaders(points: DataFrame, tol: float) -> DataFrame:
     """The points (lat, lon, first) that open a new place when they come one after the other in the order of ``first``.
 
-    Rounds: of each cell as wide as the tolerance the earliest open point counts; one that is earlier than those of the cells around
-    opens a place; all points within its tolerance are then settled. No pair within a cell is ever made.
+    Rounds over tiles of cells as wide as the tolerance. A task settles the earliest open points of a tile in their order; a point
+    that depends on an earlier open one outside the tile waits. All points within the tolerance of an opened place are then settled. The next
+    tiles are larger and shifted, so what waited at a border lies inside; they grow only while each holds all its open points.
     """
     cells = {"_x": F.floor(F.col("lat") / tol), "_y": F.floor(F.col("lon") / tol)}
-    open_, found, left = cut(points.withColumns(cells)), None, 1
+    keyed = points.withColumn("_key", F.struct("first", "lat", "lon"))
+    open_ = cut(ranks.position(keyed, [], "_key", "_order").drop("_key").withColumns(cells))
+    found, left, edge, shift = None, 1, TILE_CELLS, False
+    schema = f"lat double, lon double, first {dict(points.dtypes)['first']}"
     while left:
-        earliest = open_.groupBy("_x", "_y").agg(F.min(F.struct("first", "lat", "lon")).alias("e"))
-        around = earliest.withColumn("_x", F.explode(F.sequence(F.col("_x") - 1, F.col("_x") + 1))).withColumn("_y", F.explode(F.sequence(F.col("_y") - 1, F.col("_y") + 1)))
-        least = around.groupBy("_x", "_y").agg(F.min("e").alias("least"))
-        opened = cut(earliest.join(least, ["_x", "_y"]).where(F.col("e") == F.col("least")).select("e.*"))
+        move = edge // 2 if shift else 0
+        tile = lambda x, y: [F.floor((x + move) / edge).alias("_tx"), F.floor((y + move) / edge).alias("_ty")]  # noqa: E731,B023
+        placed = open_.select("*", *tile(F.col("_x"), F.col("_y")))
+        turn = Window.partitionBy("_tx", "_ty").orderBy("_order")
+        earliest = placed.withColumn("_turn", F.row_number().over(turn)).where(F.col("_turn") <= TILE_POINTS)
+        cell = open_.groupBy("_x", "_y").agg(F.min("_order").alias("_order"))
+        beside = F.explode(F.array_distinct(F.array(*[F.struct(*tile(F.col("_x") + dx, F.col("_y") + dy)) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))).alias("t")
+        ring = cell.select("*", *tile(F.col("_x"), F.col("_y")), beside).where("t._tx <> _tx or t._ty <> _ty").select("t._tx", "t._ty", "_x", "_y", "_order")
+        tasks = earliest.select("_tx", "_ty", "_x", "_y", "_order", "lat", "lon", "first", F.lit(True).alias("_own")).unionByName(ring.withColumn("_own", F.lit(False)), allowMissingColumns=True)
+        opened, full = cut_and_measure(tasks.groupBy("_tx", "_ty").applyInArrow(_opened_in_tile(tol), schema + ", n long"), n=F.max("n"))
+        opened = opened.where("lat is not null").drop("n")
         found = opened if found is None else found.unionByName(opened)
         near = grid.box_pairs(open_.select("lat", "lon"), opened, tol, strict=True).select("lat", "lon").distinct()
         open_, seen = cut_and_measure(open_.join(near, ["lat", "lon"], "left_anti").select(open_.columns), n=F.count(F.lit(1)))
-        left = seen["n"]
+        left, shift = seen["n"], not shift
+        if (full["n"] or 0) < TILE_POINTS:
+            edge *= TILE_GROWTH
     return found
 
 
+def _opened_in_tile(tol: float):
+    """Function of a tile's open points and of the earliest order of each open cell around it: the places that surely open now."""
+
+    def settle(tile: pa.Table) -> pa.Table:
+        own = tile.filter(tile["_own"]).sort_by("_order")
+        rows = tile.filter(pc.invert(tile["_own"])).select(["_x", "_y", "_order"])
+        outside = {(x, y): order for x, y, order in zip(*(c.to_pylist() for c in rows.columns), strict=True)}
+        opened: dict[tuple, tuple] = {}  # a cell holds one place at most
+        waiting: dict[tuple, list] = {}
+        picked = []
+        columns = [own[c].to_pylist() for c in ("_x", "_y", "_order", "lat", "lon")]
+        for i, (x, y, order, lat, lon) in enumerate(zip(*columns, strict=True)):
+            around = [(x + dx, y + dy) for dx in (0, -1, 1) for dy in (0, -1, 1)]  # its own cell first
+            near = lambda p: abs(p[0] - lat) < tol and abs(p[1] - lon) < tol  # noqa: E731,B023
+            if any(near(opened[c]) for c in around if c in opened):
+                continue
+            if any(outside.get(c, order) < order for c in around) or any(map(near, (p for c in around for p in waiting.get(c, ())))):
+                waiting.setdefault((x, y), []).append((lat, lon))
+            else:
+                opened[x, y] = (lat, lon)
+                picked.append(i)
+        found = own.select(["lat", "lon", "first"]).take(pa.array(picked, pa.int64()))
+        size = pa.table({"lat": pa.nulls(1, pa.float64()), "lon": pa.nulls(1, pa.float64()), "first": pa.nulls(1, own.schema.field("first").type), "n": pa.array([len(own)], pa.int64())})
+        return pa.concat_tables([found.append_column("n", pa.nulls(len(found), pa.int64())), size])
+
+    return settle
+
+
 def place_points(loc: DataFrame, incoming: DataFrame, tol: float | None = geo.COORDINATE_TOLERANCE) -> DataFrame:
     """(lat, lon, location_id, is_new, p_lat, p_lon): the location of each incoming coordinate, as if the points came one after the other by request_id.
 
