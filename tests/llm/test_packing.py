@@ -74,6 +74,17 @@ def test_every_constraint_holds(by):
     assert len(np.unique(bins)) <= 1.25 * (needs.sum(axis=0) / capacities).max()
 
 
+def test_documents_and_cost_decide_between_bins():
+    r = np.random.default_rng(2)
+    length = np.concatenate([r.integers(1, 2048, 800), r.integers(1, 40, 2000)])
+    needs = np.column_stack([length, np.ones_like(length), length**2])
+    capacities = np.array([2048, 2048, 2048**2])
+    chosen, tokens = (packing.best_fit(needs, capacities, np.array(w))[0] for w in (packing.WEIGHTS, (1.0, 0.0, 0.0)))
+    groups = lambda bins: {frozenset(np.flatnonzero(bins == b).tolist()) for b in np.unique(bins)}
+    assert groups(chosen) != groups(tokens)
+    assert len(np.unique(chosen)) <= 1.01 * length.sum() / 2048 + 1
+
+
 def test_constraints_through_the_operator(spark):
     texts = ["a b c"] * 40 + ["a " * 60]
     found = packing.pack(packing.tokenize(documents(spark, texts), PATH, 50), 50, max_documents=3, max_cost=50 * 50).collect()
@@ -91,9 +102,9 @@ def test_empty_and_repeated(spark):
 
 def test_small_memory_of_words_gives_the_same_ids(spark, monkeypatch):
     texts = awkward() + TRICKY
-    wanted = packing.encode(PATH, [None if t is None else t.encode() for t in texts])
+    wanted = [x.tolist() for x in packing.encode(PATH, [None if t is None else t.encode() for t in texts])]
     packing._encoder.cache_clear()
     monkeypatch.setattr(packing, "CACHE", 3)
     for _ in range(3):
-        assert [packing.encode(PATH, [None if t is None else t.encode()])[0] for t in texts] == wanted
+        assert [packing.encode(PATH, [None if t is None else t.encode()])[0].tolist() for t in texts] == wanted
     packing._encoder.cache_clear()

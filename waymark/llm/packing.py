@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,63 +18,110 @@ from waymark.llm.text import documents, map_slices
 from waymark.session import cut_and_measure
 
 CAPACITY, END_ID = 2048, 0
+#: Of tokens, documents and attention cost in the choice of a bin. Tokens lead; of bins that they fill alike, the one with more documents and cost left
+#: over is the worse fit. The two smaller capacities are the most that 2048 tokens can need, so they never cost a sequence.
+WEIGHTS = (1.0, 0.25, 0.25)
 BLOCK_PIECES = 8_192  # pieces that one task packs together
-CACHE = 400_000  # parts of texts in each of two generations whose ids a worker remembers: about 200 MB
+CACHE = 800_000  # words whose ids a worker remembers: about 150 MB
 
 PIECES = "piece int, start long, length long, ids_crc32 long, task int, row long"
 
-
-_MARKS = {ord(c): c.encode() for c in ".,;:!?"}
+#: Letters up to U+00FF, whose lower case is that of the tokenizer, and ASCII punctuation behind a word.
+_LETTERS = r"^[A-Za-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+$"
+_BEFORE_MARKS = r"^(?s:.*)[^!-/:-@\[-`{-~]"
+_JOINED = 500  # words encoded as one text
 
 
 class _Encoder:
-    """Token ids of blank-separated parts, remembered for a bounded number of parts: the last used ones outlive the others."""
+    """Token ids of the words of texts, remembered for a bounded number of them.
+
+    Ids lie one after the other in ``ids``, those of slot i from ``starts[i]`` to ``starts[i + 1]``; slot 0 is empty.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def fetch(self, parts: set[bytes]) -> None:
-        """Make all these parts known."""
-        known, older = self.known, self.older
-        if len(known) > CACHE:
-            self.older = older = known
-            self.known = known = {}
-        wanted, fresh = [], {}
-        for part in parts.difference(known):
-            if part in older:
-                known[part] = older[part]
-                continue
-            word, mark = _plain(part)
-            wanted.append((part, word, mark))
-            for x in (word, mark):
-                if x and x not in known and x not in older:
-                    fresh[x] = None
-        if fresh:
-            found = self.tokenizer.encode_batch_fast([x.decode() for x in fresh], add_special_tokens=False)
-            fresh = {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(fresh, found, strict=True)}
-        ids = lambda x: fresh.get(x) or known.get(x) or older.get(x, b"")
-        made = [(part, ids(word) + ids(mark)) for part, word, mark in wanted]
-        known.update(fresh)
-        known.update(made)
-
-
-def _plain(part: bytes) -> tuple[bytes, bytes]:
-    """A part as a word and a mark behind it, where their ids are surely those of the part: ASCII letters, in lower case as the tokenizer
-    takes them, and one mark after a letter. Any other part is its own word."""
-    if part.isalpha():
-        return part.lower(), b""
-    mark = _MARKS.get(part[-1])
-    if mark is None:
-        return part, b""
-    word = part[:-1]
-    if word.isalpha():
-        return word.lower(), mark
-    return (word, mark) if word and word.decode()[-1].isalpha() else (part, b"")
+        names = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(names.values()) + 1, bool)  # ids that end a word
+        self.closes[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {"": 0}
+        self.starts, self.ids = np.zeros(2, np.int64), np.empty(0, np.uint32)
+
+    def _append(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self.starts) - 1
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes, dtype=np.int64)])
+        self.ids = np.concatenate([self.ids, ids.astype(np.uint32, copy=False)])
+        self.known.update(zip(words, range(first, first + len(words)), strict=True))
+
+    def _encode_words(self, words: list[str]) -> None:
+        """Words of letters: many are encoded as one text, in which each ends with an id that closes it."""
+        sure, ids, sizes, rest = [], [], [], []
+        groups = [words[i : i + _JOINED] for i in range(0, len(words), _JOINED)]
+        for group in groups:
+            of_group = np.array(self.tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.closes[of_group]) + 1
+            if len(ends) == len(group) and ends[-1] == len(of_group):
+                sure += group
+                ids.append(of_group)
+                sizes.append(np.diff(ends, prepend=0))
+            else:
+                rest += group
+        if sure:
+            self._append(sure, np.concatenate(ids), np.concatenate(sizes))
+        if rest:
+            self._encode_parts(rest)
+
+    def _encode_parts(self, parts: list[str]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        self._append(parts, np.array(list(chain.from_iterable(found)), np.uint32), np.array([len(x) for x in found], np.int64))
+
+    def _slots(self, keys: list[str], plain: np.ndarray) -> np.ndarray:
+        slots = list(map(self.known.get, keys))
+        if None in slots:
+            new = [i for i, slot in enumerate(slots) if slot is None]
+            if len(self.known) > CACHE:  # begin anew
+                self._clear()
+                new = range(len(keys))
+            words, parts = [keys[i] for i in new if plain[i]], [keys[i] for i in new if not plain[i] and keys[i]]
+            if words:
+                self._encode_words(words)
+            if parts:
+                self._encode_parts(parts)
+            for i in new:
+                slots[i] = self.known[keys[i]]
+        return np.array(slots, np.int64)
+
+    def encode(self, bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's end."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(bodies, b"").cast(pa.string()))
+        places = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        parts = coded.dictionary
+        word = pc.utf8_rtrim(parts, characters=string.punctuation)
+        plain = pc.match_substring_regex(word, _LETTERS)
+        mark = pc.if_else(plain, pc.replace_substring_regex(parts, _BEFORE_MARKS, ""), "")
+        # a key is a word of letters in lower case, a run of marks, or any other part as it is
+        key = pc.if_else(plain, pc.utf8_lower(word), parts)
+        both = pa.concat_arrays([key, mark]).dictionary_encode()
+        n, codes = len(parts), both.indices.to_numpy()
+        of_key = np.zeros(len(both.dictionary), bool)
+        of_key[codes[:n][plain.to_numpy(zero_copy_only=False)]] = True
+        slots = self._slots(both.dictionary.to_pylist(), of_key)[codes]
+        ids, sizes = _take(self.starts, self.ids, np.column_stack([slots[:n], slots[n:]]).ravel())
+        starts = np.concatenate([[0], np.cumsum(sizes)])[::2]
+        ids, sizes = _take(starts, ids, coded.indices.to_numpy())
+        return ids, np.concatenate([[0], np.cumsum(sizes)])[places[1:]]
+
+
+def _take(starts: np.ndarray, ids: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the slots one after the other, and how many each has."""
+    store = pa.LargeListArray.from_arrays(pa.array(starts), pa.array(ids))
+    return store.take(pa.array(slots)).flatten().to_numpy(zero_copy_only=False), np.diff(starts)[slots]
 
 
 @cache
@@ -80,17 +129,15 @@ def _encoder(path: str) -> _Encoder:
     return _Encoder(path)
 
 
-def encode(path: str, bodies: list[bytes | None]) -> list[bytes]:
-    """Token ids of each text as little-endian unsigned 32-bit numbers.
+def encode(path: str, bodies: list[bytes | None] | pa.Array) -> list[np.ndarray]:
+    """Token ids of each text as unsigned 32-bit numbers.
 
-    The tokenizer drops white space and joins nothing across it, so a text's ids are those of its blank-separated
-    parts in turn; frequent parts are encoded once.
+    The tokenizer drops white space and joins nothing across it, so a text's ids are those of its blank-separated parts in turn.
+    The parts of a slice are dictionary-encoded, its distinct ones cut into a lower-case word and the marks behind it where their ids are
+    surely those of the part, the distinct words looked up or encoded once, and the ids of all parts taken at once.
     """
-    encoder = _encoder(path)
-    parts = [(body or b"").split() for body in bodies]
-    encoder.fetch(set(chain.from_iterable(parts)))
-    known = encoder.known
-    return [b"".join([known[p] for p in text]) for text in parts]
+    ids, ends = _encoder(path).encode(bodies if isinstance(bodies, pa.Array) else pa.array(bodies, pa.binary()))
+    return np.split(ids, ends[:-1]) if len(ends) else []
 
 
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -111,14 +158,16 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
         def pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal n
             at, rows, ids = [], [], []
-            for i, found in enumerate(encode(tokenizer, batch.column(1).to_pylist())):
-                found += end
-                for piece, start in enumerate(range(0, len(found), 4 * capacity)):
-                    part = found[start : start + 4 * capacity]
+            for i, found in enumerate(encode(tokenizer, batch.column(1))):
+                last = len(found) // capacity  # the closing id is in this piece
+                for piece in range(last + 1):
+                    start = piece * capacity
+                    part = found[start : start + capacity]
+                    check = zlib.crc32(part)
                     at.append(i)
-                    rows.append((piece, start // 4, len(part) // 4, zlib.crc32(part)))
+                    rows.append((piece, start, len(part) + (piece == last), zlib.crc32(end, check) if piece == last else check))
                     if with_ids:
-                        ids.append(np.frombuffer(part, "<u4").astype(np.int32))
+                        ids.append([*part.tolist(), end_id] if piece == last else part.tolist())
             columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
             columns += [pa.array(np.full(len(at), task, np.int32)), pa.array(np.arange(n, n + len(at)))]
             n += len(at)
@@ -127,7 +176,7 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
 
         return pieces
 
-    return map_slices(documents(docs), f"doc_id {kind}, {PIECES}" + ", ids array<int>" * with_ids, make, rows=1024, most_bytes=1 << 22)
+    return map_slices(documents(docs), f"doc_id {kind}, {PIECES}" + ", ids array<int>" * with_ids, make, rows=8192, most_bytes=1 << 23)
 
 
 def best_fit(needs: np.ndarray, capacities: np.ndarray, weights: np.ndarray, by: str = "norm") -> tuple[np.ndarray, np.ndarray]:
@@ -168,14 +217,14 @@ def best_fit(needs: np.ndarray, capacities: np.ndarray, weights: np.ndarray, by:
 
 
 def pack(
-    pieces: DataFrame, capacity: int = CAPACITY, max_documents: int | None = None, max_cost: int | None = None, weights: tuple[float, float, float] = (1.0, 0.0, 0.0),
+    pieces: DataFrame, capacity: int = CAPACITY, max_documents: int | None = None, max_cost: int | None = None, weights: tuple[float, float, float] = WEIGHTS,
     by: str = "norm", block: int = BLOCK_PIECES,
 ) -> DataFrame:
     """The pieces with sequence_id and offset.
 
     A sequence holds at most ``capacity`` tokens, ``max_documents`` pieces and ``max_cost`` attention cost (the sum of squared
-    lengths); without the latter two only tokens bind. ``weights`` are those of the three dimensions in the choice of
-    a bin. A piece that fills a sequence alone is placed at once; the others are dealt at random into blocks of about ``block`` pieces,
+    lengths); without the latter two they are ``capacity`` and its square, which tokens keep. ``weights`` are those of the three residuals in the choice of
+    a bin, each as a share of its capacity. A piece that fills a sequence alone is placed at once; the others are dealt at random into blocks of about ``block`` pieces,
     so no task gets more, and each block is packed for itself: at most one badly filled sequence per block more than
     packing them all together. A piece over any capacity by itself gets a sequence of its own.
     """
