@@ -131,3 +131,34 @@ def test_null_ids_repeats_and_empty_tables(spark):
     got = sorted(map(str, rows(jaccard.similar_groups(docs))))
     assert got == sorted(map(str, [(5, 28, 5), (5, 28, 5), (None, 29, 5), (9, 28, 5), (None, 0, None), (None, 1, None)]))
     assert rows(jaccard.similar_groups(documents(spark, []))) == []
+
+
+def test_measured_meetings_choose_the_segments(spark):
+    """Documents that share half of their shingles without linking: the layout chosen from the sample meets fewer pairs."""
+    r = random.Random(6)
+    common = [f"c{i}" for i in range(46)]
+    texts = [" ".join(common + [f"x{r.random()}" for _ in range(22)]) for _ in range(400)]
+    docs = jaccard.documents(documents(spark, texts))
+    layouts = jaccard.Layouts(90)
+    layouts.met = jaccard._chances(docs, 3, layouts)
+    layouts.histogram = {b: 10**6 for b in range(20)}
+    sets = jaccard.shingle_sets(pa.array([t.encode() for t in texts], pa.binary()), 3)
+    b = layouts.band(len(sets[0]))
+    pairs = {}
+    for ones in layouts.choices(b):
+        layout, holders = layouts.choose(b, ones), {}
+        for i, found in enumerate(sets):
+            for sig in layout.signatures(found, jaccard._values(found), b).tolist():
+                holders.setdefault(sig, []).append(i)
+        pairs[ones] = sum(len(h) * (len(h) - 1) // 2 for h in holders.values())
+        n = len(sets) * (len(sets) - 1) / 2
+        assert layouts.met[b, ones] == pytest.approx(pairs[ones] / n, rel=1e-9)
+    assert pairs[0] > 0 and layouts.allocation(b)[1] > 0 and pairs[layouts.allocation(b)[1]] < pairs[0]
+    few = jaccard.Layouts(90, {b: 2 for b in range(20)}, met=layouts.met)
+    assert few.band(len(sets[0])) == b and few.allocation(b)[1] == 0
+
+
+def test_busy_keys_are_answered_like_others(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MOST", 4)
+    texts = near_copies(5, (30, 60)) + ["the very same text of a few words"] * 40 + [None, ""] * 5
+    assert sorted(rows(jaccard.similar_groups(documents(spark, texts)))) == sorted(plain_groups(texts, 3, 90))

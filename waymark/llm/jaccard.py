@@ -26,7 +26,9 @@ from waymark.operators.components import components
 from waymark.session import cut, cut_and_measure
 
 RATIO = 1.5  # of the sizes at the ends of a band
-OVERLAP = 0.02  # share of the shingles that two unrelated documents have in common, for costs only: stock phrases of running text
+OVERLAP = 0.05  # share of the shingles that two unrelated documents have in common, for costs only, where no sample tells
+SAMPLE_SETS = 1_000  # sets whose chance meetings are counted to choose the segments of a band; it steers costs, not results
+MOST = 1_000  # a key of more than one in so many rows is joined by broadcast; there are at most so many of them
 HELD = 2_000_000  # signatures held in a task before equal ones are combined and passed on
 SEEDS = 6  # layouts to fall back on when segments of a document are empty
 SEEN = 500_000  # sets that a task remembers, to pass the signatures of copies once
@@ -57,21 +59,25 @@ def shingle_sets(bodies: pa.Array, words: int) -> list[np.ndarray]:
 class Layouts:
     """Segments and their allowances for each band of set sizes; a pair meets in the band of its larger set.
 
-    ``histogram`` holds about how many documents each band has, for the costs. Band b covers sizes low[b] to high[b].
+    ``histogram`` holds about how many documents each band has, and ``met`` the share of pairs of a band's unlinked sets that share a signature, by
+    (band, segments of allowance 1), for the costs. Band b covers sizes low[b] to high[b].
     """
 
-    def __init__(self, percent: int, histogram: dict[int, int] | None = None, overlap: float = OVERLAP):
-        self.percent, self.histogram, self.overlap = percent, histogram or {}, overlap
+    def __init__(self, percent: int, histogram: dict[int, int] | None = None, overlap: float = OVERLAP, met: dict[tuple[int, int], float] | None = None):
+        self.percent, self.histogram, self.overlap, self.met = percent, histogram or {}, overlap, met or {}
         self.low, self.high = [1], [1]
         self._allocated: dict[int, tuple[int, int, int] | None] = {}
         self._keys: dict[tuple[int, int], np.ndarray] = {}
 
     def band(self, size: int) -> int:
         while self.high[-1] < size:
-            self.low.append(self.high[-1] + 1)
-            self.high.append(max(self.low[-1], int(self.low[-1] * RATIO)))
+            self._next_band()
         return bisect_left(self.high, size)
 
+    def _next_band(self) -> None:
+        self.low.append(self.high[-1] + 1)
+        self.high.append(max(self.low[-1], int(self.low[-1] * RATIO)))
+
     def bands(self, size: int) -> Iterator[int]:
         """The own band, and those of the larger sets that can link with this one."""
         for b in range(self.band(size), self.band(size * 100 // self.percent) + 1):
@@ -85,16 +91,28 @@ class Layouts:
         in both sets agree without telling anything; ``slack`` more segments than needed let as many be so.
         """
         if b not in self._allocated:
-            differ = (100 - self.percent) * 2 * self.high[b] // (100 + self.percent)
-            self._allocated[b] = min((self._cost(b, differ, d) for d in {0, (differ + 1) // 4, (differ + 1) // 2}), key=lambda x: x[0])[1] if differ else None
+            choices = self.choices(b)
+            self._allocated[b] = min((self._cost(b, d) for d in choices), key=lambda x: x[0])[1] if choices else None
         return self._allocated[b]
 
-    def _cost(self, b: int, differ: int, ones: int) -> tuple[float, tuple[int, int, int]]:
-        segments = differ + 1 - ones
+    def differ(self, b: int) -> int:
+        """Most shingles by which two linked sets of the band differ."""
+        while len(self.high) <= b:
+            self._next_band()
+        return (100 - self.percent) * 2 * self.high[b] // (100 + self.percent)
+
+    def choices(self, b: int) -> list[int]:
+        """Numbers of segments with allowance 1 that are weighed against each other; none where only equal sets link."""
+        differ = self.differ(b)
+        return sorted({0, (differ + 1) // 4, (differ + 1) // 2}) if differ else []
+
+    def _cost(self, b: int, ones: int) -> tuple[float, tuple[int, int, int]]:
+        segments = self.differ(b) + 1 - ones
         n, size = self.histogram.get(b, 0), (self.low[b] + self.high[b]) / 2
         each, slack = size / segments, 0
         signatures = n * (segments - ones + ones * (each + 1))
         chance = (segments - ones) * self.overlap**each + ones * (each + 1) * self.overlap ** max(each - 1, 0)
+        chance = self.met.get((b, ones), chance)
         for _ in range(3):  # more segments are emptier; the smallest partners from the band below have the most idle ones
             fewest = self.low[b] * self.percent / 100 / (segments + slack)
             idle = math.exp(-fewest) * (segments + slack - ones + 2 * ones * (1 + fewest))
@@ -106,14 +124,21 @@ class Layouts:
             self._keys[b, seed] = spread_bits(np.arange(segments, dtype=np.uint64) + np.array([(b << 48) + (seed << 40) + 1], np.uint64) * _ODD)
         return self._keys[b, seed]
 
-    def signatures(self, found: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """All signatures of a set, in every band where it can meet a partner.
+    def choose(self, b: int, ones: int) -> "Layouts":
+        """These layouts with a given number of segments of allowance 1 in a band."""
+        other = Layouts(self.percent)
+        other.differ(b)
+        other._allocated[b] = self._cost(b, ones)[1]
+        return other
+
+    def signatures(self, found: np.ndarray, values: np.ndarray, only: int | None = None) -> np.ndarray:
+        """All signatures of a set, in every band where it can meet a partner, or in ``only`` one.
 
         An empty subset has no signature. A set with more idle segments than the slack allows is also laid out by another seed; so is
         every partner that shares those segments. After the last seed empty subsets have signatures too.
         """
         out = [values[:0]]
-        for b in self.bands(len(found)):
+        for b in self.bands(len(found)) if only is None else [only]:
             allocated = self.allocation(b)
             if allocated is None:
                 continue
@@ -179,6 +204,37 @@ def _histogram(docs: DataFrame, layouts: Layouts) -> dict[int, int]:
     return found
 
 
+def _chances(docs: DataFrame, words: int, layouts: Layouts) -> dict[tuple[int, int], float]:
+    """(band, segments of allowance 1) -> share of the pairs of unlinked sets of that band that share a signature so laid out,
+    counted on a sample of about ``SAMPLE_SETS`` documents. Pairs whose sketches allow a link do not count: they meet in any layout."""
+    total = sum(layouts.histogram.values())
+    picked = docs.where(F.pmod(F.xxhash64("doc_id", "body"), F.lit(max(1, total // SAMPLE_SETS))) == 0)
+
+    def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        others: dict[tuple[int, int], Layouts] = {}
+        for batch in batches:
+            for part in slices(batch, 64, 1 << 20):
+                out = {"band": [], "ones": [], "n": [], "node": [], "sketch": [], "sigs": []}
+                for found in shingle_sets(part.column(1), words):
+                    b = layouts.band(len(found)) if len(found) else 0
+                    values = _values(found)
+                    for ones in layouts.choices(b) if len(found) else ():
+                        other = others.setdefault((b, ones), layouts.choose(b, ones))
+                        row = (b, ones, len(found), _node(found, values), _sketch(values), other.signatures(found, values, b).view(np.int64))
+                        for c, value in zip(out.values(), row, strict=True):
+                            c.append(value)
+                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
+
+    rows = cut(picked.mapInArrow(lay_out, "band int, ones int, n long, node long, sketch array<long>, sigs array<long>").dropDuplicates(["band", "ones", "node"]))
+    sets = {r["band"]: r["sets"] for r in rows.where("ones = 0").groupBy("band").agg(F.count("*").alias("sets")).collect()}  # a row per band
+    opened = rows.select("band", "ones", "n", "node", *[F.col("sketch")[i].alias(f"s{i}") for i in range(8)], F.explode("sigs").alias("sig"))
+    side = lambda s: opened.select("band", "ones", "sig", F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", *(f"s{i}" for i in range(8)))])
+    apart = side("a").join(side("b"), ["band", "ones", "sig"]).where((F.col("a") < F.col("b")) & ~_close(layouts.percent))
+    met = {(r["band"], r["ones"]): r["pairs"] for r in apart.groupBy("band", "ones").agg(F.count("*").alias("pairs")).collect()}  # rows per band
+    return {(b, ones): met.get((b, ones), 0) * 2 / (n * (n - 1)) for b, n in sets.items() if n > 1 for ones in layouts.choices(b) if (b, ones) in met or n >= 30}
+
+
 class _Repeated:
     """The signatures that more than one set has: sorted arrays, mapped into memory."""
 
@@ -212,6 +268,7 @@ def _candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, s
     given = documents(docs)
     layouts = Layouts(percent)
     layouts.histogram = _histogram(given, layouts)
+    layouts.met = _chances(given, words, layouts)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = min(max((4 * parts - 1).bit_length(), 5), 14)
     folder = new_folder(spark)
@@ -360,9 +417,24 @@ def similar_groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFr
     more, seen = cut_and_measure(_verified(_meetings(named.join(apart, "sig"), places, percent), places, folder, percent), n=F.count(F.lit(1)))
     if seen["n"]:
         label = components(edges.unionByName(more))
-    labelled = table.join(label, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "node").alias("_label"))
-    least = labelled.where("_label is not null").groupBy("_label").agg(F.min("doc_id").alias("_least"))
-    return labelled.join(least, "_label", "left").select("doc_id", "n_shingles", F.when(F.col("_label").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"))
+    # the smallest id of each node, then of each group of nodes, then back to the nodes and the documents
+    nodes = table.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_rows"))
+    labelled = cut(nodes.join(label, "node", "left").withColumn("_label", F.coalesce("label", "node")).drop("label"))
+    groups = labelled.groupBy("_label").agg(F.min("_least").alias("_first"), F.count("*").alias("_asks"))
+    named = _told(labelled, groups, "_label", "_asks").select("node", F.col("_first").alias("component_id"), "_rows")
+    answered = _told(table.where("node is not null").select("doc_id", F.col("n").alias("n_shingles"), "node"), named, "node", "_rows").select("doc_id", "n_shingles", "component_id")
+    return answered.unionByName(table.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def _told(rows: DataFrame, facts: DataFrame, key: str, asks: str) -> DataFrame:
+    """Inner join of rows with one fact per key, whose column ``asks`` counts the key's rows. Keys of many rows, ``MOST`` at most, are
+    broadcast, so their rows stay where they are."""
+    facts, seen = cut_and_measure(facts, total=F.sum(asks))
+    busy = F.col(asks) * MOST > (seen["total"] or 0)
+    frequent = facts.where(busy).select(F.col(key).alias("_busy"))
+    joined = rows.join(F.broadcast(frequent), F.col(key) == F.col("_busy"), "left")
+    many = joined.where("_busy is not null").drop("_busy").join(F.broadcast(facts.where(busy)), key)
+    return many.unionByName(joined.where("_busy is null").drop("_busy").join(facts.where(~busy), key))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
