@@ -67,3 +67,13 @@ def test_empty_and_unlabelled(spark):
     model = language.fit(frame(spark, [(1, "kala", None, None, None, "k", 1, "b", 1, 1, "f"), (2, None, "xx", None, None, "k", 1, "b", 1, 1, "f")]))
     assert rows(language.predict(documents(spark, ["kala"]), model), "lang_pred", "score") == [("und", 0.0)]
     assert rows(language.predict(documents(spark, []), model)) == []
+
+
+def test_a_column_named_body_may_hold_numbers(spark):
+    from waymark.llm import decontaminate
+
+    docs = spark.createDataFrame([(i, "the same words as every day", "en", 0.5) for i in range(12)], "doc_id long, text string, lang string, body double")
+    kept = language.keep_known(docs, language.fit(language.training_rows(docs)))
+    assert kept.columns == docs.columns and kept.count() == 12
+    items = spark.createDataFrame([(1, "an item of a test")], "item_id long, text string")
+    assert decontaminate.remove_benchmark(docs, items).count() == 12

@@ -32,11 +32,11 @@ def test_equals_brute_force(spark):
     r = random.Random(5)
     pool = ["a common line that is long enough", "A Common line that is long enough ", "another line of twenty", "é" * 20, "short", "", "nineteen characters", "\ttabbed line of some length\x0b"]
     texts = ["\n".join(r.choice(pool) for _ in range(r.randint(0, 40))) for _ in range(40)] + awkward()
-    for salts in (64, 1):
-        lines.SALTS = salts
+    for partitions in ("4", "1"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
         got = answer(lines.dedup_lines(documents(spark, texts)))
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
         assert got == brute(list(enumerate(texts)), 20, 3)
-    lines.SALTS = 64
 
 
 def test_bitmap_tells_the_lines_that_stay(spark):
@@ -60,3 +60,14 @@ def test_empty_table_and_columns(spark):
     assert rows(lines.dedup_lines(documents(spark, []))) == []
     out = lines.dedup_lines(documents(spark, ["a"]))
     assert out.columns == [*documents(spark, []).columns, "n_lines", "n_dropped", "keep_bitmap"]
+
+
+def test_names_that_clash_and_ids_as_text(spark):
+    line = "the same line in all of these rows"
+    names = "doc_id string, text string, _hash long, _owner string, _n int, _bitmap binary, _o long, _h long, row int, owner string, bitmap string, dropped int, hash int, body double"
+    docs = spark.createDataFrame([(i, f"{line}\n{i}", 1, "o", 2, b"b", 3, 4, 5, "w", "m", 6, 7, 0.5) for i in ("a", "c", "b")] + [(None, line, 1, None, 2, b"", 3, 4, 5, "", "", 6, 7, None)], names)
+    out = lines.dedup_lines(docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_dropped", "keep_bitmap"]
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in out.collect()}
+    assert got == {"a": ("a", 1), "b": ("b", 1), "c": (f"{line}\nc", 0), None: ("", 1)}
+    assert all(r["_hash"] == 1 and r["_h"] == 4 and r["row"] == 5 and r["bitmap"] in ("m", "") for r in out.collect())

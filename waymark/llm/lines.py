@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm.text import ascii_lower
 
-MIN_CHARS, MIN_DOCS, SALTS = 20, 3, 64
-_NO_ID = -(2**63)  # stands for a null doc_id, smaller than every other
+MIN_CHARS, MIN_DOCS = 20, 3
 
 
 def _lines(column: Column | str) -> Column:
@@ -28,24 +27,26 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` at both ends with A-Z lower-cased. The hashes of keys
     (128 bits) of at least ``min_chars`` code points are range-partitioned by (hash, salt of the document) and sorted by
     document, largest first, and position: the first document of each sorted run is its first occurrence. The runs
-    of one key, ``SALTS`` at most, are then combined, so that a line of all documents is spread over many tasks and no text is shuffled.
+    of one key, as many as a shuffle has partitions at most, are then combined, so that a line of all documents is spread over
+    all tasks and no text is shuffled.
 
-    Equal (doc_id, text) rows are one document; a null id counts as one id smaller than every other.
+    Equal (doc_id, text) rows are one document; ids are of any type that has an order, a null id counts as one id smaller than every other.
     """
+    salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     line = F.posexplode(F.transform(_lines("text"), _key)).alias("pos", "key")
-    owner = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("owner")
-    found = docs.select(owner, F.xxhash64("text").alias("text_hash"), line).where(F.char_length("key") >= min_chars)
+    found = docs.select(F.col("doc_id").alias("owner"), F.xxhash64("text").alias("text_hash"), line).where(F.char_length("key") >= min_chars)
     found = found.withColumn("key", ascii_lower("key"))
     hashed = found.select("owner", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
-    salted = hashed.withColumn("salt", F.pmod(F.xxhash64("owner"), F.lit(SALTS)))
+    salted = hashed.withColumn("salt", F.pmod(F.xxhash64("owner"), F.lit(salts)))
     ranged = salted.repartitionByRange("h1", "h2", "salt")
     run = Window.partitionBy("h1", "h2", "salt").orderBy(F.desc("owner"), "pos")
-    seen = ranged.withColumn("new", (F.coalesce(F.lag("owner").over(run) != F.col("owner"), F.lit(True))).cast("int"))
+    other = (F.row_number().over(run) == 1) | ~F.lag("owner").over(run).eqNullSafe(F.col("owner"))
+    seen = ranged.withColumn("new", other.cast("int"))
     runs = seen.groupBy("h1", "h2", "salt").agg(F.sum("new").alias("n"), F.max("owner").alias("first"))
     key = Window.partitionBy("h1", "h2")
     whole = runs.withColumn("docs", F.sum("n").over(key)).withColumn("keeper", F.max("first").over(key))
     repeated = whole.where(F.col("docs") >= min_docs).select("h1", "h2", "salt", "keeper")
-    gone = ranged.join(repeated, ["h1", "h2", "salt"]).where("owner <> keeper")
+    gone = ranged.join(repeated, ["h1", "h2", "salt"]).where(~F.col("owner").eqNullSafe(F.col("keeper")))
     bytes_ = gone.groupBy("owner", "text_hash", F.expr("pos div 8").alias("byte")).agg(F.bit_or(F.expr("shiftright(128, cast(pos % 8 as int))")).alias("bits"))
     per_doc = bytes_.groupBy("owner", "text_hash").agg(F.sort_array(F.collect_list(F.struct("byte", "bits"))).alias("bytes"))
     n_dropped = F.aggregate("bytes", F.lit(0).cast("long"), lambda n, x: n + F.bit_count(x["bits"]))
@@ -75,12 +76,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     largest doc_id holding it. A null or empty text is one empty line; a null text stays null. Rows and other
     columns stay; an input column named like an added one is replaced.
     """
-    drops = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("_owner"), F.col("text_hash").alias("_hash"), F.col("n_dropped").alias("_n"), F.col("bitmap").alias("_bitmap"))
+    drops = keep_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs).select(F.col("doc_id").alias("owner"), F.col("text_hash").alias("hash"), F.col("n_dropped").alias("dropped"), "bitmap")
     given = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped", "keep_bitmap")])
-    asked = given.withColumns({"_o": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "_h": F.xxhash64("text")})
-    joined = asked.join(drops, (F.col("_o") == F.col("_owner")) & (F.col("_h") == F.col("_hash")), "left")
-    kept = F.filter(_lines("text"), lambda line, i: _stays("_bitmap", i))
-    text = F.when(F.col("_bitmap").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.octet_length(F.coalesce("text", F.lit(""))) - F.octet_length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))) + 1
-    counted = joined.withColumns({"n_lines": n_lines.cast("long"), "n_dropped": F.coalesce("_n", F.lit(0).cast("long")), "keep_bitmap": F.col("_bitmap")})
-    return counted.withColumn("text", text).drop("_o", "_h", "_owner", "_hash", "_n", "_bitmap")
+    # the row as one column, so that no name of it can clash
+    asked = given.select(F.struct(*[F.col(f"`{c}`") for c in given.columns]).alias("row"), F.col("doc_id").alias("asker"), F.xxhash64("text").alias("own"))
+    joined = asked.join(drops, F.col("asker").eqNullSafe(F.col("owner")) & (F.col("own") == F.col("hash")), "left")
+    text = F.col("row.text")
+    kept = F.array_join(F.filter(_lines(text), lambda line, i: _stays("bitmap", i)), "\n")
+    whole = F.coalesce(text, F.lit(""))
+    n_lines = F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1
+    columns = [F.when(F.col("bitmap").isNull(), text).otherwise(kept).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in given.columns]
+    return joined.select(*columns, n_lines.cast("long").alias("n_lines"), F.coalesce("dropped", F.lit(0).cast("long")).alias("n_dropped"), F.col("bitmap").alias("keep_bitmap"))

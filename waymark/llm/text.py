@@ -47,9 +47,11 @@ def documents(df: DataFrame) -> DataFrame:
 
 
 def slices(batch: pa.RecordBatch, rows: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of at most ``rows`` rows and about ``most_bytes`` bytes of text; a longer text is a part of its own."""
-    name = next((c for c in ("body", "text") if c in batch.schema.names), None)
-    size = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False) if name else np.zeros(batch.num_rows)
+    """Parts of a batch of at most ``rows`` rows and about ``most_bytes`` bytes of text; a longer row is a part of its own."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
     start = 0
     while start < batch.num_rows:
