@@ -61,6 +61,46 @@ def test_box_pairs(spark, strict):
     assert got == sorted(want)
 
 
+def test_box_sums_of_a_crowded_place(spark, monkeypatch):
+    r = random.Random(9)
+    town = lambda n: [(3 + r.random() * 0.004, 101.4 + r.random() * 0.004) for _ in range(n)]
+    targets = [(1 + i % 3, *at) for i, at in enumerate(town(3000) + [(3.002, 101.402)] * 1 + [(3.0015, 101.4015 + k * 1e-10) for k in range(40)] + [(50.0, 10.0)])]
+    points = [(i, *at) for i, at in enumerate(town(60) + [(3.0, 101.4), (3.0035, 101.402), (50.0005, 10.0), (-10.0, 0.0)])]
+    rows, measure = [], grid.cut_and_measure
+
+    def watched(df, **measures):
+        out, seen = measure(df, **measures)
+        rows.append(out.agg(F.sum(F.when(F.col("_kind") == "read", F.col("_n")).otherwise(1))).first()[0] or 0)
+        return out, seen
+
+    monkeypatch.setattr(grid, "cut_and_measure", watched)
+    got = {(a, b): w for a, b, w in tuples(grid.box_sums(frame(spark, points), spark.createDataFrame(targets, "w bigint, lat double, lon double"), 0.0015, "w"))}
+    want = {(a, b): sum(w for w, c, d in targets if a - 0.0015 <= c <= a + 0.0015 and b - 0.0015 <= d <= b + 0.0015) for _, a, b in points}
+    assert got == want
+    pairs = sum(a - 0.0015 <= c <= a + 0.0015 and b - 0.0015 <= d <= b + 0.0015 for _, a, b in points for _, c, d in targets)
+    assert sum(rows) < pairs
+
+
+def test_nearest_k_and_counts_in_a_crowded_place(spark):
+    r = random.Random(2)
+    spots = [(3 + r.random() * 0.002, 101.4 + r.random() * 0.002) for _ in range(300)] + [(3.0025, 101.4), (3.5, 101.4), (3.5001, 101.4)] + [(3.001, 101.401)] * 4
+    loc = [(i, *at) for i, at in enumerate(spots)]
+    df = spark.createDataFrame(loc, "location_id bigint, lat double, lon double")
+    links = spark.createDataFrame([(i, i % 5) for i, *_ in loc if i % 4], "location_id bigint, cluster_id bigint")
+    near = lookups.nearby(df, links, 0.003).collect()
+    ranked = {}
+    for x in sorted(near, key=lambda x: (x["location_id"], x["distance_sq"], x["neighbour_id"])):
+        ranked.setdefault(x["location_id"], []).append(x["neighbour_id"])
+    got = {}
+    for a, rank, b in tuples(lookups.nearest_k(df, links, 2, 0.003), "location_id", "rank", "neighbour_id"):
+        got.setdefault(a, []).append(b)
+    assert got == {a: b[:2] for a, b in ranked.items()}
+    total = {}
+    for x in near:
+        total[x["location_id"]] = total.get(x["location_id"], 0) + x["neighbour_count"]
+    assert dict(tuples(lookups.neighbour_counts(df, links, 0.003))) == {a: n for a, n in total.items() if n}
+
+
 def test_copies_share_their_neighbours(spark):
     loc = [(i, 3.0, 101.4) for i in range(500)] + [(600, 3.0005, 101.4), (700, 3.1, 101.4)]
     df = spark.createDataFrame(loc, "location_id bigint, lat double, lon double")

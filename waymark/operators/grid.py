@@ -7,6 +7,7 @@ the number of their grid cell, the cells are joined by hash or sort, and the exa
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,6 +50,52 @@ def box_pairs(points: DataFrame, targets: DataFrame, half_width: float, strict:
     return left.join(right, ["_x", "_y"]).where(exact).drop("_x", "_y")
 
 
+FINE = 20  # levels below the cell of a box count
+
+
+def box_sums(points: DataFrame, targets: DataFrame, half_width: float, *sums: str) -> DataFrame:
+    """(lat, lon, sums...) per distinct coordinate of ``points``: the columns of the targets in the inclusive box around it added up, 0 if there is none.
+
+    Cells carry the sums and the bounds of their targets. A box takes a cell whole that lies inside, leaves out one that lies
+    outside, reads one at its edge that has few targets, and opens a crowded one into its cells ``DESCENT`` levels below. So a box costs about as many rows as
+    cells lie along its edge, however many targets it holds.
+    """
+    base = 2 * half_width / 2**FINE
+    home = lambda c: F.floor(c / base)
+    t = cut(targets.select(F.col("lat").alias("_tlat"), F.col("lon").alias("_tlon"), *sums).withColumns({"_hx": home(F.col("_tlat")), "_hy": home(F.col("_tlon"))}))
+    p = cut(points.where("lat is not null and lon is not null").select("lat", "lon").distinct())
+    cells = ["_cx", "_cy"]
+
+    def at(df: DataFrame, level: int) -> DataFrame:
+        return df.withColumns({c: F.call_function("shiftright", F.col(h), F.lit(level)) for c, h in zip(cells, ("_hx", "_hy"))})
+
+    def boxes(level: int) -> DataFrame:
+        spans = [f("_t" + c).alias(f"_{n}_{c}") for c in ("lat", "lon") for n, f in (("low", F.min), ("high", F.max))]
+        return at(t, level).groupBy(*cells).agg(F.count("*").alias("_n"), *[F.sum(c).alias(c) for c in sums], *spans)
+
+    ends = {c: (F.col(c) - half_width, F.col(c) + half_width) for c in ("lat", "lon")}
+    apart = reduce(lambda a, b: a | b, [(F.col(f"_high_{c}") < lo) | (F.col(f"_low_{c}") > hi) for c, (lo, hi) in ends.items()])
+    inside = reduce(lambda a, b: a & b, [(F.col(f"_low_{c}") >= lo) & (F.col(f"_high_{c}") <= hi) for c, (lo, hi) in ends.items()])
+    reach = lambda c: F.explode(F.sequence(*[F.call_function("shiftright", home(e), F.lit(FINE)) for e in ends[c]]))
+    level, found = FINE, []
+    met = p.withColumn("_cx", reach("lat")).withColumn("_cy", reach("lon")).join(boxes(level), cells)
+    while True:
+        kind = F.when(inside, "whole").when((F.col("_n") <= CROWDED) | F.lit(level == 0), "read").otherwise("open")
+        rows, seen = cut_and_measure(met.where(~apart).withColumn("_kind", kind).select("lat", "lon", *cells, "_n", *sums, "_kind"), open=F.count_if(F.col("_kind") == "open"))
+        found.append(rows.where("_kind = 'whole'").select("lat", "lon", *sums))
+        near = geo.in_box("_tlat", "_tlon", "lat", "lon", half_width)
+        found.append(rows.where("_kind = 'read'").select("lat", "lon", *cells).join(at(t, level), cells).where(near).select("lat", "lon", *sums))
+        if not seen["open"]:
+            break
+        below = max(level - DESCENT, 0)
+        up = {b: F.call_function("shiftright", F.col(c), F.lit(level - below)) for b, c in zip(("_bx", "_by"), cells)}
+        opened = rows.where("_kind = 'open'").select("lat", "lon", F.col("_cx").alias("_bx"), F.col("_cy").alias("_by"))
+        met = opened.join(boxes(below).withColumns(up), ["_bx", "_by"])
+        level = below
+    total = reduce(DataFrame.unionByName, found).groupBy("lat", "lon").agg(*[F.sum(c).alias(c) for c in sums])
+    return p.join(total, ["lat", "lon"], "left").select("lat", "lon", *[F.coalesce(c, F.lit(0)).alias(c) for c in sums])
+
+
 def first_within(points: DataFrame, targets: DataFrame, target_key: str, tol: float = geo.COORDINATE_TOLERANCE) -> DataFrame:
     """Distinct coordinates of ``points`` with the lowest target key inside the tolerance (no row if none)."""
     places = points.select("lat", "lon").distinct()

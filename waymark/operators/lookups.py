@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
 from waymark.functions.streets import cluster_name, has_suffix, normalize_street, street_stem
 from waymark.operators import grid
+from waymark.session import cut, cut_and_measure
+
+FINEST_BOX = 1e-6  # degrees: boxes of a search for the nearest sites are not halved below it
 
 ADDRESS = ["street", "neighborhood", "development", "city", "postcode", "country"]
 
@@ -22,10 +28,10 @@ def find_by_coordinates(points: DataFrame, loc: DataFrame, tol: float = geo.COOR
 
 
 def count_in_box(centers: DataFrame, key: str, loc: DataFrame, half_width: float) -> DataFrame:
-    """Locations inside the box around every center. Copies at one coordinate are counted before the join."""
-    places = loc.groupBy("lat", "lon").agg(F.count("*").alias("n"))
-    hits = grid.box_pairs(centers.select(key, "lat", "lon"), places, half_width).groupBy(key).agg(F.sum("t_n").alias("n"))
-    return centers.select(key).join(hits, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n_inside"))
+    """Locations inside the box around every center, from counts of cells: no pair is built for a location well inside."""
+    places = loc.groupBy("lat", "lon").agg(F.count("*").alias("n_inside"))
+    counts = grid.box_sums(centers, places, half_width, "n_inside")
+    return centers.select(key, "lat", "lon").join(counts, ["lat", "lon"], "left").select(key, F.coalesce("n_inside", F.lit(0)).alias("n_inside"))
 
 
 def search(loc: DataFrame, terms: list[str]) -> DataFrame:
@@ -184,7 +190,10 @@ def nearby(loc: DataFrame, lc: DataFrame, radius: float = 0.002) -> DataFrame:
     ``neighbour_count`` says how many clustered locations stand there (for the site itself: besides one of its own).
     """
     s = clustered_sites(loc, lc)
-    pairs = grid.box_pairs(s.select("location_id", "lat", "lon", "copies"), s.where("n_clustered > 0"), radius)
+    return _neighbours(grid.box_pairs(s.select("location_id", "lat", "lon", "copies"), s.where("n_clustered > 0"), radius))
+
+
+def _neighbours(pairs: DataFrame) -> DataFrame:
     same = F.col("location_id") == F.col("t_location_id")
     return pairs.where(~same | (F.col("copies") > 1)).select(
         "location_id",
@@ -195,10 +204,39 @@ def nearby(loc: DataFrame, lc: DataFrame, radius: float = 0.002) -> DataFrame:
     )
 
 
+def neighbour_counts(loc: DataFrame, lc: DataFrame, radius: float = 0.002) -> DataFrame:
+    """(location_id, n_neighbours): per site the clustered locations in the box around it, besides one of its own; sites with none are left out."""
+    s = cut(clustered_sites(loc, lc))
+    counts = grid.box_sums(s, s.where("n_clustered > 0").select("lat", "lon", "n_clustered"), radius, "n_clustered")
+    own = F.when(F.col("own") > 0, 1).otherwise(0)
+    joined = s.select("location_id", "lat", "lon", F.col("n_clustered").alias("own")).join(counts, ["lat", "lon"])
+    return joined.select("location_id", (F.col("n_clustered") - own).alias("n_neighbours")).where("n_neighbours > 0")
+
+
 def nearest_k(loc: DataFrame, lc: DataFrame, k: int, radius: float = 0.002) -> DataFrame:
-    """The k nearest neighbour sites of every site inside the box, nearest first."""
+    """The k nearest neighbour sites of every site inside the box, nearest first.
+
+    A box is halved while more than ``16 * k`` sites lie in it and k besides the site itself still do. The k nearest are then no
+    farther than its corner, so only the sites in the box as wide as that are ranked, not all of a crowded box.
+    """
+    s = cut(clustered_sites(loc, lc))
+    t = s.where("n_clustered > 0")
+    open_, half, parts = s, radius, []
+    while True:
+        counts = grid.box_sums(open_, t.select("lat", "lon", F.lit(1).cast("bigint").alias("n_sites")), half, "n_sites")
+        asked, seen = cut_and_measure(open_.join(counts, ["lat", "lon"]), many=F.count_if(F.col("n_sites") > 16 * k))
+        wide = min(2 * half * math.sqrt(2) * (1 + 1e-9), radius)  # the box before still held k others
+        done = asked.where(F.col("n_sites") <= 16 * k) if half > FINEST_BOX else asked
+        enough = done.where(F.col("n_sites") > k)
+        few = done.where(F.col("n_sites") <= k)
+        for rows, reach in ((enough, min(half * math.sqrt(2) * (1 + 1e-9), radius)), (few, wide if half < radius else radius)):
+            parts.append(grid.box_pairs(rows.select("location_id", "lat", "lon", "copies"), t, reach).where(geo.in_box("t_lat", "t_lon", "lat", "lon", radius)))
+        if not seen["many"] or half <= FINEST_BOX:
+            break
+        open_, half = asked.where(F.col("n_sites") > 16 * k).drop("n_sites"), half / 2
+    pairs = reduce(DataFrame.unionByName, parts)
     order = Window.partitionBy("location_id").orderBy("distance_sq", "neighbour_id")
-    return nearby(loc, lc, radius).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return _neighbours(pairs).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def cluster_centers(loc: DataFrame, lc: DataFrame, cl: DataFrame) -> DataFrame:

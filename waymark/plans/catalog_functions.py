@@ -352,7 +352,7 @@ def _(t):
     "locations location_clusters",
 )
 def _(t):
-    return lookups.nearby(t.locations, t.location_clusters).groupBy("location_id").agg(F.sum("neighbour_count").alias("n_neighbours"))
+    return lookups.neighbour_counts(t.locations, t.location_clusters)
 
 
 @register(
