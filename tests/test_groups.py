@@ -1,8 +1,11 @@
+import math
 import random
 
 import pytest
 from helpers import km, scatter, tuples
+from pyspark.sql import functions as F
 
+from waymark.operators import density
 from waymark.operators.components import components
 from waymark.operators.density import density_groups
 
@@ -68,3 +71,27 @@ def test_same_key_in_two_groups(spark):
     df = spark.createDataFrame(rows, "g bigint, id bigint, lat double, lon double")
     got = tuples(density_groups(df, "id", 50, 1, by=["g"], planar=True), "g", "id", "group_id")
     assert got == [(0, 1, 1), (0, 2, 1), (1, 1, 1), (1, 3, 3)]
+
+
+@pytest.mark.parametrize("gap", [0.99, 1.01])
+def test_two_crowded_cells_about_eps_apart(spark, monkeypatch, gap):
+    """Points of two discs whose nearest ends are just closer or just farther than eps."""
+    r = random.Random(3)
+    metre = 1 / 111_195
+    left, right = [(3.0, 101.4 - 9e-6)], [(3.0, 101.4 - 9e-6 + gap * 100 * metre / math.cos(math.radians(3.0)))]
+    while len(left) < 1500:
+        y, x = r.uniform(-8, 8), r.uniform(0, 16)
+        left.append((3.0 + y * metre, 101.4 - 9e-6 - (x + abs(y)) * metre))
+        right.append((3.0 + y * metre, right[0][1] + (x + abs(y)) * metre))
+    rows, measure = [], density.cut_and_measure
+
+    def watched(df, **measures):
+        out, seen = measure(df, **measures)
+        rows.append(out.agg(F.sum(F.when(F.col("few"), F.col("n") * F.col("o_n")).otherwise(1))).first()[0] or 0)
+        return out, seen
+
+    monkeypatch.setattr(density, "cut_and_measure", watched)
+    df = spark.createDataFrame([(i, *at) for i, at in enumerate(left + right)], "id bigint, lat double, lon double")
+    found = tuples(density_groups(df, "id", 100, 1), "group_id")
+    assert len(set(found)) == (1 if gap < 1 else 2)
+    assert sum(rows) < 20 * len(left)

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
 from waymark.operators.components import components
-from waymark.session import cut
+from waymark.session import cut, cut_and_measure
 
 FINE = 4  # a cell edge is cut into this many parts for the search of linked cells
+FEW_PAIRS = 64  # of points of two parts, which are compared at once
 
 
 def _gap_sq(a: str, b: str, axes: list[str]) -> Column:
@@ -29,6 +32,39 @@ def _around(df: DataFrame, cells: list[str], to: list[str], reach: int) -> DataF
     return df
 
 
+def _linked_cells(pairs: DataFrame, placed: DataFrame, axes: list[str], edge: float, eps: float, close: Callable[[str, str], Column]) -> DataFrame:
+    """The pairs (cell_id, o_cell) of cells of which two points are close.
+
+    Cells are split into parts, each spoken for by one of its points: a close pair of these links the cells, and parts too far apart for any
+    pair are dropped. Where neither decides, parts of few points are compared exactly and the others are split in halves again, so two
+    crowded cells cost about as many rows as parts lie at the distance ``eps``, not the product of their points.
+    """
+    step, last = edge / FINE, edge / 2**30  # parts as small as the last step are as exact as their coordinates
+    split = lambda to: F.concat_ws(":", *[F.floor(F.col(a) / to) for a in axes])
+    speaker = [F.count("*").alias("n"), F.min_by(F.struct(*axes), "site").alias("p")]
+    as_other = [F.col("n").alias("o_n"), *[F.col(a).alias(f"o{a}") for a in axes]]
+    parts = placed.groupBy("cell_id", split(step).alias("fine")).agg(*speaker).select("cell_id", "fine", "n", "p.*")
+    other = parts.select(F.col("cell_id").alias("o_cell"), F.col("fine").alias("o_fine"), *as_other)
+    asked, links = pairs.join(parts, "cell_id").join(other, "o_cell"), []
+    while True:
+        near = _gap_sq("", "o", axes) <= (eps + 2 * step * math.sqrt(len(axes))) ** 2
+        met = cut(asked.where(near).select("cell_id", "fine", "n", "o_cell", "o_fine", "o_n", close("", "o").alias("linked")))
+        sure = met.where("linked").select("cell_id", "o_cell").distinct()
+        few = (F.col("n") * F.col("o_n") <= FEW_PAIRS) | F.lit(step <= last)
+        open_, seen = cut_and_measure(met.join(sure, ["cell_id", "o_cell"], "left_anti").withColumn("few", few), crowded=F.count_if(~few))
+        at = placed.withColumn("fine", split(step))
+        to = at.select(F.col("cell_id").alias("o_cell"), F.col("fine").alias("o_fine"), *[F.col(a).alias(f"o{a}") for a in axes])
+        checked = open_.where("few").join(at, ["cell_id", "fine"]).join(to, ["o_cell", "o_fine"]).where(close("", "o"))
+        links += [sure, checked.select("cell_id", "o_cell")]
+        if not seen["crowded"]:
+            return reduce(DataFrame.unionByName, links).distinct()
+        parts = placed.groupBy("cell_id", split(step).alias("fine"), split(step / 2).alias("finer")).agg(*speaker).select("cell_id", "fine", "finer", "n", "p.*")
+        other = parts.select(F.col("cell_id").alias("o_cell"), F.col("fine").alias("o_fine"), F.col("finer").alias("o_finer"), *as_other)
+        crowded = open_.where("not few").select("cell_id", "fine", "o_cell", "o_fine")
+        asked = crowded.join(parts, ["cell_id", "fine"]).join(other, ["o_cell", "o_fine"]).drop("fine", "o_fine").withColumnsRenamed({"finer": "fine", "o_finer": "o_fine"})
+        step /= 2
+
+
 def density_groups(
     points: DataFrame,
     key: str,
@@ -93,23 +129,7 @@ def density_groups(
         .where("cell_id < o_cell")
         .select("cell_id", "o_cell")
     )
-    # One real point per fine cell decides nearly all pairs; the rest compare the points of fine cells that may touch.
-    fine = F.concat_ws(":", *[F.floor(F.col(a) / (edge / FINE)) for a in axes])
-    placed = tagged.select("cell_id", "site", *axes, fine.alias("fine"))
-    delegate = placed.groupBy("cell_id", "fine").agg(F.min_by(F.struct(*axes), "site").alias("p")).select("cell_id", "fine", "p.*")
-    to_cell = delegate.select(F.col("cell_id").alias("o_cell"), F.col("fine").alias("o_fine"), *as_other)
-    slack = 2 * edge / FINE * math.sqrt(dims)
-    reachable = cut(
-        pairs.join(delegate, "cell_id").join(to_cell, "o_cell")
-        .where(_gap_sq("", "o", axes) <= (eps + slack) ** 2)
-        .select("cell_id", "fine", "o_cell", "o_fine", close("", "o").alias("linked"))
-    )
-    sure = reachable.where("linked").select("cell_id", "o_cell").distinct()
-    unsure = reachable.join(sure, ["cell_id", "o_cell"], "left_anti")
-    placed_to = placed.select(F.col("cell_id").alias("o_cell"), F.col("fine").alias("o_fine"), *as_other)
-    checked = unsure.join(placed, ["cell_id", "fine"]).join(placed_to, ["o_cell", "o_fine"]).where(close("", "o"))
-    links = sure.unionByName(checked.select("cell_id", "o_cell").distinct())
-
+    links = cut(_linked_cells(pairs, tagged.select("cell_id", "site", *axes), axes, edge, eps, close))
     label = components(links, "cell_id", "o_cell").withColumnRenamed("node", "cell_id")
     labelled = tagged.join(label, "cell_id", "left").select("site", "first", F.coalesce("label", "cell_id").alias("label"))
     names = labelled.groupBy("label").agg(F.min("first").alias("group_id"))
