@@ -124,11 +124,11 @@ def _(t):
 
 @register(
     "g7_components",
-    "select node_id as node, min(label) as label from spread group by 1",
+    "select node_id as node, label from spread",
     "road_edges",
-    """links as (select src as a, dst as b from road_edges union select dst, src from road_edges),
- spread(node_id, label, hop) as (select distinct a, a, 0 from links union all select node_id, min(label), hop from (
-  select node_id, label, hop + 1 as hop from spread where hop < 130 union all select l.b, s.label, hop + 1 from spread s join links l on l.a = s.node_id where hop < 130) group by node_id, hop)""",
+    """links as materialized (select src as a, dst as b from road_edges union select dst, src from road_edges),
+ spread(node_id, label) using key (node_id) as (select distinct a, a from links union
+  select l.b, min(s.label) from spread s join links l on l.a = s.node_id join recurring.spread r on r.node_id = l.b where s.label < r.label group by 1)""",
     recursive=True,
 )
 def _(t):
@@ -231,13 +231,14 @@ def _goal(t):
 
 @register(
     "g14_shortest_paths",
-    "select source_id, node_id, min(metres) as metres from walk group by 1, 2",
+    "select source_id, node_id, metres from walk",
     "locations road_nodes road_edges",
     f"""depots as (select cast(floor(location_id / 1500) as bigint) as source_id, arg_min(lat, location_id) as lat, arg_min(lon, location_id) as lon from locations group by 1),
  goals as (select source_id, arg_min(node_id, (km, node_id)) as node_id from (select source_id, node_id, {duck.hav('d.lat', 'd.lon', 'n.lat', 'n.lon')} as km from depots d cross join road_nodes n) group by 1),
- links as (select src, dst, length_m from road_edges union all select dst, src, length_m from road_edges),
- walk(source_id, node_id, metres, hop) as (select source_id, node_id, 0e0, 0 from goals union all select source_id, node_id, min(metres), hop from (
-  select source_id, node_id, metres, hop + 1 as hop from walk where hop < 130 union all select w.source_id, l.src, w.metres + l.length_m, hop + 1 from walk w join links l on l.dst = w.node_id where hop < 130) group by source_id, node_id, hop)""",
+ links as materialized (select src, dst, length_m from road_edges union all select dst, src, length_m from road_edges),
+ walk(source_id, node_id, metres) using key (source_id, node_id) as (select source_id, node_id, 0e0 from goals union
+  select w.source_id, l.src, min(w.metres + l.length_m) from walk w join links l on l.dst = w.node_id left join recurring.walk r on r.source_id = w.source_id and r.node_id = l.src
+  where r.metres is null or w.metres + l.length_m < r.metres group by 1, 2)""",
     recursive=True,
 )
 def _(t):
