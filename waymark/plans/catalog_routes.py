@@ -116,6 +116,14 @@ def _(t):
     return _r(tours.path_lengths(tours.two_opt(paths)), "km")
 
 
+def _steps(source: str) -> str:
+    """``WITH`` parts of the shortest way through all points (id, k, lat, lon) of an instance, by the ways through every subset."""
+    return f"""legs as materialized (select a.id, a.k as a, b.k as b, b.after, 1 << b.k as bit, {duck.hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} as km from {source} a join {source} b on b.id = a.id and b.k <> a.k),
+ ways(id, mask, k, km) as (select id, cast(1 << k as int), k, {duck.hav('s_lat', 's_lon', 'lat', 'lon')} from {source} where after is null union all
+ select w.id, cast(w.mask | bit as int), b, min(w.km + l.km) from ways w join legs l on l.id = w.id and l.a = w.k where w.mask & bit = 0 and (after is null or (w.mask >> after) & 1 = 1) group by 1, 2, 3),
+ shortest as (select w.id, any_value(n) as n, min(w.km + {duck.hav('p.lat', 'p.lon', 'e_lat', 'e_lon')}) as km from ways w join {source} p on p.id = w.id and p.k = w.k where w.mask = (1 << n) - 1 group by 1)"""
+
+
 @register("r5_exact_tours")
 def _(t):
     exact, errors = tours.exact_tours(*static(t))
@@ -324,7 +332,22 @@ def _(t):
     return _r(scenario.best_insertion(slots).select("route_id", "pair_id", "added_km"), "added_km")
 
 
-@register("r14_exact_reorder")
+@register(
+    "r14_exact_reorder",
+    """select id as instance_id, round(km, 6) as km, cast(null as varchar) as error from shortest
+ union all select id, null, count(*) || ' stops left; the exact order takes at most 8' from asked join route_stops r using (route_id) where r.seq > at_seq group by 1 having count(*) > 8
+ union all select pair_id || ':' || pair_id, null, 'Insertion point is out of bounds' from dynamic_pairs left join (select route_id as pair_id, max(seq) as n from route_stops group by 1) using (pair_id) where n is null or vehicle_key % 7 > n""",
+    _IV,
+    f"""homes as materialized (select o_orderkey as route_id, lat as h_lat, lon as h_lon from orders join locations on location_id = o_custkey),
+ asked as materialized (select pair_id || ':' || pair_id as id, pair_id as route_id, vehicle_key % 7 as at_seq, pickup_lat, pickup_lon, dropoff_lat, dropoff_lon, h_lat, h_lon,
+   (select count(*) from route_stops r where r.route_id = pair_id and r.seq > vehicle_key % 7) as n_left
+  from dynamic_pairs join homes on route_id = pair_id where vehicle_key % 7 <= (select max(seq) from route_stops r where r.route_id = pair_id)),
+ starts as (select a.*, coalesce(r.lat, h_lat) as s_lat, coalesce(r.lon, h_lon) as s_lon from asked a left join route_stops r on r.route_id = a.route_id and r.seq = at_seq where n_left <= 8),
+ points as materialized (select id, lat, lon, s_lat, s_lon, h_lat as e_lat, h_lon as e_lon, cast(after as int) as after, cast(k as int) as k, cast(n_left + 2 as int) as n from (
+  select s.*, r.lat, r.lon, null as after, r.seq - at_seq - 1 as k from starts s join route_stops r on r.route_id = s.route_id and r.seq > at_seq
+  union all select *, pickup_lat, pickup_lon, null, n_left from starts union all select *, dropoff_lat, dropoff_lon, n_left, n_left + 1 from starts)), {_steps('points')}""",
+    recursive=True,
+)
 def _(t):
     return _r(scenario.best_reorder(routes(t), route_depots(t), requests(t), 8).select("instance_id", "km", "error"), "km")
 
