@@ -91,3 +91,45 @@ def test_sql_functions_agree_with_columns(spark):
         geo.coord_key("c", "d"), geo.leg_key("c", "d", "c", "d"), streets.street_stem("s"),
     )
     assert [tuple(r) for r in spark.sql(sql).collect()] == [tuple(r) for r in columns.collect()]
+
+
+TEXTS = [
+    "Jalan Setia U13/29B", "jln. Taman Utama U1-12", "Lorong Bandar A Baru 5/7a", "Persiaran Besar", " U13 12 ", "taman", "Jalan Setia Indah U13/9 blk", "Block 7 Kota X/1", "", None, "a", "Jalan A b U5/6c d",
+    "SETIA ALAM", "Desa 12 jalan", "Jalan Ara Damansara PJU1A/2 C", "x  y  z", "U13/52P Q", "Kota Setia Block b2 u9/10", "Jalan 5/", "l'Été-d'or / 5",
+]
+
+
+def test_sql_functions_of_streets_agree_with_columns(spark):
+    from waymark.functions.sql import register_functions
+
+    register_functions(spark)
+    rows = [(i, a, TEXTS[(i * 7 + 3) % len(TEXTS)]) for i, a in enumerate(TEXTS)] + [(100 + i, a, a) for i, a in enumerate(TEXTS)]
+    df = spark.createDataFrame(rows, "i int, a string, b string")
+    df.createOrReplaceTempView("streets_for_functions")
+    one = ["normalize_street", "street_stem", "title_case", "section_identifier", "clean_street", "street_parts", "cluster_name", "display_stem", "name_to_development"]
+    two = ["development_name", "streets_match", "address_choice"]
+    asked = ", ".join([f"{n}(a) as {n}" for n in one] + [f"{n}(a, b) as {n}" for n in two])
+    got = spark.sql(f"select {asked} from streets_for_functions order by i").collect()
+    want = df.orderBy("i").select(*[getattr(streets, n)("a").alias(n) for n in one], *[getattr(streets, n)("a", "b").alias(n) for n in two]).collect()
+    for g, w, (_, a, b) in zip(got, want, rows, strict=True):
+        assert g.asDict(True) == w.asDict(True), (a, b)
+
+
+def test_sql_functions_of_roads_and_times_agree_with_columns(spark):
+    from waymark.functions import payload
+    from waymark.functions.sql import register_functions
+
+    register_functions(spark)
+    rows = [("primary", "private", None, 3, 4, "2024-01-02 03:04:05", "Jalan X", None), (None, None, "no", 1, 40, "2024-01-02 03:04:05.25", "", "40000"), ("moon", "yes", "yes", 9, 9, None, None, "")]
+    df = spark.createDataFrame(rows, "h string, x string, y string, n bigint, m bigint, t string, s string, p string").selectExpr("*", "cast(t as timestamp) as ts", "timestamp'2024-02-01' as now", "array(array(n * 1D, m * 1D)) as ps")
+    df.createOrReplaceTempView("roads_for_functions")
+    got = spark.sql(
+        "select road_level(h), is_main_road(h), is_residential(h), restricted_access(x, y, x), crossing_confidence(n, m), age_seconds(now, ts), iso_text(ts), blank_to_null(s), address_line(s, p, h), swap_axes(ps), "
+        "int_metres(n / 7), metres_to_degrees(m), in_box(n, m, 2, 5, 1.5), degree_distance_sq(n, m, 1, 2) from roads_for_functions"
+    ).collect()
+    lit = F.lit
+    want = df.select(
+        geo.road_level("h"), geo.is_main_road("h"), geo.is_residential("h"), geo.restricted_access("x", "y", "x"), geo.crossing_confidence("n", "m"), payload.age_seconds("now", "ts"), payload.iso_text("ts"), payload.blank_to_null("s"),
+        geo.address_line("s", "p", "h"), geo.swap_axes("ps"), geo.int_metres(F.col("n") / 7), F.col("m") / 111000, geo.in_box("n", "m", lit(2.0), lit(5.0), 1.5), geo.degree_distance_sq("n", "m", lit(1.0), lit(2.0)),
+    ).collect()
+    assert [tuple(g) for g in got] == [tuple(w) for w in want]
