@@ -43,6 +43,21 @@ def test_linking_equals_all_pairs():
         assert secrets.link(found, reach) == sorted(wanted)
 
 
+KEY, USER = "aB3dE5gH7jK9lM1nO3pQ5rS7tU9vW1xY", "user: alice"
+
+
+def test_parts_link_within_a_scope_only(spark):
+    together = [f"{USER}\n{KEY}", f"[db]\n{USER}\n{KEY}\n[other]\nx", f"a {{ {USER}\n {KEY} }}\n", f"é\n\n{USER} é {KEY}\n\nmore", f"x\n---\n{KEY}\n{USER}"]
+    apart = [f"{USER}\n\n{KEY}", f"{USER}\n \t\n{KEY}", f"[one]\n{USER}\n[two]\n{KEY}", f"a {{\n{USER}\n}}\nb {{\n{KEY}\n}}", f"{USER}\n# Next\n{KEY}", f"{USER}\n-----\n{KEY}"]
+    got = {r["doc_id"]: [(s["start"], s["end"], s["kind"]) for s in r["spans"]] for r in secrets.find_secrets(documents(spark, together + apart)).collect()}
+    for i, text in enumerate(together):
+        assert got[i] == sorted((text.index(part), text.index(part) + len(part), kind) for part, kind in ((USER, "user"), (KEY, "key")))
+    assert all(got[len(together) + i] == [] for i in range(len(apart)))
+    shared = "password=abcdefghijklmnop"  # a base part stays, and confirms only in its own scope
+    found = secrets.linked(f"{shared}\n\n{USER}\n\n{USER}\n{shared}".encode())
+    assert [k for *_, k in found] == ["assign", "user", "assign"] and found[1][0] > len(shared) + len(USER) + 2
+
+
 def licence_base(text):
     w, places, labels = PATTERN.findall((text or "").translate(LOWER)), [], set()
     for label, phrase in licenses.BASE.items():

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from waymark.llm.text import documents, map_slices
 
-REACH = 200  # code points between linked parts
+REACH = 200  # code points between linked parts of a scope
 KINDS = ("assign", "access", "hex", "key", "user", "endpoint")  # in the order of spans that start together
 BASE = KINDS[:3]
 ROLE = {"assign": "secret", "hex": "secret", "key": "secret", "access": "identifier", "user": "identifier", "endpoint": "endpoint"}
@@ -26,6 +26,11 @@ _KEY = re.compile(rb"[A-Za-z0-9+/]{32,}={0,2}")
 _USER = re.compile(rb"""(?i:user_?name|user|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.-]{3,})""")
 _ENDPOINT = re.compile(rb"""(?i:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\x00-\x20"'<>]+""")
 
+#: Where a scope ends: a blank line, a header such as ``[name]``, a heading, a rule, a brace that closes a block or one that opens it on its line.
+_BORDER = re.compile(
+    rb"""\n[\x20\t\r]*(?=\n)|^[\x20\t]*\[[^\]\n]+\][\x20\t\r]*$|^\x23{1,6}\x20|^[-=*]{3,}[\x20\t\r]*$|\}[\x20\t]*[,;]?[\x20\t\r]*$|\{[\x20\t\r]*$""", re.MULTILINE
+)
+
 _HEX_RUN = bytes(0x78 if chr(b) in "0123456789abcdef" else 0x20 for b in range(256))
 _KEY_RUN = bytes(0x78 if chr(b).isascii() and (chr(b).isalnum() or chr(b) in "+/") else 0x20 for b in range(256))
 _ASSIGN_HINTS, _USER_HINTS = (b"passw", b"secret", b"token", b"apikey", b"api_key"), (b"user", b"login", b"account", b"client", b"access")
@@ -59,6 +64,23 @@ def parts(body: bytes) -> list[tuple[int, int, str]]:
     return found
 
 
+def scopes(body: bytes, found: list[tuple[int, int, str]]) -> list[int]:
+    """The number of each part's scope: what lies between two borders, such as a paragraph, the keys of a section or a block in braces."""
+    if all(kind in BASE for *_, kind in found):
+        return [0] * len(found)  # nothing to link
+    borders = [m.start() for m in _BORDER.finditer(body)]
+    return [bisect_left(borders, start) for start, *_ in found]
+
+
+def linked(body: bytes, reach: int = REACH) -> list[tuple[int, int, str]]:
+    """(start, end, kind) in code points of the parts of a text that count, each scope linked for itself."""
+    found = parts(body)
+    by_scope: dict[int, list[tuple[int, int, str]]] = {}
+    for scope, part in zip(scopes(body, found), code_points(body, found), strict=True):
+        by_scope.setdefault(scope, []).append(part)
+    return sorted((x for group in by_scope.values() for x in link(group, reach)), key=_order)
+
+
 def code_points(body: bytes, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """The places in code points instead of bytes."""
     if body.isascii() or not found:
@@ -72,7 +94,7 @@ def code_points(body: bytes, found: list[tuple[int, int, str]]) -> list[tuple[in
 
 
 def link(found: list[tuple[int, int, str]], reach: int = REACH) -> list[tuple[int, int, str]]:
-    """Interval join of the parts of one text: base parts, and the weak candidates with a complementary part within reach.
+    """Interval join of the parts of one scope: base parts, and the weak candidates with a complementary part within reach.
 
     A weak candidate that overlaps a base part is that base part. Per role the starts are sorted, with the largest end up
     to each, so a candidate looks at one place of a role and no pairs are made.
@@ -82,7 +104,11 @@ def link(found: list[tuple[int, int, str]], reach: int = REACH) -> list[tuple[in
     weak = [x for x in found if x[2] not in BASE and not taken.near(x[0], x[1], -1)]
     by_role = {role: _Intervals([x for x in base + weak if ROLE[x[2]] == role]) for role in NEEDS}
     kept = base + [x for x in weak if any(by_role[role].near(x[0], x[1], reach) for role in NEEDS[ROLE[x[2]]])]
-    return sorted(kept, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
+    return sorted(kept, key=_order)
+
+
+def _order(part: tuple[int, int, str]) -> tuple[int, int, int]:
+    return part[0], KINDS.index(part[2]), part[1]
 
 
 class _Intervals:
@@ -103,16 +129,16 @@ def find_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """(doc_id, spans) of every row; spans: array of (start, end, kind) in code points, by start, then kind.
 
     Base kinds are ``assign``, ``access`` and ``hex``; ``key`` (a long random-looking word), ``user`` and ``endpoint`` are weak and
-    reported only if complementary parts co-occur within ``reach`` code points of one document. A null or
-    empty text has none. Repeated rows are answered each; nothing leaves its row, so no key can be hot.
+    reported only if complementary parts co-occur in one scope of the document, within ``reach`` code points. Scopes end at blank lines,
+    headers, headings, rules and the braces of blocks. A null or empty text has none. Repeated rows are answered
+    each, other columns are ignored whatever their names; nothing leaves its row, so no key can be hot.
     """
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
         spans = []
         for body in batch.column(1).to_pylist():
-            found = link(code_points(body, parts(body)), reach) if body else []
-            spans.append([{"start": s, "end": e, "kind": k} for s, e, k in found])
+            spans.append([{"start": s, "end": e, "kind": k} for s, e, k in linked(body, reach)] if body else [])
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
     return map_slices(documents(docs), f"doc_id {dict(docs.dtypes)['doc_id']}, spans array<struct<start:long,end:long,kind:string>>", lambda: scan)
