@@ -143,30 +143,39 @@ def _km(a: str, b: str) -> Column:
     return geo.arc_km(f"{a}_lat", f"{a}_lon", f"{b}_lat", f"{b}_lon")
 
 
-def insertion_slots(routes: DataFrame, depots: DataFrame, requests: DataFrame) -> DataFrame:
-    """The gaps after the insertion point into which a pickup or drop-off can go, with their extra kilometres.
+def remaining_legs(routes: DataFrame, depots: DataFrame, requests: DataFrame) -> DataFrame:
+    """The legs (a, b) after the insertion point of each request, the way back to the depot included.
 
-    One row per remaining gap: ``slot`` 0 follows the current place (the depot before the first stop), the last one
-    precedes the depot. ``requests`` also carries pickup and drop-off coordinates.
+    ``slot`` 0 follows the current place (the depot before the first stop), the last one precedes the depot.
     """
     split, _ = split_routes(routes, requests)
     here = split.select("route_id", "pair_id", "insertion_point", "seq", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon")).where("seq >= insertion_point")
-    home = depots.select("route_id", F.col("lat").alias("d_lat"), F.col("lon").alias("d_lon"))
+    home = depots.select("route_id", F.col("lat").alias("h_lat"), F.col("lon").alias("h_lon"))
     start = requests.where("insertion_point = 0").join(routes.select("route_id").distinct(), "route_id", "left_semi").join(home, "route_id").select(
-        "route_id", "pair_id", "insertion_point", F.lit(0).cast("bigint").alias("seq"), F.col("d_lat").alias("a_lat"), F.col("d_lon").alias("a_lon")
+        "route_id", "pair_id", "insertion_point", F.lit(0).cast("bigint").alias("seq"), F.col("h_lat").alias("a_lat"), F.col("h_lon").alias("a_lon")
     )
     following = routes.select("route_id", (F.col("seq") - 1).alias("seq"), F.col("lat").alias("n_lat"), F.col("lon").alias("n_lon"))
+    legs = here.unionByName(start).join(following, ["route_id", "seq"], "left").join(home, "route_id")
+    return legs.select(
+        "route_id", "pair_id", "insertion_point", (F.col("seq") - F.col("insertion_point")).alias("slot"), "a_lat", "a_lon",
+        F.coalesce("n_lat", "h_lat").alias("b_lat"), F.coalesce("n_lon", "h_lon").alias("b_lon"), F.col("n_lat").isNull().alias("last"),
+    )
+
+
+def insertion_slots(routes: DataFrame, depots: DataFrame, requests: DataFrame) -> DataFrame:
+    """The gaps after the insertion point into which a pickup or drop-off can go, with their extra kilometres.
+
+    One row per remaining leg. ``requests`` also carries pickup and drop-off coordinates.
+    """
     ends = requests.select(
-        "route_id", "pair_id", *[F.col(f"{n}_{c}").alias(f"{n[0]}_{c}") for n in ("pickup", "dropoff") for c in ("lat", "lon")]
-    ).withColumnsRenamed({"d_lat": "q_lat", "d_lon": "q_lon"})
-    gaps = here.unionByName(start).join(following, ["route_id", "seq"], "left").join(home, "route_id").join(ends, ["route_id", "pair_id"])
-    to = {c: F.coalesce(f"n_{c}", f"d_{c}") for c in ("lat", "lon")}
-    gaps = gaps.withColumns({"b_lat": to["lat"], "b_lon": to["lon"]})
+        "route_id", "pair_id", *[F.col(f"{n}_{c}").alias(f"{e}_{c}") for n, e in (("pickup", "p"), ("dropoff", "q")) for c in ("lat", "lon")]
+    )
+    gaps = remaining_legs(routes, depots, requests).join(ends, ["route_id", "pair_id"])
     old = _km("a", "b")
     return gaps.select(
-        "route_id", "pair_id", "insertion_point", (F.col("seq") - F.col("insertion_point")).alias("slot"),
+        "route_id", "pair_id", "insertion_point", "slot",
         (_km("a", "p") + _km("p", "b") - old).alias("add_pickup"), (_km("a", "q") + _km("q", "b") - old).alias("add_dropoff"),
-        (_km("a", "p") + _km("p", "q") + _km("q", "b") - old).alias("add_both"), old.alias("leg_km"), F.col("n_lat").isNull().alias("last"),
+        (_km("a", "p") + _km("p", "q") + _km("q", "b") - old).alias("add_both"), old.alias("leg_km"), "last",
     )
 
 
@@ -210,16 +219,23 @@ def insert_pairs(routes: DataFrame, depots: DataFrame, requests: DataFrame) -> t
     Appending is one of the places that are compared, so A is never longer than B and is always taken. Requests with a
     point outside of their route are left out; ``split_routes`` reports them. One round per pair of the route that has most.
     """
+    placed, report = place_pairs(routes, depots, requests)
+    return placed.drop("was", "pair_id"), report
+
+
+def place_pairs(routes: DataFrame, depots: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``insert_pairs``; the routes also tell each stop's former place (``was``) and each new stop's ``pair_id``."""
     order = Window.partitionBy("route_id").orderBy("pair_id")
     _, wrong = split_routes(routes, requests)
     turns, seen = cut_and_measure(requests.join(wrong, ["route_id", "pair_id"], "left_anti").withColumn("turn", F.row_number().over(order)), n=F.max("turn"))
-    current = routes.select("route_id", "seq", "lat", "lon", F.lit("stop").alias("type"), F.lit(False).alias("is_dynamic"), F.col("seq").alias("was"))
+    none = F.lit(None).cast("bigint")
+    current = routes.select("route_id", "seq", "lat", "lon", F.lit("stop").alias("type"), F.lit(False).alias("is_dynamic"), F.col("seq").alias("was"), none.alias("pair_id"))
     report = None
     for turn in range(1, (seen["n"] or 0) + 1):
         here = turns.where(F.col("turn") == turn).withColumn("was", F.col("insertion_point"))
         at = current.where("was is not null").select("route_id", "was", F.col("seq").alias("place"))
         placed = here.join(at, ["route_id", "was"], "left").withColumn("insertion_point", F.coalesce("place", F.lit(0).cast("bigint"))).drop("place", "turn")
-        slots = cut(insertion_slots(current, depots, placed.drop("was")))
+        slots = cut(insertion_slots(current.drop("pair_id"), depots, placed.drop("was")))
         plan = best_insertion(slots).join(appended(slots), ["route_id", "pair_id"]).join(closed_route_lengths(current, depots), "route_id")
         best = cut(plan.join(placed.drop("insertion_point"), ["route_id", "pair_id"]))
         moved = current.join(best.select("route_id", "insertion_point", F.col("pickup_slot").alias("p"), F.col("dropoff_slot").alias("q")), "route_id", "left")
@@ -228,7 +244,7 @@ def insert_pairs(routes: DataFrame, depots: DataFrame, requests: DataFrame) -> t
         new = [
             best.select(
                 "route_id", (F.col("insertion_point") + F.col(f"{name}_slot") + offset).alias("seq"), F.col(f"{name}_lat").alias("lat"), F.col(f"{name}_lon").alias("lon"),
-                F.lit(name).alias("type"), F.lit(True).alias("is_dynamic"), F.lit(None).cast("bigint").alias("was"),
+                F.lit(name).alias("type"), F.lit(True).alias("is_dynamic"), none.alias("was"), F.col("pair_id").cast("bigint").alias("pair_id"),
             )
             for name, offset in (("pickup", 1), ("dropoff", 2))
         ]
@@ -241,7 +257,7 @@ def insert_pairs(routes: DataFrame, depots: DataFrame, requests: DataFrame) -> t
     if report is None:
         empty = "insertion_point bigint, before_km double, strategy_a_km double, strategy_b_km double, km double"
         report = requests.select("route_id", "pair_id", *[F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in empty.split(", ")]).where("false")
-    return current.drop("was"), report
+    return current, report
 
 
 def best_reorder(routes: DataFrame, depots: DataFrame, requests: DataFrame, limit: int = 10) -> DataFrame:
