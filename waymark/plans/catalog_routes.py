@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
-from waymark.operators import ranks, reports, tours
-from waymark.plans import duck, scenario
+from waymark.operators import lookups, ranks, reports, tours
+from waymark.plans import duck, insertion, scenario
+from waymark.plans.catalog_lookups import _CENTERS, pair_clusters
 from waymark.plans.catalog_reports import _LEGS
 from waymark.plans.registry import register
 
@@ -332,20 +333,23 @@ def _(t):
     return _r(scenario.best_insertion(slots).select("route_id", "pair_id", "added_km"), "added_km")
 
 
-@register(
-    "r14_exact_reorder",
-    """select id as instance_id, round(km, 6) as km, cast(null as varchar) as error from shortest
- union all select id, null, count(*) || ' stops left; the exact order takes at most 8' from asked join route_stops r using (route_id) where r.seq > at_seq group by 1 having count(*) > 8
- union all select pair_id || ':' || pair_id, null, 'Insertion point is out of bounds' from dynamic_pairs left join (select route_id as pair_id, max(seq) as n from route_stops group by 1) using (pair_id) where n is null or vehicle_key % 7 > n""",
-    _IV,
-    f"""homes as materialized (select o_orderkey as route_id, lat as h_lat, lon as h_lon from orders join locations on location_id = o_custkey),
+_EXACT = f"""homes as materialized (select o_orderkey as route_id, lat as h_lat, lon as h_lon from orders join locations on location_id = o_custkey),
  asked as materialized (select pair_id || ':' || pair_id as id, pair_id as route_id, vehicle_key % 7 as at_seq, pickup_lat, pickup_lon, dropoff_lat, dropoff_lon, h_lat, h_lon,
    (select count(*) from route_stops r where r.route_id = pair_id and r.seq > vehicle_key % 7) as n_left
   from dynamic_pairs join homes on route_id = pair_id where vehicle_key % 7 <= (select max(seq) from route_stops r where r.route_id = pair_id)),
  starts as (select a.*, coalesce(r.lat, h_lat) as s_lat, coalesce(r.lon, h_lon) as s_lon from asked a left join route_stops r on r.route_id = a.route_id and r.seq = at_seq where n_left <= 8),
  points as materialized (select id, lat, lon, s_lat, s_lon, h_lat as e_lat, h_lon as e_lon, cast(after as int) as after, cast(k as int) as k, cast(n_left + 2 as int) as n from (
   select s.*, r.lat, r.lon, null as after, r.seq - at_seq - 1 as k from starts s join route_stops r on r.route_id = s.route_id and r.seq > at_seq
-  union all select *, pickup_lat, pickup_lon, null, n_left from starts union all select *, dropoff_lat, dropoff_lon, n_left, n_left + 1 from starts)), {_steps('points')}""",
+  union all select *, pickup_lat, pickup_lon, null, n_left from starts union all select *, dropoff_lat, dropoff_lon, n_left, n_left + 1 from starts)), {_steps('points')}"""
+
+
+@register(
+    "r14_exact_reorder",
+    """select id as instance_id, round(km, 6) as km, cast(null as varchar) as error from shortest
+ union all select id, null, count(*) || ' stops left; the exact order takes at most 8' from asked join route_stops r using (route_id) where r.seq > at_seq group by 1 having count(*) > 8
+ union all select pair_id || ':' || pair_id, null, 'Insertion point is out of bounds' from dynamic_pairs left join (select route_id as pair_id, max(seq) as n from route_stops group by 1) using (pair_id) where n is null or vehicle_key % 7 > n""",
+    _IV,
+    _EXACT,
     recursive=True,
 )
 def _(t):
@@ -399,13 +403,77 @@ _TWO = f"""homes as materialized (select o_orderkey as route_id, lat as h_lat, l
     _TWO,
 )
 def _(t):
-    back = {f"{a}_{c}": F.col(f"{b}_{c}") for a, b in (("pickup", "dropoff"), ("dropoff", "pickup")) for c in ("lat", "lon")}
-    second = t.dynamic_pairs.select(F.col("pair_id").alias("route_id"), (F.col("pair_id") + 10**9).alias("pair_id"), (F.col("vehicle_key") % 3).alias("insertion_point"), *[v.alias(k) for k, v in back.items()])
-    rebuilt, _ = scenario.insert_pairs(routes(t), route_depots(t), requests(t).unionByName(second))
+    rebuilt, _ = scenario.insert_pairs(routes(t), route_depots(t), two_requests(t))
     sizes = rebuilt.groupBy("route_id").agg(F.max("seq").alias("n_stops"), (F.count_distinct("seq") + 1).alias("n_places"))
     return sizes.join(scenario.closed_route_lengths(rebuilt, route_depots(t)), "route_id").withColumn("km", F.round("km", 5))
 
 
+def two_requests(t):
+    """A second pair for every route of ``requests``, the other way round."""
+    back = {f"{a}_{c}": F.col(f"{b}_{c}") for a, b in (("pickup", "dropoff"), ("dropoff", "pickup")) for c in ("lat", "lon")}
+    second = t.dynamic_pairs.select(
+        F.col("pair_id").alias("route_id"), (F.col("pair_id") + 10**9).alias("pair_id"), (F.col("vehicle_key") % 3).alias("insertion_point"), *[v.alias(k) for k, v in back.items()]
+    )
+    return requests(t).unionByName(second)
+
+
+@register(
+    "r16_reoptimised_routes",
+    f"""select a.route_id, round(case when n_left <= 8 then coalesce(d.km, 0) + s.km end, 6) as shortest_km, n_left + at_seq + 2 as n_stops, true as not_longer from asked a left join shortest s using (id) left join (
+ select c.route_id, sum({duck.hav('c.lat', 'c.lon', 'x.lat', 'x.lon')}) as km from chain c join chain x on x.route_id = c.route_id and x.seq = c.seq + 1 join asked q on q.route_id = c.route_id where c.seq < at_seq group by 1) d on d.route_id = a.route_id""",
+    _IV,
+    f"{_EXACT}, chain as (select route_id, seq, lat, lon from route_stops union all select route_id, 0, h_lat, h_lon from homes)",
+    recursive=True,
+)
+def _(t):
+    rebuilt, report = insertion.reoptimise(routes(t), route_depots(t), requests(t))
+    sizes = rebuilt.groupBy("route_id").agg(F.max("seq").alias("n_stops"))
+    rows = report.join(sizes, "route_id").withColumns({"shortest_km": F.when(F.col("exact"), F.col("km")), "not_longer": F.col("km") <= F.col("inserted_km") + 1e-9})
+    return _r(rows.select("route_id", "shortest_km", "n_stops", "not_longer"), "shortest_km")
+
+
+@register(
+    "r16_reoptimised_several_pairs",
+    f"""select a.route_id, round(sum({duck.hav('a.lat', 'a.lon', 'coalesce(b.lat, h_lat)', 'coalesce(b.lon, h_lon)')}), 5) as inserted_km, max(a.seq) as n_stops, count(distinct a.seq) as n_places, true as not_longer, true as in_order
+ from chain3 a join homes h on h.route_id = a.route_id left join chain3 b on b.route_id = a.route_id and b.seq = a.seq + 1
+ where a.route_id in (select route_id from point1 union select route_id from point2) group by 1""",
+    _IV,
+    _TWO,
+)
+def _(t):
+    rebuilt, report = insertion.reoptimise(routes(t), route_depots(t), two_requests(t))
+    at = lambda kind: F.min(F.when(F.col("type") == kind, F.col("seq")))
+    pairs = rebuilt.where("pair_id is not null").groupBy("route_id", "pair_id").agg((at("pickup") < at("dropoff")).alias("ok")).groupBy("route_id").agg(F.bool_and("ok").alias("in_order"))
+    sizes = rebuilt.groupBy("route_id").agg(F.max("seq").alias("n_stops"), (F.count_distinct("seq") + 1).alias("n_places"))
+    rows = report.join(sizes, "route_id").join(pairs, "route_id")
+    return rows.select("route_id", F.round("inserted_km", 5).alias("inserted_km"), "n_stops", "n_places", (F.col("km") <= F.col("inserted_km") + 1e-9).alias("not_longer"), "in_order")
+
+
+_ENDS = f"""{_CENTERS}, ends as materialized (select pair_id, role, s.checkpoint_id as id, s.lat, s.lon from (select pair_id, role, arg_min(cluster_id, (km, cluster_id)) as cluster_id from (
+  select pair_id, role, cluster_id, {duck.hav('e.lat', 'e.lon', 'c.lat', 'c.lon')} as km from (
+   select pair_id, 'pickup' as role, pickup_lat as lat, pickup_lon as lon from dynamic_pairs union all select pair_id, 'dropoff', dropoff_lat, dropoff_lon from dynamic_pairs) e cross join centers c) group by 1, 2) join security_checkpoints s using (cluster_id)),
+ {_SLOTS}, p as materialized (select pair_id, id as p_id, lat as cp_lat, lon as cp_lon from ends where role = 'pickup'), q as materialized (select pair_id, id as q_id, lat as cq_lat, lon as cq_lon from ends where role = 'dropoff'),
+ pick as materialized (select g.*, p_id, cp_lat, cp_lon, {_h('a', 'cp')} + {_h('cp', 'b')} - {_h('a', 'b')} as km from gaps g join p using (pair_id)),
+ drops as materialized (select g.*, q_id, {_h('a', 'cq')} + {_h('cq', 'b')} - {_h('a', 'b')} as km from gaps g join q using (pair_id)),
+ tried as (select x.route_id, x.pair_id, x.km + y.km as km from pick x join drops y on y.route_id = x.route_id and y.slot > x.slot
+  union all select x.route_id, x.pair_id, {_h('a', 'cp')} + {_h('cp', 'cq')} + {_h('cq', 'b')} - {_h('a', 'b')} from pick x join q using (pair_id))"""
+
+
+@register(
+    "r16_chosen_checkpoints",
+    """select route_id, pair_id, round(min(km), 6) as added_km, cast(null as varchar) as error from tried group by 1, 2 union all
+ select pair_id, pair_id, null, 'Insertion point is out of bounds' from dynamic_pairs left join sizes on route_id = pair_id where n is null or vehicle_key % 7 > n union all
+ select pair_id, pair_id, null, 'No candidate checkpoint at an end' from dynamic_pairs join sizes on route_id = pair_id where vehicle_key % 7 <= n and not (pair_id in (select pair_id from p) and pair_id in (select pair_id from q))""",
+    f"{_IV} location_clusters clusters security_checkpoints",
+    _ENDS,
+)
+def _(t):
+    candidates = lookups.candidate_checkpoints(pair_clusters(t), t.security_checkpoints)
+    chosen, errors = insertion.choose_ends(routes(t), route_depots(t), requests(t), candidates)
+    rows = chosen.select("route_id", "pair_id", "added_km", F.lit(None).cast("string").alias("error"))
+    return _r(rows.unionByName(errors.select("route_id", "pair_id", F.lit(None).cast("double").alias("added_km"), "error")), "added_km")
+
+
 @register(
     "r17_needed_legs",
     "select distinct printf('route:%.5f,%.5f:%.5f,%.5f', a.lat, a.lon, b.lat, b.lon) as leg_key from route_stops a join route_stops b on a.route_id = b.route_id and b.seq = a.seq + 1",
