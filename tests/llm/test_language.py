@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import pyarrow.parquet as pq
 from cases import awkward, documents, frame, rows
@@ -27,10 +29,69 @@ def two(spark, n=30):
 def test_backs_off_to_shorter_grams(spark):
     model = language.fit(two(spark))
     scorer = language.Scorer(model)
-    assert b"kala" in scorer.known and b"kalakolo" not in scorer.known
+    assert scorer.find(0, [b"kala", b"kalakolo"])[0].tolist() == [True, False]
     for word, best in ((b"kalakolo", "xx"), (b"sssi", "yy"), (b"ku", "xx"), (b"zk", "xx")):
-        assert scorer.langs[int(scorer.back_off(word).argmax())] == best
-    assert not scorer.back_off(b"99").any()
+        assert scorer.langs[int(scorer.look_up([word])[0].argmax())] == best
+    assert not scorer.look_up([b"99"]).any()
+
+
+class Plain:
+    """The same model in plain Python, over all rows."""
+
+    def __init__(self, rows):
+        self.langs = sorted({lang for _, lang in rows})
+        self.n = {}
+        for text, lang in rows:
+            for word in words_of(text):
+                for key in [(0, word)] + [(n, g) for n in range(1, 5) for g in pieces(word, n)]:
+                    at = self.n.setdefault(key, dict.fromkeys(self.langs, 0))
+                    at[lang] += 1
+        self.total = {(n, lang): sum(c[lang] for k, c in self.n.items() if k[0] == n) for n in range(5) for lang in self.langs}
+
+    def logs(self, key):
+        return [math.log10((self.n[key][lang] + 0.1) / (self.total[key[0], lang] + 1)) for lang in self.langs]
+
+    def word(self, word):
+        if (0, word) in self.n:
+            return self.logs((0, word))
+        for n in (4, 3, 2, 1):
+            known = [self.logs((n, g)) for g in pieces(word, n) if (n, g) in self.n]
+            if known:
+                return [sum(x) / len(known) for x in zip(*known, strict=True)]
+        return [0.0] * len(self.langs)
+
+    def predict(self, text):
+        found = words_of(text)
+        if not any(c.isalpha() for c in text or "") or not found:
+            return "und", 0.0
+        each = [self.word(w) for w in found]
+        mean = [sum(x) / len(each) for x in zip(*each, strict=True)]
+        share = [10 ** ((m - max(mean)) * min(len(found), 20)) for m in mean]
+        best = mean.index(max(mean))
+        return self.langs[best], share[best] / sum(share)
+
+
+def words_of(text):
+    return re.findall("(?:[a-z]|[^\\x00-\\x7f])+", (text or "").lower())
+
+
+def pieces(word, n):
+    marked = word if n == 1 else f"^{word}$"
+    return [marked[i : i + n] for i in range(len(marked) - n + 1)]
+
+
+def test_equals_a_plain_model(spark):
+    r = random.Random(5)
+    pools = {"aa": "abcdeé", "bb": "cdefgß", "cc": "efghæi"}
+    make = lambda lang, n: " ".join("".join(r.choice(pools[lang]) for _ in range(r.randint(1, 6))) for _ in range(n))
+    train = [(make(lang, 30), lang) for _ in range(20) for lang in pools] + [("Cde, FGH! cde", "bb"), ("", "aa")]
+    model = language.fit(documents(spark, [t for t, _ in train], dict(enumerate(lang for _, lang in train))))
+    plain = Plain(train)
+    tests = [make(lang, n) for lang in pools for n in (1, 3, 40)] + awkward() + ["xyz", "^ab$", "ABC cde", "éé ßß", "12", "Å"]
+    got = {x["doc_id"]: x for x in language.predict(documents(spark, tests), model).collect()}
+    for i, text in enumerate(tests):
+        lang, score = plain.predict(text)
+        assert abs(got[i]["score"] - score) < 1e-4 and (got[i]["lang_pred"] == lang or score < 0.51), (i, got[i], lang, score)
 
 
 def test_awkward_texts(spark):
@@ -53,7 +114,7 @@ def test_many_unseen_words_pass_a_small_memory(spark, monkeypatch):
 def test_sample_is_bounded(spark):
     docs = two(spark, 400)
     model = language.fit(docs, sample_rows=40)
-    assert 0 < model["counts"][0][2].sum() < 400 * 20 / 2
+    assert 0 < model["totals"][0].sum() < 400 * 20 / 2
 
 
 def test_keeps_rows_and_columns(spark):
