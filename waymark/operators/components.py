@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.session import cut_and_measure
+from waymark.session import cut_large_and_measure
 
 
 def _star(links: DataFrame) -> DataFrame:
     """Hook ``v`` of every row (u, v) to the smallest node seen at ``u``."""
     least = links.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return links.join(least, "u")
+    return links.join(least.hint("merge"), "u")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -22,14 +22,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    hooked = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    hooked = down.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hooked.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
 def _write(edges: DataFrame) -> tuple[DataFrame, tuple]:
     """The edges as a table, with their number and a checksum by which a round without change is seen."""
     checksum = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    table, seen = cut_and_measure(edges, n=F.count(F.lit(1)), checksum=checksum)
+    table, seen = cut_large_and_measure(edges, n=F.count(F.lit(1)), checksum=checksum)
     return table, (seen["n"], seen["checksum"])
 
 
@@ -48,4 +48,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
     nodes = given.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     label = current.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    return nodes.join(label.hint("merge"), "node", "left").select("node", F.coalesce("label", "node").alias("label"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo
 from waymark.operators import grid, hulls, reports, roads
-from waymark.session import cut
+from waymark.session import cut_large
 from waymark.sources import tables
 
 # Radii in degrees of the area and of the boundary, for a hull and for a lone centre.
@@ -17,10 +17,10 @@ ROUTE_BOUNDARY = (0.0005, 0.0015)
 def topology_access_points(members: DataFrame, centers: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Access points from the network around each cluster: boundary nodes, road class changes and barriers, merged;
     clusters without any get the two inside nodes nearest to a main road."""
-    areas = cut(hulls.cluster_areas(members, centers, roads.AREA_DEGREES, roads.AREA_DEGREES))
+    areas = cut_large(hulls.cluster_areas(members, centers, roads.AREA_DEGREES, roads.AREA_DEGREES))
     part, network = roads.network_around(nodes, edges, areas, centers)
-    network = cut(network)
-    inside = cut(roads.inside_nodes(part, areas, members))
+    network = cut_large(network)
+    inside = cut_large(roads.inside_nodes(part, areas, members))
     detected = {
         "articulation_point": (roads.boundary_nodes(inside, network), roads.DETECTED),
         "highway_transition": (roads.highway_transitions(inside, network), roads.DETECTED),
@@ -30,7 +30,7 @@ def topology_access_points(members: DataFrame, centers: DataFrame, nodes: DataFr
     for method, (rows, confidence) in detected.items():
         tagged = rows.withColumns({"method": F.lit(method), "confidence": F.lit(confidence)})
         found = tagged if found is None else found.unionByName(tagged)
-    best = cut(roads.merge_access_points(cut(found).join(nodes.select("node_id", "lat", "lon"), "node_id"))).select("cluster_id", "node_id", "method", "confidence")
+    best = cut_large(roads.merge_access_points(cut_large(found).join(nodes.select("node_id", "lat", "lon"), "node_id"))).select("cluster_id", "node_id", "method", "confidence")
     without = inside.join(best, "cluster_id", "left_anti")
     near = roads.nearest_main_roads(without, nodes, network).select(
         "cluster_id", "node_id", F.lit("nearest_main_road").alias("method"), F.lit(roads.NEAREST_ROAD).alias("confidence")
@@ -64,11 +64,11 @@ def route_access_points(members: DataFrame, depots: DataFrame, nodes: DataFrame,
     at = grid.nearest(served, "location_id", nodes, "node_id").select("location_id", "node_id")
     starts = served.join(at, "location_id").select("cluster_id", "location_id", "source_id", "node_id")
     paths = roads.shortest_paths(nodes, edges, goal, starts.select("source_id", "node_id"))
-    reachable = cut(starts.join(paths.select("source_id", "node_id"), ["source_id", "node_id"], "left_semi"))
+    reachable = cut_large(starts.join(paths.select("source_id", "node_id"), ["source_id", "node_id"], "left_semi"))
     walked = roads.walk_paths(paths, reachable.select(F.col("location_id").alias("route_id"), "source_id", "node_id"))
     steps = walked.join(reachable.select(F.col("location_id").alias("route_id"), "cluster_id"), "route_id")
     passed = steps.groupBy("cluster_id", "node_id").agg(F.lit(1).alias("one")).join(nodes.select("node_id", "lat", "lon"), "node_id").join(border, "cluster_id")
-    flag = cut(passed.select("cluster_id", "node_id", (hulls.ring_distance(F.col("ring"), F.col("lon"), F.col("lat")) < F.col("radius")).alias("inside")))
+    flag = cut_large(passed.select("cluster_id", "node_id", (hulls.ring_distance(F.col("ring"), F.col("lon"), F.col("lat")) < F.col("radius")).alias("inside")))
     flagged = steps.join(flag, ["cluster_id", "node_id"]).select("cluster_id", "route_id", "seq", "node_id", "inside")
     following = flagged.select("cluster_id", "route_id", (F.col("seq") - 1).alias("seq"), F.col("node_id").alias("next_node"), F.col("inside").alias("next_inside"))
     crossed = flagged.join(following, ["cluster_id", "route_id", "seq"]).where("inside <> next_inside")
@@ -100,18 +100,18 @@ def generate_checkpoints(
     members = loc.select("location_id", "lat", "lon").join(lc, "location_id")
     if not regenerate:
         members = members.join(cp, "cluster_id", "left_anti")
-    members = cut(members)
+    members = cut_large(members)
     means = members.groupBy("cluster_id").agg(F.avg("lat").alias("m_lat"), F.avg("lon").alias("m_lon"))
     centers = means.join(cl, "cluster_id", "left").select(
         "cluster_id", F.coalesce("centroid_lat", "m_lat").alias("lat"), F.coalesce("centroid_lon", "m_lon").alias("lon")
     )
     found = None
     if depots is not None:
-        found = cut(route_access_points(members, depots, nodes, edges).select(columns))
+        found = cut_large(route_access_points(members, depots, nodes, edges).select(columns))
         left = members.join(found, "cluster_id", "left_anti")
     else:
         left = members
-    by_topology = cut(topology_access_points(left, centers.join(left, "cluster_id", "left_semi"), nodes, edges).select(columns))
+    by_topology = cut_large(topology_access_points(left, centers.join(left, "cluster_id", "left_semi"), nodes, edges).select(columns))
     found = by_topology if found is None else found.unionByName(by_topology)
     rest = members.join(found, "cluster_id", "left_anti")
     found = found.unionByName(fallback_checkpoints(rest, rest.select("location_id", "cluster_id")).select(columns))
