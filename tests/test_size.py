@@ -26,6 +26,18 @@ def test_nearest_broadcasts_nothing(spark):
     assert "Broadcast" not in plan(grid.nearest(points(spark, 30, 2), "id", points(spark, 30, 3, "node_id"), "node_id"))
 
 
+def test_areas_broadcast_nothing_and_share_the_exact_test(spark):
+    members = points(spark, 40, 4, "location_id").withColumn("cluster_id", F.col("location_id") % 2)
+    centers = members.groupBy("cluster_id").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+    areas = cut(hulls.cluster_areas(members, centers, 0.002, 0.002))
+    nodes = points(spark, 50, 5, "node_id")
+    assert "Broadcast" not in plan(hulls.points_in_areas(nodes, "node_id", areas))
+    edges = spark.createDataFrame([(1, 2)], "src bigint, dst bigint")
+    part, _ = roads.network_around(nodes, edges, areas, centers)
+    inside = roads.inside_nodes(part, areas, members)
+    assert "ring" not in plan(inside)  # written before its rows are used twice
+
+
 def test_keyed_sample_tables_are_not_broadcast(spark, tmp_path):
     for name, text in (("nation", "0 as n_nationkey, 'A' as n_name, 0 as n_regionkey"), ("region", "0 as r_regionkey, 'R' as r_name"), ("customer", "id as c_custkey, 0 as c_nationkey, 1.0D as c_acctbal")):
         spark.range(5).selectExpr(*text.split(", ")).limit(1 if name != "customer" else 5).write.parquet(f"{tmp_path}/{name}.parquet")

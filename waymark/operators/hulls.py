@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.session import spread
+
 BLOCK = 1_000  # points, or blocks of the step before, that one reduction takes together
 
 
@@ -49,11 +51,11 @@ def convex_hulls(points: DataFrame, by: str, key: str) -> DataFrame:
     corner = corner.join(parts, by)
 
     def hulls(df: DataFrame, *keys: str) -> DataFrame:
-        return df.groupBy(by, *keys).agg(hull_ring(F.sort_array(F.collect_set("p"))).alias("ring"))
+        return spread(df, by, *keys).groupBy(by, *keys).agg(hull_ring(F.sort_array(F.collect_set("p"))).alias("ring"))
 
     for _ in range(2):
-        spread = corner.withColumn("block", F.pmod("block", F.col("parts")))
-        reduced = hulls(spread, "parts", "block").select(by, "parts", "block", F.explode("ring").alias("p"))
+        blocked = corner.withColumn("block", F.pmod("block", F.col("parts")))
+        reduced = hulls(blocked, "parts", "block").select(by, "parts", "block", F.explode("ring").alias("p"))
         corner = reduced.withColumn("parts", F.ceil(F.col("parts") / BLOCK))
     return hulls(corner)
 
@@ -107,7 +109,7 @@ def widened(areas: DataFrame, degrees: float) -> DataFrame:
 
 
 def points_in_areas(points: DataFrame, key: str, areas: DataFrame, cell: float = 0.02) -> DataFrame:
-    """(cluster_id, key, lat, lon) of the points inside each area: cells of the area's box, then the exact test.
+    """(cluster_id, key, lat, lon) of the points inside each area: cells of the area's box, the box, then the exact test.
 
     Cells double in size until an area's box has at most about eight of them per side, so a wide area costs no more cells than a
     small one; a point is looked up once per size in use.
@@ -120,9 +122,13 @@ def points_in_areas(points: DataFrame, key: str, areas: DataFrame, cell: float =
     width = F.lit(cell) * F.pow(F.lit(2.0), F.col("_level"))
     boxes = sized
     for a in "xy":
+        boxes = boxes.withColumns({f"_low{a}": low[a], f"_high{a}": high[a]})
         boxes = boxes.withColumn(f"_{a}", F.explode(F.sequence(F.floor(low[a] / width), F.floor(high[a] / width))))
     levels = sorted(r["_level"] for r in sized.select("_level").distinct().collect()) or [0]  # a row per size
     placed = points.select(key, "lat", "lon", F.explode(F.array(*map(F.lit, levels))).alias("_level"))
     placed = placed.withColumns({"_x": F.floor(F.col("lon") / width), "_y": F.floor(F.col("lat") / width)})
-    near = placed.join(boxes, ["_level", "_x", "_y"])
+    at = ["_level", "_x", "_y"]
+    near = spread(placed, *at).join(spread(boxes, *at).hint("merge"), at)  # the exact test costs much per row, so all tasks share it
+    for a, c in (("x", "lon"), ("y", "lat")):
+        near = near.where(F.col(c).between(F.col(f"_low{a}") - 1e-9, F.col(f"_high{a}") + 1e-9))
     return near.where(ring_distance(F.col("ring"), F.col("lon"), F.col("lat")) < F.col("radius")).select("cluster_id", key, "lat", "lon")
