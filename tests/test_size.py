@@ -18,6 +18,7 @@ def points(spark, n, seed, key="id"):
     return cut(spark.createDataFrame(scatter(n, seed), f"{key} bigint, lat double, lon double"))
 
 
+@pytest.mark.parametrize("planar", [True, False])
 def test_density_groups_broadcast_nothing(spark, planar):
     assert "Broadcast" not in plan(density.density_groups(points(spark, 60, 1), "id", 350, 5, planar=planar))
 
@@ -45,3 +46,38 @@ def test_keyed_sample_tables_are_not_broadcast(spark, tmp_path):
     joined = load("locations").select("location_id", "lat").join(load("location_clusters"), "location_id")
     assert plan(joined).count("BroadcastHashJoin") == 2  # with nation and region
     assert joined.count() == 5
+
+
+def test_instances_are_prepared_once(spark):
+    make = spark.createDataFrame
+    pl = make([("p", 1, False), ("p", 2, False), ("p", 3, True), ("q", 1, False)], "preset_id string, location_id bigint, is_warehouse boolean")
+    loc = make([(1, 3.0, 101.0), (2, 3.1, 101.1), (3, 3.2, 101.2)], "location_id bigint, lat double, lon double")
+    lc = make([(1, 10), (2, 20)], "location_id bigint, cluster_id bigint")
+    cp = make([(5, 10, 3.0, 101.0), (4, 20, 3.0, 101.0000000001), (6, 20, 3.5, 101.5), (7, 20, None, 101.5)], "checkpoint_id bigint, cluster_id bigint, lat double, lon double")
+    out = scenario.prepare_instances(make([("p",), ("q",)], "preset_id string"), pl, loc, lc, cp)
+    for name in ("depots", "nodes", "served", "required"):
+        assert "Join" not in plan(out[name]), name
+    assert tuples(out["served"].where("lat is not null"), "instance_id", "stop_id", "cluster_id") == [("p", 4, 10), ("p", 4, 20), ("p", 6, 20)]
+    assert tuples(out["required"]) == [("p", 10), ("p", 20)]
+
+
+def test_covering_of_more_clusters_than_bits(spark):
+    depot, stops = (3.0, 101.4), scatter(80, 6)
+    rows = [(i, "x", a, b, c) for i, a, b in stops for c in (i, (i * 7) % 80)]
+    served = spark.createDataFrame(rows, "stop_id bigint, instance_id string, lat double, lon double, cluster_id bigint")
+    depots = spark.createDataFrame([("x", *depot)], "instance_id string, lat double, lon double")
+    at, need, left, expected = depot, set(range(80)), {i: (a, b) for i, a, b in stops}, []
+    while need:
+        left = {i: p for i, p in left.items() if {i, (i * 7) % 80} & need}
+        best = min(left, key=lambda i: (km(at, left[i]), i))
+        expected.append(best)
+        need -= {best, (best * 7) % 80}
+        at = left[best]
+    assert [r["stop_id"] for r in tours.covering_tours(depots, served).orderBy("seq").collect()] == expected
+
+
+def test_positions_of_groups_beyond_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "LARGE", 5)
+    df = spark.createDataFrame([(g, k) for g, n in (("a", 20), (None, 7), ("b", 3)) for k in range(n)], "g string, k bigint")
+    assert all(r["at"] == r["k"] + 1 for r in ranks.position(df, ["g"], "k", "at").collect())
+    assert ranks.position(df, ["g"], "k", "at").count() == 30
