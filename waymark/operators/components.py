@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.session import cut_large_and_measure
+from waymark.session import cut_large_and_measure as cut_and_measure
 
 
 def _star(links: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def _write(edges: DataFrame) -> tuple[DataFrame, tuple]:
     """The edges as a table, with their number and a checksum by which a round without change is seen."""
     checksum = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    table, seen = cut_large_and_measure(edges, n=F.count(F.lit(1)), checksum=checksum)
+    table, seen = cut_and_measure(edges, n=F.count(F.lit(1)), checksum=checksum)
     return table, (seen["n"], seen["checksum"])
 
 

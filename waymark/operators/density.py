@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo
 from waymark.operators.components import components
-from waymark.session import cut_large, cut_large_and_measure
+from waymark.session import cut_large as cut, cut_large_and_measure as cut_and_measure
 
 FINE = 4  # a cell edge is cut into this many parts for the search of linked cells
 FEW_PAIRS = 64  # of points of two parts, which are compared at once
@@ -48,10 +48,10 @@ def _linked_cells(pairs: DataFrame, placed: DataFrame, axes: list[str], edge: fl
     asked, links = pairs.join(parts, "cell_id").join(other, "o_cell"), []
     while True:
         near = _gap_sq("", "o", axes) <= (eps + 2 * step * math.sqrt(len(axes))) ** 2
-        met = cut_large(asked.where(near).select("cell_id", "fine", "n", "o_cell", "o_fine", "o_n", close("", "o").alias("linked")))
+        met = cut(asked.where(near).select("cell_id", "fine", "n", "o_cell", "o_fine", "o_n", close("", "o").alias("linked")))
         sure = met.where("linked").select("cell_id", "o_cell").distinct()
         few = (F.col("n") * F.col("o_n") <= FEW_PAIRS) | F.lit(step <= last)
-        open_, seen = cut_large_and_measure(met.join(sure, ["cell_id", "o_cell"], "left_anti").withColumn("few", few), crowded=F.count_if(~few))
+        open_, seen = cut_and_measure(met.join(sure, ["cell_id", "o_cell"], "left_anti").withColumn("few", few), crowded=F.count_if(~few))
         at = placed.withColumn("fine", split(step))
         to = at.select(F.col("cell_id").alias("o_cell"), F.col("fine").alias("o_fine"), *[F.col(a).alias(f"o{a}") for a in axes])
         checked = open_.where("few").join(at, ["cell_id", "fine"]).join(to, ["o_cell", "o_fine"]).where(close("", "o"))
@@ -92,7 +92,7 @@ def density_groups(
     def close(a: str, b: str) -> Column:
         return _gap_sq(a, b, axes) < limit if planar else _gap_sq(a, b, axes) <= limit * (1 + 1e-12)
 
-    site = cut_large(
+    site = cut(
         points.groupBy(*by, "lat", "lon")
         .agg(F.min(key).alias("first"), F.count("*").alias("copies"))
         .withColumn("site", F.monotonically_increasing_id())
@@ -121,7 +121,7 @@ def density_groups(
         dense = weighed.where(F.col("crowd") >= min_samples)
         core = dense.unionByName(sparse.join(counted.hint("merge"), "site", "left_semi")).drop("crowd")
 
-    tagged = cut_large(core.join(core.groupBy(*by, *cells).agg(F.min("site").alias("cell_id")).hint("merge"), [*by, *cells]))
+    tagged = cut(core.join(core.groupBy(*by, *cells).agg(F.min("site").alias("cell_id")).hint("merge"), [*by, *cells]))
     cell = tagged.select(*by, *cells, "cell_id").distinct()
     pairs = (
         _around(cell, cells, near_cells, reach)
@@ -129,7 +129,7 @@ def density_groups(
         .where("cell_id < o_cell")
         .select("cell_id", "o_cell")
     )
-    links = cut_large(_linked_cells(pairs, tagged.select("cell_id", "site", *axes), axes, edge, eps, close))
+    links = cut(_linked_cells(pairs, tagged.select("cell_id", "site", *axes), axes, edge, eps, close))
     label = components(links, "cell_id", "o_cell").withColumnRenamed("node", "cell_id")
     labelled = tagged.join(label, "cell_id", "left").select("site", "first", F.coalesce("label", "cell_id").alias("label"))
     names = labelled.groupBy("label").agg(F.min("first").alias("group_id"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from waymark.functions import geo
 from waymark.operators import grid, hulls, reports
 from waymark.operators.density import density_groups
-from waymark.session import cut_large, cut_large_and_measure, spread
+from waymark.session import cut_large as cut, cut_large_and_measure as cut_and_measure, spread
 
 # Fixed values of the access point search.
 AREA_DEGREES, NETWORK_METRES, CENTER_METRES, MERGE_METRES = 0.002, 300, 450, 50
@@ -42,12 +42,12 @@ def enrich_edges(edges: DataFrame) -> DataFrame:
 
 def network_around(nodes: DataFrame, edges: DataFrame, areas: DataFrame, centers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges within 300 m of every area; around the centre if an area has no node near."""
-    near = cut_large(hulls.points_in_areas(nodes, "node_id", hulls.widened(areas, geo.metres_to_degrees(NETWORK_METRES))))
+    near = cut(hulls.points_in_areas(nodes, "node_id", hulls.widened(areas, geo.metres_to_degrees(NETWORK_METRES))))
     lonely = centers.join(near, "cluster_id", "left_anti").select(
         "cluster_id", F.array(F.struct(F.col("lon").alias("x"), F.col("lat").alias("y"))).alias("ring"),
         F.lit(geo.metres_to_degrees(CENTER_METRES)).alias("radius"),
     )
-    part = cut_large(near.unionByName(hulls.points_in_areas(nodes, "node_id", lonely)))
+    part = cut(near.unionByName(hulls.points_in_areas(nodes, "node_id", lonely)))
     ends = part.select("cluster_id", "node_id")
     inner = edges.hint("merge").join(ends.withColumnRenamed("node_id", "src"), "src").join(ends.withColumnRenamed("node_id", "dst"), ["cluster_id", "dst"])
     return part, inner
@@ -57,7 +57,7 @@ def inside_nodes(part: DataFrame, areas: DataFrame, members: DataFrame) -> DataF
     """(cluster_id, node_id) of the network nodes in each area; if there is none, those nearest to the members."""
     ring = areas.select("cluster_id", "ring", "radius")
     met = spread(part, "cluster_id").join(spread(ring, "cluster_id").hint("merge"), "cluster_id")
-    inside = cut_large(met.where(hulls.ring_distance(F.col("ring"), F.col("lon"), F.col("lat")) < F.col("radius")).select("cluster_id", "node_id"))
+    inside = cut(met.where(hulls.ring_distance(F.col("ring"), F.col("lon"), F.col("lat")) < F.col("radius")).select("cluster_id", "node_id"))
     empty = part.select("cluster_id").distinct().join(inside, "cluster_id", "left_anti")
     seekers = members.join(empty, "cluster_id", "left_semi")
     near = grid.nearest(seekers, "location_id", part.join(empty, "cluster_id", "left_semi"), "node_id", by=["cluster_id"])
@@ -181,11 +181,11 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, wante
     crowd = celled.groupBy("cell").agg(F.ceil(F.count("*") / (4 * BLOCK_NODES)).alias("parts"))
     part = F.pmod(F.xxhash64("node_id"), F.col("parts"))
     degree = edges.groupBy(F.col("dst").alias("node_id")).agg((F.count("*") > HUB_EDGES).alias("hub"))
-    blocks = cut_large(
+    blocks = cut(
         celled.join(crowd, "cell").join(degree, "node_id", "left")
         .select("node_id", F.xxhash64("cell", part).alias("block"), F.coalesce("hub", F.lit(False)).alias("hub"))
     )
-    roads, seen = cut_large_and_measure(
+    roads, seen = cut_and_measure(
         edges.select("src", "dst", "length_m")
         .join(blocks.select(F.col("node_id").alias("dst"), F.col("block").alias("to_block"), "hub"), "dst")
         .join(blocks.select(F.col("node_id").alias("src"), F.col("block").alias("src_block")), "src"),
@@ -194,7 +194,7 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, wante
     has_hubs = seen["hubs"] > 0
     start = sources.select("source_id", "node_id", F.lit(0.0).alias("metres"), F.lit(None).cast("bigint").alias("next_node"), F.lit(True).alias("fresh"), F.lit(True).alias("moved"))
     columns = [*start.columns, "block", "hub"]
-    state, seen = cut_large_and_measure(start.join(blocks, "node_id").select(columns), open=F.count_if(F.col("fresh")))
+    state, seen = cut_and_measure(start.join(blocks, "node_id").select(columns), open=F.count_if(F.col("fresh")))
     while seen["open"]:
         active = state.where("fresh").select("source_id", "block").distinct()
         known = state.join(active, ["source_id", "block"], "left_semi").select("source_id", "block", "node_id", "metres", "next_node")
@@ -219,17 +219,17 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, wante
             merged = merged.join(reach, "source_id", "left")
             moved = moved & (F.col("reach").isNull() | (F.col("b.metres") < F.col("reach")))
         rows = merged.select("source_id", "node_id", "b.metres", "b.next_node", (moved & F.col("b.offered")).alias("fresh"), moved.alias("moved"))
-        state, seen = cut_large_and_measure(rows.join(blocks, "node_id").select(columns), open=F.count_if(F.col("fresh") | (F.col("hub") & F.col("moved"))))
+        state, seen = cut_and_measure(rows.join(blocks, "node_id").select(columns), open=F.count_if(F.col("fresh") | (F.col("hub") & F.col("moved"))))
     return state.select("source_id", "node_id", "metres", "next_node")
 
 
 def walk_paths(paths: DataFrame, starts: DataFrame) -> DataFrame:
     """(route_id, source_id, seq, node_id): the nodes from every start to its source, by doubling the step."""
     jump = paths.where("next_node is not null").select("source_id", "node_id", F.col("next_node").alias("to"))
-    rows = cut_large(starts.select("route_id", "source_id", F.lit(0).cast("bigint").alias("seq"), "node_id"))
+    rows = cut(starts.select("route_id", "source_id", F.lit(0).cast("bigint").alias("seq"), "node_id"))
     step = 1
     while True:
-        ahead, seen = cut_large_and_measure(
+        ahead, seen = cut_and_measure(
             rows.join(jump, ["source_id", "node_id"]).select("route_id", "source_id", (F.col("seq") + step).alias("seq"), F.col("to").alias("node_id")),
             n=F.count(F.lit(1)),
         )
@@ -237,5 +237,5 @@ def walk_paths(paths: DataFrame, starts: DataFrame) -> DataFrame:
             return rows
         rows = rows.unionByName(ahead)
         far = jump.select("source_id", F.col("node_id").alias("to"), F.col("to").alias("then"))
-        jump = cut_large(jump.join(far, ["source_id", "to"]).select("source_id", "node_id", F.col("then").alias("to")))
+        jump = cut(jump.join(far, ["source_id", "to"]).select("source_id", "node_id", F.col("then").alias("to")))
         step *= 2
