@@ -8,6 +8,7 @@ from waymark.functions import geo, payload, streets
 from waymark.operators import lookups
 from waymark.plans import duck
 from waymark.plans.registry import register
+from waymark.session import cut_and_measure, spread
 
 
 def _r(c, alias):
@@ -201,7 +202,8 @@ def _(t):
     "route_stops",
 )
 def _(t):
-    visits = t.route_stops.select("cluster_id", "checkpoint_id", "route_id").distinct()
+    stops, seen = cut_and_measure(t.route_stops.select("cluster_id", "checkpoint_id", "route_id"), n=F.count(F.lit(1)))
+    visits = spread(stops, "route_id", rows=seen["n"]).distinct()
     per_checkpoint = visits.groupBy("cluster_id", "checkpoint_id").agg(F.count("*").alias("n"))
     per_cluster = visits.select("cluster_id", "route_id").distinct().groupBy("cluster_id").agg(F.count("*").alias("total"))
     return per_checkpoint.join(per_cluster, "cluster_id").select("checkpoint_id", _r(geo.crossing_confidence("n", "total"), "confidence"))
