@@ -5,7 +5,7 @@ import pytest
 from helpers import km, scatter, tuples
 from pyspark.sql import functions as F
 
-from waymark.operators import grid, lookups, ranks
+from waymark.operators import grid, lookups, matching, ranks
 
 PLACE = "id bigint, lat double, lon double"
 
@@ -166,3 +166,20 @@ def test_nearest_of_a_town_seen_from_far_and_near(spark, planar, monkeypatch):
     far = (lambda a, b: math.dist(a, b)) if planar else km
     assert {p: t for p, t, _ in tuples(df)} == {p: min((far(at, b), t) for t, *b in targets)[1] for p, *at in points}
     assert sum(rows) <= 60 * len(points)
+
+
+def test_addresses_are_looked_for_within_the_ladder_only(spark, monkeypatch):
+    r = random.Random(9)
+    town = lambda: (3 + r.random() * 0.01, 101 + r.random() * 0.01)
+    named = [(i, *town(), "S") for i in range(600)] + [(1000 + i, 3.2 + i * 0.05, 101.2, "S") for i in range(20)]
+    rows = named + [(2000, 3.2003, 101.2, ""), (2001, 3.2003, 101.2, None), (2002, None, 101.2, "S"), (2003, *named[0][1:])]
+    points = [(i, *town()) for i in range(200)] + [(500 + i, 3.2 + i * 0.05, 101.2 + i * 4e-4) for i in range(20)] + [(900, 40.0, -70.0), (901, None, 101.0), (902, *named[0][1:3])]
+    monkeypatch.setattr(grid, "_start_level", lambda *_: pytest.fail("looked for a bound beyond the ladder"))
+    addresses = spark.createDataFrame(rows, "location_id bigint, lat double, lon double, street string")
+    got = {p: (t, zoom) for p, t, zoom in tuples(matching.lookup_addresses(frame(spark, points, "p"), "p", addresses, "location_id").select("p", F.col("location_id"), "zoom").fillna(-1))}
+    want = {}
+    for p, *at in points:
+        d, t = min((km(at, b[1:3]), b[0]) for b in named) if None not in at else (9, -1)
+        zoom = next((z for z, far in matching.ADDRESS_LADDER.items() if d <= far), -1)
+        want[p] = (t if zoom > 0 else -1, zoom)
+    assert got == want and {z for _, z in got.values()} == {-1, 15, 16, 17, 18}
