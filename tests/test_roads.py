@@ -55,6 +55,17 @@ def test_points_in_areas(spark):
     assert got == sorted(want)
 
 
+def test_ring_test_and_hulls_run_in_batches(spark):
+    square = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]
+    schema = "ring array<struct<x:double,y:double>>, x double, y double"
+    rows = [(square, 1.0, 1.0), (square, 3.0, 1.0), (square, None, 1.0), ([], 1.0, 1.0), (None, 1.0, 1.0), ([(1.0, 1.0)], 1.0, 4.0), ([(0.0, 0.0), (None, 1.0), (4.0, 0.0)], 5.0, 0.0), (square, 2.0, 1.0)]
+    tested = spark.createDataFrame(rows, schema).repartition(1).withColumn("d", hulls.ring_distance(F.col("ring"), F.col("x"), F.col("y")))
+    assert [r["d"] for r in tested.collect()] == [0.0, 1.0, None, None, None, 3.0, 1.0, 0.0]
+    built = tested.withColumn("h", hulls.hull_ring(F.array_sort(F.col("ring"))))
+    assert [None if r["h"] is None else [tuple(p) for p in r["h"]] for r in built.limit(6).collect()] == [square, square, square, [], None, [(1.0, 1.0)]]
+    assert "ArrowEvalPython" in built._jdf.queryExecution().executedPlan().toString()  # no expression over arrays per row
+
+
 def grid_roads(spark, n=14, seed=5):
     r = random.Random(seed)
     nodes = [(i * n + j, 3.0 + i * 0.004, 101.4 + j * 0.004, "gate" if (i, j) == (3, 3) else None) for i in range(n) for j in range(n)]

@@ -39,6 +39,17 @@ def test_areas_broadcast_nothing_and_share_the_exact_test(spark):
     assert "ring" not in plan(inside)  # written before its rows are used twice
 
 
+def test_inside_nodes_of_the_nearest_main_roads_are_tested_once(spark):
+    nodes = points(spark, 50, 5, "node_id")
+    square = [(101.4, 3.0), (101.45, 3.0), (101.45, 3.05), (101.4, 3.05)]
+    rings = spark.createDataFrame([(1, square, 0.002)], "cluster_id bigint, ring array<struct<x:double,y:double>>, radius double")
+    edges = spark.createDataFrame([(1, 2, "primary"), (3, 4, "residential")], "src bigint, dst bigint, highway string")
+    inside = hulls.points_in_areas(nodes, "node_id", rings).select("cluster_id", "node_id")
+    rows = roads.nearest_main_roads(inside, nodes, edges)
+    assert "ArrowEvalPython" in plan(inside) and "ArrowEvalPython" not in plan(rows)  # written before its rows are used twice
+    assert tuples(rows, "cluster_id", "node_id", "degrees", "rank") == [(1, 1, 0.0, 1), (1, 2, 0.0, 2)]
+
+
 def test_keyed_sample_tables_are_not_broadcast(spark, tmp_path):
     for name, text in (("nation", "0 as n_nationkey, 'A' as n_name, 0 as n_regionkey"), ("region", "0 as r_regionkey, 'R' as r_name"), ("customer", "id as c_custkey, 0 as c_nationkey, 1.0D as c_acctbal")):
         spark.range(5).selectExpr(*text.split(", ")).limit(1 if name != "customer" else 5).write.parquet(f"{tmp_path}/{name}.parquet")

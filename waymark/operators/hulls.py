@@ -1,43 +1,65 @@
-"""Areas of point groups: convex hulls built block by block, and distances to them, as column expressions."""
+"""Areas of point groups: convex hulls built block by block, and distances to them."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waymark.session import spread
 
 BLOCK = 1_000  # points, or blocks of the step before, that one reduction takes together
+RING = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 
 
-def _turn(a: Column, b: Column, c: Column) -> Column:
+def _turn(a: tuple, b: tuple, c: tuple):
     """Positive if a, b, c turn left."""
-    return (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
+    return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
 
 
-def _half_hull(points: Column) -> Column:
-    """One side of the hull of sorted points (Andrew's monotone chain)."""
+def _half_hull(points: list[tuple]) -> list[int]:
+    """Positions of one side of the hull of sorted points, without its end (Andrew's monotone chain)."""
+    chain = []
+    for i, p in enumerate(points):
+        while len(chain) > 1 and not _turn(points[chain[-2]], points[chain[-1]], p) > 0:
+            chain.pop()
+        chain.append(i)
+    return chain[:-1]
 
-    def add(chain: Column, p: Column) -> Column:
-        size = F.size(chain)
-        left_turns = F.filter(
-            F.sequence(F.lit(2), F.greatest(size, F.lit(2))),
-            lambda k: (k <= size) & (_turn(F.get(chain, k - 2), F.get(chain, k - 1), p) > 0),
-        )
-        keep = F.coalesce(F.array_max(left_turns), F.least(size, F.lit(1)))
-        return F.concat(F.slice(chain, 1, keep), F.array(p))
 
-    return F.aggregate(points, F.slice(points, 1, 0), add)
+def _flat(rows: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All points of the lists, with the number and the first position of each list's."""
+    sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return rows.flatten(), sizes, np.cumsum(sizes) - sizes
 
 
-def hull_ring(points: Column) -> Column:
-    """Counter-clockwise hull of an array of distinct sorted struct(x, y); fewer than three points stay as they are."""
+def _axes(points: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """x and y of points, not a number where null."""
+    return tuple(pc.struct_field(points, a).to_numpy(zero_copy_only=False).astype(np.float64) for a in "xy")
+
 
-    def open_end(chain: Column) -> Column:
-        return F.slice(chain, 1, F.size(chain) - 1)
+@F.arrow_udf(RING)
+def _hull(rows: pa.Array) -> pa.Array:
+    points, sizes, first = _flat(rows)
+    x, y = (v.tolist() for v in _axes(points))
+    picked, ends = [], [0]
+    for n, at in zip(sizes.tolist(), first.tolist(), strict=True):
+        if n < 3:
+            picked.extend(range(at, at + n))
+        else:
+            own = list(zip(x[at : at + n], y[at : at + n], strict=True))
+            picked.extend(at + i for i in _half_hull(own))
+            picked.extend(at + n - 1 - i for i in _half_hull(own[::-1]))
+        ends.append(len(picked))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), points.take(pa.array(picked, pa.int64())), mask=pc.is_null(rows))
 
-    ring = F.concat(open_end(_half_hull(points)), open_end(_half_hull(F.reverse(points))))
-    return F.when(F.size(points) < 3, points).otherwise(ring)
+
+def hull_ring(points: Column) -> Column:
+    """Counter-clockwise hull of an array of distinct sorted struct(x, y); fewer than three points stay as they are."""
+    return _hull(points)
 
 
 def convex_hulls(points: DataFrame, by: str, key: str) -> DataFrame:
@@ -70,22 +92,35 @@ def _next(ring: Column, i: Column) -> Column:
     return F.get(ring, (i + 1) % F.size(ring))
 
 
+@F.arrow_udf(T.DoubleType())
+def _ring_gap(rings: pa.Array, px: pa.Array, py: pa.Array) -> pa.Array:
+    points, sizes, first = _flat(rings)
+    out = np.full(len(rings), np.nan)
+    some = sizes > 0
+    if some.any():
+        ax, ay = _axes(points)
+        following = np.arange(1, len(ax) + 1)
+        following[(first + sizes - 1)[some]] = first[some]
+        x, y = (np.repeat(p.to_numpy(zero_copy_only=False).astype(np.float64), sizes) for p in (px, py))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            dx, dy = ax[following] - ax, ay[following] - ay
+            length = dx * dx + dy * dy
+            share = np.where(length > 0, ((x - ax) * dx + (y - ay) * dy) / length, 0.0)
+            at = np.minimum(np.maximum(share, 0.0), 1.0)
+            gx, gy = x - ax - at * dx, y - ay - at * dy
+            left = dx * (y - ay) - dy * (x - ax) >= 0
+            out[some] = np.fmin.reduceat(np.sqrt(gx * gx + gy * gy), first[some])
+        inside = np.logical_and.reduceat(left, first[some]) & (sizes[some] >= 3)
+        out[np.flatnonzero(some)[inside]] = 0.0
+    return pa.array(out, mask=np.isnan(out))
+
+
 def ring_distance(ring: Column, x: Column, y: Column) -> Column:
-    """Distance from a point to the area of a ring, 0 inside; the ring may be a single point or a line."""
-
-    def to_segment(a: Column, b: Column) -> Column:
-        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-        length = dx * dx + dy * dy
-        share = F.when(length > 0, ((x - a["x"]) * dx + (y - a["y"]) * dy) / length).otherwise(0.0)
-        at = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
-        gx, gy = x - a["x"] - at * dx, y - a["y"] - at * dy
-        return F.sqrt(gx * gx + gy * gy)
-
-    point = F.struct(x.alias("x"), y.alias("y"))
-    sides = F.transform(ring, lambda p, i: _turn(p, _next(ring, i), point) >= 0)
-    inside = (F.size(ring) >= 3) & F.forall(sides, lambda s: s)
-    gaps = F.transform(ring, lambda p, i: to_segment(p, _next(ring, i)))
-    return F.when(inside, 0.0).otherwise(F.array_min(gaps))
+    """Distance from a point to the area of a ring, 0 inside; the ring may be a single point or a line.
+
+    In batches of numpy columns: a test of some ten sides per pair costs far less than as an expression over arrays.
+    """
+    return _ring_gap(ring, x, y)
 
 
 def cluster_areas(members: DataFrame, centers: DataFrame, hull_radius: float, point_radius: float) -> DataFrame:

@@ -95,6 +95,7 @@ def nearest_main_roads(inside: DataFrame, nodes: DataFrame, edges: DataFrame, k:
     """Per cluster the k inside nodes nearest to an end of a main road."""
     place = nodes.select("node_id", "lat", "lon").distinct()
     scope = _scope(edges)
+    inside = cut(inside)
     ends = reports.edge_ends(edges.where(geo.is_main_road("highway"))).select(*scope, "node_id").distinct()
     targets = ends.join(place, "node_id").withColumnRenamed("node_id", "main_node")
     points = inside.join(place, "node_id")
