@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from waymark.operators import density, grid, hulls, ranks, roads, tours
 from waymark.plans import scenario
 from waymark.session import cut
-from waymark.sources import sample
+from waymark.sources import sample, tables
 
 
 def plan(df):
@@ -50,6 +50,16 @@ def test_inside_nodes_of_the_nearest_main_roads_are_tested_once(spark):
     assert tuples(rows, "cluster_id", "node_id", "degrees", "rank") == [(1, 1, 0.0, 1), (1, 2, 0.0, 2)]
 
 
+def test_preset_requests_are_read_once(spark):
+    rows = [("a", "2024-01-01", True, 3.0, 101.0, "S"), ("a", "2024-01-01", False, 3.00005, 101.0, "S"), ("a", "2024-01-01", False, 3.1, 101.0, "T"), ("b", None, False, 3.2, 101.0, None), ("b", None, None, 3.3, 101.0, "U")]
+    requests = spark.createDataFrame(rows, "name string, created_at string, is_warehouse boolean, lat double, lon double, street string")
+    out = tables.ingest_presets(requests)
+    for name in ("presets", "preset_locations", "warehouses"):
+        assert "md5" not in plan(out[name]) and "Broadcast" not in plan(out[name]), name  # from the written points
+    links = out["preset_locations"].join(out["presets"], "preset_id").join(out["locations"], "location_id")
+    assert tuples(links.fillna(False), "name", "lat", "is_warehouse") == [("a", 3.0, True), ("a", 3.1, False), ("b", 3.2, False), ("b", 3.3, False)]
+
+
 def test_keyed_sample_tables_are_not_broadcast(spark, tmp_path):
     for name, text in (("nation", "0 as n_nationkey, 'A' as n_name, 0 as n_regionkey"), ("region", "0 as r_regionkey, 'R' as r_name"), ("customer", "id as c_custkey, 0 as c_nationkey, 1.0D as c_acctbal")):
         spark.range(5).selectExpr(*text.split(", ")).limit(1 if name != "customer" else 5).write.parquet(f"{tmp_path}/{name}.parquet")
