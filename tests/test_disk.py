@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark import session
 from waymark.operators import ranks, tours
-from waymark.plans import scenario
+from waymark.plans import insertion, scenario
 
 
 def shuffled(spark):
@@ -76,3 +76,50 @@ def test_covering_tours_write_no_copy_of_the_stops(spark):
     assert scenario.missing_clusters(out["required"], tour, out["served"]).count() == 0
     rows = scenario.solution_rows(tour, out["nodes"], out["served"])
     assert {r["clusters_served"] for r in rows.where("kind = 'checkpoint'").collect()} <= {1, 2}
+
+
+def planned(spark):
+    """Four routes of five stops with a request each, routes 0 and 1 with two, and a route without one."""
+    make = spark.createDataFrame
+    routes = make([(r, k + 1, 10 * r + k, a, b) for r in range(5) for k, a, b in scatter(5, r)], "route_id bigint, seq bigint, node_id bigint, lat double, lon double")
+    depots = make([(r, 3.0, 101.4) for r in range(5)], "route_id bigint, lat double, lon double")
+    asked = [(r, r + 100 * n, r % 3, *scatter(1, 50 + r + n)[0][1:], *scatter(1, 90 + r + n)[0][1:]) for r in range(4) for n in range(2 if r < 2 else 1)]
+    return routes, depots, make(asked, "route_id bigint, pair_id bigint, insertion_point bigint, pickup_lat double, pickup_lon double, dropoff_lat double, dropoff_lon double")
+
+
+def test_inserted_pairs_leave_the_routes_and_their_report(spark):
+    before = tables(spark)
+    rebuilt, report = scenario.insert_pairs(*planned(spark))
+    assert len(tables(spark) - before) == 3  # the routes and a table of each of two rounds
+    assert rebuilt.count() == 5 * 5 + 2 * 6 and report.count() == 6
+    assert all(r["km"] >= r["before_km"] - 1e-9 and r["strategy_a_km"] <= r["strategy_b_km"] + 1e-9 for r in report.collect())
+
+
+def test_reoptimised_routes_leave_the_routes_and_their_report(spark):
+    before = tables(spark)
+    rebuilt, report = insertion.reoptimise(*planned(spark))
+    assert len(tables(spark) - before) == 3  # the routes, what was inserted, and which were solved exactly
+    assert rebuilt.count() == 5 * 5 + 2 * 6
+    assert tuples(report, "route_id", "n_pairs", "exact") == [(0, 2, False), (1, 2, False), (2, 1, True), (3, 1, True)]
+
+
+def test_chosen_checkpoints_leave_candidates_and_choice(spark):
+    routes, depots, requests = planned(spark)
+    candidates = spark.createDataFrame([(p, role, i, a, b) for p in (2, 3) for role in ("pickup", "dropoff") for i, a, b in scatter(3, p)], "pair_id bigint, role string, checkpoint_id bigint, lat double, lon double")
+    before = tables(spark)
+    chosen, errors = insertion.choose_ends(routes, depots, requests, candidates)
+    assert len(tables(spark) - before) == 2
+    assert tuples(chosen, "route_id", "pair_id") == [(2, 2), (3, 3)] and errors.count() == 4
+
+
+def test_solvers_leave_the_first_and_the_improved_paths(spark):
+    out = scenario.prepare_instances(*instances(spark))
+    named = out["depots"].withColumn("algorithm", F.lit("two_opt"))
+    stops = out["served"].select("instance_id", "stop_id", "lat", "lon").distinct()
+    first = session.cut_lean(tours.closed_paths(out["depots"], stops, tours.covering_tours(out["depots"], out["served"])))
+    whole = tuples(scenario.solve_checkpoints(named, out["served"]).where("node_id is not null"), "instance_id", "seq", "node_id")
+    for solve in (lambda: scenario.solve_checkpoints(named, out["served"], first=first), lambda: scenario.solve_static(named, stops, first=first)):
+        before = tables(spark)
+        paths = solve()
+        assert len(tables(spark) - before) == 1  # the improved paths
+        assert tuples(paths.where("node_id is not null"), "instance_id", "seq", "node_id") == whole
