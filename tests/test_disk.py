@@ -75,6 +75,7 @@ def test_covering_tours_write_no_copy_of_the_stops(spark):
     assert len(tables(spark) - before) == 1  # the instances with many rows, none here
     assert scenario.missing_clusters(out["required"], tour, out["served"]).count() == 0
     rows = scenario.solution_rows(tour, out["nodes"], out["served"])
+    assert "lat" in rows.columns and "lat" not in scenario.solution_rows(tour, out["nodes"], out["served"], ()).columns
     assert {r["clusters_served"] for r in rows.where("kind = 'checkpoint'").collect()} <= {1, 2}
 
 
